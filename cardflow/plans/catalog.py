@@ -303,3 +303,301 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
+
+
+# ---------------------------------------------------------------------------
+# feed: T1-T6, J3, J4, S7, P15-P18, A4
+# ---------------------------------------------------------------------------
+
+_SETTLE2 = f"SELECT idempotencyKey, 'SETTLED', TIMESTAMP '{CUT}', 3 FROM cur2 WHERE cur_status = 'AUTHORIZED'"
+_FEED_BASE = (Q.BASE_EV + ", " + Q.fold(CUT1).replace("cur AS", "cur1 AS", 1) + ", "
+              + Q.fold(CUT, _SETTLE1).replace("cur AS", "cur2 AS", 1) + ",\n"
+              + f"evall AS (SELECT * FROM ev UNION ALL {_SETTLE1} UNION ALL {_SETTLE2}),\n"
+              + Q.REL + ",\n" + Q.ENTRIES + ",\n" + Q.entries0("evall"))
+_ACTS_SCORE = """acts AS (
+  SELECT transactionId, scored_at AS action_ts, 'score' AS kind, riskScore, alerted, 1 AS seq FROM sc)"""
+_ACTS_ALL = f"""acts AS (
+  SELECT transactionId, scored_at AS action_ts, 'score' AS kind, riskScore, alerted, 1 AS seq FROM sc
+  UNION ALL SELECT transactionId, released_at, 'release', NULL, NULL, 2 FROM rel
+  UNION ALL SELECT transactionId, TIMESTAMP '{CUT1}', 'settle', NULL, NULL, 3 FROM cur1 WHERE cur_status = 'AUTHORIZED'
+  UNION ALL SELECT transactionId, TIMESTAMP '{CUT}', 'settle', NULL, NULL, 3 FROM cur2 WHERE cur_status = 'AUTHORIZED')"""
+_FEED_SCORES = ",\n".join([_FEED_BASE, _ACTS_SCORE, Q.TARGETS, Q.STATE, Q.FEED]) + "\n"
+_FEED_ALL = ",\n".join([_FEED_BASE, _ACTS_ALL, Q.TARGETS, Q.STATE, Q.FEED]) + "\n"
+_FEED_COLS = ("request_id, arrival, transactionId, idempotencyKey, merchantId, maskedPan, amount, currency, "
+              "status, stage, riskScore, receiptKey, updatedAt")
+
+
+@query("feed_asof_scores", _FEED_SCORES + """
+SELECT request_id, transactionId, riskScore, stage, status FROM feed""")
+def q_feed_scores(p: Pipeline) -> DataFrame:
+    f = FD.apply_actions(p.entries, FD.score_actions(p.scored))
+    return f.select("request_id", "transactionId", "riskScore", "stage", "status")
+
+
+@query("feed_actions", _FEED_ALL + f"""
+SELECT {_FEED_COLS} FROM feed""")
+def q_feed_actions(p: Pipeline) -> DataFrame:
+    return p.feed
+
+
+@query("feed_recent_100", _FEED_ALL + f"""
+SELECT {_FEED_COLS} FROM feed ORDER BY arrival DESC, request_id DESC LIMIT 100""")
+def q_feed_recent(p: Pipeline) -> DataFrame:
+    return FD.recent(p.feed, 100)
+
+
+@query("feed_display", _FEED_ALL + """,
+top AS (SELECT * FROM feed ORDER BY arrival DESC, request_id DESC LIMIT 100)
+SELECT request_id, transactionId, substr(transactionId, 1, 8) || '…' AS shortId, merchantId, maskedPan,
+       concat_ws(' ', amount, currency) AS amountLabel, lower(stage) AS stageLabel,
+       CAST(CASE stage WHEN 'RECORDED' THEN 0 WHEN 'QUEUED' THEN 1 WHEN 'SCORED' THEN 2
+                       WHEN 'ALERTED' THEN 3 WHEN 'SETTLED' THEN 4 ELSE -1 END AS INTEGER) AS stageRank,
+       CAST(round(riskScore * 100) AS BIGINT) AS riskPercent,
+       coalesce(CAST(CAST(round(riskScore * 100) AS BIGINT) AS VARCHAR) || '%', 'pending…') AS riskLabel,
+       coalesce(riskScore > 0.75, false) AS riskHigh,
+       CASE WHEN coalesce(receiptKey, '') <> '' THEN regexp_extract(receiptKey, '[^/]*$') END AS receiptName,
+       coalesce(receiptKey, '') AS receiptKey,
+       CASE WHEN status = 'DUPLICATE' THEN 'status-duplicate' WHEN stage = 'ALERTED' THEN 'status-alerted'
+            ELSE 'status-approved' END AS rowClass,
+       coalesce(stage = 'ALERTED', false) AS canRelease
+FROM top""")
+def q_feed_display(p: Pipeline) -> DataFrame:
+    return FD.display(FD.recent(p.feed, 100))
+
+
+@query("feed_ticker", _FEED_ALL + """,
+newest AS (SELECT stage FROM feed ORDER BY arrival DESC, request_id DESC LIMIT 1),
+stages AS (SELECT * FROM (VALUES ('RECORDED', 0), ('QUEUED', 1), ('SCORED', 2), ('ALERTED', 3), ('SETTLED', 4)) t(stage, pos))
+SELECT s.stage,
+       s.pos <= CASE n.stage WHEN 'RECORDED' THEN 0 WHEN 'QUEUED' THEN 1 WHEN 'SCORED' THEN 2
+                             WHEN 'ALERTED' THEN 3 WHEN 'SETTLED' THEN 4 ELSE -1 END AS lit,
+       s.stage = n.stage AND n.stage = 'ALERTED' AS alert
+FROM stages s, newest n""")
+def q_feed_ticker(p: Pipeline) -> DataFrame:
+    return FD.ticker(p.feed)
+
+
+@query("feed_newest_entry", _FEED_ALL + """,
+newest AS (SELECT transactionId, first(request_id ORDER BY arrival DESC, request_id DESC) AS request_id
+           FROM feed GROUP BY transactionId)
+SELECT r.transactionId, n.request_id, n.request_id IS NOT NULL AS found
+FROM rel r LEFT JOIN newest n ON r.transactionId = n.transactionId""")
+def q_newest_entry(p: Pipeline) -> DataFrame:
+    return FD.newest_entry(p.feed, p.release_requests.select("transactionId"))
+
+
+# ---------------------------------------------------------------------------
+# velocity: A3, F2, W1, W2, W8
+# ---------------------------------------------------------------------------
+
+from cardflow.operators import velocity as V  # noqa: E402
+from cardflow.sources.fixtures import topic_partition  # noqa: E402
+
+_CARD = "'**** **** **** ' || right(pan, 4)"
+_FIVE = "CAST(CAST(right(pan, 2) AS INTEGER) % 5 AS VARCHAR)"
+
+
+def _card_events(p: Pipeline, key: str = "card") -> DataFrame:
+    r = p.requests
+    k = (mask_pan("pan") if key == "card"
+         else (F.substring("pan", -2, 2).cast("int") % 5).cast("string"))
+    return r.select(F.col("request_id").alias("id"), k.alias("key"), F.col("arrival").alias("ts"))
+
+
+def _tumbling_sql(width: str, key: str, having: bool = True) -> str:
+    return Q.with_(Q.REQ) + f"""
+SELECT time_bucket(INTERVAL '{width}', arrival) AS window_start,
+       time_bucket(INTERVAL '{width}', arrival) + INTERVAL '{width}' AS window_end,
+       {key} AS key, count(*) AS count
+FROM req GROUP BY ALL {'HAVING count(*) >= 3' if having else ''}"""
+
+
+@query("velocity_window_counts_30s", _tumbling_sql("30 seconds", _CARD, having=False))
+def q_vel_counts(p: Pipeline) -> DataFrame:
+    """A3 with the reference's 30 s windows: every (window, card) count."""
+    return V.window_counts(_card_events(p), size="30 seconds")
+
+
+@query("velocity_tumbling", _tumbling_sql("1 day", _CARD))
+def q_vel_tumbling(p: Pipeline) -> DataFrame:
+    """W1 at the scaled window (1 day by card, threshold 3)."""
+    return V.velocity_tumbling(_card_events(p), size="1 day")
+
+
+@query("velocity_tumbling_hourly", _tumbling_sql("1 hour", _CARD))
+def q_vel_hourly(p: Pipeline) -> DataFrame:
+    return V.velocity_tumbling(_card_events(p), size="1 hour")
+
+
+@query("velocity_ten_min_five_keys", _tumbling_sql("10 minutes", _FIVE))
+def q_vel_five(p: Pipeline) -> DataFrame:
+    return V.velocity_tumbling(_card_events(p, "five"), size="10 minutes")
+
+
+@query("velocity_trailing", Q.with_(Q.REQ) + f"""
+SELECT request_id AS id, key, arrival AS ts, trailing_count FROM (
+  SELECT request_id, {_CARD} AS key, arrival,
+         count(*) OVER (PARTITION BY {_CARD} ORDER BY arrival
+                        RANGE BETWEEN INTERVAL '1 day' PRECEDING AND CURRENT ROW) AS trailing_count
+  FROM req) x
+WHERE trailing_count >= 3""")
+def q_vel_trailing(p: Pipeline) -> DataFrame:
+    """Records with 3+ of the same card in the trailing day."""
+    return V.velocity_trailing(_card_events(p), size="1 day")
+
+
+def _topic(p: Pipeline) -> DataFrame:
+    """Scored transactions as topic records: event time = createdAt,
+    replay order = scoring time (each arrives one to five hours late,
+    or a second early)."""
+    s = p.scored
+    return s.select(F.col("request_id").alias("id"), F.col("maskedPan").alias("key"),
+                    F.col("arrival").alias("ts"), F.col("scored_at").alias("arrival"),
+                    topic_partition(F.col("maskedPan")).alias("source_partition"))
+
+
+@query("velocity_exact_late", Q.BASE_SC + """,
+rec AS (SELECT request_id, maskedPan AS key, arrival AS ts, scored_at,
+               CAST(right(maskedPan, 4) AS INTEGER) % 4 AS part FROM sc),
+seen AS (SELECT *, max(epoch_us(ts)) OVER (PARTITION BY part ORDER BY scored_at, request_id
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen_us,
+                time_bucket(INTERVAL '1 hour', ts) AS window_start FROM rec)
+SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, key,
+       count(*) FILTER (WHERE NOT late) AS admitted, count(*) FILTER (WHERE late) AS late
+FROM (SELECT *, epoch_us(window_start) + 3600000000 <= seen_us - 5000000 AS late FROM seen) x
+GROUP BY ALL""")
+def q_vel_exact(p: Pipeline) -> DataFrame:
+    """Exact per-record lateness (1 h windows, 5 s grace) over the
+    scored-transaction topic, per partition in replay order."""
+    m = V.drop_late(_topic(p), size="1 hour", grace="5 seconds", chunk="6 hours")
+    return (m.groupBy("window_start", "window_end", "key")
+            .agg(F.count(F.when(~F.col("late"), 1)).alias("admitted"),
+                 F.count(F.when(F.col("late"), 1)).alias("late")))
+
+
+# ---------------------------------------------------------------------------
+# planning: C1-C4
+# ---------------------------------------------------------------------------
+
+from cardflow.operators import planning as PL  # noqa: E402
+from cardflow.constants import STORAGE_GROWTH_PCT, STORAGE_YEARS  # noqa: E402
+
+_LAT = "(epoch_us(scored_at) - epoch_us(arrival)) / 1000.0"
+_CONC = Q.BASE_SC + f""",
+conc AS (SELECT time_bucket(INTERVAL '1 hour', arrival) AS bucket, count(*) AS arrivals,
+                count(*) / 3600.0 AS throughput,
+                avg(CASE WHEN {_LAT} >= 0 THEN {_LAT} END) AS latency_ms,
+                count(*) / 3600.0 * (avg(CASE WHEN {_LAT} >= 0 THEN {_LAT} END) / 1000.0) AS concurrency
+         FROM sc GROUP BY 1)"""
+
+
+@query("concurrency_by_hour", _CONC + """
+SELECT bucket, arrivals, throughput, latency_ms, concurrency FROM conc""")
+def q_concurrency(p: Pipeline) -> DataFrame:
+    return PL.concurrency(p.scored, "1 hour")
+
+
+@query("instances_by_model", _CONC + """,
+models AS (SELECT * FROM (VALUES (0, 'Blocking — platform threads', 50),
+                                 (1, 'Blocking — virtual threads', 512),
+                                 (2, 'Non-blocking / async', 512)) t(model_rank, model, capacity)),
+x AS (SELECT c.bucket, m.model_rank, m.model, m.capacity,
+             CAST(ceil(c.concurrency / m.capacity) AS BIGINT) AS raw,
+             CAST(ceil(CAST(ceil(c.concurrency / m.capacity) AS BIGINT) * 1.25) AS BIGINT) AS with_buffer,
+             CAST(ceil(CAST(ceil(c.concurrency / 50.0) AS BIGINT) * 1.25) AS BIGINT) AS base
+      FROM conc c CROSS JOIN models m)
+SELECT bucket, model_rank, model, capacity, raw, with_buffer,
+       CAST(CASE WHEN base > 0 THEN round((1 - with_buffer / base) * 100) ELSE 0 END AS BIGINT) AS reduction_pct,
+       CASE WHEN with_buffer > 0 THEN round(base / with_buffer, 1) END AS ratio
+FROM x""")
+def q_instances(p: Pipeline) -> DataFrame:
+    return PL.instances(PL.concurrency(p.scored, "1 hour"))
+
+
+def _daily(p: Pipeline) -> DataFrame:
+    from cardflow.functions.text import encode_json
+    rows = p.stored.select("merchantId", "createdAt", F.length(encode_json()).alias("bytes"))
+    return PL.daily_volume(rows, "createdAt", "bytes")
+
+
+_FACTOR = repr(sum((1 + STORAGE_GROWTH_PCT / 100.0) ** y for y in range(STORAGE_YEARS)))
+_PROJ = Q.BASE + f""",
+d AS (SELECT merchantId, CAST(createdAt AS DATE) AS day, count(*) AS n, sum(length({Q.JSON_BODY})) AS bytes
+      FROM led GROUP BY ALL),
+dv AS (SELECT merchantId, sum(n) / count(*) AS daily_items, sum(bytes) / sum(n) / 1024.0 AS item_kb
+       FROM d GROUP BY merchantId),
+pr AS (SELECT merchantId, daily_items, item_kb, daily_items * 365.0 * {_FACTOR} AS total_items,
+              daily_items * 365.0 * {_FACTOR} * item_kb / 1048576.0 AS raw_gb,
+              daily_items * 365.0 * {_FACTOR} * item_kb / 1048576.0 * 2.0 AS total_gb
+       FROM dv)"""
+
+
+@query("storage_projection", _PROJ + """
+SELECT merchantId, daily_items, item_kb, total_items, raw_gb, total_gb,
+       CASE WHEN total_gb >= 1048576.0 THEN printf('%.2f PB', total_gb / 1048576.0)
+            WHEN total_gb >= 1024.0 THEN printf('%.2f TB', total_gb / 1024.0)
+            ELSE printf('%.2f GB', total_gb) END AS total_label
+FROM pr""")
+def q_storage(p: Pipeline) -> DataFrame:
+    return PL.storage_projection(_daily(p))
+
+
+@query("tier_costs", _PROJ + """,
+tiers AS (SELECT * FROM (VALUES (0, 'hot', 0.25::DOUBLE), (1, 'warm', 0.023::DOUBLE),
+                                (2, 'cold', 0.00099::DOUBLE)) t(tier_rank, tier, price_gb_month))
+SELECT merchantId, total_gb, tier_rank, tier, price_gb_month, total_gb * price_gb_month AS monthly_cost,
+       CASE WHEN tier_rank = 0 THEN NULL
+            ELSE CAST(round((1 - (total_gb * price_gb_month) / (total_gb * 0.25)) * 100) AS BIGINT) END AS saving_pct,
+       CASE WHEN total_gb * price_gb_month >= 1000 THEN '$' || format('{:,.0f}', total_gb * price_gb_month)
+            ELSE printf('$%.2f', total_gb * price_gb_month) END AS cost_label
+FROM pr CROSS JOIN tiers""")
+def q_tiers(p: Pipeline) -> DataFrame:
+    return PL.tier_costs(PL.storage_projection(_daily(p)))
+
+
+# ---------------------------------------------------------------------------
+# wire format and card numbers: P2, P3, P14, K4, K5
+# ---------------------------------------------------------------------------
+
+
+@query("fraud_messages", Q.BASE + f"""
+SELECT transactionId, {Q.JSON_BODY} AS body, amount FROM led""")
+def q_messages(p: Pipeline) -> DataFrame:
+    from cardflow.sinks.messages import fraud_messages
+    return fraud_messages(p.stored).select("transactionId", "body", "amount")
+
+
+@query("topic_records", Q.BASE + f"""
+SELECT maskedPan AS key, {Q.JSON_BODY} AS value, createdAt AS timestamp,
+       CAST(right(maskedPan, 4) AS INTEGER) % 4 AS source_partition
+FROM led""")
+def q_topic(p: Pipeline) -> DataFrame:
+    from cardflow.sinks.messages import topic_records
+    return topic_records(p.stored).select("key", "value", "timestamp", "source_partition")
+
+
+@query("message_round_trip", Q.BASE + """
+SELECT idempotencyKey, transactionId, merchantId, maskedPan, encryptedPan, amount, currency, status, createdAt
+FROM led""")
+def q_msg_round_trip(p: Pipeline) -> DataFrame:
+    """Encode every stored row as its message body and decode it back."""
+    from cardflow.functions.text import decode_json, encode_json
+    return p.stored.select(decode_json(encode_json()).alias("t")).select("t.*")
+
+
+@query("pan_round_trip", Q.with_(Q.REQ) + """
+SELECT request_id, '**** **** **** ' || right(pan, 4) AS maskedPan, true AS round_trip_ok,
+       false AS context_mismatch_decrypts
+FROM req""")
+def q_pan_round_trip(p: Pipeline) -> DataFrame:
+    """Every card number decrypts back to itself under the right
+    context; under another context it does not decrypt."""
+    from cardflow.functions.pan import decrypt_pan, encrypt_pan
+    from cardflow.session import pan_key
+    key = pan_key(p.spark)
+    enc = p.requests.select("request_id", "pan", encrypt_pan("pan", key).alias("c"))
+    return enc.select(
+        "request_id", mask_pan("pan").alias("maskedPan"),
+        (decrypt_pan("c", key) == F.col("pan")).alias("round_trip_ok"),
+        decrypt_pan("c", key, context="purpose=other", lenient=True).isNotNull()
+        .alias("context_mismatch_decrypts"))

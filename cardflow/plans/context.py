@@ -82,7 +82,7 @@ class Pipeline:
     @cached_property
     def entries(self) -> DataFrame:
         """Feed entries before any action (status of duplicates as of arrival)."""
-        return FD.entries(self.outcomes, self.status_events)
+        return FD.entries(self.outcomes, self.all_events)
 
     @cached_property
     def release(self):
@@ -117,6 +117,11 @@ class Pipeline:
     def batch2_current(self) -> DataFrame:
         return self.current(CUTOFF, self.events_after_batch1)
 
+    @cached_property
+    def all_events(self) -> DataFrame:
+        """Every status event: authorize, hold, release and both batches."""
+        return self.events_after_batch1.unionByName(L.settle_events(self.batch2_current, CUTOFF))
+
     # minimum slice ------------------------------------------------------------
     def merchant_summary(self) -> DataFrame:
         """Authorized, held, settled and settled total per merchant after
@@ -136,8 +141,8 @@ class Pipeline:
     # feed -------------------------------------------------------------------
     @cached_property
     def feed_actions(self) -> DataFrame:
-        ids = S.settled_ids(self.batch1_current, BATCH_1)
-        ids2 = S.settled_ids(self.batch2_current, BATCH_2)
+        ids = S.eligible(self.batch1_current).select("transactionId")
+        ids2 = S.eligible(self.batch2_current).select("transactionId")
         return (FD.score_actions(self.scored)
                 .unionByName(FD.release_actions(self.release_requests))
                 .unionByName(FD.settle_actions(ids, FIRST_CUTOFF))

@@ -85,3 +85,53 @@ def fold(cutoff: str, extra_events: str = "") -> str:
     SELECT idempotencyKey, arg_max(status, epoch_us(event_ts) * 10 + seq) AS status
     FROM {src} e WHERE event_ts <= TIMESTAMP '{cutoff}' GROUP BY idempotencyKey) s
   ON l.idempotencyKey = s.idempotencyKey WHERE l.createdAt <= TIMESTAMP '{cutoff}')"""
+
+# JSON message body of a stored row (Jackson layout: nulls written, amount
+# with its scale, createdAt as epoch seconds with nine decimals).
+JSON_BODY = ("'{\"idempotencyKey\":\"' || idempotencyKey || '\",\"transactionId\":\"' || transactionId || "
+             "'\",\"merchantId\":\"' || merchantId || '\",\"maskedPan\":\"' || maskedPan || "
+             "'\",\"encryptedPan\":null,\"amount\":' || CAST(amount AS VARCHAR) || "
+             "',\"currency\":\"' || currency || '\",\"status\":\"' || status || "
+             "'\",\"createdAt\":' || CAST(epoch_us(createdAt) // 1000000 AS VARCHAR) || '.' || "
+             "lpad(CAST(epoch_us(createdAt) % 1000000 AS VARCHAR), 6, '0') || '000}'")
+
+REL = """rel AS (SELECT transactionId, arrival + INTERVAL '2' DAY AS released_at
+  FROM sc WHERE alerted AND request_id % 10 = 0)"""
+
+# Feed entries with their initial status (a duplicate shows the stored
+# row's status as of its arrival, settlements included).
+def entries0(events_cte: str) -> str:
+    return f"""ent0 AS (
+  SELECT e.*,
+         CASE WHEN e.is_new THEN 'AUTHORIZED' ELSE
+           (SELECT arg_max(x.status, epoch_us(x.event_ts) * 10 + x.seq) FROM {events_cte} x
+            WHERE x.idempotencyKey = e.idempotencyKey AND x.event_ts <= e.arrival) END AS status0,
+         CASE WHEN e.is_new THEN 'QUEUED' ELSE 'RECORDED' END AS stage0
+  FROM ent e)"""
+
+
+# Each action's target entry: newest entry at or before the action; a
+# score with none goes to the first entry after it.
+TARGETS = """tgt AS (
+  SELECT a.*, coalesce(b.request_id, CASE WHEN a.kind = 'score' THEN f.request_id END) AS target,
+         CASE WHEN b.request_id IS NOT NULL THEN a.action_ts ELSE f.arrival END AS eff_ts
+  FROM acts a
+  ASOF LEFT JOIN ent b ON a.transactionId = b.transactionId AND a.action_ts >= b.arrival
+  ASOF LEFT JOIN (SELECT * FROM ent) f ON a.transactionId = f.transactionId AND a.action_ts < f.arrival)"""
+
+STATE = """st AS (
+  SELECT target,
+    arg_max(CASE kind WHEN 'settle' THEN 'SETTLED' WHEN 'release' THEN 'SCORED'
+                      ELSE CASE WHEN alerted THEN 'ALERTED' ELSE 'SCORED' END END,
+            epoch_us(eff_ts) * 10 + seq) AS stage,
+    arg_max(CASE kind WHEN 'settle' THEN 'SETTLED' WHEN 'release' THEN 'AUTHORIZED' ELSE 'HELD_FOR_REVIEW' END,
+            epoch_us(eff_ts) * 10 + seq) FILTER (WHERE kind <> 'score' OR alerted) AS status,
+    arg_max(riskScore, epoch_us(eff_ts) * 10 + seq) FILTER (WHERE kind = 'score') AS riskScore,
+    max(eff_ts) AS updatedAt
+  FROM tgt WHERE target IS NOT NULL GROUP BY target)"""
+
+FEED = """feed AS (
+  SELECT e.request_id, e.arrival, e.transactionId, e.idempotencyKey, e.merchantId, e.maskedPan, e.amount,
+         e.currency, coalesce(st.status, e.status0) AS status, coalesce(st.stage, e.stage0) AS stage,
+         st.riskScore, e.receiptKey, coalesce(st.updatedAt, e.arrival) AS updatedAt
+  FROM ent0 e LEFT JOIN st ON e.request_id = st.target)"""

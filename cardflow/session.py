@@ -21,6 +21,7 @@ BASE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -75,3 +76,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for one job's state."""
     return os.path.join(checkpoint_root(spark), "cardflow", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+PAN_KEY_CONF = "spark.cardflow.panKey"
+# Fixed test key, used only when the session does not name one; a real
+# deployment sets spark.cardflow.panKey (16, 24 or 32 bytes).
+TEST_PAN_KEY = "0123456789abcdef0123456789abcdef"
+
+
+def pan_key(spark: SparkSession):
+    """The card-number encryption key as a Column, read from the session."""
+    from pyspark.sql import functions as F
+    return F.lit(spark.conf.get(PAN_KEY_CONF, TEST_PAN_KEY))
