@@ -122,21 +122,21 @@ SELECT a.request_id,
        CASE WHEN a.rn = 1 THEN 'receipts/' || l.merchantId || '/' || l.transactionId || '.json' END AS receiptKey
 FROM att a JOIN led l ON a.idempotencyKey = l.idempotencyKey""")
 def q_outcomes(p: Pipeline) -> DataFrame:
-    return p.outcomes.select("request_id", "outcome", "transactionId", "amount", "receiptKey")
+    return p.outcomes_plan.select("request_id", "outcome", "transactionId", "amount", "receiptKey")
 
 
 @query("authorizations", Q.BASE + """
 SELECT idempotencyKey, transactionId, merchantId, maskedPan, encryptedPan, amount, currency, status, createdAt
 FROM led""")
 def q_authorizations(p: Pipeline) -> DataFrame:
-    return p.stored
+    return A.new_rows(p.outcomes_plan)
 
 
 @query("duplicates_by_merchant", Q.with_(Q.REQ, Q.ATT, Q.LED) + """
 SELECT l.merchantId, count(*) FILTER (WHERE a.rn = 1) AS approved, count(*) FILTER (WHERE a.rn > 1) AS duplicates
 FROM att a JOIN led l ON a.idempotencyKey = l.idempotencyKey GROUP BY l.merchantId""")
 def q_dups(p: Pipeline) -> DataFrame:
-    return A.duplicates_by_merchant(p.outcomes)
+    return A.duplicates_by_merchant(p.outcomes_plan)
 
 
 _AM = "hour(arrival) < 12"

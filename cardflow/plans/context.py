@@ -23,6 +23,7 @@ from cardflow.operators.scoring import fraud_alerts
 from cardflow.sources import fixtures as X
 from cardflow.sources.tables import table
 from cardflow.functions.text import batch_id
+from cardflow.session import checkpoint_root
 
 CUTOFF = X.DEFAULT_CUTOFF
 FIRST_CUTOFF = X.FIRST_CUTOFF
@@ -32,9 +33,24 @@ EMPTY_BATCH = batch_id(FIRST_CUTOFF, "rerun")
 
 
 class Pipeline:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """``materialize=True`` cuts lineage where the pipeline fans out (the
+    authorization outcomes and the status-event log): each is written once
+    with a reliable ``checkpoint()`` to the shared ``spark.checkpoint.dir``
+    and read back by every downstream step, instead of being recomputed
+    from the source in each branch of a plan.  The written copy also
+    survives the loss of the executors that computed it.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.materialize = materialize
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        if not self.materialize:
+            return df
+        checkpoint_root(self.spark)
+        return df.checkpoint(eager=True)
 
     # sources -------------------------------------------------------------
     @cached_property
@@ -55,9 +71,15 @@ class Pipeline:
 
     # authorization ---------------------------------------------------------
     @cached_property
-    def outcomes(self) -> DataFrame:
+    def outcomes_plan(self) -> DataFrame:
+        """Outcome per attempt, as a plan (for single-use queries)."""
         return A.authorize(self.valid)
 
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """Outcome per attempt, materialized once."""
+        return self._cut(self.outcomes_plan)
+
     @cached_property
     def stored(self) -> DataFrame:
         return A.new_rows(self.outcomes)
@@ -93,9 +115,9 @@ class Pipeline:
         """authorize + hold + release events (no settlement yet)."""
         scored = self.scored.withColumn("createdAt", F.col("arrival"))
         rel_events, _ = L.release(self.release_requests, self.outcomes)
-        return (L.authorize_events(self.stored)
-                .unionByName(L.hold_events(scored))
-                .unionByName(rel_events))
+        return self._cut(L.authorize_events(self.stored)
+                         .unionByName(L.hold_events(scored))
+                         .unionByName(rel_events))
 
     def current(self, cutoff: dt.datetime, events: DataFrame | None = None) -> DataFrame:
         return L.current_rows(self.stored, events if events is not None else self.status_events, cutoff)
@@ -111,7 +133,7 @@ class Pipeline:
 
     @cached_property
     def events_after_batch1(self) -> DataFrame:
-        return self.status_events.unionByName(self.batch1_events)
+        return self._cut(self.status_events.unionByName(self.batch1_events))
 
     @cached_property
     def batch2_current(self) -> DataFrame:
@@ -120,7 +142,8 @@ class Pipeline:
     @cached_property
     def all_events(self) -> DataFrame:
         """Every status event: authorize, hold, release and both batches."""
-        return self.events_after_batch1.unionByName(L.settle_events(self.batch2_current, CUTOFF))
+        return self._cut(self.events_after_batch1.unionByName(
+            L.settle_events(self.batch2_current, CUTOFF)))
 
     # minimum slice ------------------------------------------------------------
     def merchant_summary(self) -> DataFrame:
