@@ -89,3 +89,11 @@ def pan_key(spark: SparkSession):
     """The card-number encryption key as a Column, read from the session."""
     from pyspark.sql import functions as F
     return F.lit(spark.conf.get(PAN_KEY_CONF, TEST_PAN_KEY))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its filesystem (local, HDFS, object store)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))

@@ -1,0 +1,85 @@
+from pyspark.sql import functions as F
+
+from cardflow.operators import feed as FD
+from cardflow.operators.authorize import authorize, normalize_requests
+from tests.helpers import at, req, requests_df
+
+
+def outcomes(spark, rows):
+    valid, _ = normalize_requests(requests_df(spark, rows))
+    return authorize(valid)
+
+
+def scores(spark, rows):
+    """rows: (transactionId, seconds, riskScore, alerted)."""
+    df = spark.createDataFrame([(t, at(s), r, a) for t, s, r, a in rows],
+                               "transactionId string, scored_at timestamp_ntz, riskScore double, alerted boolean")
+    return FD.score_actions(df)
+
+
+def tid(o, rid):
+    return o.where(F.col("request_id") == rid).first().transactionId
+
+
+def test_early_score_applies_to_next_entry(spark):
+    o = outcomes(spark, [req(1, 10, amount="4999.00")])
+    e = FD.entries(o)
+    f = FD.apply_actions(e, scores(spark, [(tid(o, 1), 5, 0.92, True)])).first()
+    assert (f.stage, f.status, f.riskScore) == ("ALERTED", "HELD_FOR_REVIEW", 0.92)
+
+
+def test_score_goes_to_newest_entry_only(spark):
+    o = outcomes(spark, [req(1, 1), req(2, 3)])  # entry, duplicate entry
+    e = FD.entries(o)
+    f = {r.request_id: r for r in FD.apply_actions(e, scores(spark, [(tid(o, 1), 5, 0.15, False)])).collect()}
+    assert f[2].riskScore == 0.15 and f[2].stage == "SCORED"
+    assert f[1].riskScore is None and f[1].stage == "QUEUED"
+    assert f[2].status == "AUTHORIZED"
+
+
+def test_score_between_entries_goes_to_the_earlier(spark):
+    o = outcomes(spark, [req(1, 1), req(2, 10)])
+    e = FD.entries(o)
+    f = {r.request_id: r for r in FD.apply_actions(e, scores(spark, [(tid(o, 1), 5, 0.92, True)])).collect()}
+    assert f[1].stage == "ALERTED" and f[2].stage == "RECORDED"
+
+
+def test_settle_and_release_marks(spark):
+    o = outcomes(spark, [req(1, 1, amount="4999.00")])
+    t = tid(o, 1)
+    e = FD.entries(o)
+    acts = (scores(spark, [(t, 2, 0.92, True)])
+            .unionByName(FD.release_actions(spark.createDataFrame([(t, at(3))],
+                         "transactionId string, released_at timestamp_ntz"))))
+    f = FD.apply_actions(e, acts).first()
+    assert (f.stage, f.status, f.riskScore) == ("SCORED", "AUTHORIZED", 0.92)
+    ids = spark.createDataFrame([(t,)], "transactionId string")
+    f2 = FD.apply_actions(e, acts.unionByName(FD.settle_actions(ids, at(4)))).first()
+    assert (f2.stage, f2.status) == ("SETTLED", "SETTLED")
+
+
+def test_action_before_any_entry_is_ignored_except_score(spark):
+    o = outcomes(spark, [req(1, 10)])
+    t = tid(o, 1)
+    ids = spark.createDataFrame([(t,)], "transactionId string")
+    f = FD.apply_actions(FD.entries(o), FD.settle_actions(ids, at(5))).first()
+    assert f.stage == "QUEUED"
+
+
+def test_feed_bound(spark):
+    o = outcomes(spark, [req(i, i, key=f"k{i}") for i in range(101)])
+    recent = FD.recent(FD.entries(o), 100).collect()
+    assert len(recent) == 100
+    assert recent[0].request_id == 100 and recent[-1].request_id == 1
+    plan = FD.recent(FD.entries(o), 100)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_newest_entry_and_ticker(spark):
+    o = outcomes(spark, [req(1, 1), req(2, 2)])
+    e = FD.entries(o)
+    ids = spark.createDataFrame([(tid(o, 1),), ("missing",)], "transactionId string")
+    got = {r.transactionId: (r.request_id, r.found) for r in FD.newest_entry(e, ids).collect()}
+    assert got[tid(o, 1)] == (2, True) and got["missing"] == (None, False)
+    lit = {r.stage: r.lit for r in FD.ticker(e).collect()}
+    assert lit == {"RECORDED": True, "QUEUED": False, "SCORED": False, "ALERTED": False, "SETTLED": False}
