@@ -13,8 +13,12 @@ def _c(c) -> Column:
 
 
 def strip_spaces(pan) -> Column:
-    """Remove every whitespace run from a card number."""
-    return F.regexp_replace(_c(pan), r"\s+", "")
+    """Remove every whitespace character from a card number.
+
+    ``translate`` deletes the characters outright (no regular expression).
+    """
+    from cardflow.functions.requests import WHITESPACE
+    return F.translate(_c(pan), WHITESPACE, "")
 
 
 def mask_pan(pan) -> Column:

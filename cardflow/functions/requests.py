@@ -16,20 +16,24 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def is_blank(c) -> Column:
-    """NULL, empty, or whitespace only (tabs and newlines included)."""
-    c = _c(c)
-    return c.isNull() | (F.regexp_replace(c, r"\s+", "") == "")
+# Characters a blank check treats as whitespace (the Java isBlank set
+# without the Unicode separators): space, tab, line feed, vertical tab,
+# form feed, carriage return, and the four information separators.
+WHITESPACE = " \t\n\u000b\f\r\u001c\u001d\u001e\u001f"
 
 
-def validation_labels(merchant="merchantId", pan="pan", amount="amount",
-                      currency="currency", strict: bool = False) -> Column:
-    """Array of the failed field labels, in reporting order (P5).
+def is_blank(c) -> Column:
+    """NULL, empty, or whitespace only (tabs and newlines included).
 
-    Only the card number's length is checked, not its digits.  ``strict``
-    adds the form-only rules: card at most 19 characters, amount with at
-    most two decimals, currency from the form's list.
+    ``trim`` with an explicit character set, not a regular expression:
+    it stays a cheap scan inside whole-stage codegen.
     """
+    c = _c(c)
+    return c.isNull() | (F.trim(c, F.lit(WHITESPACE)) == "")
+
+
+def _checks(merchant, pan, amount, currency, strict: bool) -> list[tuple[str, Column]]:
+    """(label, failed) per field, in reporting order."""
     m, p, a, cur = _c(merchant), _c(pan), _c(amount), _c(currency)
     pan_bad = is_blank(p) | (F.length(p) < MIN_PAN_LENGTH)
     amount_bad = is_blank(a)
@@ -38,12 +42,31 @@ def validation_labels(merchant="merchantId", pan="pan", amount="amount",
         pan_bad = pan_bad | (F.length(p) > FORM_MAX_PAN_LENGTH)
         amount_bad = amount_bad | ~F.coalesce(a.rlike(FORM_AMOUNT_PATTERN), F.lit(False))
         currency_bad = currency_bad | ~F.coalesce(cur.isin(*FORM_CURRENCIES), F.lit(False))
-    return F.array_compact(F.array(
-        F.when(is_blank(m), F.lit(LABEL_MERCHANT)),
-        F.when(pan_bad, F.lit(LABEL_PAN)),
-        F.when(amount_bad, F.lit(LABEL_AMOUNT)),
-        F.when(currency_bad, F.lit(LABEL_CURRENCY)),
-    ))
+    return [(LABEL_MERCHANT, is_blank(m)), (LABEL_PAN, pan_bad),
+            (LABEL_AMOUNT, amount_bad), (LABEL_CURRENCY, currency_bad)]
+
+
+def validation_labels(merchant="merchantId", pan="pan", amount="amount",
+                      currency="currency", strict: bool = False) -> Column:
+    """Array of the failed field labels, in reporting order (P5).
+
+    Only the card number's length is checked, not its digits.  ``strict``
+    adds the form-only rules: card at most 19 characters, amount with at
+    most two decimals, currency from the form's list.
+    """
+    checks = _checks(merchant, pan, amount, currency, strict)
+    return F.array_compact(F.array(*[F.when(bad, F.lit(label)) for label, bad in checks]))
+
+
+def fields_ok(merchant="merchantId", pan="pan", amount="amount",
+              currency="currency", strict: bool = False) -> Column:
+    """True when no field fails: the same rules as the labels, as one
+    boolean (no array is built)."""
+    checks = _checks(merchant, pan, amount, currency, strict)
+    bad = checks[0][1]
+    for _, b in checks[1:]:
+        bad = bad | b
+    return ~bad
 
 
 def validation_message(labels: Column) -> Column:
@@ -60,7 +83,7 @@ def parse_amount(text) -> Column:
     1.01).
     """
     t = _c(text)
-    return F.when(~t.rlike(r"^\s|\s$"), t.try_cast(AMOUNT))
+    return F.when(t == F.trim(t, F.lit(WHITESPACE)), t.try_cast(AMOUNT))
 
 
 def generated_key(request_id) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cardflow.constants import OUTCOME_APPROVED, OUTCOME_DUPLICATE, STATUS_AUTHORIZED
 from cardflow.functions.pan import encrypt_pan, mask_pan, strip_spaces
 from cardflow.functions.requests import (
-    default_key, parse_amount, transaction_id, validation_labels, validation_message,
+    default_key, fields_ok, parse_amount, transaction_id, validation_labels, validation_message,
 )
 from cardflow.functions.text import receipt_key
 from cardflow.schemas import TRANSACTION_COLUMNS
@@ -37,25 +37,23 @@ def normalize_requests(requests: DataFrame, strict: bool = False) -> tuple[DataF
     ``Invalid amount: <text>`` when the amount does not parse).
     """
     r = requests.withColumn("pan", strip_spaces("pan"))
-    labels = validation_labels(strict=strict)
     amount = parse_amount("amount")
     if strict:
         # more than two decimals is rejected rather than rounded
         amount = F.when(amount == F.col("amount").try_cast("decimal(38,10)"), amount)
-    checked = r.select(
-        *[c for c in r.columns if c != "amount"],
-        F.col("amount").alias("amount_text"),
-        amount.alias("amount"),
-        validation_message(labels).alias("field_error"),
-    )
-    error = F.coalesce(
-        F.col("field_error"),
-        F.when(F.col("amount").isNull(), F.concat(F.lit("Invalid amount: "), F.col("amount_text"))))
-    flagged = checked.withColumn("error", error)
-    valid = (flagged.where(F.col("error").isNull())
+    checked = r.select(*[c for c in r.columns if c != "amount"],
+                       F.col("amount").alias("amount_text"), amount.alias("amount"))
+    labels = validation_labels(amount="amount_text", strict=strict)
+    # the cheap test decides; the message is only built for rejected rows
+    ok = fields_ok(amount="amount_text", strict=strict) & F.col("amount").isNotNull()
+    flagged = checked.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    valid = (flagged.where(F.col("_ok"))
              .select("request_id", "arrival", "merchantId", "pan", "amount", "currency",
                      default_key(KEY, "request_id").alias(KEY)))
-    rejected = flagged.where(F.col("error").isNotNull()).select("request_id", "arrival", "error")
+    error = F.coalesce(
+        validation_message(labels),
+        F.concat(F.lit("Invalid amount: "), F.coalesce(F.col("amount_text"), F.lit("null"))))
+    rejected = flagged.where(~F.col("_ok")).select("request_id", "arrival", error.alias("error"))
     return valid, rejected
 
 

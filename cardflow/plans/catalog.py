@@ -30,7 +30,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        REGISTRY[name] = (lambda spark, sf_dir: fn(Pipeline(spark, sf_dir)), sql)
+        REGISTRY[name] = (lambda spark, sf_dir: fn(Pipeline.shared(spark, sf_dir)), sql)
         return fn
     return deco
 

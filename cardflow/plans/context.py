@@ -46,6 +46,27 @@ class Pipeline:
         self.sf_dir = sf_dir
         self.materialize = materialize
 
+    _shared: dict = {}
+
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "Pipeline":
+        """One materialized pipeline per (application, source folder,
+        source file versions): reports read the persisted ledger and event
+        log instead of rebuilding them, as downstream jobs read tables a
+        pipeline wrote.  A changed source file gives a new pipeline."""
+        import os
+        src = os.path.join(sf_dir, "events.parquet")
+        try:
+            st = os.stat(src)
+            version = (st.st_mtime_ns, st.st_size)
+        except OSError:  # not a local path: no reuse
+            return cls(spark, sf_dir)
+        key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), version)
+        if key not in cls._shared:
+            cls._shared = {k: v for k, v in cls._shared.items() if k[0] == key[0]}
+            cls._shared[key] = cls(spark, sf_dir)
+        return cls._shared[key]
+
     def _cut(self, df: DataFrame) -> DataFrame:
         if not self.materialize:
             return df
