@@ -142,7 +142,9 @@ def apply_actions(entries_df: DataFrame, actions: DataFrame) -> DataFrame:
     status = (F.when(F.col("kind") == KIND_SETTLE, F.lit(STATUS_SETTLED))
               .when(F.col("kind") == KIND_RELEASE, F.lit(STATUS_AUTHORIZED))
               .when(F.col("alerted"), F.lit(STATUS_HELD)))
-    order = [F.col("eff_ts").alias("t"), seq.alias("s")]
+    # effect order: time it took effect, action kind, then the action's own
+    # time (several early scores on one entry: the last one wins)
+    order = [F.col("eff_ts").alias("t"), seq.alias("s"), F.col("action_ts").alias("a")]
     state = t.groupBy("target").agg(
         F.max(F.struct(*order, stage.alias("v"))).alias("last_stage"),
         F.max(F.when(status.isNotNull(), F.struct(*order, status.alias("v")))).alias("last_status"),

@@ -60,20 +60,28 @@ def velocity_tumbling(events: DataFrame, ts: str = "ts", key: str = "key",
 
 
 def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_col: str = "id",
-                      size: str = VELOCITY_WINDOW, threshold: int = VELOCITY_THRESHOLD) -> DataFrame:
+                      size: str = VELOCITY_WINDOW, threshold: int = VELOCITY_THRESHOLD,
+                      emit: str | None = None) -> DataFrame:
     """Every record whose trailing count over ``[t - size, t]`` reaches
-    the threshold; output id, key, ts, trailing_count."""
+    the threshold; output id, key, ts, trailing_count.
+
+    ``emit`` names a boolean column: rows where it is false are counted
+    but not returned (the retained tail of a stream).
+    """
     width = _seconds(size) * 1_000_000
     us = _micros(F.col(ts))
+    flag = F.col(emit) if emit else F.lit(True)
     base = events.select(F.col(id_col).alias("id"), F.col(key).alias("key"),
-                         F.col(ts).alias("ts"), us.alias("us"))
+                         F.col(ts).alias("ts"), us.alias("us"), flag.alias("_emit"))
     bucket = F.floor(F.col("us") / F.lit(width)).cast("bigint")
-    own = base.select("id", "key", "ts", "us", bucket.alias("bucket"), F.lit(False).alias("shadow"))
-    nxt = base.select("id", "key", "ts", "us", (bucket + 1).alias("bucket"), F.lit(True).alias("shadow"))
+    own = base.select("id", "key", "ts", "us", "_emit", bucket.alias("bucket"),
+                      F.lit(False).alias("shadow"))
+    nxt = base.select("id", "key", "ts", "us", "_emit", (bucket + 1).alias("bucket"),
+                      F.lit(True).alias("shadow"))
     rows = own.unionByName(nxt)
     w = Window.partitionBy("key", "bucket").orderBy("us").rangeBetween(-width, 0)
     counted = rows.withColumn("trailing_count", F.count(F.lit(1)).over(w))
-    return (counted.where(~F.col("shadow") & (F.col("trailing_count") >= threshold))
+    return (counted.where(~F.col("shadow") & F.col("_emit") & (F.col("trailing_count") >= threshold))
             .select("id", "key", "ts", "trailing_count"))
 
 

@@ -123,10 +123,10 @@ STATE = """st AS (
   SELECT target,
     arg_max(CASE kind WHEN 'settle' THEN 'SETTLED' WHEN 'release' THEN 'SCORED'
                       ELSE CASE WHEN alerted THEN 'ALERTED' ELSE 'SCORED' END END,
-            epoch_us(eff_ts) * 10 + seq) AS stage,
+            (epoch_us(eff_ts), seq, epoch_us(action_ts))) AS stage,
     arg_max(CASE kind WHEN 'settle' THEN 'SETTLED' WHEN 'release' THEN 'AUTHORIZED' ELSE 'HELD_FOR_REVIEW' END,
-            epoch_us(eff_ts) * 10 + seq) FILTER (WHERE kind <> 'score' OR alerted) AS status,
-    arg_max(riskScore, epoch_us(eff_ts) * 10 + seq) FILTER (WHERE kind = 'score') AS riskScore,
+            (epoch_us(eff_ts), seq, epoch_us(action_ts))) FILTER (WHERE kind <> 'score' OR alerted) AS status,
+    arg_max(riskScore, (epoch_us(eff_ts), seq, epoch_us(action_ts))) FILTER (WHERE kind = 'score') AS riskScore,
     max(eff_ts) AS updatedAt
   FROM tgt WHERE target IS NOT NULL GROUP BY target)"""
 

@@ -54,3 +54,51 @@ def start_velocity_alerts(records: DataFrame, sink_path: str, checkpoint: str,
          .foreachBatch(write))
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
+
+
+def trailing_batch(batch: DataFrame, state_path: str, sink_path: str, epoch: int,
+                   size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
+                   threshold: int = VELOCITY_THRESHOLD, ts: str = "event_ts",
+                   key: str = "key", id_col: str = "id") -> None:
+    """One micro-batch of the streaming trailing check.
+
+    The batch is counted together with the retained tail of earlier
+    records (those within ``size + grace`` of the newest record seen), so
+    each new record's trailing count includes everything before it in the
+    window.  The tail is written per epoch; a replayed epoch reads the
+    previous epoch's tail again and rewrites its own outputs.  A record
+    later than the grace period is counted against what is retained.
+    """
+    from cardflow.operators.velocity import _seconds, velocity_trailing
+    from cardflow.session import path_exists
+    spark = batch.sparkSession
+    cols = [F.col(id_col).alias("id"), F.col(key).alias("key"),
+            F.col(ts).cast("timestamp_ntz").alias("ts")]
+    new = batch.select(*cols, F.lit(True).alias("_new"))
+    prev_path = f"{state_path.rstrip('/')}/epoch={epoch - 1}"
+    both = new
+    if epoch > 0 and path_exists(spark, prev_path):
+        both = new.unionByName(spark.read.parquet(prev_path).withColumn("_new", F.lit(False)))
+    alerts = velocity_trailing(both, size=size, threshold=threshold, emit="_new")
+    append_batch(alerts, sink_path, str(epoch))
+    newest = both.agg(F.max("ts")).first()[0]  # one value
+    if newest is not None:
+        horizon = _seconds(size) + _seconds(grace)
+        tail = both.where(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {horizon} SECONDS"))
+        tail.select("id", "key", "ts").write.mode("overwrite").parquet(
+            f"{state_path.rstrip('/')}/epoch={epoch}")
+
+
+def start_velocity_trailing(records: DataFrame, sink_path: str, state_path: str, checkpoint: str,
+                            size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
+                            threshold: int = VELOCITY_THRESHOLD, trigger: dict | None = None,
+                            ts: str = "event_ts", id_col: str = "arrival") -> StreamingQuery:
+    """Run W2 as a stream: every record with ``threshold`` or more of its
+    card in the trailing ``size`` (the documented "3+ in the last 30
+    seconds" contract)."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        trailing_batch(batch, state_path, sink_path, epoch, size, grace, threshold, ts=ts,
+                       id_col=id_col)
+
+    w = records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return w.trigger(**(trigger or {"availableNow": True})).start()

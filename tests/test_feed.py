@@ -83,3 +83,10 @@ def test_newest_entry_and_ticker(spark):
     assert got[tid(o, 1)] == (2, True) and got["missing"] == (None, False)
     lit = {r.stage: r.lit for r in FD.ticker(e).collect()}
     assert lit == {"RECORDED": True, "QUEUED": False, "SCORED": False, "ALERTED": False, "SETTLED": False}
+
+
+def test_last_early_score_wins(spark):
+    o = outcomes(spark, [req(1, 10, amount="4999.00")])
+    t = tid(o, 1)
+    f = FD.apply_actions(FD.entries(o), scores(spark, [(t, 2, 0.15, False), (t, 5, 0.92, True)])).first()
+    assert (f.stage, f.status, f.riskScore) == ("ALERTED", "HELD_FOR_REVIEW", 0.92)

@@ -119,3 +119,19 @@ def test_authorizer_stream_and_replay(spark, tmp_dir):
     oc0 = {x.request_id: x.outcome for x in
            spark.read.parquet(os.path.join(out, "outcomes")).where("batch_id = '0'").collect()}
     assert oc0 == {1: "APPROVED", 2: "APPROVED", 3: "DUPLICATE"}
+
+
+def test_trailing_stream_across_batches(spark, tmp_dir):
+    from cardflow.streaming.velocity import start_velocity_trailing
+    land = os.path.join(tmp_dir, "topic")
+    # burst split over micro-batches and over a tumbling edge: 28, 29 | 31 | 32 | 100
+    for i, secs in enumerate([[28, 29], [31], [32], [100]]):
+        write_lines(land, f"part-{i:03d}.json",
+                    [{"key": CARD, "value": "{}", "timestamp": iso(s), "source_partition": 0,
+                      "arrival": int(s * 10)} for s in secs])
+    q = start_velocity_trailing(read_topic(spark, land, max_per_trigger=1), os.path.join(tmp_dir, "alerts"),
+                                os.path.join(tmp_dir, "state"), os.path.join(tmp_dir, "ck"))
+    q.awaitTermination(120)
+    out = spark.read.parquet(os.path.join(tmp_dir, "alerts"))
+    got = sorted((r.id, r.trailing_count) for r in out.collect())
+    assert got == [(310, 3), (320, 4)]
