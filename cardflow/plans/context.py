@@ -70,7 +70,10 @@ class Pipeline:
     def _cut(self, df: DataFrame) -> DataFrame:
         if not self.materialize:
             return df
-        checkpoint_root(self.spark)
+        try:
+            checkpoint_root(self.spark)
+        except RuntimeError:  # no shared folder configured: recompute instead
+            return df
         return df.checkpoint(eager=True)
 
     # sources -------------------------------------------------------------
