@@ -21,7 +21,7 @@ from cardflow.operators import lifecycle as L
 from cardflow.operators import settlement as S
 from cardflow.operators.scoring import fraud_alerts
 from cardflow.sources import fixtures as X
-from cardflow.sources.tables import table
+from cardflow.sources.tables import spread, table
 from cardflow.functions.text import batch_id
 from cardflow.session import checkpoint_root
 
@@ -79,7 +79,7 @@ class Pipeline:
     # sources -------------------------------------------------------------
     @cached_property
     def events(self) -> DataFrame:
-        return table(self.spark, self.sf_dir, "events")
+        return spread(table(self.spark, self.sf_dir, "events"), "event_id")
 
     @cached_property
     def requests(self) -> DataFrame:
