@@ -2,12 +2,12 @@
 D1-D3, J1, J2, K1).
 
 Plan shape (checked with ``explain``): the winner per idempotency key is a
-``min_by`` aggregation, so it runs as partial + final hash aggregation and
-a key holding a third of all requests is folded map-side before the
-shuffle.  The winners (one row per key) are joined back to the attempts
-on the key; AQE's skew-join handling splits a hot key's attempts across
-tasks because the other side has a single row per key.  No window is
-partitioned by the key, so no task ever has to hold a hot key's rows.
+``min_by`` aggregation, so it runs as partial + final aggregation and a
+key holding a third of all requests is folded map-side before the
+shuffle.  The per-key resolution (winner, stored row) is joined back to
+the attempts on the key; keys with very many attempts are salted over
+several tasks (``operators.skew``), so no task has to hold a hot key's
+attempts.  No window is partitioned by the key.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from cardflow.functions.requests import (
     default_key, fields_ok, parse_amount, transaction_id, validation_labels, validation_message,
 )
 from cardflow.functions.text import receipt_key
+from cardflow.operators.skew import HOT_KEY_ROWS, MAX_HOT_KEYS, hot_keys, salted_join
 from cardflow.schemas import TRANSACTION_COLUMNS
 
 KEY = "idempotencyKey"
@@ -81,7 +82,8 @@ def _row(prefix: str = "") -> Column:
 
 
 def authorize(valid: DataFrame, ledger: DataFrame | None = None,
-              key: Column | None = None, batch_id: str | None = None) -> DataFrame:
+              key: Column | None = None, batch_id: str | None = None,
+              hot_rows: int = HOT_KEY_ROWS, max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """Outcome per attempt.
 
     The first attempt per idempotency key (by arrival, request_id) that
@@ -93,6 +95,9 @@ def authorize(valid: DataFrame, ledger: DataFrame | None = None,
     keys stored by earlier runs; rows written by ``batch_id`` itself are
     ignored, so replaying a batch reproduces the same outcomes.
 
+    Keys with more than ``hot_rows`` attempts are spread over several
+    tasks when the attempts meet their key's resolution (``skew``).
+
     Output: request_id, arrival, outcome, receiptKey, is_new, and the
     TRANSACTION columns of the row the attempt resolves to.
     """
@@ -100,15 +105,20 @@ def authorize(valid: DataFrame, ledger: DataFrame | None = None,
     row_type = cand.select(_row().alias("s")).schema["s"].dataType
     winners = (cand.groupBy(KEY)
                .agg(F.min_by(F.struct(F.col("request_id").alias("rid"), _row().alias("row")),
-                             F.struct(*[F.col(c) for c in ORDER])).alias("w")))
-    j = cand.select(KEY, *ORDER).join(winners, KEY, "inner")
+                             F.struct(*[F.col(c) for c in ORDER])).alias("w"),
+                    F.count(F.lit(1)).alias("n")))
+    # resolution per key: the batch winner and the stored row, if any
+    # (both sides hold one row per key, so this join has no hot key)
     if ledger is not None:
         led = ledger
         if batch_id is not None and "batch_id" in ledger.columns:
             led = led.where(F.col("batch_id").isNull() | (F.col("batch_id") != F.lit(batch_id)))
-        j = j.join(led.select(F.col(KEY), _row().alias("stored")), KEY, "left")
+        res = winners.join(led.select(F.col(KEY), _row().alias("stored")), KEY, "left")
     else:
-        j = j.withColumn("stored", F.lit(None).cast(row_type))
+        res = winners.withColumn("stored", F.lit(None).cast(row_type))
+    hot = hot_keys(winners, KEY, hot_rows=hot_rows, max_keys=max_hot_keys)
+    j = salted_join(cand.select(KEY, *ORDER), res.select(KEY, "w", "stored"), KEY, hot,
+                    F.xxhash64("request_id"))
     is_new = F.col("stored").isNull() & (F.col("request_id") == F.col("w.rid"))
     out = j.select(
         "request_id", "arrival",

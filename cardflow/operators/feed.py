@@ -10,11 +10,11 @@ fallback; settle and release with no entry do nothing.
 Plan: actions are joined to entries on transactionId (an action meets
 only entries of its own transaction) and reduced per action with two
 conditional aggregates, the newest entry at or before the action and the
-oldest after it.  The aggregation is keyed by an action id, not by the
-transaction, so the join is followed by its own exchange and AQE may split
-a transaction holding a third of all entries across tasks; partial
-aggregation keeps at most one row per action per task before that
-exchange.  Per-entry results are then joined back on the unique entry id.
+oldest after it.  A transaction with very many entries is salted over
+several tasks (its few actions are copied to each, ``operators.skew``);
+the aggregation is keyed by an action id and partial aggregation keeps at
+most one row per action per task before its exchange.  Per-entry results
+are then joined back on the unique entry id.
 Pairs produced are (entries of a transaction) x (its actions); actions per
 transaction are a handful (one score, one settle per batch, releases).
 """
@@ -30,6 +30,7 @@ from cardflow.constants import (
 )
 from cardflow.functions import display as D
 from cardflow.operators.lifecycle import KEY
+from cardflow.operators.skew import HOT_KEY_ROWS, hot_keys, salted_join
 
 ENTRY_COLUMNS = ["request_id", "arrival", "transactionId", KEY, "merchantId", "maskedPan",
                  "amount", "currency", "status", "stage", "riskScore", "receiptKey", "updatedAt"]
@@ -46,7 +47,9 @@ def status_as_of(attempts: DataFrame, status_events: DataFrame) -> DataFrame:
     the join emits a handful of rows per attempt.
     """
     ev = status_events.select(KEY, "status", "event_ts", "seq")
-    j = attempts.select("request_id", KEY, "arrival").join(ev, KEY, "inner") \
+    att = attempts.select("request_id", KEY, "arrival")
+    hot = hot_keys(att.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")), KEY)
+    j = salted_join(att, ev, KEY, hot, F.xxhash64("request_id")) \
         .where(F.col("event_ts") <= F.col("arrival"))
     return j.groupBy("request_id").agg(
         F.max_by("status", F.struct("event_ts", "seq")).alias("status_then"))
@@ -95,7 +98,8 @@ def release_actions(release_requests: DataFrame) -> DataFrame:
                                    F.lit(None).cast("boolean").alias("alerted"))
 
 
-def resolve_targets(entries_df: DataFrame, actions: DataFrame) -> DataFrame:
+def resolve_targets(entries_df: DataFrame, actions: DataFrame,
+                    hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Entry each action applies to.
 
     Output: kind, transactionId, action_ts, riskScore, alerted,
@@ -108,7 +112,11 @@ def resolve_targets(entries_df: DataFrame, actions: DataFrame) -> DataFrame:
                                  F.col("action_ts").cast("string")))
     e = entries_df.select("transactionId", F.col("request_id").alias("e_id"),
                           F.col("arrival").alias("e_arrival"))
-    j = act.join(e, "transactionId", "inner")
+    # a transaction with very many entries is salted over several tasks;
+    # its few actions are copied to each
+    hot = hot_keys(e.groupBy("transactionId").agg(F.count(F.lit(1)).alias("n")), "transactionId",
+                   hot_rows=hot_rows)
+    j = salted_join(e, act, "transactionId", hot, F.xxhash64("e_id"))
     pos = F.struct(F.col("e_arrival").alias("t"), F.col("e_id").alias("id"))
     before = F.col("e_arrival") <= F.col("action_ts")
     r = j.groupBy("action_id").agg(
@@ -126,14 +134,15 @@ def resolve_targets(entries_df: DataFrame, actions: DataFrame) -> DataFrame:
             .where(F.col("target").isNotNull()))
 
 
-def apply_actions(entries_df: DataFrame, actions: DataFrame) -> DataFrame:
+def apply_actions(entries_df: DataFrame, actions: DataFrame,
+                  hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Entries after every action took effect, in time order.
 
     score: riskScore set; ALERTED + HELD_FOR_REVIEW when alerted, else
     SCORED with the status unchanged.  settle: SETTLED/SETTLED.  release:
     AUTHORIZED/SCORED.
     """
-    t = resolve_targets(entries_df, actions)
+    t = resolve_targets(entries_df, actions, hot_rows)
     seq = (F.when(F.col("kind") == KIND_SCORE, 1).when(F.col("kind") == KIND_RELEASE, 2)
            .otherwise(3))
     stage = (F.when(F.col("kind") == KIND_SETTLE, F.lit(STAGE_SETTLED))
