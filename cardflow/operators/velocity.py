@@ -6,10 +6,10 @@
   task and window.
 * Trailing (W2): for each record, records of the same key in
   ``[t - size, t]``.  A window partitioned by the key alone would put a
-  hot card in one task; instead rows are grouped by (key, time bucket of
-  width ``size``) and each row is also copied into the next bucket, so a
-  bucket sees every row that can fall in its rows' frames.  Work is split
-  by time as well as key, with twice the rows.
+  hot card in one task; instead the count is assembled from sub-buckets
+  of width ``size / splits`` (own sub-bucket, a per-sub-bucket count
+  table, and a probe at ``t - size``), so every group is one key within
+  one narrow slice of time.
 * Exact lateness (W8): a record is late when its window already closed,
   i.e. window end <= (max event time seen so far in its source
   partition, in arrival order) - grace.  The running max is computed as a
@@ -61,28 +61,54 @@ def velocity_tumbling(events: DataFrame, ts: str = "ts", key: str = "key",
 
 def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_col: str = "id",
                       size: str = VELOCITY_WINDOW, threshold: int = VELOCITY_THRESHOLD,
-                      emit: str | None = None) -> DataFrame:
+                      emit: str | None = None, splits: int = 32) -> DataFrame:
     """Every record whose trailing count over ``[t - size, t]`` reaches
     the threshold; output id, key, ts, trailing_count.
 
+    Exact decomposition over sub-buckets of width ``size / splits``: the
+    count for a record at t is (records of its own sub-bucket up to t) +
+    (all records of the sub-buckets strictly between, from a per-(key,
+    sub-bucket) count table) + (records of the first sub-bucket at or
+    after t - size, found by a probe placed at t - size).  Every window
+    group is one key in one sub-bucket, so a hot card is spread over its
+    time span at ``size / splits`` granularity; the count table holds one
+    row per (key, sub-bucket) with data.  ``id_col`` must be unique.
+
     ``emit`` names a boolean column: rows where it is false are counted
     but not returned (the retained tail of a stream).
     """
     width = _seconds(size) * 1_000_000
-    us = _micros(F.col(ts))
+    m = splits if splits > 0 and width % splits == 0 else 1
+    sub = width // m
     flag = F.col(emit) if emit else F.lit(True)
     base = events.select(F.col(id_col).alias("id"), F.col(key).alias("key"),
-                         F.col(ts).alias("ts"), us.alias("us"), flag.alias("_emit"))
-    bucket = F.floor(F.col("us") / F.lit(width)).cast("bigint")
-    own = base.select("id", "key", "ts", "us", "_emit", bucket.alias("bucket"),
-                      F.lit(False).alias("shadow"))
-    nxt = base.select("id", "key", "ts", "us", "_emit", (bucket + 1).alias("bucket"),
-                      F.lit(True).alias("shadow"))
-    rows = own.unionByName(nxt)
-    w = Window.partitionBy("key", "bucket").orderBy("us").rangeBetween(-width, 0)
-    counted = rows.withColumn("trailing_count", F.count(F.lit(1)).over(w))
-    return (counted.where(~F.col("shadow") & F.col("_emit") & (F.col("trailing_count") >= threshold))
-            .select("id", "key", "ts", "trailing_count"))
+                         F.col(ts).alias("ts"), _micros(F.col(ts)).alias("us"), flag.alias("_emit"))
+    sb = lambda us: F.floor(us / F.lit(sub)).cast("bigint")
+    data = base.select("id", "key", "ts", "us", "_emit", sb(F.col("us")).alias("sb"),
+                       F.lit(1).alias("is_data"), F.lit(False).alias("probe"))
+    lo = F.col("us") - F.lit(width)
+    probes = base.where(F.col("_emit")).select(
+        "id", "key", F.lit(None).cast(base.schema["ts"].dataType).alias("ts"), lo.alias("us"),
+        "_emit", sb(lo).alias("sb"), F.lit(0).alias("is_data"), F.lit(True).alias("probe"))
+    grp = Window.partitionBy("key", "sb")
+    upto = grp.orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+    before = grp.orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    ranked = data.unionByName(probes).select(
+        "id", "key", "sb", "ts", "_emit", "probe",
+        F.sum("is_data").over(upto).alias("le"),
+        F.sum("is_data").over(before).alias("lt"),
+        F.sum("is_data").over(grp).alias("tot"))
+    own = ranked.where(~F.col("probe") & F.col("_emit")).select(
+        "id", "key", "sb", "ts", F.col("le").alias("c_own"))
+    first = ranked.where(F.col("probe")).select(
+        "id", (F.col("tot") - F.coalesce(F.col("lt"), F.lit(0))).alias("c_first"))
+    per_sb = data.groupBy("key", "sb").agg(F.count(F.lit(1)).alias("n"))
+    between = Window.partitionBy("key").orderBy("sb").rangeBetween(-(m - 1), -1)
+    mid = per_sb.select("key", "sb", F.coalesce(F.sum("n").over(between), F.lit(0)).alias("c_mid"))
+    total = F.col("c_own") + F.col("c_mid") + F.col("c_first")
+    out = (own.join(mid, ["key", "sb"]).join(first, "id")
+           .select("id", "key", "ts", total.cast("bigint").alias("trailing_count")))
+    return out.where(F.col("trailing_count") >= threshold)
 
 
 def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,

@@ -68,6 +68,12 @@ def test_exact_lateness_chunking_is_invisible(spark):
 
 
 def test_hot_card_is_split_by_time(spark):
-    r = recs(spark, list(range(0, 600, 2)))
-    plan = V.velocity_trailing(r)._jdf.queryExecution().executedPlan().toString()
-    assert "bucket" in plan
+    # one card, 3,000 records over 300 s: a 30 s window holds ~300 of them,
+    # but no window group holds more than one 30/32 s slice
+    r = spark.createDataFrame([(i, CARD, at(i / 10)) for i in range(3000)],
+                              "id long, key string, ts timestamp_ntz")
+    out = V.velocity_trailing(r, threshold=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert any("sb#" in line and "Window" in line for line in plan.split("\n"))
+    got = {x.id: x.trailing_count for x in out.collect()}
+    assert got[2999] == 301 and got[0] == 1 and got[300] == 301
