@@ -221,3 +221,8 @@ def ticker(feed: DataFrame) -> DataFrame:
             .select("stage", (F.col("pos") <= D.stage_rank("newest_stage")).alias("lit"),
                     ((F.col("stage") == F.col("newest_stage")) &
                      (F.col("newest_stage") == STAGE_ALERTED)).alias("alert")))
+
+
+# names used in the operator inventory
+recent_feed = recent
+feed_display = display

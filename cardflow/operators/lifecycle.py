@@ -130,3 +130,7 @@ def settle_events(current: DataFrame, cutoff) -> DataFrame:
     """SETTLED at the cutoff for every row still AUTHORIZED (L3)."""
     return events(current.where(F.col("status") == STATUS_AUTHORIZED).select(KEY),
                   STATUS_SETTLED, cutoff, SEQ_SETTLE, "settle")
+
+
+# name used in the operator inventory
+hold = hold_events

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +26,15 @@ def score(df: DataFrame, score_fn: Callable[[DataFrame], Column] | None = None,
 
 
 def pandas_score_fn(model_predict: Callable, input_cols: list[str]):
-    """Wrap a vectorised ``predict(pandas.DataFrame) -> pandas.Series`` as a
-    ``score_fn``; batches move through Arrow."""
-    import pandas as pd
+    """Wrap a vectorised ``predict(pandas.DataFrame) -> array`` as a
+    ``score_fn``; the input columns travel as one struct, in Arrow batches."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
-    def _predict(*cols: pd.Series) -> pd.Series:
-        frame = pd.concat(cols, axis=1)
-        frame.columns = input_cols
-        return pd.Series(model_predict(frame), dtype="float64")
+    def _predict(frame: pd.DataFrame) -> pd.Series:
+        return pd.Series(model_predict(frame[input_cols]), dtype="float64")
 
-    return lambda df: _predict(*[F.col(c) for c in input_cols])
+    return lambda df: _predict(F.struct(*[F.col(c) for c in input_cols]))
 
 
 def fraud_alerts(scored: DataFrame, escaped: bool = False) -> DataFrame:

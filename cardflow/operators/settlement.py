@@ -68,3 +68,8 @@ def settle(current: DataFrame, cutoff, batch_id: str, by_currency: bool = False)
     """(events, summary, ids) of one batch over the current view (L3)."""
     return (settle_events(current, cutoff), summary(current, batch_id, cutoff),
             settled_ids(current, batch_id))
+
+
+def settlement_notice(batch_summary: DataFrame) -> DataFrame:
+    """Notification rows (K7): batchId, subject, message, from ``summary``."""
+    return batch_summary.select("batchId", "subject", "message")

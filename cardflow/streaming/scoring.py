@@ -53,3 +53,7 @@ def start_scoring(messages: DataFrame, out_root: str, checkpoint: str,
     w = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
+
+
+# name used in the operator inventory
+scoring_stream = start_scoring

@@ -102,3 +102,32 @@ def test_invariants_on_sf0001(spark):
     assert p.outcomes.where("outcome = 'APPROVED'").count() == \
         p.requests.select("idempotencyKey").distinct().count()
     assert CUTOFF > FIRST_CUTOFF
+
+
+def test_guarded_release_only_for_held(spark):
+    stored = ledger(spark, [req(1, 1, amount="4999.00", key="hi"), req(2, 2, key="lo")])
+    scored = score(stored).withColumn("scored_at", F.col("createdAt"))
+    ev = L.authorize_events(stored).unionByName(L.hold(scored))
+    cur = L.current_rows(stored, ev, at(10))
+    entries = stored.select("transactionId", "idempotencyKey", F.col("createdAt").alias("arrival"))
+    rel = stored.select("transactionId", F.lit(at(20)).cast("timestamp_ntz").alias("released_at"))
+    free, _ = L.release(rel, entries)
+    guarded, _ = L.release(rel, entries, current=cur, guarded=True)
+    assert free.count() == 2
+    assert [r.idempotencyKey for r in guarded.collect()] == ["hi"]
+
+
+def test_pluggable_pandas_score(spark):
+    from cardflow.operators.scoring import pandas_score_fn
+    stored = ledger(spark, [req(1, 1, amount="10.00", key="a"), req(2, 2, amount="90.00", key="b")])
+    fn = pandas_score_fn(lambda pdf: (pdf["amount"].astype(float) / 100.0).values, ["amount"])
+    got = {r.idempotencyKey: (r.riskScore, r.alerted) for r in score(stored, fn).collect()}
+    assert got == {"a": (0.1, False), "b": (0.9, True)}
+
+
+def test_settlement_notice_rows(spark):
+    stored = ledger(spark, [req(1, 1, amount="10.00", key="a"), req(2, 2, amount="5.00", key="b")])
+    cur = L.current_rows(stored, L.authorize_events(stored), at(10))
+    n = S.settlement_notice(S.summary(cur, "batch-1", dt.datetime(2024, 1, 2))).first()
+    assert n.subject == "Settlement batch complete: batch-1"
+    assert n.message == "Settled 2 transaction(s) totaling 15.00"
