@@ -601,3 +601,82 @@ def q_pan_round_trip(p: Pipeline) -> DataFrame:
         (decrypt_pan("c", key) == F.col("pan")).alias("round_trip_ok"),
         decrypt_pan("c", key, context="purpose=other", lenient=True).isNotNull()
         .alias("context_mismatch_decrypts"))
+
+
+# ---------------------------------------------------------------------------
+# more lifecycle and validation views
+# ---------------------------------------------------------------------------
+
+_LABELS_STRICT = ("concat_ws(', ', "
+                  f"CASE WHEN {_BLANK.format(c='merchantId')} THEN 'merchantId' END, "
+                  f"CASE WHEN {_BLANK.format(c=_PAN)} OR length({_PAN}) < 12 OR length({_PAN}) > 19 "
+                  "THEN 'pan (12+ digits)' END, "
+                  f"CASE WHEN {_BLANK.format(c='amount')} OR NOT coalesce(regexp_full_match(amount, "
+                  "'[0-9]+(\\.[0-9]{1,2})?'), false) THEN 'amount' END, "
+                  f"CASE WHEN {_BLANK.format(c='currency')} OR NOT coalesce(currency IN ('USD', 'EUR', 'GBP'), false) "
+                  "THEN 'currency' END)")
+
+
+@query("validate_requests_strict", Q.with_(Q.REQ, Q.RAW) + f"""
+SELECT request_id,
+       coalesce(CASE WHEN labels <> '' THEN 'Missing/invalid fields: ' || labels END,
+                CASE WHEN amt IS NULL THEN 'Invalid amount: ' || amount END) AS error
+FROM (SELECT *, {_LABELS_STRICT} AS labels, {_AMOUNT} AS amt FROM raw) x""")
+def q_validate_strict(p: Pipeline) -> DataFrame:
+    """P5/P6 with the form-only rules: card at most 19 characters, amount
+    with at most two decimals, currency from the form's list."""
+    valid, rejected = A.normalize_requests(p.raw_requests, strict=True)
+    return (valid.select("request_id", F.lit(None).cast("string").alias("error"))
+            .unionByName(rejected.select("request_id", "error")))
+
+
+@query("lifecycle_final_status", _FEED_BASE + f""",
+fin AS (SELECT idempotencyKey, arg_max(status, epoch_us(event_ts) * 10 + seq) AS status
+        FROM evall WHERE event_ts <= TIMESTAMP '{CUT}' GROUP BY idempotencyKey)
+SELECT status, count(*) AS transactions FROM fin GROUP BY status""")
+def q_final_status(p: Pipeline) -> DataFrame:
+    """Status of every stored transaction after both settlement batches."""
+    return (L.current_status(p.all_events, CUTOFF)
+            .groupBy("status").agg(F.count(F.lit(1)).alias("transactions")))
+
+
+ORDERS_THRESHOLD = 250000
+ORDERS_CUTOFF = "2002-01-01 00:00:00"  # after the last order date
+
+
+@query("orders_settlement_by_priority", f"""
+WITH o AS (SELECT o_orderpriority AS merchantId, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM orders)
+SELECT merchantId, count(*) AS authorized,
+       count(*) FILTER (WHERE amount > {ORDERS_THRESHOLD}) AS held,
+       count(*) FILTER (WHERE amount <= {ORDERS_THRESHOLD}) AS settled,
+       CAST(coalesce(sum(amount) FILTER (WHERE amount <= {ORDERS_THRESHOLD}), 0) AS DECIMAL(38,2)) AS total
+FROM o GROUP BY merchantId""")
+def q_orders(p: Pipeline) -> DataFrame:
+    """The minimum slice on ``orders`` as the ledger: every order is an
+    authorization (key = order key), scored against a threshold of
+    250,000, held above it, and the rest settled; per order priority."""
+    from decimal import Decimal
+    from cardflow.functions.scoring import default_score
+    from cardflow.operators.scoring import score
+    from cardflow.schemas import AMOUNT, TOTAL
+    from cardflow.sources.tables import spread, table
+    o = spread(table(p.spark, p.sf_dir, "orders"), "o_orderkey")
+    req = o.select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("arrival"),
+        F.col("o_orderpriority").alias("merchantId"),
+        F.concat(F.lit("41111111"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("pan"),
+        F.col("o_totalprice").cast(AMOUNT).cast("string").alias("amount"),
+        F.lit("USD").alias("currency"),
+        F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("idempotencyKey"))
+    valid, _ = A.normalize_requests(req)
+    stored = A.new_rows(A.authorize(valid))
+    fn = lambda df: default_score(F.col("amount"), Decimal(ORDERS_THRESHOLD))
+    scored = score(stored, fn).withColumn("scored_at", F.col("createdAt"))
+    ev = L.authorize_events(stored).unionByName(L.hold(scored))
+    cur = L.current_rows(stored, ev, ORDERS_CUTOFF)
+    settled = F.col("status") == "AUTHORIZED"
+    return (cur.groupBy("merchantId")
+            .agg(F.count(F.lit(1)).alias("authorized"),
+                 F.count(F.when(F.col("status") == "HELD_FOR_REVIEW", 1)).alias("held"),
+                 F.count(F.when(settled, 1)).alias("settled"),
+                 F.coalesce(F.sum(F.when(settled, F.col("amount"))), F.lit(0)).cast(TOTAL).alias("total")))
