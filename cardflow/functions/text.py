@@ -37,7 +37,7 @@ def batch_id(cutoff: _dt.datetime, salt: str) -> str:
 
 def batch_id_col(cutoff: Column, salt: Column) -> Column:
     """Column form of :func:`batch_id`."""
-    return F.concat(F.lit(BATCH_ID_PREFIX), F.unix_millis(cutoff.cast("timestamp")).cast("string"),
+    return F.concat(F.lit(BATCH_ID_PREFIX), F.floor(epoch_micros(cutoff) / 1000).cast("string"),
                     F.lit("-"), F.substring(F.sha2(salt, 256), 1, 8))
 
 
@@ -60,9 +60,52 @@ def settlement_message(count, total) -> Column:
     return F.format_string(SETTLEMENT_MESSAGE_TEMPLATE, _c(count), plain_total(count, total))
 
 
+def ntz_as_utc(ts) -> Column:
+    """A wall-clock (TIMESTAMP_NTZ) value read as UTC, as a TIMESTAMP
+    (what watermarks need), independent of the session zone."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def utc_as_ntz(ts) -> Column:
+    """A TIMESTAMP as its UTC wall clock (TIMESTAMP_NTZ)."""
+    return from_epoch_micros(F.unix_micros(_c(ts)))
+
+
+def ntz_lit(value) -> Column:
+    """A wall-clock literal (TIMESTAMP_NTZ) from a datetime, date or text.
+
+    Built from text: a Python datetime handed to ``lit`` becomes a
+    zone-aware TIMESTAMP, and casting that to NTZ would shift it by the
+    session's zone.
+    """
+    if isinstance(value, Column):
+        return value.cast("timestamp_ntz")
+    if isinstance(value, (_dt.datetime, _dt.date)):
+        value = value.isoformat(sep=" ") if isinstance(value, _dt.datetime) else value.isoformat()
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
+def _epoch_ntz() -> Column:
+    return ntz_lit("1970-01-01 00:00:00")
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock (TIMESTAMP_NTZ) value.
+
+    ``timestampdiff`` on NTZ values involves no time zone, unlike a cast
+    to TIMESTAMP, which reads the wall clock in the session's zone.
+    """
+    return F.timestamp_diff("MICROSECOND", _epoch_ntz(), _c(ts).cast("timestamp_ntz"))
+
+
+def from_epoch_micros(us) -> Column:
+    """Inverse of :func:`epoch_micros`, a TIMESTAMP_NTZ."""
+    return F.timestamp_add("MICROSECOND", _c(us), _epoch_ntz())
+
+
 def ts_to_epoch(ts) -> Column:
     """Timestamp to decimal epoch seconds with nine decimals (wire format)."""
-    return (F.unix_micros(_c(ts).cast("timestamp")).cast("decimal(20,0)") / F.lit(1000000)).cast(EPOCH)
+    return (epoch_micros(ts).cast("decimal(20,0)") / F.lit(1000000)).cast(EPOCH)
 
 
 def epoch_to_ts(epoch) -> Column:
@@ -73,7 +116,7 @@ def epoch_to_ts(epoch) -> Column:
     on nine decimals fails with a rounding error.
     """
     e = _c(epoch).cast(EPOCH)
-    return F.timestamp_micros(F.floor(e * F.lit(1000000)).cast("bigint")).cast("timestamp_ntz")
+    return from_epoch_micros(F.floor(e * F.lit(1000000)).cast("bigint"))
 
 
 def encode_json(df_cols: list[str] | None = None) -> Column:

@@ -29,6 +29,7 @@ from cardflow.constants import (
     STATUS_AUTHORIZED, STATUS_HELD, STATUS_SETTLED,
 )
 from cardflow.functions import display as D
+from cardflow.functions.text import ntz_lit
 from cardflow.operators.lifecycle import KEY
 from cardflow.operators.skew import HOT_KEY_ROWS, hot_keys, salted_join
 
@@ -86,7 +87,7 @@ def score_actions(scored: DataFrame) -> DataFrame:
 
 
 def settle_actions(ids: DataFrame, cutoff) -> DataFrame:
-    return ids.select("transactionId", F.lit(cutoff).cast("timestamp_ntz").alias("action_ts"),
+    return ids.select("transactionId", ntz_lit(cutoff).alias("action_ts"),
                       F.lit(KIND_SETTLE).alias("kind"), F.lit(None).cast("double").alias("riskScore"),
                       F.lit(None).cast("boolean").alias("alerted"))
 

@@ -10,8 +10,6 @@ key with many events costs one small partial row per map task.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +22,8 @@ SEQ_AUTHORIZE, SEQ_HOLD, SEQ_RELEASE, SEQ_SETTLE = 0, 1, 2, 3
 
 
 def _ts(value):
-    if isinstance(value, (dt.datetime, dt.date)):
-        return F.lit(value).cast("timestamp_ntz")
-    return value.cast("timestamp_ntz") if hasattr(value, "cast") else F.lit(value).cast("timestamp_ntz")
+    from cardflow.functions.text import ntz_lit
+    return ntz_lit(value)
 
 
 def events(keys: DataFrame, status: str, event_ts, seq: int, source: str) -> DataFrame:
@@ -114,7 +111,7 @@ def release(release_requests: DataFrame, entries: DataFrame, current: DataFrame
     they settle in the next batch.
     """
     first_seen = entries.groupBy("transactionId").agg(
-        F.min("arrival").alias("first_arrival"), F.first(KEY).alias(KEY))
+        F.min("arrival").alias("first_arrival"), F.min(KEY).alias(KEY))
     j = release_requests.join(first_seen, "transactionId", "left")
     ok = F.col("first_arrival").isNotNull() & (F.col("first_arrival") <= F.col("released_at"))
     accepted = j.where(ok)

@@ -26,8 +26,7 @@ def concurrency(scored: DataFrame, bucket: str = "1 hour") -> DataFrame:
     throughput x latency / 1000.
     """
     secs = _bucket_seconds(bucket)
-    lat_ms = (F.unix_micros(F.col("scored_at").cast("timestamp")) -
-              F.unix_micros(F.col("arrival").cast("timestamp"))) / F.lit(1000.0)
+    lat_ms = F.timestamp_diff("MICROSECOND", F.col("arrival"), F.col("scored_at")) / F.lit(1000.0)
     b = F.window("arrival", bucket).start.cast("timestamp_ntz")
     g = (scored.select(b.alias("bucket"), F.when(lat_ms >= 0, lat_ms).alias("lat_ms"))
          .groupBy("bucket")

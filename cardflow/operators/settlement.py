@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.operators.lifecycle import KEY, settle_events
-from cardflow.functions.text import settlement_message, settlement_subject, summary_key
+from cardflow.functions.text import ntz_lit, settlement_message, settlement_subject, summary_key
 from cardflow.schemas import TOTAL
 from cardflow.constants import STATUS_AUTHORIZED
 
@@ -56,7 +56,7 @@ def summary(current: DataFrame, batch_id: str, settled_at) -> DataFrame:
     t = totals(current)
     return t.select(
         F.lit(batch_id).alias("batchId"),
-        F.lit(settled_at).cast("timestamp_ntz").alias("settledAt"),
+        ntz_lit(settled_at).alias("settledAt"),
         F.col("transactionCount"), F.col("totalAmount"),
         summary_key(F.lit(batch_id)).alias("batchSummaryKey"),
         settlement_subject(F.lit(batch_id)).alias("subject"),

@@ -34,7 +34,13 @@ def _seconds(duration: str) -> int:
 
 
 def _micros(ts_col) -> F.Column:
-    return F.unix_micros(ts_col.cast("timestamp"))
+    from cardflow.functions.text import epoch_micros
+    return epoch_micros(ts_col)
+
+
+def _from_micros(us) -> F.Column:
+    from cardflow.functions.text import from_epoch_micros
+    return from_epoch_micros(us)
 
 
 def window_counts(events: DataFrame, ts: str = "ts", key: str = "key",
@@ -144,9 +150,9 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
     start = F.floor(F.col("_us") / F.lit(width)) * F.lit(width)
     out = (j.withColumn("_seen", seen)
            .withColumn("_start", start.cast("bigint"))
-           .withColumn("window_start", F.timestamp_micros(F.col("_start")).cast("timestamp_ntz"))
-           .withColumn("window_end", F.timestamp_micros(F.col("_start") + F.lit(width)).cast("timestamp_ntz"))
-           .withColumn("seen_max", F.timestamp_micros(F.col("_seen")).cast("timestamp_ntz"))
+           .withColumn("window_start", _from_micros(F.col("_start")))
+           .withColumn("window_end", _from_micros(F.col("_start") + F.lit(width)))
+           .withColumn("seen_max", _from_micros(F.col("_seen")))
            .withColumn("late", (F.col("_start") + F.lit(width)) <= (F.col("_seen") - F.lit(grace_us))))
     return out.drop("_us", "_chunk", "_run", "_carry", "_seen", "_start")
 

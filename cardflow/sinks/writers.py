@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardflow.functions.text import encode_json
+from cardflow.functions.text import encode_json, ntz_lit
 
 
 def _overwrite_partitions(df: DataFrame) -> None:
@@ -65,7 +65,7 @@ def write_summary(current: DataFrame, path: str, batch_id: str, settled_at,
                     F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,2)").alias("totalAmount"),
                     F.transform(ordered, lambda x: x["transactionId"]).alias("transactionIds"))
         doc = doc.select(F.lit(batch_id).alias("batchId"),
-                         F.lit(settled_at).cast("timestamp_ntz").cast("string").alias("settledAt"),
+                         ntz_lit(settled_at).cast("string").alias("settledAt"),
                          "transactionCount", "totalAmount", "transactionIds")
     else:
         doc = s.select(*cols)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardflow.functions.text import decode_json
+from cardflow.functions.text import decode_json, ntz_as_utc
 from cardflow.schemas import REQUEST, TOPIC_RECORD, TRANSACTION_JSON
 
 # Request body as sent: five strings (arrival and request_id are added
@@ -62,7 +62,7 @@ def read_topic(spark: SparkSession, source: str, fmt: str = "json",
             r = r.option("maxFilesPerTrigger", max_per_trigger)
         df = r.json(source)
     if event_time == "createdAt":
-        ts = decode_json(F.col("value")).getField("createdAt").cast("timestamp")
+        ts = ntz_as_utc(decode_json(F.col("value")).getField("createdAt"))
     else:
         ts = F.col("timestamp").cast("timestamp")
     return df.withColumn("event_ts", ts)

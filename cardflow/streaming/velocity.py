@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cardflow.constants import VELOCITY_GRACE, VELOCITY_THRESHOLD, VELOCITY_WINDOW
+from cardflow.functions.text import ntz_lit
 from cardflow.sinks.writers import append_batch
 
 
@@ -72,8 +73,11 @@ def trailing_batch(batch: DataFrame, state_path: str, sink_path: str, epoch: int
     from cardflow.operators.velocity import _seconds, velocity_trailing
     from cardflow.session import path_exists
     spark = batch.sparkSession
-    cols = [F.col(id_col).alias("id"), F.col(key).alias("key"),
-            F.col(ts).cast("timestamp_ntz").alias("ts")]
+    from cardflow.functions.text import utc_as_ntz
+    t = F.col(ts)
+    if dict(batch.dtypes).get(ts) == "timestamp":
+        t = utc_as_ntz(t)
+    cols = [F.col(id_col).alias("id"), F.col(key).alias("key"), t.cast("timestamp_ntz").alias("ts")]
     new = batch.select(*cols, F.lit(True).alias("_new"))
     prev_path = f"{state_path.rstrip('/')}/epoch={epoch - 1}"
     both = new
@@ -84,7 +88,7 @@ def trailing_batch(batch: DataFrame, state_path: str, sink_path: str, epoch: int
     newest = both.agg(F.max("ts")).first()[0]  # one value
     if newest is not None:
         horizon = _seconds(size) + _seconds(grace)
-        tail = both.where(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {horizon} SECONDS"))
+        tail = both.where(F.col("ts") >= ntz_lit(newest) - F.expr(f"INTERVAL {horizon} SECONDS"))
         tail.select("id", "key", "ts").write.mode("overwrite").parquet(
             f"{state_path.rstrip('/')}/epoch={epoch}")
 

@@ -35,7 +35,7 @@ def test_hold_release_settle_in_second_batch(spark):
     cur1 = L.current_rows(stored, ev, at(10))
     assert S.totals(cur1).first().transactionCount == 0
     entries = stored.select("transactionId", "idempotencyKey", F.col("createdAt").alias("arrival"))
-    rel_req = stored.select("transactionId", F.lit(at(20)).cast("timestamp_ntz").alias("released_at"))
+    rel_req = stored.select("transactionId", F.lit(str(at(20))).cast("timestamp_ntz").alias("released_at"))
     rel_ev, nf = L.release(rel_req, entries)
     assert nf.count() == 0
     ev2 = ev.unionByName(L.settle_events(cur1, at(10))).unionByName(rel_ev)
@@ -110,7 +110,7 @@ def test_guarded_release_only_for_held(spark):
     ev = L.authorize_events(stored).unionByName(L.hold(scored))
     cur = L.current_rows(stored, ev, at(10))
     entries = stored.select("transactionId", "idempotencyKey", F.col("createdAt").alias("arrival"))
-    rel = stored.select("transactionId", F.lit(at(20)).cast("timestamp_ntz").alias("released_at"))
+    rel = stored.select("transactionId", F.lit(str(at(20))).cast("timestamp_ntz").alias("released_at"))
     free, _ = L.release(rel, entries)
     guarded, _ = L.release(rel, entries, current=cur, guarded=True)
     assert free.count() == 2

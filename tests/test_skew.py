@@ -13,7 +13,7 @@ N = 30000
 
 
 def skewed_requests(spark):
-    t0 = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+    t0 = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return spark.range(N).select(
         F.col("id").alias("request_id"),
         (t0 + F.make_dt_interval(secs=F.col("id").cast("int"))).alias("arrival"),
