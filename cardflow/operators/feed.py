@@ -37,6 +37,7 @@ ENTRY_COLUMNS = ["request_id", "arrival", "transactionId", KEY, "merchantId", "m
                  "amount", "currency", "status", "stage", "riskScore", "receiptKey", "updatedAt"]
 
 KIND_SCORE, KIND_RELEASE, KIND_SETTLE = "score", "release", "settle"
+# order of kinds taking effect at the same instant (as in the status log)
 _SEQ = {KIND_SCORE: 1, KIND_RELEASE: 2, KIND_SETTLE: 3}
 
 
@@ -144,8 +145,7 @@ def apply_actions(entries_df: DataFrame, actions: DataFrame,
     AUTHORIZED/SCORED.
     """
     t = resolve_targets(entries_df, actions, hot_rows)
-    seq = (F.when(F.col("kind") == KIND_SCORE, 1).when(F.col("kind") == KIND_RELEASE, 2)
-           .otherwise(3))
+    seq = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in _SEQ.items()])
     stage = (F.when(F.col("kind") == KIND_SETTLE, F.lit(STAGE_SETTLED))
              .when(F.col("kind") == KIND_RELEASE, F.lit(STAGE_SCORED))
              .when(F.col("alerted"), F.lit(STAGE_ALERTED)).otherwise(F.lit(STAGE_SCORED)))

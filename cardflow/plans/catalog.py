@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cardflow.plans import sql as Q
 from cardflow.plans.context import (
-    BATCH_1, BATCH_2, CUTOFF, EMPTY_BATCH, FIRST_CUTOFF, Pipeline,
+    BATCH_1, CUTOFF, EMPTY_BATCH, FIRST_CUTOFF, Pipeline,
 )
 from cardflow.operators import authorize as A
 from cardflow.operators import feed as FD

@@ -3,8 +3,6 @@
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import types as T
-
 from cardflow.schemas import REQUEST
 
 T0 = dt.datetime(2024, 1, 1, 0, 0, 0)

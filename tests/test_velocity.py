@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from cardflow.operators import velocity as V
 from tests.helpers import at
