@@ -23,7 +23,7 @@ from cardflow.operators.scoring import fraud_alerts
 from cardflow.sources import fixtures as X
 from cardflow.sources.tables import spread, table
 from cardflow.functions.text import batch_id
-from cardflow.session import checkpoint_root
+from cardflow.session import scratch_path
 
 CUTOFF = X.DEFAULT_CUTOFF
 FIRST_CUTOFF = X.FIRST_CUTOFF
@@ -35,10 +35,10 @@ EMPTY_BATCH = batch_id(FIRST_CUTOFF, "rerun")
 class Pipeline:
     """``materialize=True`` cuts lineage where the pipeline fans out (the
     authorization outcomes and the status-event log): each is written once
-    with a reliable ``checkpoint()`` to the shared ``spark.checkpoint.dir``
-    and read back by every downstream step, instead of being recomputed
-    from the source in each branch of a plan.  The written copy also
-    survives the loss of the executors that computed it.
+    as a parquet table under the shared ``spark.checkpoint.dir`` and read
+    back by every downstream step, instead of being recomputed from the
+    source in each branch of a plan.  The written copy also survives the
+    loss of the executors that computed it.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
@@ -67,14 +67,20 @@ class Pipeline:
             cls._shared[key] = cls(spark, sf_dir)
         return cls._shared[key]
 
-    def _cut(self, df: DataFrame) -> DataFrame:
+    def _cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once as a parquet table under the shared checkpoint
+        folder and read it back.  One pass (an eager ``checkpoint()`` of an
+        unpersisted plan computes it twice: once to count, once to write),
+        and the read side gets column pruning, filter pushdown and real
+        file-size statistics for the planner."""
         if not self.materialize:
             return df
         try:
-            checkpoint_root(self.spark)
+            path = scratch_path(self.spark, name)
         except RuntimeError:  # no shared folder configured: recompute instead
             return df
-        return df.checkpoint(eager=True)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     # sources -------------------------------------------------------------
     @cached_property
@@ -102,7 +108,7 @@ class Pipeline:
     @cached_property
     def outcomes(self) -> DataFrame:
         """Outcome per attempt, materialized once."""
-        return self._cut(self.outcomes_plan)
+        return self._cut(self.outcomes_plan, "outcomes")
 
     @cached_property
     def stored(self) -> DataFrame:
@@ -141,7 +147,7 @@ class Pipeline:
         rel_events, _ = L.release(self.release_requests, self.outcomes)
         return self._cut(L.authorize_events(self.stored)
                          .unionByName(L.hold_events(scored))
-                         .unionByName(rel_events))
+                         .unionByName(rel_events), "status_events")
 
     def current(self, cutoff: dt.datetime, events: DataFrame | None = None) -> DataFrame:
         return L.current_rows(self.stored, events if events is not None else self.status_events, cutoff)
@@ -157,7 +163,7 @@ class Pipeline:
 
     @cached_property
     def events_after_batch1(self) -> DataFrame:
-        return self._cut(self.status_events.unionByName(self.batch1_events))
+        return self._cut(self.status_events.unionByName(self.batch1_events), "events_batch1")
 
     @cached_property
     def batch2_current(self) -> DataFrame:
@@ -167,7 +173,7 @@ class Pipeline:
     def all_events(self) -> DataFrame:
         """Every status event: authorize, hold, release and both batches."""
         return self._cut(self.events_after_batch1.unionByName(
-            L.settle_events(self.batch2_current, CUTOFF)))
+            L.settle_events(self.batch2_current, CUTOFF)), "events_all")
 
     # minimum slice ------------------------------------------------------------
     def merchant_summary(self) -> DataFrame:
