@@ -80,6 +80,13 @@ def find_by_key(current: DataFrame, keys: DataFrame) -> DataFrame:
             .withColumn("found", F.col("transactionId").isNotNull()))
 
 
+def find(current: DataFrame, key: str) -> DataFrame:
+    """Point lookup of one key (S4): zero or one row.  The equality filter
+    reaches the parquet scan as a pushed filter when ``current`` is read
+    from a table."""
+    return current.where(F.col(KEY) == F.lit(key))
+
+
 def find_by_status(current: DataFrame, status: str) -> DataFrame:
     """Every row in ``status``, oldest first.
 

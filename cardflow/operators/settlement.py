@@ -65,9 +65,18 @@ def summary(current: DataFrame, batch_id: str, settled_at) -> DataFrame:
 
 
 def settle(current: DataFrame, cutoff, batch_id: str, by_currency: bool = False):
-    """(events, summary, ids) of one batch over the current view (L3)."""
-    return (settle_events(current, cutoff), summary(current, batch_id, cutoff),
-            settled_ids(current, batch_id))
+    """(events, summary, ids) of one batch over the current view (L3).
+
+    ``by_currency=True`` gives the summary as one row per currency
+    (batchId, currency, transactionCount, totalAmount) instead of the
+    single all-currency row.
+    """
+    if by_currency:
+        head = totals(current, by_currency=True).select(
+            F.lit(batch_id).alias("batchId"), "currency", "transactionCount", "totalAmount")
+    else:
+        head = summary(current, batch_id, cutoff)
+    return settle_events(current, cutoff), head, settled_ids(current, batch_id)
 
 
 def settlement_notice(batch_summary: DataFrame) -> DataFrame:

@@ -204,3 +204,15 @@ class Pipeline:
     @cached_property
     def feed(self) -> DataFrame:
         return FD.apply_actions(self.entries, self.feed_actions)
+
+    # SQL access ---------------------------------------------------------------
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Register the pipeline's tables as temp views, so ``spark.sql``
+        can query them: requests, outcomes, authorizations, scores, alerts,
+        status_events, feed.  Returns the view names."""
+        views = {"requests": self.requests, "outcomes": self.outcomes,
+                 "authorizations": self.stored, "scores": self.scored, "alerts": self.alerts,
+                 "status_events": self.all_events, "feed": self.feed}
+        for name, df in views.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + n for n in views]

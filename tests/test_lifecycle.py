@@ -131,3 +131,27 @@ def test_settlement_notice_rows(spark):
     n = S.settlement_notice(S.summary(cur, "batch-1", dt.datetime(2024, 1, 2))).first()
     assert n.subject == "Settlement batch complete: batch-1"
     assert n.message == "Settled 2 transaction(s) totaling 15.00"
+
+
+def test_find_one_and_settle_by_currency(spark):
+    stored = ledger(spark, [req(1, 1, amount="10", key="a", currency="USD"),
+                            req(2, 2, amount="5", key="b", currency="EUR")])
+    cur = L.current_rows(stored, L.authorize_events(stored), at(10))
+    assert [r.amount for r in L.find(cur, "b").collect()] == [Decimal("5.00")]
+    assert L.find(cur, "zz").count() == 0
+    ev, head, ids = S.settle(cur, at(10), "batch-c", by_currency=True)
+    assert {r.currency: r.totalAmount for r in head.collect()} == {"USD": Decimal("10.00"),
+                                                                 "EUR": Decimal("5.00")}
+    assert ev.count() == 2 and ids.count() == 2
+
+
+def test_sql_views(spark):
+    from cardflow.plans.context import Pipeline
+    from tests.conftest import SF001
+    names = Pipeline(spark, SF001).register_views(prefix="cf_")
+    assert "cf_authorizations" in names
+    n = spark.sql("SELECT count(*) FROM cf_authorizations WHERE status = 'AUTHORIZED'").first()[0]
+    assert n == 792
+    held = spark.sql("""SELECT count(DISTINCT idempotencyKey) FROM cf_status_events
+                        WHERE status = 'HELD_FOR_REVIEW'""").first()[0]
+    assert held == 157
