@@ -134,7 +134,7 @@ class Pipeline:
     @cached_property
     def entries(self) -> DataFrame:
         """Feed entries before any action (status of duplicates as of arrival)."""
-        return FD.entries(self.outcomes, self.all_events)
+        return self._cut(FD.entries(self.outcomes, self.all_events), "entries")
 
     @cached_property
     def release(self):
@@ -203,7 +203,9 @@ class Pipeline:
 
     @cached_property
     def feed(self) -> DataFrame:
-        return FD.apply_actions(self.entries, self.feed_actions)
+        """The feed after every action, materialized: every view of it (the
+        recent 100, display columns, ticker, lookups) reads this table."""
+        return self._cut(FD.apply_actions(self.entries, self.feed_actions), "feed")
 
     # SQL access ---------------------------------------------------------------
     def register_views(self, prefix: str = "") -> list[str]:

@@ -31,14 +31,22 @@ def write_ledger(new_rows: DataFrame, path: str, batch_id: str) -> None:
     append_batch(new_rows, path, batch_id)
 
 
-def write_receipts(stored: DataFrame, path: str) -> None:
+def write_receipts(stored: DataFrame, path: str, batch_id: str | None = None) -> None:
     """One JSON document per transaction, grouped by merchant (K2).
 
     Files are partitioned by merchant, many receipts per file, not one
-    object per row; ``receiptKey`` stays a computed column.
+    object per row; ``receiptKey`` stays a computed column.  With a
+    ``batch_id`` the batch's receipts go to ``merchantId=<m>/batch_id=<b>``
+    partitions with dynamic overwrite, so a replayed batch replaces its
+    own receipts; without one they are appended.
     """
-    (stored.select(encode_json().alias("value"), "merchantId")
-     .write.mode("append").partitionBy("merchantId").text(path))
+    out = stored.select(encode_json().alias("value"), "merchantId")
+    if batch_id is None:
+        out.write.mode("append").partitionBy("merchantId").text(path)
+        return
+    _overwrite_partitions(out)
+    (out.withColumn("batch_id", F.lit(str(batch_id)))
+        .write.mode("overwrite").partitionBy("merchantId", "batch_id").text(path))
 
 
 def write_summary(current: DataFrame, path: str, batch_id: str, settled_at,

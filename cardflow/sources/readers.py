@@ -83,12 +83,10 @@ def read_fraud_queue(spark: SparkSession, path: str, max_per_trigger: int = 10,
 
 
 def read_receipts(spark: SparkSession, path: str) -> DataFrame:
-    """Receipts written by ``write_receipts`` back as rows.
-
-    ``merchantId`` comes from the folder partition; the document keeps
-    its raw text in ``value`` as well.
-    """
+    """Receipts written by ``write_receipts`` back as rows (S6): the
+    decoded transaction columns plus the raw document text in ``value``."""
     raw = spark.read.text(path)
+    # partition columns (merchantId, batch_id) are not kept: the document holds them
     return raw.select(decode_json(F.col("value")).alias("t"), "value").select("t.*", "value")
 
 

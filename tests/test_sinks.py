@@ -35,3 +35,11 @@ def test_summary_document(spark, tmp_dir):
     doc2 = json.loads(open(os.path.join(tmp_dir, "batch-b", "summary", doc_file)).read())
     assert n2 == n and "transactionIds" not in doc2
     assert spark.read.json(os.path.join(tmp_dir, "batch-b", "ids")).count() == n
+
+
+def test_receipts_replay_is_idempotent(spark, tmp_dir):
+    p = Pipeline(spark, SF001, materialize=False)
+    path = os.path.join(tmp_dir, "receipts")
+    write_receipts(p.stored, path, batch_id="7")
+    write_receipts(p.stored, path, batch_id="7")  # replay of the same batch
+    assert read_receipts(spark, path).count() == 792
