@@ -23,7 +23,7 @@ from cardflow.operators.scoring import fraud_alerts
 from cardflow.sources import fixtures as X
 from cardflow.sources.tables import spread, table
 from cardflow.functions.text import batch_id
-from cardflow.session import scratch_path
+from cardflow.session import materialize
 
 CUTOFF = X.DEFAULT_CUTOFF
 FIRST_CUTOFF = X.FIRST_CUTOFF
@@ -76,11 +76,9 @@ class Pipeline:
         if not self.materialize:
             return df
         try:
-            path = scratch_path(self.spark, name)
+            return materialize(df, name)
         except RuntimeError:  # no shared folder configured: recompute instead
             return df
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
 
     # sources -------------------------------------------------------------
     @cached_property

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cardflow.operators.authorize import authorize, new_rows, normalize_requests
-from cardflow.session import checkpoint_root, path_exists
+from cardflow.session import materialize, path_exists
 from cardflow.sinks.writers import append_batch
 
 
@@ -36,8 +36,7 @@ def authorize_batch(batch: DataFrame, ledger_path: str, out_root: str, epoch: st
     valid, rejected = normalize_requests(batch)
     ledger = _ledger(batch.sparkSession, ledger_path)
     # materialized before any write: the ledger is read and then written
-    checkpoint_root(batch.sparkSession)
-    outcomes = authorize(valid, ledger=ledger, batch_id=epoch).checkpoint(eager=True)
+    outcomes = materialize(authorize(valid, ledger=ledger, batch_id=epoch), f"authorize-{epoch}")
     append_batch(new_rows(outcomes), ledger_path, epoch)
     append_batch(outcomes.drop("is_new"), f"{out_root.rstrip('/')}/outcomes", epoch)
     append_batch(rejected, f"{out_root.rstrip('/')}/rejected", epoch)

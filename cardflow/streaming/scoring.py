@@ -47,8 +47,13 @@ def start_scoring(messages: DataFrame, out_root: str, checkpoint: str,
     """Run W7: ``messages`` is a streaming DataFrame from ``read_fraud_queue``."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        for name, df in score_batch(batch, score_fn).items():
-            append_batch(df, f"{out_root.rstrip('/')}/{name}", str(epoch))
+        # one decode for the four outputs of this micro-batch
+        batch.persist()
+        try:
+            for name, df in score_batch(batch, score_fn).items():
+                append_batch(df, f"{out_root.rstrip('/')}/{name}", str(epoch))
+        finally:
+            batch.unpersist()
 
     w = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(**(trigger or {"availableNow": True}))
