@@ -36,3 +36,14 @@ def test_scan_reads_only_needed_columns(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>" in plan or \
         "props" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_cutoff_filters_reach_the_materialized_scans(spark):
+    df = E.queries()["settlement_totals"](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = [l[l.index("PushedFilters"):] for l in plan.split("\n") if "PushedFilters" in l]
+    assert any("LessThanOrEqual(createdAt" in p and "EqualTo(is_new,true)" in p for p in pushed)
+    assert any("LessThanOrEqual(event_ts" in p for p in pushed)
+    # column pruning: the ledger scan reads four columns, not all of them
+    assert any("ReadSchema: struct<is_new:boolean,idempotencyKey:string,amount:decimal(18,2),"
+               "createdAt:timestamp_ntz>" in p for p in pushed)
