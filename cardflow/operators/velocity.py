@@ -65,6 +65,11 @@ def velocity_tumbling(events: DataFrame, ts: str = "ts", key: str = "key",
     return velocity_alerts(window_counts(events, ts, key, size), threshold)
 
 
+def _floor_div(us, n: int) -> F.Column:
+    """Exact floor(us / n) in integer arithmetic (also for negative us)."""
+    return ((us - F.pmod(us, F.lit(n))) / F.lit(n)).cast("bigint")
+
+
 def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_col: str = "id",
                       size: str = VELOCITY_WINDOW, threshold: int = VELOCITY_THRESHOLD,
                       emit: str | None = None, splits: int = 32) -> DataFrame:
@@ -75,10 +80,12 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
     count for a record at t is (records of its own sub-bucket up to t) +
     (all records of the sub-buckets strictly between, from a per-(key,
     sub-bucket) count table) + (records of the first sub-bucket at or
-    after t - size, found by a probe placed at t - size).  Every window
-    group is one key in one sub-bucket, so a hot card is spread over its
-    time span at ``size / splits`` granularity; the count table holds one
-    row per (key, sub-bucket) with data.  ``id_col`` must be unique.
+    after t - size, found by a probe placed at t - size).  One window pass
+    over groups of (key, sub-bucket) yields all three parts: the count
+    table enters the same groups as extra rows, and a probe's result goes
+    back to its record by one aggregation on the (unique) id.  Every group
+    is one key within one ``size / splits`` slice of time, so a hot card
+    is spread over its time span.
 
     ``emit`` names a boolean column: rows where it is false are counted
     but not returned (the retained tail of a stream).
@@ -89,32 +96,43 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
     flag = F.col(emit) if emit else F.lit(True)
     base = events.select(F.col(id_col).alias("id"), F.col(key).alias("key"),
                          F.col(ts).alias("ts"), _micros(F.col(ts)).alias("us"), flag.alias("_emit"))
-    sb = lambda us: F.floor(us / F.lit(sub)).cast("bigint")
-    data = base.select("id", "key", "ts", "us", "_emit", sb(F.col("us")).alias("sb"),
-                       F.lit(1).alias("is_data"), F.lit(False).alias("probe"))
+    ts_type = base.schema["ts"].dataType
+    data = base.select("id", "key", "ts", "us", "_emit", _floor_div(F.col("us"), sub).alias("sb"),
+                       F.lit(1).alias("is_data"), F.lit("data").alias("kind"),
+                       F.lit(None).cast("bigint").alias("mid"))
     lo = F.col("us") - F.lit(width)
     probes = base.where(F.col("_emit")).select(
-        "id", "key", F.lit(None).cast(base.schema["ts"].dataType).alias("ts"), lo.alias("us"),
-        "_emit", sb(lo).alias("sb"), F.lit(0).alias("is_data"), F.lit(True).alias("probe"))
+        "id", "key", F.lit(None).cast(ts_type).alias("ts"), lo.alias("us"), "_emit",
+        _floor_div(lo, sub).alias("sb"), F.lit(0).alias("is_data"), F.lit("probe").alias("kind"),
+        F.lit(None).cast("bigint").alias("mid"))
+    # records of the sub-buckets strictly between, per (key, sub-bucket):
+    # a small table (one row per key and slice with data)
+    per_sb = data.groupBy("key", "sb").agg(F.count(F.lit(1)).alias("n"))
+    between = Window.partitionBy("key").orderBy("sb").rangeBetween(-(m - 1), -1)
+    mids = per_sb.select(
+        F.lit(None).cast("bigint").alias("id"), "key", F.lit(None).cast(ts_type).alias("ts"),
+        F.lit(None).cast("bigint").alias("us"), F.lit(False).alias("_emit"), "sb",
+        F.lit(0).alias("is_data"), F.lit("mid").alias("kind"),
+        F.coalesce(F.sum("n").over(between), F.lit(0)).alias("mid"))
     grp = Window.partitionBy("key", "sb")
     upto = grp.orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
     before = grp.orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    ranked = data.unionByName(probes).select(
-        "id", "key", "sb", "ts", "_emit", "probe",
+    ranked = data.unionByName(probes).unionByName(mids).select(
+        "id", "key", "ts", "_emit", "kind",
         F.sum("is_data").over(upto).alias("le"),
         F.sum("is_data").over(before).alias("lt"),
-        F.sum("is_data").over(grp).alias("tot"))
-    own = ranked.where(~F.col("probe") & F.col("_emit")).select(
-        "id", "key", "sb", "ts", F.col("le").alias("c_own"))
-    first = ranked.where(F.col("probe")).select(
-        "id", (F.col("tot") - F.coalesce(F.col("lt"), F.lit(0))).alias("c_first"))
-    per_sb = data.groupBy("key", "sb").agg(F.count(F.lit(1)).alias("n"))
-    between = Window.partitionBy("key").orderBy("sb").rangeBetween(-(m - 1), -1)
-    mid = per_sb.select("key", "sb", F.coalesce(F.sum("n").over(between), F.lit(0)).alias("c_mid"))
-    total = F.col("c_own") + F.col("c_mid") + F.col("c_first")
-    out = (own.join(mid, ["key", "sb"]).join(first, "id")
-           .select("id", "key", "ts", total.cast("bigint").alias("trailing_count")))
-    return out.where(F.col("trailing_count") >= threshold)
+        F.sum("is_data").over(grp).alias("tot"),
+        F.max("mid").over(grp).alias("c_mid"))
+    is_data = F.col("kind") == "data"
+    part = (ranked.where((is_data & F.col("_emit")) | (F.col("kind") == "probe"))
+            .select("id",
+                    F.when(is_data, F.col("key")).alias("key"),
+                    F.when(is_data, F.col("ts")).alias("ts"),
+                    F.when(is_data, F.col("le") + F.coalesce(F.col("c_mid"), F.lit(0)))
+                    .otherwise(F.col("tot") - F.coalesce(F.col("lt"), F.lit(0))).alias("c")))
+    out = part.groupBy("id").agg(F.max("key").alias("key"), F.max("ts").alias("ts"),
+                                 F.sum("c").cast("bigint").alias("trailing_count"))
+    return out.where(F.col("trailing_count") >= threshold).select("id", "key", "ts", "trailing_count")
 
 
 def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
@@ -134,7 +152,7 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
     arr_num = _micros(arr) if is_ts else arr.cast("bigint")
     chunk_w = _seconds(chunk) * 1_000_000 if is_ts else int(chunk)
     r = records.withColumn("_us", _micros(F.col(ts))) \
-        .withColumn("_chunk", F.floor(arr_num / F.lit(chunk_w)).cast("bigint"))
+        .withColumn("_chunk", _floor_div(arr_num, chunk_w))
     # level 1: max event time per (partition, chunk) -- a small table
     per_chunk = r.groupBy(partition, "_chunk").agg(F.max("_us").alias("_cmax"))
     # level 2: carry = max over all earlier chunks of the same partition
@@ -147,7 +165,7 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
     run = r.withColumn("_run", F.max("_us").over(in_w))
     j = run.join(carry, [partition, "_chunk"], "left")
     seen = F.greatest(F.col("_run"), F.coalesce(F.col("_carry"), F.col("_run")))
-    start = F.floor(F.col("_us") / F.lit(width)) * F.lit(width)
+    start = _floor_div(F.col("_us"), width) * F.lit(width)
     out = (j.withColumn("_seen", seen)
            .withColumn("_start", start.cast("bigint"))
            .withColumn("window_start", _from_micros(F.col("_start")))
