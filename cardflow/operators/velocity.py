@@ -137,22 +137,35 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
 
 def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
               ts: str = "ts", arrival: str = "arrival", tiebreak: str = "id",
-              partition: str = "source_partition", chunk: str = "1 hour") -> DataFrame:
+              partition: str = "source_partition", chunk: str | None = None,
+              rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Mark each record ``late`` by the exact per-record grace rule.
 
-    ``arrival`` is the replay order (a timestamp or number) with
-    ``tiebreak`` making it total; ``chunk`` is the width of the arrival
-    chunks of the two-level scan (same unit as arrival: a duration for
-    timestamps).  Adds window_start, window_end, seen_max, late.
+    ``arrival`` is the replay order (a broker offset or a timestamp) with
+    ``tiebreak`` making it total.  The running max is a two-level scan over
+    chunks of the arrival order: ``chunk`` fixes their width (a count for
+    offsets, a duration for timestamps); by default each source partition
+    gets a width that averages ``rows_per_chunk`` records per chunk, from a
+    small per-partition statistics table.  Adds window_start, window_end,
+    seen_max, late.
     """
     width = _seconds(size) * 1_000_000
     grace_us = _seconds(grace) * 1_000_000
     arr = F.col(arrival)
     is_ts = dict(records.dtypes)[arrival].startswith("timestamp")
     arr_num = _micros(arr) if is_ts else arr.cast("bigint")
-    chunk_w = _seconds(chunk) * 1_000_000 if is_ts else int(chunk)
-    r = records.withColumn("_us", _micros(F.col(ts))) \
-        .withColumn("_chunk", _floor_div(arr_num, chunk_w))
+    r = records.withColumn("_us", _micros(F.col(ts))).withColumn("_arr", arr_num)
+    if chunk is not None:
+        chunk_w = _seconds(chunk) * 1_000_000 if is_ts else int(chunk)
+        r = r.withColumn("_chunk", _floor_div(F.col("_arr"), chunk_w))
+    else:
+        stats = r.groupBy(partition).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_arr").alias("_a0"), F.max("_arr").alias("_a1"))
+        cw = F.greatest(F.lit(1), F.ceil((F.col("_a1") - F.col("_a0") + 1) * F.lit(rows_per_chunk)
+                                         / F.col("_n"))).cast("bigint")
+        r = (r.join(stats.select(partition, "_a0", cw.alias("_cw")), partition)
+             .withColumn("_chunk", ((F.col("_arr") - F.col("_a0")) / F.col("_cw")).cast("bigint"))
+             .drop("_a0", "_cw"))
     # level 1: max event time per (partition, chunk) -- a small table
     per_chunk = r.groupBy(partition, "_chunk").agg(F.max("_us").alias("_cmax"))
     # level 2: carry = max over all earlier chunks of the same partition
@@ -160,7 +173,7 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
         Window.unboundedPreceding, -1)
     carry = per_chunk.select(partition, "_chunk", F.max("_cmax").over(carry_w).alias("_carry"))
     # within a chunk: running max in arrival order
-    in_w = Window.partitionBy(partition, "_chunk").orderBy(arr_num, F.col(tiebreak)).rowsBetween(
+    in_w = Window.partitionBy(partition, "_chunk").orderBy("_arr", F.col(tiebreak)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     run = r.withColumn("_run", F.max("_us").over(in_w))
     j = run.join(carry, [partition, "_chunk"], "left")
@@ -172,7 +185,7 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
            .withColumn("window_end", _from_micros(F.col("_start") + F.lit(width)))
            .withColumn("seen_max", _from_micros(F.col("_seen")))
            .withColumn("late", (F.col("_start") + F.lit(width)) <= (F.col("_seen") - F.lit(grace_us))))
-    return out.drop("_us", "_chunk", "_run", "_carry", "_seen", "_start")
+    return out.drop("_us", "_arr", "_chunk", "_run", "_carry", "_seen", "_start")
 
 
 def velocity_exact(records: DataFrame, key: str = "key", size: str = VELOCITY_WINDOW,

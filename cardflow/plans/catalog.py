@@ -469,7 +469,7 @@ GROUP BY ALL""")
 def q_vel_exact(p: Pipeline) -> DataFrame:
     """Exact per-record lateness (1 h windows, 5 s grace) over the
     scored-transaction topic, per partition in replay order."""
-    m = V.drop_late(_topic(p), size="1 hour", grace="5 seconds", chunk="6 hours")
+    m = V.drop_late(_topic(p), size="1 hour", grace="5 seconds")
     return (m.groupBy("window_start", "window_end", "key")
             .agg(F.count(F.when(~F.col("late"), 1)).alias("admitted"),
                  F.count(F.when(F.col("late"), 1)).alias("late")))

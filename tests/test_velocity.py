@@ -63,7 +63,8 @@ def test_exact_lateness_chunking_is_invisible(spark):
     df = spark.createDataFrame(rows, "id long, key string, ts timestamp_ntz, arrival long, source_partition int")
     a = {r.id: r.late for r in V.drop_late(df, chunk="7").collect()}
     b = {r.id: r.late for r in V.drop_late(df, chunk="100000").collect()}
-    assert a == b and any(a.values())
+    c = {r.id: r.late for r in V.drop_late(df, rows_per_chunk=5).collect()}
+    assert a == b == c and any(a.values())
 
 
 def test_hot_card_is_split_by_time(spark):
