@@ -116,7 +116,10 @@ def authorize(valid: DataFrame, ledger: DataFrame | None = None,
         res = winners.join(led.select(F.col(KEY), _row().alias("stored")), KEY, "left")
     else:
         res = winners.withColumn("stored", F.lit(None).cast(row_type))
-    hot = hot_keys(winners, KEY, hot_rows=hot_rows, max_keys=max_hot_keys)
+    # hot keys from the same aggregation (referencing ``w`` keeps its plan
+    # identical, so the partial-aggregate shuffle is reused, not repeated)
+    hot = hot_keys(winners.where(F.col("w").isNotNull()), KEY, hot_rows=hot_rows,
+                   max_keys=max_hot_keys)
     j = salted_join(cand.select(KEY, *ORDER), res.select(KEY, "w", "stored"), KEY, hot,
                     F.xxhash64("request_id"))
     is_new = F.col("stored").isNull() & (F.col("request_id") == F.col("w.rid"))
