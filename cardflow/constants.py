@@ -71,6 +71,9 @@ BATCH_ID_PREFIX = "batch-"
 SETTLEMENT_SUBJECT_PREFIX = "Settlement batch complete: "
 SETTLEMENT_MESSAGE_TEMPLATE = "Settled %d transaction(s) totaling %s"
 
+# Velocity alert line: card, count, window start and end (ISO instants).
+VELOCITY_ALERT_TEMPLATE = "   >>> VELOCITY ALERT: card=%s count=%d window=[%s - %s]"
+
 # Velocity check: window, grace and inclusive threshold.
 VELOCITY_WINDOW = "30 seconds"
 VELOCITY_GRACE = "5 seconds"

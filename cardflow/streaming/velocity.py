@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cardflow.constants import VELOCITY_GRACE, VELOCITY_THRESHOLD, VELOCITY_WINDOW
+from cardflow.constants import (
+    VELOCITY_ALERT_TEMPLATE, VELOCITY_GRACE, VELOCITY_THRESHOLD, VELOCITY_WINDOW,
+)
 from cardflow.functions.text import ntz_lit
 from cardflow.sinks.writers import append_batch
 
@@ -31,11 +33,26 @@ def velocity_counts(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str
             .agg(F.count(F.lit(1)).alias("count")))
 
 
+def _instant(ts_col) -> F.Column:
+    """A TIMESTAMP as an ISO-8601 UTC instant, seconds precision when the
+    fraction is zero (e.g. ``2024-01-01T00:00:30Z``)."""
+    from cardflow.functions.text import utc_as_ntz
+    wall = utc_as_ntz(ts_col)
+    whole = F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss")
+    frac = F.regexp_replace(F.date_format(wall, "SSSSSS"), "0+$", "")
+    return F.concat(whole, F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")),
+                    F.lit("Z"))
+
+
 def alerts_of(counts: DataFrame, threshold: int = VELOCITY_THRESHOLD) -> DataFrame:
-    """Rows at or above the threshold, flattened (F2)."""
-    return (counts.where(F.col("count").isNotNull() & (F.col("count") >= threshold))
-            .select(F.col("window.start").alias("window_start"),
-                    F.col("window.end").alias("window_end"), "key", "count"))
+    """Rows at or above the threshold, flattened, with the alert line (F2, K8)."""
+    a = counts.where(F.col("count").isNotNull() & (F.col("count") >= threshold))
+    return a.select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+        "key", "count",
+        F.format_string(VELOCITY_ALERT_TEMPLATE, F.col("key"), F.col("count"),
+                        _instant(F.col("window.start")), _instant(F.col("window.end")))
+        .alias("message"))
 
 
 def start_velocity_alerts(records: DataFrame, sink_path: str, checkpoint: str,

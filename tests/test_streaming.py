@@ -48,6 +48,9 @@ def test_velocity_stream_lateness(spark, tmp_dir):
     counts = sorted(r["count"] for r in first.collect())
     # updates 4, 5, 6, 7: the previous batch's watermark admits 27, drops 26
     assert counts == [4, 5, 6, 7]
+    line = first.orderBy("count").first().message
+    assert line == ("   >>> VELOCITY ALERT: card=**** **** **** 1234 count=4 "
+                    "window=[2024-01-01T00:00:00Z - 2024-01-01T00:00:30Z]")
 
 
 def test_velocity_stream_equals_batch_twin(spark, tmp_dir):
