@@ -138,7 +138,8 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
 def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
               ts: str = "ts", arrival: str = "arrival", tiebreak: str = "id",
               partition: str = "source_partition", chunk: str | None = None,
-              rows_per_chunk: int = 1_000_000) -> DataFrame:
+              rows_per_chunk: int = 1_000_000, balanced: bool = False,
+              chunks: int | None = None) -> DataFrame:
     """Mark each record ``late`` by the exact per-record grace rule.
 
     ``arrival`` is the replay order (a broker offset or a timestamp) with
@@ -146,8 +147,12 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
     chunks of the arrival order: ``chunk`` fixes their width (a count for
     offsets, a duration for timestamps); by default each source partition
     gets a width that averages ``rows_per_chunk`` records per chunk, from a
-    small per-partition statistics table.  Adds window_start, window_end,
-    seen_max, late.
+    small per-partition statistics table.  ``balanced=True`` instead
+    range-partitions the arrival order into ``chunks`` ranges (default: the
+    shuffle partition count) and uses each range as a chunk: every chunk
+    then holds about the same number of records whatever the arrival
+    pattern, at the cost of one more shuffle.  Adds window_start,
+    window_end, seen_max, late.
     """
     width = _seconds(size) * 1_000_000
     grace_us = _seconds(grace) * 1_000_000
@@ -155,7 +160,13 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
     is_ts = dict(records.dtypes)[arrival].startswith("timestamp")
     arr_num = _micros(arr) if is_ts else arr.cast("bigint")
     r = records.withColumn("_us", _micros(F.col(ts))).withColumn("_arr", arr_num)
-    if chunk is not None:
+    if balanced:
+        n = chunks or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # contiguous ranges of (partition, arrival, tiebreak); a range's
+        # index orders it within its source partition
+        r = (r.repartitionByRange(n, F.col(partition), F.col("_arr"), F.col(tiebreak))
+             .withColumn("_chunk", F.spark_partition_id().cast("bigint")))
+    elif chunk is not None:
         chunk_w = _seconds(chunk) * 1_000_000 if is_ts else int(chunk)
         r = r.withColumn("_chunk", _floor_div(F.col("_arr"), chunk_w))
     else:

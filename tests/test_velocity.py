@@ -64,7 +64,8 @@ def test_exact_lateness_chunking_is_invisible(spark):
     a = {r.id: r.late for r in V.drop_late(df, chunk="7").collect()}
     b = {r.id: r.late for r in V.drop_late(df, chunk="100000").collect()}
     c = {r.id: r.late for r in V.drop_late(df, rows_per_chunk=5).collect()}
-    assert a == b == c and any(a.values())
+    d = {r.id: r.late for r in V.drop_late(df, balanced=True, chunks=7).collect()}
+    assert a == b == c == d and any(a.values())
 
 
 def test_hot_card_is_split_by_time(spark):
