@@ -34,7 +34,9 @@ from cardflow.operators.authorize import authorize, new_rows, normalize_requests
 from cardflow.operators.scoring import fraud_alerts, score
 from cardflow.session import materialize, path_exists
 from cardflow.sinks.messages import fraud_messages, topic_records
-from cardflow.sinks.writers import append_batch, write_receipts, write_summary
+from cardflow.sinks.writers import (
+    append_batch, read_ledger_for, write_ledger, write_receipts, write_summary,
+)
 
 
 def _table(spark: SparkSession, path: str, exclude_batch: str | None = None) -> DataFrame | None:
@@ -51,12 +53,14 @@ def run_batch(spark: SparkSession, requests: DataFrame, root: str, batch_id: str
     """Authorize, score and (optionally) settle one batch; returns counts."""
     root = root.rstrip("/")
     valid, rejected = normalize_requests(requests)
-    ledger = _table(spark, f"{root}/ledger")
+    valid = materialize(valid, f"job-valid-{batch_id}")
+    ledger = (read_ledger_for(spark, f"{root}/ledger", valid)
+              if path_exists(spark, f"{root}/ledger") else None)
     # outcomes are written before the ledger changes: read, then write
     outcomes = materialize(authorize(valid, ledger=ledger, batch_id=batch_id),
                            f"job-outcomes-{batch_id}")
     stored = new_rows(outcomes)
-    append_batch(stored, f"{root}/ledger", batch_id)
+    write_ledger(stored, f"{root}/ledger", batch_id)
     append_batch(outcomes.drop("is_new"), f"{root}/outcomes", batch_id)
     append_batch(rejected, f"{root}/rejected", batch_id)
     write_receipts(stored, f"{root}/receipts", batch_id)
@@ -73,7 +77,7 @@ def run_batch(spark: SparkSession, requests: DataFrame, root: str, batch_id: str
     if settle_at is not None:
         settle_id = make_batch_id(settle_at, batch_id)
         all_events = _table(spark, f"{root}/status_events", exclude_batch=f"settle-{settle_id}")
-        all_stored = _table(spark, f"{root}/ledger")
+        all_stored = _table(spark, f"{root}/ledger").drop("key_bucket")
         current = materialize(L.current_rows(all_stored.drop("batch_id"),
                                              all_events.drop("batch_id"), settle_at),
                               f"job-current-{batch_id}")

@@ -25,10 +25,37 @@ def append_batch(df: DataFrame, path: str, batch_id: str, fmt: str = "parquet")
        .write.mode("overwrite").partitionBy("batch_id").format(fmt).save(path))
 
 
-def write_ledger(new_rows: DataFrame, path: str, batch_id: str) -> None:
+# Ledger folders per key bucket: a batch reads only the buckets its keys
+# fall in.
+LEDGER_BUCKETS = 256
+
+
+def key_bucket(key_col, buckets: int = LEDGER_BUCKETS):
+    return F.pmod(F.xxhash64(key_col), F.lit(buckets)).cast("int")
+
+
+def write_ledger(new_rows: DataFrame, path: str, batch_id: str,
+                 buckets: int = LEDGER_BUCKETS) -> None:
     """Store a batch's new transactions (K1: insert of absent keys only;
-    the anti-join against earlier batches happened in ``authorize``)."""
-    append_batch(new_rows, path, batch_id)
+    the anti-join against earlier batches happened in ``authorize``).
+
+    Partitioned by ``key_bucket`` and ``batch_id`` with dynamic overwrite:
+    a replayed batch replaces its own files, and a later batch can read
+    just the buckets of its keys (``read_ledger_for``).
+    """
+    _overwrite_partitions(new_rows)
+    (new_rows.withColumn("key_bucket", key_bucket(F.col("idempotencyKey"), buckets))
+     .withColumn("batch_id", F.lit(str(batch_id)))
+     .write.mode("overwrite").partitionBy("key_bucket", "batch_id").parquet(path))
+
+
+def read_ledger_for(spark, path: str, keys: DataFrame, buckets: int = LEDGER_BUCKETS):
+    """The ledger rows that can match ``keys`` (column idempotencyKey):
+    only the folders of the buckets those keys hash to are read.  The
+    bucket list has at most ``buckets`` entries."""
+    wanted = [r[0] for r in keys.select(key_bucket(F.col("idempotencyKey"), buckets).alias("b"))
+              .distinct().collect()]
+    return spark.read.parquet(path).where(F.col("key_bucket").isin(wanted))
 
 
 def write_receipts(stored: DataFrame, path: str, batch_id: str | None = None) -> None:

@@ -3,8 +3,9 @@
 Two shapes:
 
 * ``start_authorizer``: each micro-batch is authorized against the ledger
-  table written by earlier batches, and its new rows, outcomes and
-  rejects are written to the ``batch_id=<epoch>`` partitions.  Ledger
+  table written by earlier batches (only the key-bucket folders its keys
+  fall in are read), and its new rows, outcomes and rejects are written to
+  the ``batch_id=<epoch>`` partitions.  Ledger
   rows of the *same* epoch are ignored, so a replayed epoch reproduces
   its outcomes instead of calling every winner a duplicate.  One writer
   per ledger (concurrent writers are out of scope).
@@ -22,22 +23,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cardflow.operators.authorize import authorize, new_rows, normalize_requests
 from cardflow.session import materialize, path_exists
-from cardflow.sinks.writers import append_batch
+from cardflow.sinks.writers import append_batch, read_ledger_for, write_ledger
 
 
-def _ledger(spark, path: str) -> DataFrame | None:
-    """The ledger written so far, or None before the first batch."""
+def _ledger(spark, path: str, keys: DataFrame) -> DataFrame | None:
+    """The ledger rows in the key buckets of ``keys``, or None before the
+    first batch."""
     if not path_exists(spark, path):
         return None
-    return spark.read.parquet(path)
+    return read_ledger_for(spark, path, keys)
 
 
 def authorize_batch(batch: DataFrame, ledger_path: str, out_root: str, epoch: str) -> None:
     valid, rejected = normalize_requests(batch)
-    ledger = _ledger(batch.sparkSession, ledger_path)
+    valid = materialize(valid, f"authorize-valid-{epoch}")
+    ledger = _ledger(batch.sparkSession, ledger_path, valid)
     # materialized before any write: the ledger is read and then written
     outcomes = materialize(authorize(valid, ledger=ledger, batch_id=epoch), f"authorize-{epoch}")
-    append_batch(new_rows(outcomes), ledger_path, epoch)
+    write_ledger(new_rows(outcomes), ledger_path, epoch)
     append_batch(outcomes.drop("is_new"), f"{out_root.rstrip('/')}/outcomes", epoch)
     append_batch(rejected, f"{out_root.rstrip('/')}/rejected", epoch)
 

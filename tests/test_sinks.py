@@ -43,3 +43,16 @@ def test_receipts_replay_is_idempotent(spark, tmp_dir):
     write_receipts(p.stored, path, batch_id="7")
     write_receipts(p.stored, path, batch_id="7")  # replay of the same batch
     assert read_receipts(spark, path).count() == 792
+
+
+def test_ledger_read_prunes_key_buckets(spark, tmp_dir):
+    from cardflow.sinks.writers import read_ledger_for, write_ledger
+    p = Pipeline(spark, SF001, materialize=False)
+    path = os.path.join(tmp_dir, "ledger")
+    write_ledger(p.stored, path, "1")
+    keys = p.stored.limit(3).select("idempotencyKey")
+    part = read_ledger_for(spark, path, keys)
+    # only the folders of the keys' buckets are listed and read
+    assert len(part.inputFiles()) <= 3 < len(spark.read.parquet(path).inputFiles())
+    assert part.join(keys, "idempotencyKey", "left_semi").count() == 3
+    assert part.count() < 792
