@@ -32,6 +32,7 @@ from cardflow.operators import lifecycle as L
 from cardflow.operators import settlement as S
 from cardflow.operators.authorize import authorize, new_rows, normalize_requests
 from cardflow.operators.scoring import fraud_alerts, score
+from cardflow.schemas import LEDGER_TABLE, STATUS_EVENT_TABLE
 from cardflow.session import materialize, path_exists
 from cardflow.sinks.messages import fraud_messages, topic_records
 from cardflow.sinks.writers import (
@@ -39,10 +40,10 @@ from cardflow.sinks.writers import (
 )
 
 
-def _table(spark: SparkSession, path: str, exclude_batch: str | None = None) -> DataFrame | None:
+def _table(spark: SparkSession, path: str, schema, exclude_batch: str | None = None) -> DataFrame | None:
     if not path_exists(spark, path):
         return None
-    df = spark.read.parquet(path)
+    df = spark.read.schema(schema).parquet(path)
     if exclude_batch is not None:
         df = df.where(F.col("batch_id") != F.lit(exclude_batch))
     return df
@@ -76,8 +77,9 @@ def run_batch(spark: SparkSession, requests: DataFrame, root: str, batch_id: str
               "rejected": rejected.count()}
     if settle_at is not None:
         settle_id = make_batch_id(settle_at, batch_id)
-        all_events = _table(spark, f"{root}/status_events", exclude_batch=f"settle-{settle_id}")
-        all_stored = _table(spark, f"{root}/ledger").drop("key_bucket")
+        all_events = _table(spark, f"{root}/status_events", STATUS_EVENT_TABLE,
+                            exclude_batch=f"settle-{settle_id}")
+        all_stored = _table(spark, f"{root}/ledger", LEDGER_TABLE).drop("key_bucket")
         current = materialize(L.current_rows(all_stored.drop("batch_id"),
                                              all_events.drop("batch_id"), settle_at),
                               f"job-current-{batch_id}")

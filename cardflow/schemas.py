@@ -73,3 +73,14 @@ RELEASE_REQUEST = T.StructType([
     T.StructField("transactionId", T.StringType(), False),
     T.StructField("released_at", T.TimestampNTZType(), True),
 ])
+
+# Tables written by the sinks, read back with their partition columns typed
+# (no inference: a numeric-looking batch id stays text).
+LEDGER_TABLE = T.StructType(TRANSACTION.fields + [
+    T.StructField("key_bucket", T.IntegerType(), True),
+    T.StructField("batch_id", T.StringType(), True),
+])
+
+STATUS_EVENT_TABLE = T.StructType(STATUS_EVENT.fields + [
+    T.StructField("batch_id", T.StringType(), True),
+])

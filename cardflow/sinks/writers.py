@@ -55,7 +55,13 @@ def read_ledger_for(spark, path: str, keys: DataFrame, buckets: int = LEDGER_BUC
     bucket list has at most ``buckets`` entries."""
     wanted = [r[0] for r in keys.select(key_bucket(F.col("idempotencyKey"), buckets).alias("b"))
               .distinct().collect()]
-    return spark.read.parquet(path).where(F.col("key_bucket").isin(wanted))
+    return read_ledger(spark, path).where(F.col("key_bucket").isin(wanted))
+
+
+def read_ledger(spark, path: str) -> DataFrame:
+    """The whole ledger table, partition columns typed."""
+    from cardflow.schemas import LEDGER_TABLE
+    return spark.read.schema(LEDGER_TABLE).parquet(path)
 
 
 def write_receipts(stored: DataFrame, path: str, batch_id: str | None = None) -> None:

@@ -51,8 +51,17 @@ def test_ledger_read_prunes_key_buckets(spark, tmp_dir):
     path = os.path.join(tmp_dir, "ledger")
     write_ledger(p.stored, path, "1")
     keys = p.stored.limit(3).select("idempotencyKey")
-    part = read_ledger_for(spark, path, keys)
-    # only the folders of the keys' buckets are listed and read
-    assert len(part.inputFiles()) <= 3 < len(spark.read.parquet(path).inputFiles())
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        part = read_ledger_for(spark, path, keys)
+        plan = part._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    # only the folders of the keys' buckets are read
+    filters = [line[line.index("PartitionFilters"):] for line in plan.split("\n")
+               if "PartitionFilters" in line]
+    assert filters and "key_bucket" in filters[0].split("]")[0] and " IN (" in filters[0]
+    assert dict(part.dtypes)["batch_id"] == "string"
     assert part.join(keys, "idempotencyKey", "left_semi").count() == 3
     assert part.count() < 792
