@@ -29,14 +29,9 @@ KEY = "idempotencyKey"
 ORDER = ["arrival", "request_id"]
 
 
-def normalize_requests(requests: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Split raw requests into (valid, rejected).
-
-    valid: request_id, arrival, merchantId, pan (spaces removed),
-    amount DECIMAL(18,2), currency, idempotencyKey (generated when blank).
-    rejected: request_id, arrival, error (the validation message, or
-    ``Invalid amount: <text>`` when the amount does not parse).
-    """
+def _checked(requests: DataFrame, strict: bool) -> DataFrame:
+    """Requests with the card number stripped, the amount parsed, ``_ok``
+    (the cheap boolean decision) and ``error`` (built only when not ok)."""
     r = requests.withColumn("pan", strip_spaces("pan"))
     amount = parse_amount("amount")
     if strict:
@@ -44,20 +39,37 @@ def normalize_requests(requests: DataFrame, strict: bool = False) -> tuple[DataF
         amount = F.when(amount == F.col("amount").try_cast("decimal(38,10)"), amount)
     checked = r.select(*[c for c in r.columns if c != "amount"],
                        F.col("amount").alias("amount_text"), amount.alias("amount"))
+    ok = F.coalesce(fields_ok(amount="amount_text", strict=strict) & F.col("amount").isNotNull(),
+                    F.lit(False))
     labels = validation_labels(amount="amount_text", strict=strict)
-    # the cheap test decides; the message is only built for rejected rows
-    ok = fields_ok(amount="amount_text", strict=strict) & F.col("amount").isNotNull()
-    flagged = checked.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    valid = (flagged.where(F.col("_ok"))
-             .select("request_id", "arrival", "merchantId", "pan", "amount", "currency",
-                     default_key(KEY, "request_id").alias(KEY)))
     error = F.coalesce(
         validation_message(labels),
         F.concat(F.lit("Invalid amount: "), F.coalesce(F.col("amount_text"), F.lit("null"))))
-    rejected = flagged.where(~F.col("_ok")).select("request_id", "arrival", error.alias("error"))
+    return (checked.withColumn("_ok", ok)
+            .withColumn("error", F.when(~F.col("_ok"), error)))
+
+
+def normalize_requests(requests: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Split raw requests into (valid, rejected).
+
+    valid: request_id, arrival, merchantId, pan (spaces removed),
+    amount DECIMAL(18,2), currency, idempotencyKey (generated when blank).
+    rejected: request_id, arrival, error (the validation message, or
+    ``Invalid amount: <text>`` when the amount does not parse).
+    """
+    flagged = _checked(requests, strict)
+    valid = (flagged.where(F.col("_ok"))
+             .select("request_id", "arrival", "merchantId", "pan", "amount", "currency",
+                     default_key(KEY, "request_id").alias(KEY)))
+    rejected = flagged.where(~F.col("_ok")).select("request_id", "arrival", "error")
     return valid, rejected
 
 
+def request_errors(requests: DataFrame, strict: bool = False) -> DataFrame:
+    """One pass over the requests: request_id and error (NULL when valid)."""
+    return _checked(requests, strict).select("request_id", "error")
+
+
 def to_transactions(valid: DataFrame, key: Column | None = None) -> DataFrame:
     """Candidate transaction row per attempt.
 

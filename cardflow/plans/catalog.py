@@ -86,9 +86,7 @@ SELECT request_id,
                 CASE WHEN amt IS NULL THEN 'Invalid amount: ' || amount END) AS error
 FROM (SELECT *, {_LABELS} AS labels, {_AMOUNT} AS amt FROM raw) x""")
 def q_validate(p: Pipeline) -> DataFrame:
-    valid, rejected = A.normalize_requests(p.raw_requests)
-    return (valid.select("request_id", F.lit(None).cast("string").alias("error"))
-            .unionByName(rejected.select("request_id", "error")))
+    return A.request_errors(p.raw_requests)
 
 
 @query("parse_amount", Q.with_(Q.REQ, Q.RAW) + f"""
@@ -625,9 +623,7 @@ FROM (SELECT *, {_LABELS_STRICT} AS labels, {_AMOUNT} AS amt FROM raw) x""")
 def q_validate_strict(p: Pipeline) -> DataFrame:
     """P5/P6 with the form-only rules: card at most 19 characters, amount
     with at most two decimals, currency from the form's list."""
-    valid, rejected = A.normalize_requests(p.raw_requests, strict=True)
-    return (valid.select("request_id", F.lit(None).cast("string").alias("error"))
-            .unionByName(rejected.select("request_id", "error")))
+    return A.request_errors(p.raw_requests, strict=True)
 
 
 @query("lifecycle_final_status", _FEED_BASE + f""",
