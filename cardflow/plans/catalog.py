@@ -295,12 +295,6 @@ def q_second(p: Pipeline) -> DataFrame:
     return S.totals(p.batch2_current)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v[0] for k, v in REGISTRY.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
 
 
 # ---------------------------------------------------------------------------
@@ -676,3 +670,18 @@ def q_orders(p: Pipeline) -> DataFrame:
                  F.count(F.when(F.col("status") == "HELD_FOR_REVIEW", 1)).alias("held"),
                  F.count(F.when(settled, 1)).alias("settled"),
                  F.coalesce(F.sum(F.when(settled, F.col("amount"))), F.lit(0)).cast(TOTAL).alias("total")))
+
+
+# ---------------------------------------------------------------------------
+# accessors
+# ---------------------------------------------------------------------------
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every registered query builder, by name."""
+    return {k: v[0] for k, v in REGISTRY.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL for every registered query that has one."""
+    return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
