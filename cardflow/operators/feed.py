@@ -109,9 +109,11 @@ def resolve_targets(entries_df: DataFrame, actions: DataFrame,
     action time, or the entry's arrival for a forward-applied score).
     Actions with no target are dropped.
     """
+    # one id per distinct action (identical actions are one action)
     act = actions.withColumn(
         "action_id", F.concat_ws("|", F.col("kind"), F.col("transactionId"),
-                                 F.col("action_ts").cast("string")))
+                                 F.col("action_ts").cast("string"),
+                                 F.col("riskScore").cast("string"), F.col("alerted").cast("string")))
     e = entries_df.select("transactionId", F.col("request_id").alias("e_id"),
                           F.col("arrival").alias("e_arrival"))
     # a transaction with very many entries is salted over several tasks;
