@@ -109,3 +109,12 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def stream_checkpoint(spark: SparkSession, name: str, sink: str) -> str:
+    """A stable checkpoint folder for a stream writing to ``sink``, under the
+    shared ``spark.checkpoint.dir``: a restarted query finds its offsets and
+    state again."""
+    import hashlib
+    digest = hashlib.sha1(sink.encode()).hexdigest()[:16]
+    return os.path.join(checkpoint_root(spark), "cardflow", "streams", f"{name}-{digest}")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cardflow.operators.authorize import authorize, new_rows, normalize_requests
-from cardflow.session import materialize, path_exists
+from cardflow.session import materialize, path_exists, stream_checkpoint
 from cardflow.sinks.writers import append_batch, read_ledger_for, write_ledger
 
 
@@ -45,7 +45,8 @@ def authorize_batch(batch: DataFrame, ledger_path: str, out_root: str, epoch: st
     append_batch(rejected, f"{out_root.rstrip('/')}/rejected", epoch)
 
 
-def start_authorizer(requests: DataFrame, ledger_path: str, out_root: str, checkpoint: str,
+def start_authorizer(requests: DataFrame, ledger_path: str, out_root: str,
+                     checkpoint: str | None = None,
                      trigger: dict | None = None) -> StreamingQuery:
     """Run K1 over a streaming DataFrame from ``read_requests(streaming=True)``.
 
@@ -55,7 +56,8 @@ def start_authorizer(requests: DataFrame, ledger_path: str, out_root: str, check
     def write(batch: DataFrame, epoch: int) -> None:
         authorize_batch(batch, ledger_path, out_root, str(epoch))
 
-    w = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    ck = checkpoint or stream_checkpoint(requests.sparkSession, "authorizer", ledger_path)
+    w = requests.writeStream.option("checkpointLocation", ck).foreachBatch(write)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cardflow.constants import ALERT_ABOVE
 from cardflow.operators.lifecycle import hold_events
 from cardflow.operators.scoring import fraud_alerts, score
+from cardflow.session import stream_checkpoint
 from cardflow.sinks.writers import append_batch
 from cardflow.sources.readers import decode_messages
 
@@ -41,7 +42,7 @@ def score_batch(messages: DataFrame, score_fn: Callable[[DataFrame], Column] | N
     }
 
 
-def start_scoring(messages: DataFrame, out_root: str, checkpoint: str,
+def start_scoring(messages: DataFrame, out_root: str, checkpoint: str | None = None,
                   score_fn: Callable[[DataFrame], Column] | None = None,
                   trigger: dict | None = None) -> StreamingQuery:
     """Run W7: ``messages`` is a streaming DataFrame from ``read_fraud_queue``."""
@@ -55,7 +56,8 @@ def start_scoring(messages: DataFrame, out_root: str, checkpoint: str,
         finally:
             batch.unpersist()
 
-    w = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    ck = checkpoint or stream_checkpoint(messages.sparkSession, "scoring", out_root)
+    w = messages.writeStream.option("checkpointLocation", ck).foreachBatch(write)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 

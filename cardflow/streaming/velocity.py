@@ -20,6 +20,7 @@ from cardflow.constants import (
     VELOCITY_ALERT_TEMPLATE, VELOCITY_GRACE, VELOCITY_THRESHOLD, VELOCITY_WINDOW,
 )
 from cardflow.functions.text import ntz_lit
+from cardflow.session import stream_checkpoint
 from cardflow.sinks.writers import append_batch
 
 
@@ -55,7 +56,7 @@ def alerts_of(counts: DataFrame, threshold: int = VELOCITY_THRESHOLD) -> DataFra
         .alias("message"))
 
 
-def start_velocity_alerts(records: DataFrame, sink_path: str, checkpoint: str,
+def start_velocity_alerts(records: DataFrame, sink_path: str, checkpoint: str | None = None,
                           size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
                           threshold: int = VELOCITY_THRESHOLD, trigger: dict | None = None,
                           ts: str = "event_ts") -> StreamingQuery:
@@ -68,7 +69,7 @@ def start_velocity_alerts(records: DataFrame, sink_path: str, checkpoint: str,
         append_batch(alerts_of(batch, threshold), sink_path, str(epoch))
 
     w = (counts.writeStream.outputMode("update")
-         .option("checkpointLocation", checkpoint)
+         .option("checkpointLocation", checkpoint or stream_checkpoint(records.sparkSession, "velocity", sink_path))
          .foreachBatch(write))
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
@@ -110,7 +111,8 @@ def trailing_batch(batch: DataFrame, state_path: str, sink_path: str, epoch: int
             f"{state_path.rstrip('/')}/epoch={epoch}")
 
 
-def start_velocity_trailing(records: DataFrame, sink_path: str, state_path: str, checkpoint: str,
+def start_velocity_trailing(records: DataFrame, sink_path: str, state_path: str,
+                            checkpoint: str | None = None,
                             size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
                             threshold: int = VELOCITY_THRESHOLD, trigger: dict | None = None,
                             ts: str = "event_ts", id_col: str = "arrival") -> StreamingQuery:
@@ -121,5 +123,6 @@ def start_velocity_trailing(records: DataFrame, sink_path: str, state_path: str,
         trailing_batch(batch, state_path, sink_path, epoch, size, grace, threshold, ts=ts,
                        id_col=id_col)
 
-    w = records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    ck = checkpoint or stream_checkpoint(records.sparkSession, "velocity-trailing", sink_path)
+    w = records.writeStream.option("checkpointLocation", ck).foreachBatch(write)
     return w.trigger(**(trigger or {"availableNow": True})).start()
