@@ -648,7 +648,8 @@ def q_orders(p: Pipeline) -> DataFrame:
     from decimal import Decimal
     from cardflow.functions.scoring import default_score
     from cardflow.operators.scoring import score
-    from cardflow.schemas import AMOUNT, TOTAL
+    from cardflow.plans.context import slice_summary
+    from cardflow.schemas import AMOUNT
     from cardflow.sources.tables import spread, table
     o = spread(table(p.spark, p.sf_dir, "orders"), "o_orderkey")
     req = o.select(
@@ -662,14 +663,7 @@ def q_orders(p: Pipeline) -> DataFrame:
     stored = A.new_rows(A.authorize(valid))
     fn = lambda df: default_score(F.col("amount"), Decimal(ORDERS_THRESHOLD))
     scored = score(stored, fn).withColumn("scored_at", F.col("createdAt"))
-    ev = L.authorize_events(stored).unionByName(L.hold(scored))
-    cur = L.current_rows(stored, ev, ORDERS_CUTOFF)
-    settled = F.col("status") == "AUTHORIZED"
-    return (cur.groupBy("merchantId")
-            .agg(F.count(F.lit(1)).alias("authorized"),
-                 F.count(F.when(F.col("status") == "HELD_FOR_REVIEW", 1)).alias("held"),
-                 F.count(F.when(settled, 1)).alias("settled"),
-                 F.coalesce(F.sum(F.when(settled, F.col("amount"))), F.lit(0)).cast(TOTAL).alias("total")))
+    return slice_summary(stored, scored, ORDERS_CUTOFF)
 
 
 # ---------------------------------------------------------------------------

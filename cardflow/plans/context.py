@@ -32,6 +32,23 @@ BATCH_2 = batch_id(CUTOFF, "second")
 EMPTY_BATCH = batch_id(FIRST_CUTOFF, "rerun")
 
 
+def slice_summary(stored: DataFrame, scored: DataFrame, cutoff, group: str = "merchantId") -> DataFrame:
+    """The minimum slice: hold the alerted rows, settle the rest at
+    ``cutoff``, and report per ``group``: authorized, held, settled and the
+    settled total.  ``scored`` needs idempotencyKey, createdAt, scored_at,
+    alerted."""
+    from cardflow.schemas import TOTAL
+    ev = L.authorize_events(stored).unionByName(L.hold_events(scored))
+    cur = L.current_rows(stored, ev, cutoff)
+    settled = F.col("status") == "AUTHORIZED"
+    return (cur.groupBy(group)
+            .agg(F.count(F.lit(1)).alias("authorized"),
+                 F.count(F.when(F.col("status") == "HELD_FOR_REVIEW", 1)).alias("held"),
+                 F.count(F.when(settled, 1)).alias("settled"),
+                 F.coalesce(F.sum(F.when(settled, F.col("amount"))), F.lit(0))
+                 .cast(TOTAL).alias("total")))
+
+
 class Pipeline:
     """``materialize=True`` cuts lineage where the pipeline fans out (the
     authorization outcomes and the status-event log): each is written once
@@ -178,16 +195,7 @@ class Pipeline:
         """Authorized, held, settled and settled total per merchant after
         one batch at the cutoff (authorize + hold events only)."""
         scored = self.scored.withColumn("createdAt", F.col("arrival"))
-        ev = L.authorize_events(self.stored).unionByName(L.hold_events(scored))
-        cur = L.current_rows(self.stored, ev, CUTOFF)
-        settled = F.col("status") == "AUTHORIZED"
-        from cardflow.schemas import TOTAL
-        return (cur.groupBy("merchantId")
-                .agg(F.count(F.lit(1)).alias("authorized"),
-                     F.count(F.when(F.col("status") == "HELD_FOR_REVIEW", 1)).alias("held"),
-                     F.count(F.when(settled, 1)).alias("settled"),
-                     F.coalesce(F.sum(F.when(settled, F.col("amount"))), F.lit(0))
-                     .cast(TOTAL).alias("total")))
+        return slice_summary(self.stored, scored, CUTOFF)
 
     # feed -------------------------------------------------------------------
     @cached_property
