@@ -117,3 +117,13 @@ def write_summary(current: DataFrame, path: str, batch_id: str, settled_at,
 def write_alerts(alerts: DataFrame, path: str, batch_id: str) -> None:
     """High-risk alerts (K6) and velocity alerts (K8) for one batch."""
     append_batch(alerts, path, batch_id)
+
+
+def write_status_snapshot(current: DataFrame, path: str) -> None:
+    """Current rows as a table partitioned by status, oldest first inside
+    each file: the status index as an access path.  A status query then
+    reads one status folder (partition pruning).  Every task writes its own
+    file per status (no shuffle by status, which would put a whole status,
+    possibly most rows, in one task)."""
+    (current.sortWithinPartitions("status", "createdAt", "idempotencyKey")
+     .write.mode("overwrite").partitionBy("status").parquet(path))

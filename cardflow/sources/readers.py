@@ -108,3 +108,11 @@ def decode_messages(messages: DataFrame, keep: list[str] | None = None) -> tuple
 
 __all__ = ["read_requests", "read_topic", "read_fraud_queue", "read_receipts",
            "decode_messages", "TRANSACTION_JSON"]
+
+
+def read_by_status(spark: SparkSession, path: str, status: str) -> DataFrame:
+    """Rows of one status from a status snapshot (S5), oldest first; only
+    that status's folder is read."""
+    from cardflow.schemas import TRANSACTION
+    df = spark.read.schema(TRANSACTION).parquet(path)
+    return df.where(F.col("status") == F.lit(status)).orderBy("createdAt", "idempotencyKey")

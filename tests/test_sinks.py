@@ -65,3 +65,23 @@ def test_ledger_read_prunes_key_buckets(spark, tmp_dir):
     assert dict(part.dtypes)["batch_id"] == "string"
     assert part.join(keys, "idempotencyKey", "left_semi").count() == 3
     assert part.count() < 792
+
+
+def test_status_snapshot_prunes_to_one_status(spark, tmp_dir):
+    from cardflow.plans.context import CUTOFF
+    from cardflow.sinks.writers import write_status_snapshot
+    from cardflow.sources.readers import read_by_status
+    p = Pipeline(spark, SF001)
+    path = os.path.join(tmp_dir, "by_status")
+    write_status_snapshot(p.current(CUTOFF), path)
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        held = read_by_status(spark, path, "HELD_FOR_REVIEW")
+        plan = held._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    assert "PartitionFilters: [isnotnull(status" in plan and "HELD_FOR_REVIEW" in plan
+    rows = held.collect()
+    assert len(rows) == p.current(CUTOFF).where("status = 'HELD_FOR_REVIEW'").count() > 0
+    assert [r.createdAt for r in rows] == sorted(r.createdAt for r in rows)
