@@ -101,8 +101,10 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
                        F.lit(1).alias("is_data"), F.lit("data").alias("kind"),
                        F.lit(None).cast("bigint").alias("mid"))
     lo = F.col("us") - F.lit(width)
+    # a probe carries its record's key and time (``ts`` is not used for
+    # ordering), so the fold below groups on (id, key, ts) by hash
     probes = base.where(F.col("_emit")).select(
-        "id", "key", F.lit(None).cast(ts_type).alias("ts"), lo.alias("us"), "_emit",
+        "id", "key", "ts", lo.alias("us"), "_emit",
         _floor_div(lo, sub).alias("sb"), F.lit(0).alias("is_data"), F.lit("probe").alias("kind"),
         F.lit(None).cast("bigint").alias("mid"))
     # records of the sub-buckets strictly between, per (key, sub-bucket):
@@ -125,13 +127,10 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
         F.max("mid").over(grp).alias("c_mid"))
     is_data = F.col("kind") == "data"
     part = (ranked.where((is_data & F.col("_emit")) | (F.col("kind") == "probe"))
-            .select("id",
-                    F.when(is_data, F.col("key")).alias("key"),
-                    F.when(is_data, F.col("ts")).alias("ts"),
+            .select("id", "key", "ts",
                     F.when(is_data, F.col("le") + F.coalesce(F.col("c_mid"), F.lit(0)))
                     .otherwise(F.col("tot") - F.coalesce(F.col("lt"), F.lit(0))).alias("c")))
-    out = part.groupBy("id").agg(F.max("key").alias("key"), F.max("ts").alias("ts"),
-                                 F.sum("c").cast("bigint").alias("trailing_count"))
+    out = part.groupBy("id", "key", "ts").agg(F.sum("c").cast("bigint").alias("trailing_count"))
     return out.where(F.col("trailing_count") >= threshold).select("id", "key", "ts", "trailing_count")
 
 
