@@ -16,6 +16,9 @@ STATUS_AUTHORIZED = "AUTHORIZED"
 STATUS_HELD = "HELD_FOR_REVIEW"
 STATUS_SETTLED = "SETTLED"
 
+# Every status a transaction can take (the model's enumeration).
+STATUSES = ["AUTHORIZED", "DECLINED", "SETTLED", "REVERSED", "HELD_FOR_REVIEW"]
+
 # Authorization outcomes.
 OUTCOME_APPROVED = "APPROVED"
 OUTCOME_DUPLICATE = "DUPLICATE"

@@ -4,8 +4,9 @@
 The stored row is never updated in place.  Every status change is a row
 of ``status_events(idempotencyKey, status, event_ts, seq, source)`` and
 the current status is the last event per key by (event_ts, seq): a
-``max_by`` aggregation, partially aggregated before the shuffle, so a
-key with many events costs one small partial row per map task.
+``max_by`` hash aggregation over fixed-width columns, partially
+aggregated before the shuffle, so a key with many events costs one small
+partial row per map task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardflow.constants import STATUS_AUTHORIZED, STATUS_HELD, STATUS_SETTLED
+from cardflow.constants import STATUS_AUTHORIZED, STATUS_HELD, STATUS_SETTLED, STATUSES
 from cardflow.schemas import TRANSACTION_COLUMNS
 
 KEY = "idempotencyKey"
@@ -48,20 +49,36 @@ def status_update(ledger: DataFrame, updates: DataFrame, status: str) -> tuple[D
     overwrites whatever the current status is; keys missing from the
     ledger are returned in ``not_found`` instead of failing the job.
     """
+    if status not in STATUSES:
+        raise ValueError(f"unknown status {status!r}; expected one of {STATUSES}")
     found = updates.join(ledger.select(KEY), KEY, "left_semi")
     missing = updates.join(ledger.select(KEY), KEY, "left_anti")
     seq = {STATUS_HELD: SEQ_HOLD, STATUS_AUTHORIZED: SEQ_RELEASE, STATUS_SETTLED: SEQ_SETTLE}.get(status, 9)
     return events(found, status, "event_ts", seq, "update"), missing
 
 
+def _status_list():
+    return F.array(*[F.lit(s) for s in STATUSES])
+
+
 def current_status(status_events: DataFrame, cutoff=None) -> DataFrame:
-    """Last status per key among events at or before ``cutoff`` (L1 fold)."""
+    """Last status per key among events at or before ``cutoff`` (L1 fold).
+
+    The fold is ``max_by`` of the status's position in the enumeration,
+    ordered by one long (event time in microseconds x 16 + seq): both
+    fixed-width, so the aggregation is a hash aggregation with map-side
+    partial results.
+    """
+    from cardflow.functions.text import epoch_micros
     ev = status_events
     if cutoff is not None:
         ev = ev.where(F.col("event_ts") <= _ts(cutoff))
-    return (ev.groupBy(KEY)
-            .agg(F.max_by(F.col("status"), F.struct("event_ts", "seq")).alias("status"),
-                 F.max("event_ts").alias("status_ts")))
+    code = F.array_position(_status_list(), F.col("status")).cast("int")
+    order = epoch_micros(F.col("event_ts")) * F.lit(16) + F.col("seq")
+    folded = ev.groupBy(KEY).agg(F.max_by(code, order).alias("_code"),
+                                 F.max("event_ts").alias("status_ts"))
+    return folded.select(KEY, F.element_at(_status_list(), F.col("_code")).alias("status"),
+                         "status_ts")
 
 
 def current_rows(stored: DataFrame, status_events: DataFrame, cutoff=None) -> DataFrame:
