@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.constants import (
-    STAGE_ALERTED, STAGE_QUEUED, STAGE_RECORDED, STAGE_SCORED, STAGE_SETTLED,
-    STATUS_AUTHORIZED, STATUS_HELD, STATUS_SETTLED,
+    STAGE_ALERTED, STAGE_ORDER, STAGE_QUEUED, STAGE_RECORDED, STAGE_SCORED, STAGE_SETTLED,
+    STATUS_AUTHORIZED, STATUS_HELD, STATUS_SETTLED, STATUSES,
 )
 from cardflow.functions import display as D
+from cardflow.functions.order import code_of, time_id, time_seq, time_seq_time, value_of
 from cardflow.functions.text import ntz_lit
 from cardflow.operators.lifecycle import KEY
 from cardflow.operators.skew import HOT_KEY_ROWS, hot_keys, salted_join
@@ -53,8 +54,9 @@ def status_as_of(attempts: DataFrame, status_events: DataFrame) -> DataFrame:
     hot = hot_keys(att.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")), KEY)
     j = salted_join(att, ev, KEY, hot, F.xxhash64("request_id")) \
         .where(F.col("event_ts") <= F.col("arrival"))
-    return j.groupBy("request_id").agg(
-        F.max_by("status", F.struct("event_ts", "seq")).alias("status_then"))
+    folded = j.groupBy("request_id").agg(
+        F.max_by(code_of("status", STATUSES), time_seq("event_ts", "seq")).alias("_code"))
+    return folded.select("request_id", value_of("_code", STATUSES).alias("status_then"))
 
 
 def entries(outcomes: DataFrame, status_events: DataFrame | None = None) -> DataFrame:
@@ -121,18 +123,18 @@ def resolve_targets(entries_df: DataFrame, actions: DataFrame,
     hot = hot_keys(e.groupBy("transactionId").agg(F.count(F.lit(1)).alias("n")), "transactionId",
                    hot_rows=hot_rows)
     j = salted_join(e, act, "transactionId", hot, F.xxhash64("e_id"))
-    pos = F.struct(F.col("e_arrival").alias("t"), F.col("e_id").alias("id"))
+    pos = time_id("e_arrival", "e_id")
     before = F.col("e_arrival") <= F.col("action_ts")
-    r = j.groupBy("action_id").agg(
-        F.any_value("kind").alias("kind"), F.any_value("transactionId").alias("transactionId"),
-        F.any_value("action_ts").alias("action_ts"), F.any_value("riskScore").alias("riskScore"),
-        F.any_value("alerted").alias("alerted"),
-        F.max(F.when(before, pos)).alias("back"),
-        F.min(F.when(~before, pos)).alias("fwd"),
+    # the action's own columns are grouping keys (they depend on the id), and
+    # every buffer is fixed-width: a hash aggregation
+    r = j.groupBy("action_id", "kind", "transactionId", "action_ts", "riskScore", "alerted").agg(
+        F.max_by("e_id", F.when(before, pos)).alias("back_id"),
+        F.min_by("e_id", F.when(~before, pos)).alias("fwd_id"),
+        F.min(F.when(~before, F.col("e_arrival"))).alias("fwd_t"),
     )
     forward_ok = F.col("kind") == KIND_SCORE
-    target = F.coalesce(F.col("back.id"), F.when(forward_ok, F.col("fwd.id")))
-    eff = F.when(F.col("back").isNotNull(), F.col("action_ts")).otherwise(F.col("fwd.t"))
+    target = F.coalesce(F.col("back_id"), F.when(forward_ok, F.col("fwd_id")))
+    eff = F.when(F.col("back_id").isNotNull(), F.col("action_ts")).otherwise(F.col("fwd_t"))
     return (r.select("kind", "transactionId", "action_ts", "riskScore", "alerted",
                      target.alias("target"), eff.alias("eff_ts"))
             .where(F.col("target").isNotNull()))
@@ -155,23 +157,24 @@ def apply_actions(entries_df: DataFrame, actions: DataFrame,
               .when(F.col("kind") == KIND_RELEASE, F.lit(STATUS_AUTHORIZED))
               .when(F.col("alerted"), F.lit(STATUS_HELD)))
     # effect order: time it took effect, action kind, then the action's own
-    # time (several early scores on one entry: the last one wins)
-    order = [F.col("eff_ts").alias("t"), seq.alias("s"), F.col("action_ts").alias("a")]
+    # time (several early scores on one entry: the last one wins), packed
+    # into one number; values as small codes: a hash aggregation
+    order = time_seq_time("eff_ts", seq, "action_ts")
     state = t.groupBy("target").agg(
-        F.max(F.struct(*order, stage.alias("v"))).alias("last_stage"),
-        F.max(F.when(status.isNotNull(), F.struct(*order, status.alias("v")))).alias("last_status"),
-        F.max(F.when(F.col("kind") == KIND_SCORE,
-                     F.struct(*order, F.col("riskScore").alias("v")))).alias("last_score"),
+        F.max_by(code_of(stage, STAGE_ORDER), order).alias("_stage"),
+        F.max_by(code_of(status, STATUSES), F.when(status.isNotNull(), order)).alias("_status"),
+        F.max_by("riskScore", F.when(F.col("kind") == KIND_SCORE, order)).alias("_score"),
+        F.max("eff_ts").alias("_updated"),
     )
     j = entries_df.join(state, entries_df["request_id"] == state["target"], "left")
     return j.select(
         "request_id", "arrival", "transactionId", KEY, "merchantId", "maskedPan", "amount",
         "currency",
-        F.coalesce(F.col("last_status.v"), F.col("status")).alias("status"),
-        F.coalesce(F.col("last_stage.v"), F.col("stage")).alias("stage"),
-        F.coalesce(F.col("last_score.v"), F.col("riskScore")).alias("riskScore"),
+        F.coalesce(value_of("_status", STATUSES), F.col("status")).alias("status"),
+        F.coalesce(value_of("_stage", STAGE_ORDER), F.col("stage")).alias("stage"),
+        F.coalesce(F.col("_score"), F.col("riskScore")).alias("riskScore"),
         "receiptKey",
-        F.coalesce(F.col("last_stage.t"), F.col("updatedAt")).alias("updatedAt"),
+        F.coalesce(F.col("_updated"), F.col("updatedAt")).alias("updatedAt"),
     )
 
 
@@ -189,10 +192,10 @@ def newest_entry(feed: DataFrame, ids: DataFrame) -> DataFrame:
     """Newest entry per requested transaction id; ids with none are kept
     with ``found`` false (T6, J4)."""
     newest = feed.groupBy("transactionId").agg(
-        F.max(F.struct("arrival", "request_id")).alias("n"))
+        F.max_by("request_id", time_id("arrival", "request_id")).alias("newest_id"))
     return (ids.join(newest, "transactionId", "left")
-            .select("transactionId", F.col("n.request_id").alias("request_id"),
-                    F.col("n").isNotNull().alias("found")))
+            .select("transactionId", F.col("newest_id").alias("request_id"),
+                    F.col("newest_id").isNotNull().alias("found")))
 
 
 def display(feed: DataFrame) -> DataFrame:

@@ -57,10 +57,6 @@ def status_update(ledger: DataFrame, updates: DataFrame, status: str) -> tuple[D
     return events(found, status, "event_ts", seq, "update"), missing
 
 
-def _status_list():
-    return F.array(*[F.lit(s) for s in STATUSES])
-
-
 def current_status(status_events: DataFrame, cutoff=None) -> DataFrame:
     """Last status per key among events at or before ``cutoff`` (L1 fold).
 
@@ -69,16 +65,14 @@ def current_status(status_events: DataFrame, cutoff=None) -> DataFrame:
     fixed-width, so the aggregation is a hash aggregation with map-side
     partial results.
     """
-    from cardflow.functions.text import epoch_micros
+    from cardflow.functions.order import code_of, time_seq, value_of
     ev = status_events
     if cutoff is not None:
         ev = ev.where(F.col("event_ts") <= _ts(cutoff))
-    code = F.array_position(_status_list(), F.col("status")).cast("int")
-    order = epoch_micros(F.col("event_ts")) * F.lit(16) + F.col("seq")
-    folded = ev.groupBy(KEY).agg(F.max_by(code, order).alias("_code"),
-                                 F.max("event_ts").alias("status_ts"))
-    return folded.select(KEY, F.element_at(_status_list(), F.col("_code")).alias("status"),
-                         "status_ts")
+    folded = ev.groupBy(KEY).agg(
+        F.max_by(code_of("status", STATUSES), time_seq("event_ts", "seq")).alias("_code"),
+        F.max("event_ts").alias("status_ts"))
+    return folded.select(KEY, value_of("_code", STATUSES).alias("status"), "status_ts")
 
 
 def current_rows(stored: DataFrame, status_events: DataFrame, cutoff=None) -> DataFrame:
@@ -134,8 +128,9 @@ def release(release_requests: DataFrame, entries: DataFrame, current: DataFrame
     released).  Released rows get AUTHORIZED and are not re-scored, so
     they settle in the next batch.
     """
-    first_seen = entries.groupBy("transactionId").agg(
-        F.min("arrival").alias("first_arrival"), F.min(KEY).alias(KEY))
+    # every entry of a transaction has the same key: a grouping column, so
+    # the aggregation buffer stays fixed-width
+    first_seen = entries.groupBy("transactionId", KEY).agg(F.min("arrival").alias("first_arrival"))
     j = release_requests.join(first_seen, "transactionId", "left")
     ok = F.col("first_arrival").isNotNull() & (F.col("first_arrival") <= F.col("released_at"))
     accepted = j.where(ok)
