@@ -89,9 +89,21 @@ TEST_PAN_KEY = "0123456789abcdef0123456789abcdef"
 
 
 def pan_key(spark: SparkSession):
-    """The card-number encryption key as a Column, read from the session."""
+    """The card-number encryption key as a Column, read from the session.
+
+    The key's text is added to ``spark.sql.redaction.string.regex``, so
+    plans printed by explain show it redacted.
+    """
+    import re
     from pyspark.sql import functions as F
-    return F.lit(spark.conf.get(PAN_KEY_CONF, TEST_PAN_KEY))
+    key = spark.conf.get(PAN_KEY_CONF, TEST_PAN_KEY)
+    pattern = re.escape(key)
+    current = spark.conf.get("spark.sql.redaction.string.regex", None)
+    if not current:
+        spark.conf.set("spark.sql.redaction.string.regex", pattern)
+    elif pattern not in current.split("|"):
+        spark.conf.set("spark.sql.redaction.string.regex", f"{current}|{pattern}")
+    return F.lit(key)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -127,3 +127,17 @@ def test_display_columns(spark):
         (92, "92%", 3, "status-alerted", True, "t.json")
     assert (out[1].l, out[1].r, out[1].c, out[1].n, out[1].e) == ("pending…", 1, "status-approved", None, "")
     assert out[2].c == "status-duplicate" and out[2].n is None
+
+
+def test_key_is_redacted_in_plans(spark):
+    import io
+    import contextlib
+    from cardflow.session import TEST_PAN_KEY, pan_key
+    key = pan_key(spark)
+    df = spark.createDataFrame([("4111111111111234",)], "pan string").select(
+        encrypt_pan("pan", key).alias("c"))
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(True)
+    assert TEST_PAN_KEY not in buf.getvalue()
+    assert "redacted" in buf.getvalue()
