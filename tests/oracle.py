@@ -47,6 +47,21 @@ def rows_of(cols, rows):
     return sorted(tuple(norm(r[i]) for i in order) for r in rows), sorted(cols)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
+def type_diffs(spark_dtypes, duck_description):
+    """Columns whose Spark and DuckDB types differ."""
+    d = {x[0]: str(x[1]).replace(" ", "") for x in duck_description}
+    out = []
+    for c, t in spark_dtypes:
+        want = t.upper().replace(" ", "") if t.startswith("decimal") else SPARK_TO_DUCK.get(t, t.upper())
+        if d.get(c) != want:
+            out.append((c, t, d.get(c)))
+    return out
+
+
 def duck(sf_dir: str):
     import duckdb
     con = duckdb.connect()
@@ -64,6 +79,7 @@ def compare(spark, sf_dir: str, name: str, build, sql: str, con=None):
     s_rows = sdf.collect()
     t1 = time.time()
     res = con.execute(sql)
+    types = type_diffs(sdf.dtypes, res.description)
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     s_vals, s_cols = rows_of(sdf.columns, [tuple(r) for r in s_rows])
@@ -72,14 +88,16 @@ def compare(spark, sf_dir: str, name: str, build, sql: str, con=None):
     ok_n = len(s_vals) == len(d_vals)
     ok_v = s_vals == d_vals
     detail = ""
-    if not ok_cols:
+    if types:
+        detail = f"types {types}"
+    elif not ok_cols:
         detail = f"cols spark={s_cols} duck={d_cols}"
     elif not ok_v:
         s_set, d_set = set(s_vals), set(d_vals)
         only_s = sorted(s_set - d_set)[:3]
         only_d = sorted(d_set - s_set)[:3]
         detail = f"spark-only={only_s} duck-only={only_d}"
-    return {"name": name, "ok": ok_cols and ok_n and ok_v, "rows": len(s_vals),
+    return {"name": name, "ok": ok_cols and ok_n and ok_v and not types, "rows": len(s_vals),
             "duck_rows": len(d_vals), "sec": round(t1 - t0, 2), "detail": detail}
 
 
