@@ -660,7 +660,8 @@ def q_orders(p: Pipeline) -> DataFrame:
         F.lit("USD").alias("currency"),
         F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("idempotencyKey"))
     valid, _ = A.normalize_requests(req)
-    stored = A.new_rows(A.authorize(valid))
+    # the ledger feeds three branches (events, holds, current rows): written once
+    stored = p._cut(A.new_rows(A.authorize(valid)), "orders-ledger")
     fn = lambda df: default_score(F.col("amount"), Decimal(ORDERS_THRESHOLD))
     scored = score(stored, fn).withColumn("scored_at", F.col("createdAt"))
     return slice_summary(stored, scored, ORDERS_CUTOFF)
