@@ -155,3 +155,11 @@ def test_stream_first_per_key(spark, tmp_dir):
     q.awaitTermination(120)
     got = sorted(x.request_id for x in spark.read.parquet(os.path.join(tmp_dir, "out")).collect())
     assert got == [1, 2, 4]
+
+
+def test_kafka_source_without_connector_says_so(spark):
+    import pytest
+    with pytest.raises(RuntimeError, match="spark-sql-kafka"):
+        read_fraud_queue(spark, "localhost:9092", fmt="kafka")
+    with pytest.raises(RuntimeError, match="spark-sql-kafka"):
+        read_topic(spark, "localhost:9092", fmt="kafka")
