@@ -86,7 +86,7 @@ def fold(cutoff: str, extra_events: str = "") -> str:
     FROM {src} e WHERE event_ts <= TIMESTAMP '{cutoff}' GROUP BY idempotencyKey) s
   ON l.idempotencyKey = s.idempotencyKey WHERE l.createdAt <= TIMESTAMP '{cutoff}')"""
 
-# JSON message body of a stored row (Jackson layout: nulls written, amount
+# JSON message body of a stored row (wire layout: nulls written, amount
 # with its scale, createdAt as epoch seconds with nine decimals).
 JSON_BODY = ("'{\"idempotencyKey\":\"' || idempotencyKey || '\",\"transactionId\":\"' || transactionId || "
              "'\",\"merchantId\":\"' || merchantId || '\",\"maskedPan\":\"' || maskedPan || "
