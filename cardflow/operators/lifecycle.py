@@ -57,9 +57,14 @@ def status_update(ledger: DataFrame, updates: DataFrame, status: str) -> tuple[D
     return events(found, status, "event_ts", seq, "update"), missing
 
 
-def current_status(status_events: DataFrame, cutoff=None) -> DataFrame:
+def current_status(status_events: DataFrame, cutoff=None, guarded: bool = False) -> DataFrame:
     """Last status per key among events at or before ``cutoff`` (L1 fold).
 
+    By default every event overwrites the status, whatever it was (so a
+    score arriving after settlement re-holds a settled row, as an
+    unconditional update does).  ``guarded=True`` makes SETTLED final:
+    later holds or releases of a settled row are ignored.
+
     The fold is ``max_by`` of the status's position in the enumeration,
     ordered by one long (event time in microseconds x 16 + seq): both
     fixed-width, so the aggregation is a hash aggregation with map-side
@@ -71,13 +76,18 @@ def current_status(status_events: DataFrame, cutoff=None) -> DataFrame:
         ev = ev.where(F.col("event_ts") <= _ts(cutoff))
     folded = ev.groupBy(KEY).agg(
         F.max_by(code_of("status", STATUSES), time_seq("event_ts", "seq")).alias("_code"),
-        F.max("event_ts").alias("status_ts"))
-    return folded.select(KEY, value_of("_code", STATUSES).alias("status"), "status_ts")
+        F.max("event_ts").alias("status_ts"),
+        F.max((F.col("status") == STATUS_SETTLED).cast("int")).alias("_settled"))
+    status = value_of("_code", STATUSES)
+    if guarded:
+        status = F.when(F.col("_settled") == 1, F.lit(STATUS_SETTLED)).otherwise(status)
+    return folded.select(KEY, status.alias("status"), "status_ts")
 
 
-def current_rows(stored: DataFrame, status_events: DataFrame, cutoff=None) -> DataFrame:
+def current_rows(stored: DataFrame, status_events: DataFrame, cutoff=None,
+                 guarded: bool = False) -> DataFrame:
     """Stored rows with their current status at ``cutoff``."""
-    cur = current_status(status_events, cutoff)
+    cur = current_status(status_events, cutoff, guarded)
     base = stored if cutoff is None else stored.where(F.col("createdAt") <= _ts(cutoff))
     return (base.drop("status").join(cur, KEY, "inner")
             .select(*TRANSACTION_COLUMNS))

@@ -155,3 +155,14 @@ def test_sql_views(spark):
     held = spark.sql("""SELECT count(DISTINCT idempotencyKey) FROM cf_status_events
                         WHERE status = 'HELD_FOR_REVIEW'""").first()[0]
     assert held == 157
+
+
+def test_hold_after_settlement_faithful_and_guarded(spark):
+    stored = ledger(spark, [req(1, 1, amount="4999.00", key="hi")])
+    # settled at t=10, scored (and held) only at t=20
+    scored = score(stored).withColumn("scored_at", F.lit(str(at(20))).cast("timestamp_ntz"))
+    base = L.authorize_events(stored)
+    settled = L.settle_events(L.current_rows(stored, base, at(10)), at(10))
+    ev = base.unionByName(settled).unionByName(L.hold(scored))
+    assert [r.status for r in L.current_status(ev, at(30)).collect()] == ["HELD_FOR_REVIEW"]
+    assert [r.status for r in L.current_status(ev, at(30), guarded=True).collect()] == ["SETTLED"]
