@@ -70,13 +70,26 @@ def _floor_div(us, n: int) -> F.Column:
     return ((us - F.pmod(us, F.lit(n))) / F.lit(n)).cast("bigint")
 
 
+def _slices(width_us: int, requested: int | None) -> int:
+    """Sub-buckets per window: the window must be a whole number of them.
+    By default slices are at most a minute long (long windows) and at most
+    1/32 of the window (short ones)."""
+    if requested:
+        return requested if width_us % requested == 0 else 1
+    minute = 60_000_000
+    if width_us > 32 * minute and width_us % minute == 0:
+        return width_us // minute
+    return 32 if width_us % 32 == 0 else 1
+
+
 def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_col: str = "id",
                       size: str = VELOCITY_WINDOW, threshold: int = VELOCITY_THRESHOLD,
-                      emit: str | None = None, splits: int = 32) -> DataFrame:
+                      emit: str | None = None, splits: int | None = None) -> DataFrame:
     """Every record whose trailing count over ``[t - size, t]`` reaches
     the threshold; output id, key, ts, trailing_count.
 
-    Exact decomposition over sub-buckets of width ``size / splits``: the
+    Exact decomposition over sub-buckets of width ``size / splits`` (by
+    default at most a minute, and at most 1/32 of the window): the
     count for a record at t is (records of its own sub-bucket up to t) +
     (all records of the sub-buckets strictly between, from a per-(key,
     sub-bucket) count table) + (records of the first sub-bucket at or
@@ -84,14 +97,14 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
     over groups of (key, sub-bucket) yields all three parts: the count
     table enters the same groups as extra rows, and a probe's result goes
     back to its record by one aggregation on the (unique) id.  Every group
-    is one key within one ``size / splits`` slice of time, so a hot card
-    is spread over its time span.
+    is one key within one slice of time, so a hot card is spread over its
+    time span; the count table has one row per key and slice with data.
 
     ``emit`` names a boolean column: rows where it is false are counted
     but not returned (the retained tail of a stream).
     """
     width = _seconds(size) * 1_000_000
-    m = splits if splits > 0 and width % splits == 0 else 1
+    m = _slices(width, splits)
     sub = width // m
     flag = F.col(emit) if emit else F.lit(True)
     base = events.select(F.col(id_col).alias("id"), F.col(key).alias("key"),

@@ -78,3 +78,17 @@ def test_hot_card_is_split_by_time(spark):
     assert any("sb#" in line and "Window" in line for line in plan.split("\n"))
     got = {x.id: x.trailing_count for x in out.collect()}
     assert got[2999] == 301 and got[0] == 1 and got[300] == 301
+
+
+def test_trailing_slices_for_long_windows(spark):
+    assert V._slices(86_400_000_000, None) == 1440          # 1 day: one-minute slices
+    assert V._slices(30_000_000, None) == 32                 # 30 s: 1/32 of the window
+    assert V._slices(30_000_000, 7) == 1                     # not a divisor: one slice
+    import random
+    rnd = random.Random(11)
+    secs = sorted(rnd.uniform(0, 3 * 86400) for _ in range(150))
+    df = spark.createDataFrame([(i, "c", at(s)) for i, s in enumerate(secs)],
+                               "id long, key string, ts timestamp_ntz")
+    got = {r.id: r.trailing_count for r in V.velocity_trailing(df, size="1 day", threshold=1).collect()}
+    for i, s in enumerate(secs):
+        assert got[i] == sum(1 for s2 in secs if s - 86400 <= s2 <= s)
