@@ -13,7 +13,7 @@ from cardflow.operators import velocity as V
 from cardflow.operators.authorize import authorize, new_rows, normalize_requests
 from tests.helpers import at, req, requests_df
 
-SETTINGS = settings(max_examples=12, deadline=None,
+SETTINGS = settings(max_examples=12, deadline=None, derandomize=True,
                     suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
