@@ -163,3 +163,21 @@ def test_kafka_source_without_connector_says_so(spark):
         read_fraud_queue(spark, "localhost:9092", fmt="kafka")
     with pytest.raises(RuntimeError, match="spark-sql-kafka"):
         read_topic(spark, "localhost:9092", fmt="kafka")
+
+
+def test_stream_first_per_key_within_watermark(spark, tmp_dir):
+    from cardflow.streaming.authorize import first_per_key
+    land = os.path.join(tmp_dir, "req")
+
+    def r(rid, s, key):
+        return {"request_id": rid, "arrival": at(s).isoformat(), "merchantId": "m1",
+                "pan": "4111111111111234", "amount": "1.00", "currency": "USD", "idempotencyKey": key}
+    write_lines(land, "a.json", [r(1, 1, "k1"), r(2, 2, "k2")])
+    write_lines(land, "b.json", [r(3, 5, "k1"), r(4, 6, "k3")])
+    stream = first_per_key(read_requests(spark, land, streaming=True, max_files_per_trigger=1),
+                           event_ts="arrival", delay="1 hour")
+    q = (stream.writeStream.format("parquet").option("path", os.path.join(tmp_dir, "out"))
+         .option("checkpointLocation", os.path.join(tmp_dir, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = sorted(x.request_id for x in spark.read.parquet(os.path.join(tmp_dir, "out")).collect())
+    assert got == [1, 2, 4]  # the retry of k1 within the delay is dropped
