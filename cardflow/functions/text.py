@@ -138,3 +138,13 @@ def decode_json(body) -> Column:
         else parsed.getField(f.name).alias(f.name)
         for f in TRANSACTION_JSON.fields
     ])
+
+
+def iso_instant(ntz) -> Column:
+    """A wall-clock UTC value as an ISO-8601 instant, seconds precision when
+    the fraction is zero (``2024-01-01T00:00:30Z``)."""
+    wall = _c(ntz).cast("timestamp_ntz")
+    whole = F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss")
+    frac = F.regexp_replace(F.date_format(wall, "SSSSSS"), "0+$", "")
+    return F.concat(whole, F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")),
+                    F.lit("Z"))

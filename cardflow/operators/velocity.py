@@ -59,6 +59,16 @@ def velocity_alerts(counts: DataFrame, threshold: int = VELOCITY_THRESHOLD) -> D
     return counts.where(F.col("count").isNotNull() & (F.col("count") >= threshold))
 
 
+def alert_lines(alerts: DataFrame) -> DataFrame:
+    """The alert line for each window at or above the threshold (K8)."""
+    from cardflow.constants import VELOCITY_ALERT_TEMPLATE
+    from cardflow.functions.text import iso_instant
+    return alerts.select(
+        "window_start", "key", "count",
+        F.format_string(VELOCITY_ALERT_TEMPLATE, F.col("key"), F.col("count"),
+                        iso_instant("window_start"), iso_instant("window_end")).alias("message"))
+
+
 def velocity_tumbling(events: DataFrame, ts: str = "ts", key: str = "key",
                       size: str = VELOCITY_WINDOW, threshold: int = VELOCITY_THRESHOLD) -> DataFrame:
     """W1 in batch: tumbling counts at or above the threshold."""

@@ -667,6 +667,35 @@ def q_orders(p: Pipeline) -> DataFrame:
     return slice_summary(stored, scored, ORDERS_CUTOFF)
 
 
+# ---------------------------------------------------------------------------
+# sink formats: receipts (K2), velocity alert lines (K8)
+# ---------------------------------------------------------------------------
+
+
+@query("receipt_documents", Q.BASE + f"""
+SELECT 'receipts/' || merchantId || '/' || transactionId || '.json' AS receiptKey, merchantId,
+       {Q.JSON_BODY} AS document
+FROM led""")
+def q_receipts(p: Pipeline) -> DataFrame:
+    """K2: each stored transaction's receipt key and document."""
+    from cardflow.functions.text import encode_json, receipt_key
+    return p.stored.select(receipt_key("merchantId", "transactionId").alias("receiptKey"),
+                           "merchantId", encode_json().alias("document"))
+
+
+@query("velocity_alert_lines", Q.with_(Q.REQ) + f"""
+SELECT window_start, key, count,
+       printf('   >>> VELOCITY ALERT: card=%s count=%d window=[%s - %s]', key, count,
+              strftime(window_start, '%Y-%m-%dT%H:%M:%SZ'), strftime(window_end, '%Y-%m-%dT%H:%M:%SZ')) AS message
+FROM (SELECT time_bucket(INTERVAL '1 day', arrival) AS window_start,
+             time_bucket(INTERVAL '1 day', arrival) + INTERVAL '1 day' AS window_end,
+             {_CARD} AS key, count(*) AS count
+      FROM req GROUP BY ALL HAVING count(*) >= 3) x""")
+def q_alert_lines(p: Pipeline) -> DataFrame:
+    """K8: the alert line of every 1-day window with 3+ requests of a card."""
+    return V.alert_lines(V.velocity_tumbling(_card_events(p), size="1 day"))
+
+
 # ---------------------------------------------------------------------------
 # accessors
 # ---------------------------------------------------------------------------

@@ -35,14 +35,9 @@ def velocity_counts(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str
 
 
 def _instant(ts_col) -> F.Column:
-    """A TIMESTAMP as an ISO-8601 UTC instant, seconds precision when the
-    fraction is zero (e.g. ``2024-01-01T00:00:30Z``)."""
-    from cardflow.functions.text import utc_as_ntz
-    wall = utc_as_ntz(ts_col)
-    whole = F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss")
-    frac = F.regexp_replace(F.date_format(wall, "SSSSSS"), "0+$", "")
-    return F.concat(whole, F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")),
-                    F.lit("Z"))
+    """A TIMESTAMP as an ISO-8601 UTC instant."""
+    from cardflow.functions.text import iso_instant, utc_as_ntz
+    return iso_instant(utc_as_ntz(ts_col))
 
 
 def alerts_of(counts: DataFrame, threshold: int = VELOCITY_THRESHOLD) -> DataFrame:
