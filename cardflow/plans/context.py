@@ -80,7 +80,9 @@ class Pipeline:
             return cls(spark, sf_dir)
         key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), version)
         if key not in cls._shared:
-            cls._shared = {k: v for k, v in cls._shared.items() if k[0] == key[0]}
+            # same application only, and a few folders at most
+            kept = [(k, v) for k, v in cls._shared.items() if k[0] == key[0]][-3:]
+            cls._shared = dict(kept)
             cls._shared[key] = cls(spark, sf_dir)
         return cls._shared[key]
 
