@@ -90,3 +90,10 @@ def test_last_early_score_wins(spark):
     t = tid(o, 1)
     f = FD.apply_actions(FD.entries(o), scores(spark, [(t, 2, 0.15, False), (t, 5, 0.92, True)])).first()
     assert (f.stage, f.status, f.riskScore) == ("ALERTED", "HELD_FOR_REVIEW", 0.92)
+
+
+def test_ticker_lights_alerted_stage(spark):
+    o = outcomes(spark, [req(1, 1, amount="4999.00")])
+    f = FD.apply_actions(FD.entries(o), scores(spark, [(tid(o, 1), 2, 0.92, True)]))
+    t = {r.stage: (r.lit, r.alert) for r in FD.ticker(f).collect()}
+    assert t["ALERTED"] == (True, True) and t["SCORED"] == (True, False) and t["SETTLED"] == (False, False)

@@ -95,3 +95,14 @@ def test_pipeline_recomputes_without_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(C, "materialize", no_folder)
     p = C.Pipeline(spark, SF001)
     assert p.merchant_summary().count() == 5  # the plan runs from the source instead
+
+
+def test_alert_writer_replay_is_idempotent(spark, tmp_dir):
+    from cardflow.sinks.writers import write_alerts
+    p = Pipeline(spark, SF001, materialize=False)
+    path = os.path.join(tmp_dir, "alerts")
+    write_alerts(p.alerts, path, "3")
+    write_alerts(p.alerts, path, "3")  # replayed batch
+    write_alerts(p.alerts.limit(1), path, "4")
+    counts = {r.batch_id: r["count"] for r in spark.read.parquet(path).groupBy("batch_id").count().collect()}
+    assert counts == {3: 157, 4: 1}
