@@ -118,3 +118,33 @@ def test_drop_late_matches_replay(spark, recs, chunk):
         window_end = (s // 30 + 1) * 30
         want[i] = window_end <= seen[p] - 5
     assert got == want
+
+
+# --- settlement invariants ------------------------------------------------------
+
+ledgers = st.lists(st.tuples(st.integers(1, 500000), st.integers(0, 50)), min_size=1, max_size=20)
+
+
+@settings(max_examples=6, deadline=None, derandomize=True,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=ledgers, cutoff=st.integers(0, 60))
+def test_settlement_invariants(spark, rows, cutoff):
+    from decimal import Decimal
+    from pyspark.sql import functions as F
+    from cardflow.operators import lifecycle as L
+    from cardflow.operators import settlement as S
+    from cardflow.operators.scoring import score
+    reqs = [req(i, s, amount=f"{cents / 100:.2f}", key=f"k{i}") for i, (cents, s) in enumerate(rows)]
+    stored = new_rows(authorize(normalize_requests(requests_df(spark, reqs))[0]))
+    scored = score(stored).withColumn("scored_at", F.col("createdAt"))
+    ev = L.authorize_events(stored).unionByName(L.hold(scored))
+    cur = L.current_rows(stored, ev, at(cutoff))
+    events, summary, ids = S.settle(cur, at(cutoff), "b")
+    s = summary.first()
+    due = [Decimal(f"{c / 100:.2f}") for c, t in rows if t <= cutoff and c / 100 <= 2500]
+    assert s.transactionCount == len(due) and s.totalAmount == sum(due, Decimal("0.00"))
+    held = {r.idempotencyKey for r in cur.where("status = 'HELD_FOR_REVIEW'").collect()}
+    assert held.isdisjoint({r.idempotencyKey for r in events.collect()})
+    again = L.current_rows(stored, ev.unionByName(events), at(cutoff))
+    assert S.totals(again).first().transactionCount == 0  # a second run settles nothing
+    assert ids.count() == len(due)
