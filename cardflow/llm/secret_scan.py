@@ -24,7 +24,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,11 +57,13 @@ PLACEHOLDER = re.compile(
 NAMED_SCORE = 5.0
 _HINT = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|salt")
 
-_NAME = r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*"
+#: A name is read whole (no giving back), and only from its start, so long
+#: texts without an operator cost one pass.
+_NAME = r"(?>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)"
 _ITEM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;(){}\[\]<>#&|+]+)"""
 #: One assignment: a name, an operator, and values joined by + or .
 PAIR = re.compile(
-    rf"""(?<![\w$])(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\[["'](?P<index>[\w.\-]+)["']\])?"""
+    rf"""(?<![\w$])(?<![\w$][.\-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\[["'](?P<index>[\w.\-]+)["']\])?"""
     rf"""(?:[ \t]*:[ \t]*[A-Za-z_][\w.\[\]]*(?=[ \t]*=[^=]))?"""
     rf"""[ \t]*(?:=>|:=|==?=?|:)[ \t]*(?P<value>{_ITEM}(?:[ \t]*\+[ \t]*{_ITEM})*)""")
 DEFINE = re.compile(rf"#[ \t]*define[ \t]+(?P<name>{_NAME})[ \t]+(?P<value>{_ITEM})")
@@ -126,33 +130,39 @@ def named_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name through assignments."""
     if not _HINT.search(text):
         return []
-    bound: dict[str, list[tuple[str, int, int]]] = {}
-    found: dict[tuple[int, int], float] = {}
+    bound: dict[str, int] = {}  # a name's latest binding
+    weight: list[int] = []  # of each binding: the most sensitive name it reaches
+    literals: list[list[tuple[str, int, int]]] = []
+    sources: list[list[int]] = []  # the bindings that a binding's value names
     pairs = sorted([*PAIR.finditer(text), *DEFINE.finditer(text), *ELEMENT.finditer(text)],
                    key=lambda m: (m.start("value"), m.end("value")))
     for m in pairs:
         name = (m.groupdict().get("index") or m.group("name")).rsplit(".", 1)[-1]
-        literals: list[tuple[str, int, int]] = []
-        at = m.start("value")
-        parts = [m.group("value")] if m.re is ELEMENT else [p.group() for p in _PART.finditer(m.group("value"))]
+        own, refs, at = [], [], m.start("value")
+        parts = [m.group("value")] if m.re is ELEMENT else _PART.findall(m.group("value"))
         for p in parts:
             start = text.index(p, at)
             at = start + len(p)
             value, i, j, quoted = _unquote(p, start)
-            if not quoted and value.rsplit(".", 1)[-1] in bound:
-                literals += bound[value.rsplit(".", 1)[-1]]  # a constant: its literals
+            ref = None if quoted else bound.get(value.rsplit(".", 1)[-1])
+            if ref is not None:
+                refs.append(ref)
             elif value:
-                literals.append((value, i, j))
-        # a name bound again keeps what it last got; a long chain stays one list
-        bound[name] = list(dict.fromkeys(literals))
-        weight = name_score(name)
-        if weight < 2:
-            continue
-        for value, i, j in bound[name]:
-            looks = looks_secret(value)
-            if looks and weight + looks >= NAMED_SCORE:
-                found[i, j] = max(found.get((i, j), 0.0), weight + looks)
-    return [(i, j, "named") for i, j in found]
+                own.append((value, i, j))
+        bound[name] = len(weight)
+        weight.append(name_score(name))
+        literals.append(own)
+        sources.append(refs)
+    # values name earlier bindings only, so one pass from the end carries the
+    # names' weights to every literal they are made of
+    for k in range(len(weight) - 1, -1, -1):
+        for r in sources[k]:
+            weight[r] = max(weight[r], weight[k])
+    found = set()
+    for w, own in zip(weight, literals):
+        if w >= 2:
+            found.update((i, j, "named") for value, i, j in own if NAMED_SCORE - w <= (looks_secret(value) or -9))
+    return sorted(found)
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
@@ -160,8 +170,12 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     out = base_spans(text)
-    base = [(i, j) for i, j, _ in out]
-    out += [s for s in named_spans(text) if not any(i <= s[0] and s[1] <= j for i, j in base)]
+    base = sorted((i, j) for i, j, _ in out)
+    starts, ends = [i for i, _ in base], list(accumulate((j for _, j in base), max))
+    for s in named_spans(text):
+        before = bisect_right(starts, s[0])
+        if not before or ends[before - 1] < s[1]:
+            out.append(s)
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
