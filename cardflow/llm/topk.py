@@ -47,6 +47,11 @@ def _exact(x: np.ndarray, q: np.ndarray):
     return np.float32 if bound < 2**23 else np.float64 if bound < 2**52 else np.int64 if bound < 2**62 else object
 
 
+def _longs(x: np.ndarray) -> np.ndarray:
+    """Scores as longs hold them: beyond the longs, the nearest one."""
+    return np.clip(x, -2**63, 2**63 - 1) if x.dtype == object else x
+
+
 class Lists:
     """The sorted lists of one block; rows must be in id order."""
 
@@ -72,12 +77,12 @@ class Lists:
             new = reached[~seen[reached]]
             seen[new] = True
             # random access; rows reached through another query's list count too
-            scores[np.ix_(new, left)] = x[new] @ w[left].T
+            scores[np.ix_(new, left)] = _longs(x[new] @ w[left].T)
             rows = np.flatnonzero(seen)
             done = np.ones(len(left), dtype=bool)
             if len(rows) < n:
                 high, low = self.value[n - depth].astype(kind), self.value[depth - 1].astype(kind)
-                bound = np.where(w[left] > 0, w[left] * high, w[left] * low).sum(axis=1)
+                bound = _longs(np.where(w[left] > 0, w[left] * high, w[left] * low).sum(axis=1))
                 done = self._kth(scores, rows, left, k, own) > bound if len(rows) > k else ~done
             for i in left[done]:
                 out[i] = self._best(scores[:, i], rows, k, own[i])
@@ -123,8 +128,7 @@ def _search(k: int):
                 place = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
                 own = np.where(ids[place] == qid, place, -1)
                 for i, (best, s) in enumerate(lists.top(w, k, own)):
-                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[best], "score": [
-                        max(-2**63, min(2**63 - 1, int(v))) for v in s]}))
+                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[best], "score": [int(v) for v in s]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
     return run
 
@@ -136,7 +140,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Returns query_id, rank (from 1), vec_id, score.  Vectors of another length
     than the query's are not compared.  Repeated rows count once; a score
-    beyond the longs is the nearest long.  Empty
+    beyond the longs is the nearest long, also for the order.  Empty
     tables give empty results; a query with fewer candidates gets them all.
     """
     n, m = vectors.count(), queries.count()
