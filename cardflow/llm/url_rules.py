@@ -108,10 +108,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow",
                                     url_path(F.col("url")).alias("path")), "rid")
     # no rule is longer than ``chars``, so what follows in a key decides nothing
     suffix = F.explode(F.sequence(F.lit(1), F.least(F.size(F.split("host", "\\.")), F.lit(labels))))
-    keys = (urls.where(~F.contains("host", F.lit(SEP)))
-            .select("rid", "host", "path", suffix.alias("n"))
-            .select(F.substring(F.concat(_reversed(F.col("host"), F.col("n")), F.lit(SEP), "path"),
-                                1, chars).alias("key"),
+    keys = (urls.select("rid", "host", "path", suffix.alias("n"))
+            .select("rid", "path", _reversed(F.col("host"), F.col("n")).alias("top"))
+            .where(~F.contains("top", F.lit(SEP)))  # no rule's host holds one
+            .select(F.substring(F.concat("top", F.lit(SEP), "path"), 1, chars).alias("key"),
                     F.lit(1).alias("kind"), "rid", F.lit(-1).cast("long").alias("number"),
                     F.xxhash64("rid").alias("tie")))
     opens = own.select("key", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("rid"), "number",
