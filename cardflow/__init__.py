@@ -30,7 +30,7 @@ from cardflow.operators.planning import (
     concurrency, daily_volume, instances, storage_projection, tier_costs,
 )
 from cardflow.sinks.messages import fraud_messages, topic_records
-from cardflow.sinks.writers import write_alerts, write_ledger, write_receipts, write_summary
+from cardflow.sinks.writers import write_ledger, write_receipts, write_summary
 
 __all__ = [
     "build_session", "checkpoint_root",
@@ -45,5 +45,5 @@ __all__ = [
     "velocity_exact",
     "concurrency", "instances", "daily_volume", "storage_projection", "tier_costs",
     "fraud_messages", "topic_records",
-    "write_ledger", "write_receipts", "write_summary", "write_alerts",
+    "write_ledger", "write_receipts", "write_summary",
 ]

@@ -13,12 +13,13 @@ def _c(c) -> Column:
 
 
 def strip_spaces(pan) -> Column:
-    """Remove every whitespace character from a card number.
+    """Remove every white-space character of the form's set from a card
+    number, the non-breaking ones included (P4).
 
     ``translate`` deletes the characters outright (no regular expression).
     """
-    from cardflow.functions.requests import WHITESPACE
-    return F.translate(_c(pan), WHITESPACE, "")
+    from cardflow.functions.requests import FORM_SPACES
+    return F.translate(_c(pan), FORM_SPACES, "")
 
 
 def mask_pan(pan) -> Column:

@@ -16,10 +16,16 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Characters a blank check treats as whitespace (the Java isBlank set
-# without the Unicode separators): space, tab, line feed, vertical tab,
-# form feed, carriage return, and the four information separators.
-WHITESPACE = " \t\n\u000b\f\r\u001c\u001d\u001e\u001f"
+# The characters that count as blank on the server (control
+# white space, the information separators, and every Unicode separator but
+# the non-breaking spaces), and those that a card number loses in the form
+# (which include the non-breaking ones and the byte-order mark).
+BLANKS = ("\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2008\u2009\u200a\u2028\u2029\u205f\u3000")
+FORM_SPACES = ("\t\n\u000b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000\ufeff")
+# Wide enough that no amount of cents is rounded on the way to the check.
+EXACT = "decimal(38,18)"
 
 
 def is_blank(c) -> Column:
@@ -29,7 +35,7 @@ def is_blank(c) -> Column:
     it stays a cheap scan inside whole-stage codegen.
     """
     c = _c(c)
-    return c.isNull() | (F.trim(c, F.lit(WHITESPACE)) == "")
+    return c.isNull() | (F.trim(c, F.lit(BLANKS)) == "")
 
 
 def _checks(merchant, pan, amount, currency, strict: bool) -> list[tuple[str, Column]]:
@@ -76,14 +82,16 @@ def validation_message(labels: Column) -> Column:
 
 
 def parse_amount(text) -> Column:
-    """Text to DECIMAL(18,2); NULL when it is not a number.
+    """Text to DECIMAL(18,2); NULL when it is not an amount.
 
     A decimal parse accepts signs and exponents (``1e3`` is 1000.00) but
-    not surrounding whitespace; extra decimals round half-up (1.005 is
-    1.01).
+    not surrounding whitespace.  An amount is never rounded: text with more
+    than two significant decimals (2500.004) or beyond the type is NULL, so
+    what is scored is what was sent.
     """
     t = _c(text)
-    return F.when(t == F.trim(t, F.lit(WHITESPACE)), t.try_cast(AMOUNT))
+    amount = t.try_cast(AMOUNT)
+    return F.when((t == F.trim(t, F.lit(BLANKS))) & (amount == t.try_cast(EXACT)), amount)
 
 
 def generated_key(request_id) -> Column:

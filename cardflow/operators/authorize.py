@@ -1,13 +1,15 @@
 """Request normalization and first-writer-wins authorization (P4-P7, P13,
 D1-D3, J1, J2, K1).
 
-Plan shape (checked with ``explain``): the winner per idempotency key is a
-``min_by`` aggregation, so it runs as partial + final aggregation and a
-key holding a third of all requests is folded map-side before the
-shuffle.  The per-key resolution (winner, stored row) is joined back to
-the attempts on the key; keys with very many attempts are salted over
-several tasks (``operators.skew``), so no task has to hold a hot key's
-attempts.  No window is partitioned by the key.
+Plan shape (checked with ``explain``): the first attempt per idempotency key
+is the minimum of one packed number (arrival, request id), and its count, so
+the aggregation is a hash aggregation with map-side partial results, also for
+a key holding a third of all requests.  That table, one row per key, is
+written once.  The winning rows are the attempts that match it on (key,
+number), a semi-join in which a hot key's attempts spread over their own
+numbers.  The resolution per key (winner, stored row) is joined back to the
+attempts on the key; keys with very many attempts are salted over several
+tasks (``operators.skew``).  No window is partitioned by the key.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from cardflow.functions.pan import encrypt_pan, mask_pan, strip_spaces
 from cardflow.functions.requests import (
     default_key, fields_ok, parse_amount, transaction_id, validation_labels, validation_message,
 )
+from cardflow.functions.order import time_id
 from cardflow.functions.text import receipt_key
-from cardflow.operators.skew import HOT_KEY_ROWS, MAX_HOT_KEYS, hot_keys, salted_join
+from cardflow.operators.skew import HOT_KEY_ROWS, hot_keys, salted_join
 from cardflow.schemas import TRANSACTION_COLUMNS
+from cardflow.session import materialize
 
 KEY = "idempotencyKey"
 # Attempt order: arrival time, then the request id as the unique tie-break.
@@ -34,9 +38,6 @@ def _checked(requests: DataFrame, strict: bool) -> DataFrame:
     (the cheap boolean decision) and ``error`` (built only when not ok)."""
     r = requests.withColumn("pan", strip_spaces("pan"))
     amount = parse_amount("amount")
-    if strict:
-        # more than two decimals is rejected rather than rounded
-        amount = F.when(amount == F.col("amount").try_cast("decimal(38,10)"), amount)
     checked = r.select(*[c for c in r.columns if c != "amount"],
                        F.col("amount").alias("amount_text"), amount.alias("amount"))
     ok = F.coalesce(fields_ok(amount="amount_text", strict=strict) & F.col("amount").isNotNull(),
@@ -89,13 +90,18 @@ def to_transactions(valid: DataFrame, key: Column | None = None) -> DataFrame:
     )
 
 
+def first_attempt() -> Column:
+    """The first attempt by (arrival, request id), as one packed number."""
+    return F.min(time_id(*ORDER))
+
+
 def _row(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c).alias(c) for c in TRANSACTION_COLUMNS])
 
 
 def authorize(valid: DataFrame, ledger: DataFrame | None = None,
               key: Column | None = None, batch_id: str | None = None,
-              hot_rows: int = HOT_KEY_ROWS, max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+              hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Outcome per attempt.
 
     The first attempt per idempotency key (by arrival, request_id) that
@@ -113,12 +119,13 @@ def authorize(valid: DataFrame, ledger: DataFrame | None = None,
     Output: request_id, arrival, outcome, receiptKey, is_new, and the
     TRANSACTION columns of the row the attempt resolves to.
     """
-    cand = to_transactions(valid, key)
-    row_type = cand.select(_row().alias("s")).schema["s"].dataType
-    winners = (cand.groupBy(KEY)
-               .agg(F.min_by(F.struct(F.col("request_id").alias("rid"), _row().alias("row")),
-                             F.struct(*[F.col(c) for c in ORDER])).alias("w"),
-                    F.count(F.lit(1)).alias("n")))
+    first = time_id(*ORDER)
+    per_key = materialize(valid.groupBy(KEY).agg(first_attempt().alias("first"),
+                                                 F.count(F.lit(1)).alias("n")), "first-attempts")
+    # the winning rows, one per key: (key, number) is no hot key
+    winners = (to_transactions(valid, key).withColumn("first", first)
+               .join(per_key.select(KEY, "first"), [KEY, "first"], "left_semi")
+               .select(F.col(KEY), F.struct(F.col("request_id").alias("rid"), _row().alias("row")).alias("w")))
     # resolution per key: the batch winner and the stored row, if any
     # (both sides hold one row per key, so this join has no hot key)
     if ledger is not None:
@@ -127,12 +134,10 @@ def authorize(valid: DataFrame, ledger: DataFrame | None = None,
             led = led.where(F.col("batch_id").isNull() | (F.col("batch_id") != F.lit(batch_id)))
         res = winners.join(led.select(F.col(KEY), _row().alias("stored")), KEY, "left")
     else:
+        row_type = winners.schema["w"].dataType["row"].dataType
         res = winners.withColumn("stored", F.lit(None).cast(row_type))
-    # hot keys from the same aggregation (referencing ``w`` keeps its plan
-    # identical, so the partial-aggregate shuffle is reused, not repeated)
-    hot = hot_keys(winners.where(F.col("w").isNotNull()), KEY, hot_rows=hot_rows,
-                   max_keys=max_hot_keys)
-    j = salted_join(cand.select(KEY, *ORDER), res.select(KEY, "w", "stored"), KEY, hot,
+    hot = hot_keys(per_key, KEY, hot_rows=hot_rows)
+    j = salted_join(valid.select(KEY, *ORDER), res.select(KEY, "w", "stored"), KEY, hot,
                     F.xxhash64("request_id"))
     is_new = F.col("stored").isNull() & (F.col("request_id") == F.col("w.rid"))
     out = j.select(

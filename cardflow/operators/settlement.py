@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.operators.lifecycle import KEY, settle_events
-from cardflow.functions.text import ntz_lit, settlement_message, settlement_subject, summary_key
+from cardflow.functions.text import (
+    iso_instant, ntz_lit, plain_total, settlement_message, settlement_subject, summary_key,
+)
 from cardflow.schemas import TOTAL
 from cardflow.constants import STATUS_AUTHORIZED
 
@@ -64,6 +66,18 @@ def summary(current: DataFrame, batch_id: str, settled_at) -> DataFrame:
     )
 
 
+def summary_document(current: DataFrame, batch_id: str, settled_at, ids_path: str) -> DataFrame:
+    """The summary document's columns (K3), one schema at every size: the
+    settled ids are a dataset of their own, named by path and row count;
+    ``settledAt`` is an ISO instant and an empty batch's total is ``0``."""
+    s = summary(current, batch_id, settled_at)
+    return s.select(
+        "batchId", iso_instant("settledAt").alias("settledAt"), "transactionCount",
+        plain_total("transactionCount", "totalAmount").alias("totalAmount"),
+        F.lit(ids_path).alias("transactionIdsPath"),
+        F.col("transactionCount").alias("transactionIdsCount"))
+
+
 def settle(current: DataFrame, cutoff, batch_id: str, by_currency: bool = False):
     """(events, summary, ids) of one batch over the current view (L3).
 

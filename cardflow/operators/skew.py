@@ -7,11 +7,11 @@ split does not apply when one side of the join is an aggregate rather
 than a plain shuffle, so the split is made explicit:
 
 1. ``hot_keys``: from per-key row counts (a partial aggregation, itself
-   skew-safe), keep keys above ``hot_rows``, largest first, at most
-   ``max_keys`` of them.  The result is bounded by ``max_keys`` rows, so
-   broadcasting it is safe at any input size; keys beyond the cap each
-   hold fewer rows than every kept key and go through the normal path,
-   exactly.
+   skew-safe), every key above ``hot_rows``, with a number of splits that
+   grows with its rows.  There are at most rows / ``hot_rows`` of them.  The
+   table is written once, so the planner knows its size: it is broadcast
+   under the session's threshold, and above it the join is a shuffle of two
+   plain tables, which AQE splits.
 2. ``salted_join``: big-side rows of a hot key get a salt in
    ``[0, splits)`` from a per-row hash; small-side rows of a hot key are
    copied once per salt; the join runs on (key, salt).  A hot key is then
@@ -24,23 +24,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardflow.session import materialize
+
 # A key with more rows than this on the big side is split.
 HOT_KEY_ROWS = 1_000_000
-# At most this many keys are split (bounds the broadcast hot-key table).
-MAX_HOT_KEYS = 10_000
-# Target rows per split of a hot key, and the most splits per key.
+# Target rows per split of a hot key.
 ROWS_PER_SPLIT = 500_000
-MAX_SPLITS = 4096
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n", hot_rows: int = HOT_KEY_ROWS,
-             max_keys: int = MAX_HOT_KEYS, rows_per_split: int = ROWS_PER_SPLIT,
-             max_splits: int = MAX_SPLITS) -> DataFrame:
-    """Bounded table (key, _splits) of the keys to split."""
-    splits = F.least(F.ceil(F.col(n) / F.lit(rows_per_split)), F.lit(max_splits)).cast("int")
-    return (counts.where(F.col(n) > F.lit(hot_rows))
-            .orderBy(F.col(n).desc(), F.col(key)).limit(max_keys)
-            .select(F.col(key), F.greatest(splits, F.lit(2)).alias("_splits")))
+             rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+    """Written table (key, _splits) of the keys to split."""
+    splits = F.ceil(F.col(n) / F.lit(rows_per_split)).cast("int")
+    return materialize(counts.where(F.col(n) > F.lit(hot_rows))
+                       .select(F.col(key), F.greatest(splits, F.lit(2)).alias("_splits")), "hot-keys")
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, hot: DataFrame,
@@ -52,12 +49,11 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, hot: DataFrame,
     puts every row in the same split.  ``how`` is ``inner`` or ``left``
     (big side preserved).
     """
-    hb = F.broadcast(hot)
-    b = (big.join(hb, on, "left")
+    b = (big.join(hot, on, "left")
          .withColumn("_salt", F.when(F.col("_splits").isNull(), F.lit(0))
                      .otherwise(F.pmod(salt_of, F.col("_splits"))).cast("int"))
          .drop("_splits"))
     copies = F.when(F.col("_splits").isNull(), F.array(F.lit(0))) \
         .otherwise(F.sequence(F.lit(0), F.col("_splits") - 1))
-    s = small.join(hb, on, "left").withColumn("_salt", F.explode(copies)).drop("_splits")
+    s = small.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_splits")
     return b.join(s, [on, "_salt"], how).drop("_salt")

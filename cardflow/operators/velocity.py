@@ -85,7 +85,9 @@ def _slices(width_us: int, requested: int | None) -> int:
     By default slices are at most a minute long (long windows) and at most
     1/32 of the window (short ones)."""
     if requested:
-        return requested if width_us % requested == 0 else 1
+        if requested < 1 or width_us % requested:
+            raise ValueError(f"a window of {width_us} us is no whole number of {requested} slices")
+        return requested
     minute = 60_000_000
     if width_us > 32 * minute and width_us % minute == 0:
         return width_us // minute
@@ -194,10 +196,11 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
     else:
         stats = r.groupBy(partition).agg(
             F.count(F.lit(1)).alias("_n"), F.min("_arr").alias("_a0"), F.max("_arr").alias("_a1"))
-        cw = F.greatest(F.lit(1), F.ceil((F.col("_a1") - F.col("_a0") + 1) * F.lit(rows_per_chunk)
-                                         / F.col("_n"))).cast("bigint")
+        # in floating point: the product is beyond a long after a few months
+        width_of = (F.col("_a1") - F.col("_a0") + 1).cast("double") * F.lit(float(rows_per_chunk)) / F.col("_n")
+        cw = F.greatest(F.lit(1.0), F.least(F.ceil(width_of).cast("double"), F.lit(2.0 ** 62))).cast("bigint")
         r = (r.join(stats.select(partition, "_a0", cw.alias("_cw")), partition)
-             .withColumn("_chunk", ((F.col("_arr") - F.col("_a0")) / F.col("_cw")).cast("bigint"))
+             .withColumn("_chunk", F.expr("(_arr - _a0) div _cw"))
              .drop("_a0", "_cw"))
     # level 1: max event time per (partition, chunk) -- a small table
     per_chunk = r.groupBy(partition, "_chunk").agg(F.max("_us").alias("_cmax"))

@@ -23,7 +23,7 @@ from cardflow.operators import lifecycle as L
 from cardflow.operators import settlement as S
 from cardflow.operators.scoring import severity_counts
 from cardflow.functions.pan import mask_pan, strip_spaces
-from cardflow.functions.requests import parse_amount
+from cardflow.functions.requests import BLANKS, FORM_SPACES, parse_amount
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -59,10 +59,14 @@ def merchant_summary(p: Pipeline) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-@query("mask_pan", Q.with_(Q.REQ, Q.RAW) + """
-SELECT request_id, regexp_replace(pan, '\\s+', '', 'g') AS pan_clean,
-       CASE WHEN length(regexp_replace(pan, '\\s+', '', 'g')) >= 4
-            THEN '**** **** **** ' || right(regexp_replace(pan, '\\s+', '', 'g'), 4) END AS maskedPan
+# both white-space sets, written out in the SQL as characters
+_PAN = f"translate(pan, '{FORM_SPACES}', '')"
+_BLANK = "({c} IS NULL OR translate({c}, '" + BLANKS + "', '') = '')"
+
+
+@query("mask_pan", Q.with_(Q.REQ, Q.RAW) + f"""
+SELECT request_id, {_PAN} AS pan_clean,
+       CASE WHEN length({_PAN}) >= 4 THEN '**** **** **** ' || right({_PAN}, 4) END AS maskedPan
 FROM raw""")
 def q_mask_pan(p: Pipeline) -> DataFrame:
     r = p.raw_requests
@@ -70,14 +74,14 @@ def q_mask_pan(p: Pipeline) -> DataFrame:
                     mask_pan(strip_spaces("pan")).alias("maskedPan"))
 
 
-_BLANK = "({c} IS NULL OR regexp_replace({c}, '\\s+', '', 'g') = '')"
-_PAN = "regexp_replace(pan, '\\s+', '', 'g')"
 _LABELS = ("concat_ws(', ', "
            f"CASE WHEN {_BLANK.format(c='merchantId')} THEN 'merchantId' END, "
            f"CASE WHEN {_BLANK.format(c=_PAN)} OR length({_PAN}) < 12 THEN 'pan (12+ digits)' END, "
            f"CASE WHEN {_BLANK.format(c='amount')} THEN 'amount' END, "
            f"CASE WHEN {_BLANK.format(c='currency')} THEN 'currency' END)")
-_AMOUNT = "CASE WHEN NOT regexp_matches(amount, '^\\s|\\s$') THEN TRY_CAST(amount AS DECIMAL(18,2)) END"
+_AMOUNT = ("CASE WHEN NOT regexp_matches(amount, '^\\s|\\s$') "
+           "AND TRY_CAST(amount AS DECIMAL(18,2)) = TRY_CAST(amount AS DECIMAL(38,18)) "
+           "THEN TRY_CAST(amount AS DECIMAL(18,2)) END")
 
 
 @query("validate_requests", Q.with_(Q.REQ, Q.RAW) + f"""
@@ -97,9 +101,9 @@ def q_parse_amount(p: Pipeline) -> DataFrame:
                     parse_amount("amount").alias("amount"))
 
 
-@query("default_keys", Q.with_(Q.REQ, Q.RAW) + """
+@query("default_keys", Q.with_(Q.REQ, Q.RAW) + f"""
 SELECT request_id,
-       CASE WHEN idempotencyKey IS NULL OR regexp_replace(idempotencyKey, '\\s+', '', 'g') = ''
+       CASE WHEN {_BLANK.format(c='idempotencyKey')}
             THEN 'gen-' || sha256(CAST(request_id AS VARCHAR)) ELSE idempotencyKey END AS idempotencyKey
 FROM raw""")
 def q_default_keys(p: Pipeline) -> DataFrame:
@@ -270,6 +274,17 @@ def q_notice(p: Pipeline) -> DataFrame:
     return S.summary(p.batch1_current, BATCH_1, FIRST_CUTOFF)
 
 
+@query("settlement_document", _B1 + f"""
+SELECT '{BATCH_1}' AS batchId, strftime(TIMESTAMP '{CUT1}', '%Y-%m-%dT%H:%M:%SZ') AS settledAt,
+       count(*) AS transactionCount,
+       CASE WHEN count(*) = 0 THEN '0' ELSE CAST(CAST(sum(amount) AS DECIMAL(38,2)) AS VARCHAR) END AS totalAmount,
+       'settlements/{BATCH_1}/ids' AS transactionIdsPath, count(*) AS transactionIdsCount
+FROM cur WHERE cur_status = 'AUTHORIZED'""")
+def q_document(p: Pipeline) -> DataFrame:
+    """K3: the summary document, one schema at any number of ids."""
+    return S.summary_document(p.batch1_current, BATCH_1, FIRST_CUTOFF, f"settlements/{BATCH_1}/ids")
+
+
 _SETTLE1 = f"SELECT idempotencyKey, 'SETTLED', TIMESTAMP '{CUT1}', 3 FROM cur1 WHERE cur_status = 'AUTHORIZED'"
 
 
@@ -383,7 +398,7 @@ def q_newest_entry(p: Pipeline) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 from cardflow.operators import velocity as V  # noqa: E402
-from cardflow.sources.fixtures import topic_partition  # noqa: E402
+from cardflow.sinks.messages import topic_partition  # noqa: E402
 
 _CARD = "'**** **** **** ' || right(pan, 4)"
 _FIVE = "CAST(CAST(right(pan, 2) AS INTEGER) % 5 AS VARCHAR)"
@@ -448,9 +463,12 @@ def _topic(p: Pipeline) -> DataFrame:
                     topic_partition(F.col("maskedPan")).alias("source_partition"))
 
 
-@query("velocity_exact_late", Q.BASE_SC + """,
+_PART = "CAST('0x' || substr(md5({c}), 1, 8) AS BIGINT) % 4"
+
+
+@query("velocity_exact_late", Q.BASE_SC + f""",
 rec AS (SELECT request_id, maskedPan AS key, arrival AS ts, scored_at,
-               CAST(right(maskedPan, 4) AS INTEGER) % 4 AS part FROM sc),
+               {_PART.format(c='maskedPan')} AS part FROM sc),
 seen AS (SELECT *, max(epoch_us(ts)) OVER (PARTITION BY part ORDER BY scored_at, request_id
                                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen_us,
                 time_bucket(INTERVAL '1 hour', ts) AS window_start FROM rec)
@@ -561,7 +579,7 @@ def q_messages(p: Pipeline) -> DataFrame:
 
 @query("topic_records", Q.BASE + f"""
 SELECT maskedPan AS key, {Q.JSON_BODY} AS value, createdAt AS timestamp,
-       CAST(right(maskedPan, 4) AS INTEGER) % 4 AS source_partition
+       CAST({_PART.format(c='maskedPan')} AS INTEGER) AS source_partition
 FROM led""")
 def q_topic(p: Pipeline) -> DataFrame:
     from cardflow.sinks.messages import topic_records
@@ -585,8 +603,8 @@ def q_pan_round_trip(p: Pipeline) -> DataFrame:
     """Every card number decrypts back to itself under the right
     context; under another context it does not decrypt."""
     from cardflow.functions.pan import decrypt_pan, encrypt_pan
-    from cardflow.session import pan_key
-    key = pan_key(p.spark)
+    from cardflow.sources.fixtures import FIXTURE_PAN_KEY
+    key = F.lit(FIXTURE_PAN_KEY)
     enc = p.requests.select("request_id", "pan", encrypt_pan("pan", key).alias("c"))
     return enc.select(
         "request_id", mask_pan("pan").alias("maskedPan"),
@@ -649,19 +667,7 @@ def q_orders(p: Pipeline) -> DataFrame:
     from cardflow.functions.scoring import default_score
     from cardflow.operators.scoring import score
     from cardflow.plans.context import slice_summary
-    from cardflow.schemas import AMOUNT
-    from cardflow.sources.tables import spread, table
-    o = spread(table(p.spark, p.sf_dir, "orders"), "o_orderkey")
-    req = o.select(
-        F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("arrival"),
-        F.col("o_orderpriority").alias("merchantId"),
-        F.concat(F.lit("41111111"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("pan"),
-        F.col("o_totalprice").cast(AMOUNT).cast("string").alias("amount"),
-        F.lit("USD").alias("currency"),
-        F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("idempotencyKey"))
-    valid, _ = A.normalize_requests(req)
-    # the ledger feeds three branches (events, holds, current rows): written once
-    stored = p._cut(A.new_rows(A.authorize(valid)), "orders-ledger")
+    stored = p.orders_stored
     fn = lambda df: default_score(F.col("amount"), Decimal(ORDERS_THRESHOLD))
     scored = score(stored, fn).withColumn("scored_at", F.col("createdAt"))
     return slice_summary(stored, scored, ORDERS_CUTOFF)

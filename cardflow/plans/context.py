@@ -21,9 +21,9 @@ from cardflow.operators import lifecycle as L
 from cardflow.operators import settlement as S
 from cardflow.operators.scoring import fraud_alerts
 from cardflow.sources import fixtures as X
-from cardflow.sources.tables import spread, table
+from cardflow.sources.tables import table
 from cardflow.functions.text import batch_id
-from cardflow.session import materialize
+from cardflow.session import materialize, path_version
 
 CUTOFF = X.DEFAULT_CUTOFF
 FIRST_CUTOFF = X.FIRST_CUTOFF
@@ -70,15 +70,10 @@ class Pipeline:
         """One materialized pipeline per (application, source folder,
         source file versions): reports read the persisted ledger and event
         log instead of rebuilding them, as downstream jobs read tables a
-        pipeline wrote.  A changed source file gives a new pipeline."""
-        import os
-        src = os.path.join(sf_dir, "events.parquet")
-        try:
-            st = os.stat(src)
-            version = (st.st_mtime_ns, st.st_size)
-        except OSError:  # not a local path: no reuse
-            return cls(spark, sf_dir)
-        key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), version)
+        pipeline wrote.  A changed source (files, sizes or times, as its
+        filesystem lists them) gives a new pipeline."""
+        version = tuple(path_version(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("events", "orders"))
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), version)
         if key not in cls._shared:
             # same application only, and a few folders at most
             kept = [(k, v) for k, v in cls._shared.items() if k[0] == key[0]][-3:]
@@ -92,17 +87,12 @@ class Pipeline:
         unpersisted plan computes it twice: once to count, once to write),
         and the read side gets column pruning, filter pushdown and real
         file-size statistics for the planner."""
-        if not self.materialize:
-            return df
-        try:
-            return materialize(df, name)
-        except RuntimeError:  # no shared folder configured: recompute instead
-            return df
+        return materialize(df, name) if self.materialize else df
 
     # sources -------------------------------------------------------------
     @cached_property
     def events(self) -> DataFrame:
-        return spread(table(self.spark, self.sf_dir, "events"), "event_id")
+        return table(self.spark, self.sf_dir, "events")
 
     @cached_property
     def requests(self) -> DataFrame:
@@ -192,6 +182,13 @@ class Pipeline:
         return self._cut(self.events_after_batch1.unionByName(
             L.settle_events(self.batch2_current, CUTOFF)), "events_all")
 
+    @cached_property
+    def orders_stored(self) -> DataFrame:
+        """The orders as a ledger (the registered slice on ``orders``),
+        written once per source version."""
+        o = table(self.spark, self.sf_dir, "orders")
+        return self._cut(A.new_rows(A.authorize(A.normalize_requests(X.order_requests(o))[0])), "orders-ledger")
+
     # minimum slice ------------------------------------------------------------
     def merchant_summary(self) -> DataFrame:
         """Authorized, held, settled and settled total per merchant after

@@ -8,11 +8,12 @@ them):
     root/ledger          stored transactions (first writer per key)
     root/outcomes        one row per attempt (APPROVED / DUPLICATE)
     root/rejected        requests failing validation
-    root/receipts        receipt documents by merchant
-    root/fraud_queue     fraud-check messages (body, amount)
-    root/topic           transaction topic records (key = masked card)
+    root/receipts        receipt documents by merchant bucket
+    root/fraud_queue     fraud-check messages (JSON, as ``read_fraud_queue`` reads them)
+    root/topic           transaction topic records (JSON, as ``read_topic`` reads them)
+    root/release_not_found  release requests of unknown transactions
     root/alerts          high-risk alerts
-    root/status_events   authorize / hold / settle events
+    root/status_events   authorize / hold / release / settle events
     root/settlements     summary document and settled ids per settlement batch
     root/notices         settlement notices
 
@@ -33,10 +34,10 @@ from cardflow.operators import settlement as S
 from cardflow.operators.authorize import authorize, new_rows, normalize_requests
 from cardflow.operators.scoring import fraud_alerts, score
 from cardflow.schemas import LEDGER_TABLE, STATUS_EVENT_TABLE
-from cardflow.session import materialize, path_exists
-from cardflow.sinks.messages import fraud_messages, topic_records
+from cardflow.session import materialize, pan_key, path_exists
+from cardflow.sinks.messages import publish_queue, publish_topic
 from cardflow.sinks.writers import (
-    append_batch, read_ledger_for, write_ledger, write_receipts, write_summary,
+    append_batch, batch_folder, read_ledger_for, write_ledger, write_receipts, write_summary,
 )
 
 
@@ -50,31 +51,45 @@ def _table(spark: SparkSession, path: str, schema, exclude_batch: str | None = N
 
 
 def run_batch(spark: SparkSession, requests: DataFrame, root: str, batch_id: str,
-              settle_at: dt.datetime | None = None) -> dict:
-    """Authorize, score and (optionally) settle one batch; returns counts."""
+              settle_at: dt.datetime | None = None, releases: DataFrame | None = None,
+              encrypt: bool = False) -> dict:
+    """Authorize, score, release and (optionally) settle one batch; returns
+    counts.
+
+    ``releases`` (transactionId, released_at) frees held transactions that
+    this batch or an earlier one recorded before the request; the others go
+    to ``release_not_found``.  ``encrypt`` stores card numbers encrypted with
+    the session's key.
+    """
     root = root.rstrip("/")
     valid, rejected = normalize_requests(requests)
     valid = materialize(valid, f"job-valid-{batch_id}")
     ledger = (read_ledger_for(spark, f"{root}/ledger", valid)
               if path_exists(spark, f"{root}/ledger") else None)
     # outcomes are written before the ledger changes: read, then write
-    outcomes = materialize(authorize(valid, ledger=ledger, batch_id=batch_id),
-                           f"job-outcomes-{batch_id}")
+    outcomes = materialize(authorize(valid, ledger=ledger, batch_id=batch_id,
+                                     key=pan_key(spark) if encrypt else None), f"job-outcomes-{batch_id}")
     stored = new_rows(outcomes)
     write_ledger(stored, f"{root}/ledger", batch_id)
     append_batch(outcomes.drop("is_new"), f"{root}/outcomes", batch_id)
     append_batch(rejected, f"{root}/rejected", batch_id)
     write_receipts(stored, f"{root}/receipts", batch_id)
-    append_batch(fraud_messages(stored), f"{root}/fraud_queue", batch_id)
-    append_batch(topic_records(stored), f"{root}/topic", batch_id)
+    publish_queue(stored, f"{root}/fraud_queue", batch_id)
+    publish_topic(stored, f"{root}/topic", batch_id)
 
     scored = score(stored).withColumn("scored_at", F.col("createdAt"))
     append_batch(fraud_alerts(scored), f"{root}/alerts", batch_id)
-    events = L.authorize_events(stored).unionByName(L.hold(scored))
+    events = L.authorize_events(stored).unionByName(L.hold_events(scored))
+    if releases is not None:
+        known = spark.read.parquet(f"{root}/outcomes").select("transactionId", "idempotencyKey", "arrival")
+        freed, missing = L.release(releases, known)
+        events = events.unionByName(freed)
+        append_batch(missing, f"{root}/release_not_found", batch_id)
     append_batch(events, f"{root}/status_events", batch_id)
 
-    counts = {"requests": requests.count(), "stored": stored.count(),
-              "rejected": rejected.count()}
+    # counted from what was written: the requests are read once
+    bad = spark.read.parquet(batch_folder(f"{root}/rejected", batch_id)).count()
+    counts = {"requests": outcomes.count() + bad, "stored": stored.count(), "rejected": bad}
     if settle_at is not None:
         settle_id = make_batch_id(settle_at, batch_id)
         all_events = _table(spark, f"{root}/status_events", STATUS_EVENT_TABLE,

@@ -18,13 +18,20 @@ REQ = """req AS (
 
 RAW = """raw AS (
   SELECT request_id, arrival,
-         CASE WHEN request_id % 97 = 0 THEN ' ' || chr(9) || ' ' ELSE merchantId END AS merchantId,
+         CASE WHEN request_id % 97 = 0 THEN ' ' || chr(9) || ' '
+              WHEN request_id % 101 = 0 THEN chr(12288) || chr(8195)
+              WHEN request_id % 103 = 0 THEN chr(160) ELSE merchantId END AS merchantId,
          CASE WHEN request_id % 89 = 0 THEN substr(pan, 1, 11)
               WHEN request_id % 11 = 0 THEN concat_ws(' ', substr(pan, 1, 4), substr(pan, 5, 4), substr(pan, 9, 4), substr(pan, 13, 4))
+              WHEN request_id % 67 = 0 THEN concat_ws(chr(160), substr(pan, 1, 4), substr(pan, 5, 4), substr(pan, 9, 4), substr(pan, 13, 4))
+              WHEN request_id % 59 = 0 THEN substr(pan, 1, 12) || 'ABCD'
               ELSE pan END AS pan,
          CASE WHEN request_id % 83 = 0 THEN 'abc'
               WHEN request_id % 79 = 0 THEN '1e3'
               WHEN request_id % 61 = 0 THEN CAST(amount AS VARCHAR) || '5'
+              WHEN request_id % 53 = 0 THEN '2500.004'
+              WHEN request_id % 47 = 0 THEN '2500.000'
+              WHEN request_id % 43 = 0 THEN '12345678901234567.00'
               ELSE CAST(amount AS VARCHAR) END AS amount,
          CASE WHEN request_id % 73 = 0 THEN NULL ELSE currency END AS currency,
          CASE WHEN request_id % 71 = 0 THEN '' ELSE idempotencyKey END AS idempotencyKey

@@ -82,21 +82,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), "cardflow", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+# The deployment's card-number key (16, 24 or 32 bytes).
 PAN_KEY_CONF = "spark.cardflow.panKey"
-# Fixed test key, used only when the session does not name one; a real
-# deployment sets spark.cardflow.panKey (16, 24 or 32 bytes).
-TEST_PAN_KEY = "0123456789abcdef0123456789abcdef"
 
 
 def pan_key(spark: SparkSession):
-    """The card-number encryption key as a Column, read from the session.
+    """The card-number encryption key as a Column, read from the session; an
+    error when the session names none.
 
     The key's text is added to ``spark.sql.redaction.string.regex``, so
     plans printed by explain show it redacted.
     """
     import re
     from pyspark.sql import functions as F
-    key = spark.conf.get(PAN_KEY_CONF, TEST_PAN_KEY)
+    key = spark.conf.get(PAN_KEY_CONF, None)
+    if not key:
+        raise RuntimeError(f"{PAN_KEY_CONF} is not set; encryption needs a key")
     pattern = re.escape(key)
     current = spark.conf.get("spark.sql.redaction.string.regex", None)
     if not current:
@@ -114,6 +115,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on its filesystem, if it exists."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def path_version(spark: SparkSession, path: str) -> tuple:
+    """What a file or folder holds now: its files' number, total size and
+    latest modification, as its filesystem lists them."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, size, latest = 0, 0, 0
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        f = it.next()
+        files, size, latest = files + 1, size + f.getLen(), max(latest, f.getModificationTime())
+    return files, size, latest
+
+
 def materialize(df, name: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     return a DataFrame reading it: cuts lineage in one pass, survives lost

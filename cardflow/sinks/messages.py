@@ -1,12 +1,22 @@
-"""Outbound message columns (K4, K5): what a queue or topic sink receives."""
+"""Outbound messages (K4, K5): their columns, and the queue and topic sinks
+that the readers of S2 and S3 read (a JSON folder, or a broker)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardflow.functions.text import encode_json
-from cardflow.sources.fixtures import topic_partition
+from cardflow.functions.text import encode_json, ntz_as_utc
+from cardflow.sinks.writers import append_batch
+
+TOPIC_PARTITIONS = 4
+
+
+def topic_partition(key, partitions: int = TOPIC_PARTITIONS):
+    """Partition of a record's key, any text: the first 32 bits of its MD5
+    modulo the number of partitions (a null key: partition 0)."""
+    head = F.conv(F.substring(F.md5(F.coalesce(key, F.lit(""))), 1, 8), 16, 10).cast("long")
+    return F.when(key.isNull(), F.lit(0)).otherwise(F.pmod(head, F.lit(partitions))).cast("int")
 
 
 def fraud_messages(stored: DataFrame) -> DataFrame:
@@ -15,7 +25,8 @@ def fraud_messages(stored: DataFrame) -> DataFrame:
     return stored.select("transactionId", encode_json().alias("body"), "amount")
 
 
-def topic_records(stored: DataFrame, partitions_from: str = "maskedPan") -> DataFrame:
+def topic_records(stored: DataFrame, partitions_from: str = "maskedPan",
+                  partitions: int = TOPIC_PARTITIONS) -> DataFrame:
     """Transaction topic records keyed by masked card number (K5).
 
     ``timestamp`` is the event time; ``source_partition`` follows the key
@@ -24,5 +35,40 @@ def topic_records(stored: DataFrame, partitions_from: str = "maskedPan") -> Data
     return stored.select(
         F.col("maskedPan").alias("key"), encode_json().alias("value"),
         F.col("createdAt").alias("timestamp"),
-        topic_partition(F.col(partitions_from)).alias("source_partition"),
+        topic_partition(F.col(partitions_from), partitions).alias("source_partition"),
     )
+
+
+def publish_queue(stored: DataFrame, target: str, batch_id: str, fmt: str = "json",
+                  topic: str = "fraud-check") -> None:
+    """Send a fraud-check message per stored row where ``read_fraud_queue``
+    reads it: the batch's folder below ``target``, or, with ``fmt="kafka"``,
+    the broker at ``target`` (the amount as a header)."""
+    amount = F.col("amount").cast("string")
+    if fmt == "kafka":
+        header = F.struct(F.lit("amount").alias("key"), F.encode(amount, "UTF-8").alias("value"))
+        _send(fraud_messages(stored).select(F.col("transactionId").alias("key"), F.col("body").alias("value"),
+                                            F.array(header).alias("headers")), target, topic)
+    else:
+        append_batch(stored.select(encode_json().alias("body"), amount.alias("amount"),
+                                   ntz_as_utc("createdAt").alias("sent_at")), target, batch_id, fmt)
+
+
+def publish_topic(stored: DataFrame, target: str, batch_id: str, fmt: str = "json",
+                  topic: str = "transactions.authorized", partitions: int = TOPIC_PARTITIONS) -> None:
+    """Send a topic record per stored row where ``read_topic`` reads it: the
+    batch's folder below ``target`` in arrival order, or, with
+    ``fmt="kafka"``, the broker at ``target``, which partitions by key."""
+    rec = topic_records(stored, partitions=partitions)
+    if fmt == "kafka":
+        _send(rec.select("key", "value", ntz_as_utc("timestamp").alias("timestamp")), target, topic)
+    else:
+        # the replay order within a partition: the event time in microseconds
+        out = rec.select("key", "value", ntz_as_utc("timestamp").alias("timestamp"), "source_partition",
+                         F.unix_micros(ntz_as_utc("timestamp")).alias("arrival"))
+        append_batch(out, target, batch_id, fmt)
+
+
+def _send(df: DataFrame, servers: str, topic: str) -> None:
+    (df.write.format("kafka").option("kafka.bootstrap.servers", servers)
+     .option("topic", topic).option("includeHeaders", "true").save())

@@ -1,9 +1,9 @@
 """File sinks: ledger, receipts, settlement summaries, alerts (K1-K3, K6, K8).
 
 Every writer is idempotent under replay: output for one batch goes to its
-own ``batch_id=<id>`` partition and is written with dynamic partition
-overwrite, so re-running a batch (after a lost executor or a restarted
-stream) replaces its files instead of adding a second copy.
+own ``batch_id=<id>`` folder, which a rerun (after a lost executor or a
+restarted stream) overwrites whole, so no file of an earlier attempt stays,
+also where the rerun yields fewer rows or none.  No session setting changes.
 """
 
 from __future__ import annotations
@@ -11,23 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardflow.functions.text import encode_json, ntz_lit
+from cardflow.functions.text import encode_json
+from cardflow.session import materialize
 
 
-def _overwrite_partitions(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+def batch_folder(path: str, batch_id: str) -> str:
+    return f"{path.rstrip('/')}/batch_id={batch_id}"
 
 
 def append_batch(df: DataFrame, path: str, batch_id: str, fmt: str = "parquet") -> None:
-    """Write ``df`` as the ``batch_id`` partition of the table at ``path`` (K1)."""
-    _overwrite_partitions(df)
-    (df.withColumn("batch_id", F.lit(str(batch_id)))
-       .write.mode("overwrite").partitionBy("batch_id").format(fmt).save(path))
+    """Write ``df`` as the ``batch_id`` folder of the table at ``path`` (K1)."""
+    df.write.mode("overwrite").format(fmt).save(batch_folder(path, batch_id))
 
 
-# Ledger folders per key bucket: a batch reads only the buckets its keys
-# fall in.
+# Key buckets of the ledger: a batch reads only the buckets its keys fall in.
 LEDGER_BUCKETS = 256
+# Merchant buckets of the receipts: a fixed number, however many merchants.
+RECEIPT_BUCKETS = 64
 
 
 def key_bucket(key_col, buckets: int = LEDGER_BUCKETS):
@@ -39,14 +39,14 @@ def write_ledger(new_rows: DataFrame, path: str, batch_id: str,
     """Store a batch's new transactions (K1: insert of absent keys only;
     the anti-join against earlier batches happened in ``authorize``).
 
-    Partitioned by ``key_bucket`` and ``batch_id`` with dynamic overwrite:
-    a replayed batch replaces its own files, and a later batch can read
-    just the buckets of its keys (``read_ledger_for``).
+    The batch's folder holds a folder per key bucket; rows are gathered by
+    bucket first, so a bucket is a few files however many tasks there are,
+    and a later batch can read just the buckets of its keys
+    (``read_ledger_for``).
     """
-    _overwrite_partitions(new_rows)
     (new_rows.withColumn("key_bucket", key_bucket(F.col("idempotencyKey"), buckets))
-     .withColumn("batch_id", F.lit(str(batch_id)))
-     .write.mode("overwrite").partitionBy("key_bucket", "batch_id").parquet(path))
+     .hint("rebalance", "key_bucket")
+     .write.mode("overwrite").partitionBy("key_bucket").parquet(batch_folder(path, batch_id)))
 
 
 def read_ledger_for(spark, path: str, keys: DataFrame, buckets: int = LEDGER_BUCKETS):
@@ -64,59 +64,36 @@ def read_ledger(spark, path: str) -> DataFrame:
     return spark.read.schema(LEDGER_TABLE).parquet(path)
 
 
-def write_receipts(stored: DataFrame, path: str, batch_id: str | None = None) -> None:
-    """One JSON document per transaction, grouped by merchant (K2).
+def receipt_bucket(merchant_col, buckets: int = RECEIPT_BUCKETS):
+    return F.pmod(F.xxhash64(merchant_col), F.lit(buckets)).cast("int")
 
-    Files are partitioned by merchant, many receipts per file, not one
-    object per row; ``receiptKey`` stays a computed column.  With a
-    ``batch_id`` the batch's receipts go to ``merchantId=<m>/batch_id=<b>``
-    partitions with dynamic overwrite, so a replayed batch replaces its
-    own receipts; without one they are appended.
+
+def write_receipts(stored: DataFrame, path: str, batch_id: str) -> None:
+    """One JSON document per transaction, grouped by merchant bucket (K2).
+
+    Many receipts per file, not one object per row, and a fixed number of
+    folders per batch; the ``receiptKey`` stays a computed column, and
+    ``readers.read_receipts`` finds a receipt by it in one bucket.
     """
-    out = stored.select(encode_json().alias("value"), "merchantId")
-    if batch_id is None:
-        out.write.mode("append").partitionBy("merchantId").text(path)
-        return
-    _overwrite_partitions(out)
-    (out.withColumn("batch_id", F.lit(str(batch_id)))
-        .write.mode("overwrite").partitionBy("merchantId", "batch_id").text(path))
+    (stored.select(encode_json().alias("value"), receipt_bucket(F.col("merchantId")).alias("merchant_bucket"))
+     .hint("rebalance", "merchant_bucket")
+     .write.mode("overwrite").partitionBy("merchant_bucket").text(batch_folder(path, batch_id)))
 
 
-def write_summary(current: DataFrame, path: str, batch_id: str, settled_at,
-                  inline_ids_max: int = 10000) -> int:
+def write_summary(current: DataFrame, path: str, batch_id: str, settled_at) -> int:
     """Settlement summary JSON plus the settled ids of one batch (K3).
 
-    The ids are always written as their own dataset, sorted oldest first.
-    They are embedded in the summary document (``transactionIds``) only
-    when the batch has at most ``inline_ids_max`` rows, so an unbounded
-    list is never gathered into one row.  Returns the batch's count.
+    The ids are always their own dataset, sorted oldest first over all
+    files; the document always names that dataset and its number of rows,
+    whatever its size.  Returns the batch's count.
     """
-    from cardflow.operators.settlement import eligible, settled_ids, summary
+    from cardflow.operators.settlement import settled_ids, summary_document
     base = f"{path.rstrip('/')}/{batch_id}"
     settled_ids(current, batch_id).select("transactionId", "createdAt") \
         .write.mode("overwrite").json(f"{base}/ids")
-    s = summary(current, batch_id, settled_at)
-    count = s.select("transactionCount").first()[0]  # a single number
-    cols = [F.col("batchId"), F.col("settledAt").cast("string").alias("settledAt"),
-            F.col("transactionCount"), F.col("totalAmount")]
-    if count <= inline_ids_max:
-        e = eligible(current)
-        ordered = F.array_sort(F.collect_list(F.struct("createdAt", "idempotencyKey", "transactionId")))
-        doc = e.agg(F.count(F.lit(1)).alias("transactionCount"),
-                    F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,2)").alias("totalAmount"),
-                    F.transform(ordered, lambda x: x["transactionId"]).alias("transactionIds"))
-        doc = doc.select(F.lit(batch_id).alias("batchId"),
-                         ntz_lit(settled_at).cast("string").alias("settledAt"),
-                         "transactionCount", "totalAmount", "transactionIds")
-    else:
-        doc = s.select(*cols)
+    doc = materialize(summary_document(current, batch_id, settled_at, f"{base}/ids"), "summary")
     doc.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{base}/summary")
-    return count
-
-
-def write_alerts(alerts: DataFrame, path: str, batch_id: str) -> None:
-    """High-risk alerts (K6) and velocity alerts (K8) for one batch."""
-    append_batch(alerts, path, batch_id)
+    return doc.first()["transactionCount"]  # a single number
 
 
 def write_status_snapshot(current: DataFrame, path: str) -> None:

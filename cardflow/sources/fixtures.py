@@ -22,7 +22,8 @@ RELEASE_EVERY = 10             # held rows with request_id % 10 = 0 are released
 RELEASE_AFTER = "2 days"
 DEFAULT_CUTOFF = dt.datetime(2024, 2, 15)
 FIRST_CUTOFF = dt.datetime(2024, 1, 16)
-SOURCE_PARTITIONS = 4
+# Encrypts the fixture's card numbers; a deployment's key comes from its session.
+FIXTURE_PAN_KEY = "fixture-key-not-for-deployments!"
 
 
 def requests(events: DataFrame) -> DataFrame:
@@ -44,8 +45,9 @@ def requests(events: DataFrame) -> DataFrame:
 def raw_requests(events: DataFrame) -> DataFrame:
     """Requests as a careless client sends them: every row is kept, and a
     deterministic share carries blanks, spaced card numbers, short card
-    numbers, unparsable or over-precise amounts, missing currencies and
-    blank keys.  Used by the validation and parsing operators.
+    numbers, non-digits and non-breaking spaces in them, unparsable,
+    over-precise or too large amounts, Unicode blanks, missing currencies
+    and blank keys.  Used by the validation and parsing operators.
     """
     r = requests(events)
     rid = F.col("request_id")
@@ -54,17 +56,33 @@ def raw_requests(events: DataFrame) -> DataFrame:
                          F.substring(pan, 9, 4), F.substring(pan, 13, 4))
     return r.select(
         "request_id", "arrival",
-        F.when(rid % 97 == 0, F.lit(" \t ")).otherwise(F.col("merchantId")).alias("merchantId"),
+        F.when(rid % 97 == 0, F.lit(" \t ")).when(rid % 101 == 0, F.lit("\u3000\u2003"))
+         .when(rid % 103 == 0, F.lit("\u00a0")).otherwise(F.col("merchantId")).alias("merchantId"),
         F.when(rid % 89 == 0, F.substring(pan, 1, 11)).when(rid % 11 == 0, spaced)
+         .when(rid % 67 == 0, F.translate(spaced, " ", "\u00a0"))
+         .when(rid % 59 == 0, F.concat(F.substring(pan, 1, 12), F.lit("ABCD")))
          .otherwise(pan).alias("pan"),
         F.when(rid % 83 == 0, F.lit("abc")).when(rid % 79 == 0, F.lit("1e3"))
          .when(rid % 61 == 0, F.concat(F.col("amount"), F.lit("5")))
+         .when(rid % 53 == 0, F.lit("2500.004")).when(rid % 47 == 0, F.lit("2500.000"))
+         .when(rid % 43 == 0, F.lit("12345678901234567.00"))
          .otherwise(F.col("amount")).alias("amount"),
         F.when(rid % 73 == 0, F.lit(None).cast("string")).otherwise(F.col("currency")).alias("currency"),
         F.when(rid % 71 == 0, F.lit("")).otherwise(F.col("idempotencyKey")).alias("idempotencyKey"),
     )
 
 
+def order_requests(orders: DataFrame) -> DataFrame:
+    """Every order as an authorization request (key = order key)."""
+    return orders.select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("arrival"),
+        F.col("o_orderpriority").alias("merchantId"),
+        F.concat(F.lit("41111111"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("pan"),
+        F.col("o_totalprice").cast(AMOUNT).cast("string").alias("amount"),
+        F.lit("USD").alias("currency"),
+        F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("idempotencyKey"))
+
+
 def scores(approved: DataFrame) -> DataFrame:
     """One score per stored transaction, with a fixture scoring time.
 
@@ -95,10 +113,5 @@ def release_requests(scored: DataFrame) -> DataFrame:
                     (F.col("arrival") + F.expr(f"INTERVAL {RELEASE_AFTER}")).alias("released_at")))
 
 
-def topic_partition(pan_col) -> F.Column:
-    """Source partition of a card's topic records: last four digits mod 4."""
-    return (F.substring(pan_col, -4, 4).cast("int") % SOURCE_PARTITIONS).cast("int")
-
-
-__all__ = ["requests", "raw_requests", "scores", "release_requests", "topic_partition",
+__all__ = ["requests", "raw_requests", "scores", "release_requests",
            "DEFAULT_CUTOFF", "FIRST_CUTOFF", "STATUS_AUTHORIZED", "STATUS_HELD"]

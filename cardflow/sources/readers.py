@@ -58,7 +58,7 @@ def read_topic(spark: SparkSession, source: str, fmt: str = "json",
         r = r.schema(TOPIC_RECORD)
         if max_per_trigger and streaming:
             r = r.option("maxFilesPerTrigger", max_per_trigger)
-        df = r.json(source)
+        df = r.option("recursiveFileLookup", "true").json(source)
     if event_time == "createdAt":
         ts = ntz_as_utc(decode_json(F.col("value")).getField("createdAt"))
     else:
@@ -79,35 +79,59 @@ def _kafka(reader, source: str, topic: str):
         raise
 
 
-def read_fraud_queue(spark: SparkSession, path: str, max_per_trigger: int = 10,
+def read_fraud_queue(spark: SparkSession, path: str, max_per_trigger: int | None = None,
                      streaming: bool = True, fmt: str = "json",
                      topic: str = "fraud-check") -> DataFrame:
     """Fraud-check messages (S3): body text plus the amount attribute.
 
-    Admission control bounds each micro-batch (``maxFilesPerTrigger`` for
-    a folder, ``maxOffsetsPerTrigger`` on a broker, where ``path`` is the
-    bootstrap servers); a trigger interval sets the cadence.
+    ``max_per_trigger`` bounds each micro-batch where wanted
+    (``maxFilesPerTrigger`` for a folder, ``maxOffsetsPerTrigger`` on a
+    broker, where ``path`` is the bootstrap servers); a trigger interval
+    sets the cadence.  A broker's messages carry the amount in their body
+    and, as sent by ``sinks.messages``, in an ``amount`` header.
     """
     if fmt == "kafka":
         r = spark.readStream if streaming else spark.read
-        if streaming:
+        if streaming and max_per_trigger:
             r = r.option("maxOffsetsPerTrigger", max_per_trigger)
-        raw = _kafka(r, path, topic)
+        raw = _kafka(r.option("includeHeaders", "true"), path, topic)
+        header = F.filter("headers", lambda h: h["key"] == F.lit("amount"))[0]["value"].cast("string")
+        sent = F.get_json_object(F.col("value").cast("string"), "$.amount")
         return raw.select(F.col("value").cast("string").alias("body"),
-                          F.lit(None).cast("string").alias("amount"),
+                          F.coalesce(header, sent).alias("amount"),
                           F.col("timestamp").alias("sent_at"))
     if not streaming:
-        return spark.read.schema(QUEUE_MESSAGE).json(path)
-    return (spark.readStream.schema(QUEUE_MESSAGE)
-            .option("maxFilesPerTrigger", max_per_trigger).json(path))
+        return spark.read.schema(QUEUE_MESSAGE).option("recursiveFileLookup", "true").json(path)
+    r = spark.readStream.schema(QUEUE_MESSAGE).option("recursiveFileLookup", "true")
+    if max_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_per_trigger)
+    return r.json(path)
 
 
-def read_receipts(spark: SparkSession, path: str) -> DataFrame:
+def read_receipts(spark: SparkSession, path: str, receipt_key: str | None = None) -> DataFrame:
     """Receipts written by ``write_receipts`` back as rows (S6): the
-    decoded transaction columns plus the raw document text in ``value``."""
-    raw = spark.read.text(path)
-    # partition columns (merchantId, batch_id) are not kept: the document holds them
-    return raw.select(decode_json(F.col("value")).alias("t"), "value").select("t.*", "value")
+    decoded transaction columns plus the raw document text in ``value``.
+
+    With a ``receipt_key`` (``receipts/<merchant>/<transaction>.json``) only
+    the merchant's bucket is read, and only documents that hold the
+    transaction's id are decoded; zero or one row.
+    """
+    from cardflow.functions.text import receipt_key as key_of
+    from cardflow.sinks.writers import receipt_bucket
+    raw = spark.read.schema("value string, batch_id string, merchant_bucket int").text(path)
+    if receipt_key is not None:
+        merchant, _, name = receipt_key.removeprefix("receipts/").rpartition("/")
+        bucket = spark.range(1).select(receipt_bucket(F.lit(merchant))).first()[0]
+        raw = raw.where((F.col("merchant_bucket") == bucket) & F.contains("value", F.lit(name.removesuffix(".json"))))
+    # the batch and bucket of the path are not kept: the document holds the rest
+    rows = raw.select(decode_json(F.col("value")).alias("t"), "value").select("t.*", "value")
+    return rows if receipt_key is None else rows.where(key_of("merchantId", "transactionId") == receipt_key)
+
+
+def parse_messages(messages: DataFrame) -> DataFrame:
+    """Messages with their decoded transaction in ``t`` (Q2): written once,
+    it serves every output of a micro-batch."""
+    return messages.withColumn("t", decode_json(F.col("body")))
 
 
 def decode_messages(messages: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +140,7 @@ def decode_messages(messages: DataFrame, keep: list[str] | None = None) -> tuple
     A body that is not a JSON object of the transaction shape goes to the
     dead-letter output with its raw text; its neighbours are processed.
     """
-    parsed = messages.withColumn("t", decode_json(F.col("body")))
+    parsed = messages if "t" in messages.columns else parse_messages(messages)
     good_row = F.col("t").isNotNull() & F.col("t.idempotencyKey").isNotNull() & \
         F.col("t.transactionId").isNotNull()
     extra = [c for c in (keep or []) if c in messages.columns]

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cardflow.session import path_exists
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
@@ -16,22 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer splits than the cluster has
-    cores (a small file with a single row group cannot be split), so the
-    per-row work after it runs in parallel.  ``key`` must be unique, so the
-    placement is deterministic under task retries.  On an input with at
-    least as many splits as cores this returns ``df`` unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def register_views(spark: SparkSession, sf_dir: str, names=None) -> None:
-    """Register tables as temp views so ``spark.sql`` can query them."""
+    """Register the tables that exist as temp views so ``spark.sql`` can
+    query them."""
     for n in names or TABLES:
         path = os.path.join(sf_dir, f"{n}.parquet")
-        if os.path.exists(path):
+        if path_exists(spark, path):
             table(spark, sf_dir, n).createOrReplaceTempView(n)

@@ -4,8 +4,10 @@ Two shapes:
 
 * ``start_authorizer``: each micro-batch is authorized against the ledger
   table written by earlier batches (only the key-bucket folders its keys
-  fall in are read), and its new rows, outcomes and rejects are written to
-  the ``batch_id=<epoch>`` partitions.  Ledger
+  fall in are read), and its new rows, outcomes, rejects, receipts, queue
+  messages and topic records are written to the ``batch_id=<epoch>``
+  folders, the last two as the scorer and the velocity check read them.
+  Ledger
   rows of the *same* epoch are ignored, so a replayed epoch reproduces
   its outcomes instead of calling every winner a duplicate.  One writer
   per ledger (concurrent writers are out of scope).
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cardflow.operators.authorize import authorize, new_rows, normalize_requests
-from cardflow.session import materialize, path_exists, stream_checkpoint
-from cardflow.sinks.writers import append_batch, read_ledger_for, write_ledger
+from cardflow.session import materialize, pan_key, path_exists, stream_checkpoint
+from cardflow.sinks.messages import publish_queue, publish_topic
+from cardflow.sinks.writers import append_batch, read_ledger_for, write_ledger, write_receipts
 
 
 def _ledger(spark, path: str, keys: DataFrame) -> DataFrame | None:
@@ -34,27 +37,35 @@ def _ledger(spark, path: str, keys: DataFrame) -> DataFrame | None:
     return read_ledger_for(spark, path, keys)
 
 
-def authorize_batch(batch: DataFrame, ledger_path: str, out_root: str, epoch: str) -> None:
+def authorize_batch(batch: DataFrame, ledger_path: str, out_root: str, epoch: str,
+                    encrypt: bool = False) -> None:
+    """One micro-batch; ``encrypt`` stores card numbers encrypted with the
+    session's key."""
     valid, rejected = normalize_requests(batch)
     valid = materialize(valid, f"authorize-valid-{epoch}")
     ledger = _ledger(batch.sparkSession, ledger_path, valid)
     # materialized before any write: the ledger is read and then written
-    outcomes = materialize(authorize(valid, ledger=ledger, batch_id=epoch), f"authorize-{epoch}")
-    write_ledger(new_rows(outcomes), ledger_path, epoch)
-    append_batch(outcomes.drop("is_new"), f"{out_root.rstrip('/')}/outcomes", epoch)
-    append_batch(rejected, f"{out_root.rstrip('/')}/rejected", epoch)
+    outcomes = materialize(authorize(
+        valid, ledger=ledger, batch_id=epoch, key=pan_key(batch.sparkSession) if encrypt else None), f"authorize-{epoch}")
+    stored, out = new_rows(outcomes), out_root.rstrip("/")
+    write_ledger(stored, ledger_path, epoch)
+    append_batch(outcomes.drop("is_new"), f"{out}/outcomes", epoch)
+    append_batch(rejected, f"{out}/rejected", epoch)
+    write_receipts(stored, f"{out}/receipts", epoch)
+    publish_queue(stored, f"{out}/fraud_queue", epoch)
+    publish_topic(stored, f"{out}/topic", epoch)
 
 
 def start_authorizer(requests: DataFrame, ledger_path: str, out_root: str,
-                     checkpoint: str | None = None,
-                     trigger: dict | None = None) -> StreamingQuery:
+                     checkpoint: str | None = None, trigger: dict | None = None,
+                     encrypt: bool = False) -> StreamingQuery:
     """Run K1 over a streaming DataFrame from ``read_requests(streaming=True)``.
 
     Requests need ``request_id`` and ``arrival``; the landing process
     assigns them.
     """
     def write(batch: DataFrame, epoch: int) -> None:
-        authorize_batch(batch, ledger_path, out_root, str(epoch))
+        authorize_batch(batch, ledger_path, out_root, str(epoch), encrypt)
 
     ck = checkpoint or stream_checkpoint(requests.sparkSession, "authorizer", ledger_path)
     w = requests.writeStream.option("checkpointLocation", ck).foreachBatch(write)

@@ -76,34 +76,48 @@ def trailing_batch(batch: DataFrame, state_path: str, sink_path: str, epoch: int
                    key: str = "key", id_col: str = "id") -> None:
     """One micro-batch of the streaming trailing check.
 
-    The batch is counted together with the retained tail of earlier
-    records (those within ``size + grace`` of the newest record seen), so
-    each new record's trailing count includes everything before it in the
-    window.  The tail is written per epoch; a replayed epoch reads the
-    previous epoch's tail again and rewrites its own outputs.  A record
-    later than the grace period is counted against what is retained.
+    The state is a table per epoch: the records of the last ``size + grace``
+    with the count each had.  A batch is counted together with them, and
+    every record whose count rose is emitted if it is at the threshold, also
+    a retained one whose window an out-of-order record joins; so a record's
+    highest emitted count is that of the batch operator over all records.
+    A record later than ``grace`` behind the newest one of earlier batches
+    is not counted but written to the sink's ``late`` folder: the state it
+    would need is gone.  A replayed epoch reads the previous epoch's state
+    and rewrites its own outputs; states before that are deleted.
     """
+    from cardflow.functions.text import utc_as_ntz
     from cardflow.operators.velocity import _seconds, velocity_trailing
-    from cardflow.session import path_exists
+    from cardflow.session import delete_path, materialize, path_exists
     spark = batch.sparkSession
-    from cardflow.functions.text import utc_as_ntz
     t = F.col(ts)
     if dict(batch.dtypes).get(ts) == "timestamp":
         t = utc_as_ntz(t)
     cols = [F.col(id_col).alias("id"), F.col(key).alias("key"), t.cast("timestamp_ntz").alias("ts")]
-    new = batch.select(*cols, F.lit(True).alias("_new"))
-    prev_path = f"{state_path.rstrip('/')}/epoch={epoch - 1}"
-    both = new
-    if epoch > 0 and path_exists(spark, prev_path):
-        both = new.unionByName(spark.read.parquet(prev_path).withColumn("_new", F.lit(False)))
-    alerts = velocity_trailing(both, size=size, threshold=threshold, emit="_new")
-    append_batch(alerts, sink_path, str(epoch))
-    newest = both.agg(F.max("ts")).first()[0]  # one value
-    if newest is not None:
-        horizon = _seconds(size) + _seconds(grace)
-        tail = both.where(F.col("ts") >= ntz_lit(newest) - F.expr(f"INTERVAL {horizon} SECONDS"))
-        tail.select("id", "key", "ts").write.mode("overwrite").parquet(
-            f"{state_path.rstrip('/')}/epoch={epoch}")
+    state = lambda n: f"{state_path.rstrip('/')}/epoch={n}"
+    new = materialize(batch.select(*cols), f"trailing-{epoch}")  # the source is read once
+    old = spark.read.parquet(state(epoch - 1)) if epoch > 0 and path_exists(spark, state(epoch - 1)) else None
+    seen = old.agg(F.max("ts")).first()[0] if old is not None else None  # one value
+    late = F.lit(False) if seen is None else F.col("ts") < ntz_lit(seen) - F.expr(f"INTERVAL {_seconds(grace)} SECONDS")
+    append_batch(new.where(late), f"{sink_path.rstrip('/')}_late", str(epoch))
+    new = new.where(~late)
+    both = new if old is None else new.unionByName(old.select("id", "key", "ts"))
+    counted = velocity_trailing(both, size=size, threshold=1)
+    if old is None:
+        counted = counted.withColumn("before", F.lit(0).cast("bigint"))
+    else:
+        counted = counted.join(old.select("id", F.col("trailing_count").alias("before")), "id", "left")
+    counted = materialize(counted.withColumn("before", F.coalesce("before", F.lit(0))), f"trailing-counts-{epoch}")
+    append_batch(counted.where((F.col("trailing_count") > F.col("before")) & (F.col("trailing_count") >= threshold))
+                 .drop("before"), sink_path, str(epoch))
+    newest = counted.agg(F.max("ts")).first()[0]  # one value
+    horizon = _seconds(size) + _seconds(grace)
+    kept = counted if newest is None else counted.where(
+        F.col("ts") >= ntz_lit(newest) - F.expr(f"INTERVAL {horizon} SECONDS"))
+    kept.select("id", "key", "ts", F.greatest("trailing_count", "before").alias("trailing_count")) \
+        .write.mode("overwrite").parquet(state(epoch))
+    if epoch > 1:
+        delete_path(spark, state(epoch - 2))
 
 
 def start_velocity_trailing(records: DataFrame, sink_path: str, state_path: str,

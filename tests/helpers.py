@@ -18,7 +18,7 @@ def requests_df(spark, rows):
     return spark.createDataFrame(data, REQUEST)
 
 
-def req(rid, s, amount="4.50", key="k1", merchant="merchant-coffee-shop-01",
+def req(rid, s, amount="4.50", key="k1", merchant="merchant-7",
         pan="4111111111111234", currency="USD"):
     return (rid, s, merchant, pan, amount, currency, key)
 

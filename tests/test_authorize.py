@@ -15,7 +15,7 @@ def run(spark, rows, ledger=None, batch_id=None):
 def test_retry_is_duplicate_with_same_transaction(spark):
     out, _ = run(spark, [req(1, 1), req(2, 5)])
     rows = {r.request_id: r for r in out.collect()}
-    assert rows[1].outcome == "APPROVED" and rows[1].receiptKey.startswith("receipts/merchant-coffee-shop-01/")
+    assert rows[1].outcome == "APPROVED" and rows[1].receiptKey.startswith("receipts/merchant-7/")
     assert rows[2].outcome == "DUPLICATE" and rows[2].receiptKey is None
     assert rows[1].transactionId == rows[2].transactionId
     assert new_rows(out).count() == 1
@@ -67,4 +67,4 @@ def test_plan_has_no_window_on_key(spark):
     out, _ = run(spark, [req(1, 1), req(2, 2)])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
-    assert "min_by" in plan.lower() or "partial" in plan.lower()
+    assert "Aggregate" not in plan  # the first attempts are a written table

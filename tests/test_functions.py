@@ -42,11 +42,17 @@ def test_validation_message_order(spark):
 
 def test_blank_includes_tabs(spark):
     assert one(spark, is_blank("x"), [(" \t\n",), ("a",), (None,), ("",)]) == [True, False, True, True]
+    # Unicode separators are blank, non-breaking spaces are not
+    assert one(spark, is_blank("x"), [("\u3000\u2003\u2028",), ("\u00a0",), ("\u202f",)]) == [True, False, False]
+    assert one(spark, strip_spaces("x"), [("4111\u00a01111\u30001\ufeff",), ("\u001c1",)]) == ["411111111", "\u001c1"]
 
 
 def test_parse_amount(spark):
-    got = one(spark, parse_amount("x"), [("abc",), ("1e3",), ("1.005",), ("4.50",), (" 4.50",), ("",)])
-    assert got == [None, Decimal("1000.00"), Decimal("1.01"), Decimal("4.50"), None, None]
+    got = one(spark, parse_amount("x"), [("abc",), ("1e3",), ("1.005",), ("4.50",), (" 4.50",), ("",), ("2500.004",),
+                                           ("2500.005",), ("2500.000",), ("12345678901234567.00",), ("-0.10",)])
+    # never rounded: what does not fit exactly is no amount
+    assert got == [None, Decimal("1000.00"), None, Decimal("4.50"), None, None, None, None, Decimal("2500.00"),
+                   None, Decimal("-0.10")]
 
 
 def test_default_key_and_transaction_id(spark):
@@ -132,12 +138,21 @@ def test_display_columns(spark):
 def test_key_is_redacted_in_plans(spark):
     import io
     import contextlib
-    from cardflow.session import TEST_PAN_KEY, pan_key
-    key = pan_key(spark)
+    import pytest
+    from cardflow.session import PAN_KEY_CONF, pan_key
+    spark.conf.unset(PAN_KEY_CONF)
+    with pytest.raises(RuntimeError, match="panKey"):  # no published fallback
+        pan_key(spark)
+    secret = "a-test-key-of-32-bytes-in-length"
+    spark.conf.set(PAN_KEY_CONF, secret)
+    try:
+        key = pan_key(spark)
+    finally:
+        spark.conf.unset(PAN_KEY_CONF)
     df = spark.createDataFrame([("4111111111111234",)], "pan string").select(
         encrypt_pan("pan", key).alias("c"))
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         df.explain(True)
-    assert TEST_PAN_KEY not in buf.getvalue()
+    assert secret not in buf.getvalue()
     assert "redacted" in buf.getvalue()

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from cardflow.plans import catalog
 from tests.conftest import SF001
 from tests.oracle import compare, duck
 
@@ -14,7 +15,7 @@ def con():
     return duck(SF001)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, con, name):
     build = E.queries()[name]
     if name not in SQLS:

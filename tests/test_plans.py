@@ -3,12 +3,14 @@
 import pytest
 
 import __spark_entry__ as E
+from cardflow.plans import catalog
+from cardflow.plans.context import Pipeline
 from tests.conftest import SF001
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"]
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_pairs_and_no_python(spark, name):
     df = E.queries()[name](spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -16,14 +18,30 @@ def test_no_pairs_and_no_python(spark, name):
         assert op not in plan, f"{name}: {op}"
 
 
-def test_authorize_aggregates_partially(spark):
-    plan = E.queries()["authorize_outcomes"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan and "Window" not in plan
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_attempt_is_a_hash_aggregation(spark):
+    from pyspark.sql import functions as F
+    from cardflow.operators.authorize import KEY, first_attempt
+    p = Pipeline(spark, SF001, materialize=False)
+    plan = plan_of(p.valid.groupBy(KEY).agg(first_attempt().alias("first"), F.count(F.lit(1)).alias("n")))
+    assert "partial_min" in plan and "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_authorize_moves_attempts_twice(spark):
+    p = Pipeline(spark, SF001, materialize=False)
+    plan = plan_of(p.outcomes_plan)  # nothing of it is a written result
+    assert "Aggregate" not in plan and "Window" not in plan
+    shuffles = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(shuffles) <= 4  # attempts by (key, number) and by key; two tables of one row per key
 
 
 def test_feed_has_no_window(spark):
-    plan = E.queries()["feed_actions"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan
+    p = Pipeline(spark, SF001, materialize=False)
+    plan = plan_of(p.feed)
+    assert "Join" in plan and "Window" not in plan and "SortAggregate" not in plan
 
 
 def test_recent_feed_is_take_ordered(spark):

@@ -67,36 +67,32 @@ def test_feed_actions_match_replay(spark, times, scores, others):
         "transactionId string, action_ts timestamp_ntz, kind string, riskScore double, alerted boolean")
     got = {r.request_id: (r.stage, r.status, r.riskScore) for r in FD.apply_actions(e, acts).collect()}
 
-    # replay in time order (entries before actions at the same instant)
+    # by definition: an action's target is the newest entry at or before it,
+    # for a score else the first entry after it; of an entry's actions the
+    # last to take effect decides each column
+    newest = lambda t: max((i for i in range(len(times)) if times[i] <= t), key=lambda i: (times[i], i), default=None)
+    after = lambda t: min((i for i in range(len(times)) if times[i] > t), key=lambda i: (times[i], i), default=None)
+    hits = {i: [] for i in range(len(times))}
+    for j, (s, kind, alerted) in enumerate([(s, "score", a) for s, a in scores] + [(s, k, None) for s, k in others]):
+        t = s + 0.5
+        i = newest(t)
+        effect = t
+        if i is None and kind == "score" and after(t) is not None:
+            i = after(t)
+            effect = times[i]
+        if i is not None:
+            hits[i].append((effect, {"score": 1, "release": 2, "settle": 3}[kind], t, j, kind, alerted))
     first = min(range(len(times)), key=lambda i: (times[i], i))
-    state = {i: ["QUEUED" if i == first else "RECORDED", "AUTHORIZED", None] for i in range(len(times))}
-    timeline = [(s, 0, i, "entry", None) for i, s in enumerate(times)]
-    timeline += [(s + 0.5, 1, j, "score", a) for j, (s, a) in enumerate(scores)]
-    timeline += [(s + 0.5, 1, 100 + j, k, None) for j, (s, k) in enumerate(others)]
-    recorded, pending = [], None
-    for t, _, idx, kind, alerted in sorted(timeline, key=lambda x: (x[0], x[1], x[2])):
-        if kind == "entry":
-            recorded.append(idx)
-            if pending is not None:
-                state[idx][2] = 0.92 if pending else 0.15
-                state[idx][0] = "ALERTED" if pending else "SCORED"
-                if pending:
-                    state[idx][1] = "HELD_FOR_REVIEW"
-                pending = None
-            continue
-        newest = max(recorded, key=lambda i: (times[i], i)) if recorded else None
-        if kind == "score":
-            if newest is None:
-                pending = alerted
-                continue
-            state[newest][2] = 0.92 if alerted else 0.15
-            state[newest][0] = "ALERTED" if alerted else "SCORED"
-            if alerted:
-                state[newest][1] = "HELD_FOR_REVIEW"
-        elif newest is not None:
-            state[newest][:2] = (["SCORED", "AUTHORIZED"] if kind == "release"
-                                 else ["SETTLED", "SETTLED"])
-    assert got == {i: tuple(v) for i, v in state.items()}
+    outcome = {"release": ("SCORED", "AUTHORIZED"), "settle": ("SETTLED", "SETTLED")}
+    for i, acts_of in hits.items():
+        stage, status, risk = "QUEUED" if i == first else "RECORDED", "AUTHORIZED", None
+        for *_, kind, alerted in sorted(acts_of, key=lambda x: x[:4]):
+            if kind == "score":
+                risk, stage = (0.92, "ALERTED") if alerted else (0.15, "SCORED")
+                status = "HELD_FOR_REVIEW" if alerted else status
+            else:
+                stage, status = outcome[kind]
+        assert got[i] == (stage, status, risk)
 
 
 # --- exact lateness -----------------------------------------------------------

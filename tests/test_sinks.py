@@ -10,31 +10,50 @@ from tests.conftest import SF001
 def test_receipts_round_trip(spark, tmp_dir):
     p = Pipeline(spark, SF001, materialize=False)
     path = os.path.join(tmp_dir, "receipts")
-    write_receipts(p.stored, path)
+    write_receipts(p.stored, path, "1")
     back = read_receipts(spark, path)
     assert back.count() == 792
     assert back.drop("value").exceptAll(p.stored).count() == 0
-    assert sum(n.startswith("merchantId=") for n in os.listdir(path)) == 5
+    # a fixed number of folders, and one receipt is found in its own
+    assert all(n.startswith(("merchant_bucket=", "_", ".")) for n in os.listdir(os.path.join(path, "batch_id=1")))
+    row = p.stored.first()
+    one = read_receipts(spark, path, f"receipts/{row.merchantId}/{row.transactionId}.json")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(merchant_bucket" in plan
+    assert [r.transactionId for r in one.collect()] == [row.transactionId]
+    assert read_receipts(spark, path, f"receipts/{row.merchantId}/none.json").count() == 0
+
+
+def _document(base):
+    files = [f for f in os.listdir(os.path.join(base, "summary")) if f.endswith(".json")]
+    return json.loads(open(os.path.join(base, "summary", files[0])).read())
 
 
 def test_summary_document(spark, tmp_dir):
     p = Pipeline(spark, SF001)
     n = write_summary(p.batch1_current, tmp_dir, "batch-a", FIRST_CUTOFF)
     base = os.path.join(tmp_dir, "batch-a")
-    doc_file = [f for f in os.listdir(os.path.join(base, "summary")) if f.endswith(".json")][0]
-    doc = json.loads(open(os.path.join(base, "summary", doc_file)).read())
-    assert doc["transactionCount"] == n and len(doc["transactionIds"]) == n
-    ids = spark.read.json(os.path.join(base, "ids"))
-    assert ids.count() == n
-    # the inline list is oldest first
-    order = ids.orderBy("createdAt", "transactionId").select("transactionId").collect()
-    assert set(r[0] for r in order) == set(doc["transactionIds"])
-    # above the cap the ids are not embedded
-    n2 = write_summary(p.batch1_current, tmp_dir, "batch-b", FIRST_CUTOFF, inline_ids_max=10)
-    doc_file = [f for f in os.listdir(os.path.join(tmp_dir, "batch-b", "summary")) if f.endswith(".json")][0]
-    doc2 = json.loads(open(os.path.join(tmp_dir, "batch-b", "summary", doc_file)).read())
-    assert n2 == n and "transactionIds" not in doc2
-    assert spark.read.json(os.path.join(tmp_dir, "batch-b", "ids")).count() == n
+    doc = _document(base)
+    assert doc["transactionCount"] == doc["transactionIdsCount"] == n
+    assert doc["settledAt"] == "2024-01-16T00:00:00Z" and doc["transactionIdsPath"] == f"{base}/ids"
+    lines = []
+    for f in sorted(x for x in os.listdir(os.path.join(base, "ids")) if x.startswith("part-")):
+        lines += [json.loads(line) for line in open(os.path.join(base, "ids", f))]
+    assert len(lines) == n and [x["createdAt"] for x in lines] == sorted(x["createdAt"] for x in lines)
+    # an empty batch
+    assert write_summary(p.batch1_current.where("false"), tmp_dir, "batch-b", FIRST_CUTOFF) == 0
+    assert _document(os.path.join(tmp_dir, "batch-b"))["totalAmount"] == "0"
+
+
+def test_summary_document_has_one_schema_at_every_size(spark, tmp_dir):
+    rows = Pipeline(spark, SF001).batch1_current.where("status = 'AUTHORIZED'").limit(1)
+    docs = []
+    for n in (3, 12_000):
+        many = rows.crossJoin(spark.range(n)).drop("id")
+        assert write_summary(many, tmp_dir, f"n{n}", FIRST_CUTOFF) == n
+        docs.append(_document(os.path.join(tmp_dir, f"n{n}")))
+        assert spark.read.json(os.path.join(tmp_dir, f"n{n}", "ids")).count() == n
+    assert list(docs[0]) == list(docs[1])
 
 
 def test_receipts_replay_is_idempotent(spark, tmp_dir):
@@ -87,22 +106,39 @@ def test_status_snapshot_prunes_to_one_status(spark, tmp_dir):
     assert [r.createdAt for r in rows] == sorted(r.createdAt for r in rows)
 
 
-def test_pipeline_recomputes_without_shared_folder(spark, monkeypatch):
+def test_missing_shared_folder_is_an_error(spark, monkeypatch):
+    import pytest
     import cardflow.plans.context as C
 
     def no_folder(df, name):
         raise RuntimeError("spark.checkpoint.dir is not set")
     monkeypatch.setattr(C, "materialize", no_folder)
-    p = C.Pipeline(spark, SF001)
-    assert p.merchant_summary().count() == 5  # the plan runs from the source instead
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        C.Pipeline(spark, SF001).merchant_summary()
 
 
-def test_alert_writer_replay_is_idempotent(spark, tmp_dir):
-    from cardflow.sinks.writers import write_alerts
+def test_replay_leaves_nothing_of_the_first_attempt(spark, tmp_dir):
+    from cardflow.sinks.writers import append_batch, write_ledger
     p = Pipeline(spark, SF001, materialize=False)
     path = os.path.join(tmp_dir, "alerts")
-    write_alerts(p.alerts, path, "3")
-    write_alerts(p.alerts, path, "3")  # replayed batch
-    write_alerts(p.alerts.limit(1), path, "4")
+    append_batch(p.alerts, path, "3")
+    append_batch(p.alerts, path, "3")  # replayed batch
+    append_batch(p.alerts.limit(1), path, "4")
     counts = {r.batch_id: r["count"] for r in spark.read.parquet(path).groupBy("batch_id").count().collect()}
     assert counts == {3: 157, 4: 1}
+    append_batch(p.alerts.where("false"), path, "3")  # a replay with no rows
+    assert spark.read.parquet(path).count() == 1
+    ledger = os.path.join(tmp_dir, "ledger")
+    write_ledger(p.stored, ledger, "1")
+    write_ledger(p.stored.limit(2), ledger, "1")  # fewer buckets
+    assert spark.read.parquet(ledger).count() == 2
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_changed_source_gives_a_new_pipeline(spark, tmp_dir):
+    for t in ("events", "orders"):
+        spark.read.parquet(f"{SF001}/{t}.parquet").limit(20).write.parquet(f"{tmp_dir}/{t}.parquet")
+    a = Pipeline.shared(spark, tmp_dir)
+    assert Pipeline.shared(spark, f"{tmp_dir}/") is a
+    spark.read.parquet(f"{SF001}/events.parquet").limit(5).write.mode("append").parquet(f"{tmp_dir}/events.parquet")
+    assert Pipeline.shared(spark, tmp_dir) is not a

@@ -80,12 +80,10 @@ def test_velocity_stream_equals_batch_twin(spark, tmp_dir):
 
 def test_scoring_stream_with_dead_letter(spark, tmp_dir):
     from cardflow.plans.context import Pipeline
-    from cardflow.sinks.messages import fraud_messages
+    from cardflow.sinks.messages import publish_queue
     p = Pipeline(spark, SF001, materialize=False)
-    msgs = fraud_messages(p.stored).select("body", F.col("amount").cast("string").alias("amount"),
-                                           F.lit(None).cast("timestamp").alias("sent_at"))
     land = os.path.join(tmp_dir, "queue")
-    msgs.coalesce(2).write.json(land)
+    publish_queue(p.stored, land, "0")
     write_lines(land, "poison.json", [{"body": "{bad", "amount": "1"}])
     out = os.path.join(tmp_dir, "out")
     q = start_scoring(read_fraud_queue(spark, land, max_per_trigger=1), out, os.path.join(tmp_dir, "ck"))
@@ -181,3 +179,56 @@ def test_stream_first_per_key_within_watermark(spark, tmp_dir):
     q.awaitTermination(120)
     got = sorted(x.request_id for x in spark.read.parquet(os.path.join(tmp_dir, "out")).collect())
     assert got == [1, 2, 4]  # the retry of k1 within the delay is dropped
+
+
+def test_trailing_stream_equals_batch_twin_on_shuffled_epochs(spark, tmp_dir):
+    import random
+    from cardflow.operators.velocity import velocity_trailing
+    from cardflow.streaming.velocity import trailing_batch
+    rnd = random.Random(8)
+    t, rows = 0.0, []
+    for i in range(120):
+        t += rnd.choice([0.5, 2, 6])
+        rows.append((i, f"c{rnd.randrange(2)}", round(t - rnd.choice([0, 0, 1, 4]), 1)))  # at most 4 s late
+    epochs, schema = [rows[i:i + 15] for i in range(0, 120, 15)], "id long, key string, event_ts timestamp_ntz"
+    for e in epochs:
+        rnd.shuffle(e)
+    state, sink = os.path.join(tmp_dir, "state"), os.path.join(tmp_dir, "alerts")
+    for n, e in enumerate(epochs):
+        df = spark.createDataFrame([(i, k, at(s)) for i, k, s in e], schema)
+        trailing_batch(df, state, sink, n, grace="10 seconds")
+        if n == 3:  # a replayed epoch changes nothing
+            trailing_batch(df, state, sink, n, grace="10 seconds")
+    got = {r.id: r.n for r in spark.read.parquet(sink).groupBy("id").agg(F.max("trailing_count").alias("n")).collect()}
+    every = spark.createDataFrame([(i, k, at(s)) for i, k, s in rows], "id long, key string, ts timestamp_ntz")
+    assert got == {r.id: r.trailing_count for r in velocity_trailing(every).collect()}
+    assert len(os.listdir(state)) == 2 and spark.read.parquet(sink + "_late").count() == 0
+
+
+def test_out_of_order_record_lifts_an_earlier_one(spark, tmp_dir):
+    from cardflow.streaming.velocity import trailing_batch
+    state, sink, schema = os.path.join(tmp_dir, "state"), os.path.join(tmp_dir, "alerts"), "id long, key string, event_ts timestamp_ntz"
+    trailing_batch(spark.createDataFrame([(1, CARD, at(10)), (2, CARD, at(13))], schema), state, sink, 0)
+    trailing_batch(spark.createDataFrame([(3, CARD, at(11)), (4, CARD, at(1))], schema), state, sink, 1)
+    assert [(r.id, r.trailing_count) for r in spark.read.parquet(sink).collect()] == [(2, 3)]
+    assert [r.id for r in spark.read.parquet(sink + "_late").collect()] == [4]  # beyond the grace of 5 s
+
+
+def test_landing_folder_to_scores_and_alerts(spark, tmp_dir):
+    """Requests through the authorizer, scorer and velocity streams, each
+    reading what the one before it wrote."""
+    from cardflow.sources.readers import read_receipts
+    land, out = os.path.join(tmp_dir, "land"), os.path.join(tmp_dir, "out")
+    sent = [(i, i * 2, f"k{i}", "2500.01" if i % 4 == 0 else "9.50") for i in range(12)] + [(20, 30, "k1", "9.50"), (21, 31, "k99", "2500.004")]
+    write_lines(land, "a.json", [{"request_id": i, "arrival": at(s).isoformat(), "merchantId": "m/1", "pan": "4111 1111 1111 ABCD",
+                                  "amount": a, "currency": "USD", "idempotencyKey": k} for i, s, k, a in sent])
+    start_authorizer(read_requests(spark, land, streaming=True), os.path.join(out, "ledger"), out,
+                     os.path.join(tmp_dir, "ck1")).awaitTermination(120)
+    start_scoring(read_fraud_queue(spark, f"{out}/fraud_queue"), f"{out}/scoring", os.path.join(tmp_dir, "ck2")).awaitTermination(120)
+    start_velocity_alerts(read_topic(spark, f"{out}/topic"), f"{out}/velocity", os.path.join(tmp_dir, "ck3")).awaitTermination(120)
+    assert [r.error for r in spark.read.parquet(f"{out}/rejected").collect()] == ["Invalid amount: 2500.004"]
+    assert spark.read.parquet(f"{out}/scoring/scores").count() == 12
+    assert spark.read.parquet(f"{out}/scoring/alerts").count() == 3
+    assert sorted(r["count"] for r in spark.read.parquet(f"{out}/velocity").collect()) == [12]
+    row = spark.read.parquet(f"{out}/ledger").first()
+    assert read_receipts(spark, f"{out}/receipts", f"receipts/m/1/{row.transactionId}.json").count() == 1

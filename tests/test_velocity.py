@@ -83,7 +83,9 @@ def test_hot_card_is_split_by_time(spark):
 def test_trailing_slices_for_long_windows(spark):
     assert V._slices(86_400_000_000, None) == 1440          # 1 day: one-minute slices
     assert V._slices(30_000_000, None) == 32                 # 30 s: 1/32 of the window
-    assert V._slices(30_000_000, 7) == 1                     # not a divisor: one slice
+    import pytest
+    with pytest.raises(ValueError, match="7 slices"):          # not a divisor
+        V._slices(30_000_000, 7)
     import random
     rnd = random.Random(11)
     secs = sorted(rnd.uniform(0, 3 * 86400) for _ in range(150))
@@ -92,3 +94,28 @@ def test_trailing_slices_for_long_windows(spark):
     got = {r.id: r.trailing_count for r in V.velocity_trailing(df, size="1 day", threshold=1).collect()}
     for i, s in enumerate(secs):
         assert got[i] == sum(1 for s2 in secs if s - 86400 <= s2 <= s)
+
+
+def test_exact_lateness_over_ten_years(spark):
+    import random
+    rnd = random.Random(5)
+    secs = sorted(rnd.uniform(0, 10 * 365 * 86400) for _ in range(60))
+    rows = [(i, CARD, at(s - rnd.choice([0, 0, 40])), at(s), 0) for i, s in enumerate(secs)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp_ntz, arrival timestamp_ntz, source_partition int")
+    got = {r.id: r.late for r in V.drop_late(df).collect()}
+    by_chunks = {r.id: r.late for r in V.drop_late(df, rows_per_chunk=3).collect()}
+    seen, want = dt.datetime.min, {}
+    for i, _, ts, _, _ in rows:
+        seen = max(seen, ts)
+        start = at(int((ts - at(0)).total_seconds() // 30) * 30)
+        want[i] = start + dt.timedelta(seconds=30) <= seen - dt.timedelta(seconds=5)
+    assert got == by_chunks == want
+
+
+def test_one_partition_with_a_third_of_all_records(spark):
+    df = spark.range(3000).selectExpr(
+        "id", "cast(id % 5 as string) as key", "timestampadd(SECOND, cast(id % 200 as int), timestamp_ntz'2024-01-01') as ts",
+        "id as arrival", "cast(if(id % 3 = 0, 0, id % 7 + 1) as int) as source_partition")
+    out = V.drop_late(df, rows_per_chunk=50)
+    whole = V.drop_late(df, rows_per_chunk=10_000)
+    assert out.exceptAll(whole).count() == 0 and out.count() == 3000
