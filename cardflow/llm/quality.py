@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from cardflow.llm.hashing import SPACE, WordHasher, buffers, encode
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 DIM = 16
 NGRAMS = (3, 4, 5)
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 EPOCHS = 8
 RATE = 40.0
 BATCH = 32
@@ -125,12 +125,13 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = BUCKETS,
 def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hasher = WordHasher()
     for b in batches:
-        label = b["label"].to_numpy()
         for first, counts in feature_counts(b["text"], hasher):
             hit = [np.flatnonzero(c) for c in counts]
-            yield pd.DataFrame({"label": label[first:first + len(counts)],
-                                "buckets": [h.astype(np.int16) for h in hit],
-                                "counts": [c[h].astype(np.float32) for c, h in zip(counts, hit)]})
+            part = b.iloc[first:first + len(counts)]
+            yield pd.DataFrame({"label": part["label"].to_numpy(), "doc_id": part["doc_id"].to_numpy(),
+                                "tie": part["tie"].to_numpy(),
+                                "buckets": [h.astype("<u2").tobytes() for h in hit],
+                                "counts": [c[h].astype("<f4").tobytes() for c, h in zip(counts, hit)]})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -148,13 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
              .join(docs.select("doc_id"), "doc_id", "left_semi")
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "text"])
-    got = picked.select("label", "doc_id", "text").mapInPandas(
-        _count_rows, "label int, buckets array<short>, counts array<float>").toPandas()
-    sample = [(int(y), np.asarray(b, dtype=np.int64), np.asarray(c, dtype=np.float64))
-              for y, b, c in zip(got["label"], got["buckets"], got["counts"])]
+    got = picked.select("label", "doc_id", F.xxhash64("text").alias("tie"), "text").mapInPandas(
+        _count_rows, "label int, doc_id long, tie long, buckets binary, counts binary").toPandas()
     # tasks end in any order; a fixed order makes reruns agree
-    sample.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
-    return fit(sample)
+    got = got.sort_values(["doc_id", "tie"])
+    return fit([(int(y), np.frombuffer(b, "<u2"), np.frombuffer(c, "<f4"))
+                for y, b, c in zip(got["label"], got["buckets"], got["counts"])])
 
 
 def scorer(model: Model):
