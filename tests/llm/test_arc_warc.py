@@ -1,0 +1,99 @@
+import hashlib
+import base64
+import os
+
+import pytest
+
+from cardflow.llm import arc_warc as A
+
+SCHEMA = "page_id long, url string, html string, payload string, digest string"
+
+
+def expected(rows):
+    digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    best = {}
+    for p, _, h in rows:
+        if p is not None:
+            best[digest(h)] = max(best.get(digest(h), p), p)
+    out = []
+    for p, _, h in rows:
+        d = digest(h)
+        again = p is not None and p != best[d]
+        out.append((p, len((h or "").encode()), d, "revisit" if again else "response", best[d] if again else None))
+    return sorted(out, key=str)
+
+
+ROWS = [(1, "http://a.net/x", "<html>one</html>"), (5, "http://a.net/y", "<html>one</html>"), (3, "http://b", "<html>one</html>"),
+        (2, None, None), (7, "http://c/ü ?q=1", ""), (8, "http://d", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"),
+        (9, "", "filedesc://x 0 0 0 5\nhttp://e 0.0.0.0 20240115000000 text/html 3\n"), (10, "http://f\nX: y", "é😀" * 10),
+        (11, "http://g", "x" * 300_000), (12, "dns:h", "HTTP/1.1 200 OK\r\n\r\nX-Page-Id: 99\r\n"), (None, "http://n", "nobody"),
+        (None, "http://n2", "nobody"), (-4, "http://neg", "<p>-4</p>")]
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "p", "d") for r in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("size", [200, 1 << 20])
+def test_round_trip(spark, tmp_dir, size):
+    archives = A.to_arc(pages(spark, ROWS), size)
+    got = A.convert_archives(archives, os.path.join(tmp_dir, "w"), archive_bytes=size)
+    rows = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got.collect()]
+    assert sorted(rows, key=str) == expected(ROWS)
+
+
+def test_query_form_on_pages(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = [(r["page_id"], r["url"], r["html"]) for r in df.collect()]
+    got = A.warc_round_trip(df).collect()
+    assert sorted([tuple(r)[:5] for r in got], key=str) == expected(rows)
+
+
+def test_empty_and_repeated(spark):
+    assert A.warc_round_trip(pages(spark, [])).count() == 0
+    got = A.warc_round_trip(pages(spark, [(1, "http://a", "x")] * 2 + [(2, "http://b", "x")])).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == [(1, "revisit", 2), (1, "revisit", 2), (2, "response", None)]
+
+
+def test_shorter_payloads_are_all_responses(spark, tmp_dir):
+    rows = [(1, "u", "aa"), (2, "u", "aa"), (3, "u", "b" * 50), (4, "u", "b" * 50)]
+    got = A.convert_archives(A.to_arc(pages(spark, rows)), os.path.join(tmp_dir, "w"), least=10).collect()
+    assert {r["page_id"]: r["refers_to"] for r in got} == {1: None, 2: None, 3: 4, 4: None}
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_versions_and_synthesised_fields(version):
+    data = A.arc_head("t.arc", version) + A.arc_record(7, "http://x/é", "<p>hi</p>", version, 100, "t.arc")
+    (r,) = list(A.read_arc(data))
+    assert len([k for k in r if k != "body"]) == (5 if version == 1 else 10)
+    w = A.convert(r)
+    assert (w["page_id"], w["url"], w["date"], w["kind"], w["payload"]) == (7, "http://x/é", "2024-01-15T00:00:00Z", "response", b"<p>hi</p>")
+    assert w["record_id"] == A.convert(r)["record_id"] and w["digest"] == A.payload_digest(b"<p>hi</p>")
+
+
+def test_records_other_than_http():
+    line = lambda url, body, mime="text/dns": f"{url} 1.2.3.4 20010203040506 {mime} {len(body)}\n".encode() + body + b"\n"
+    data = A.arc_head("t", 1) + line("dns:x.net", b"20010203040506\nx.net. 1 IN A 1.2.3.4") + line("ftp://y/z", b"file", "text/plain")
+    a, b = map(A.convert, A.read_arc(data))
+    assert (a["kind"], a["date"], a["page_id"]) == ("metadata", "2001-02-03T04:05:06Z", None)
+    assert (b["kind"], b["payload"], b["mime"]) == ("resource", b"file", "text/plain")
+
+
+def test_damage_is_an_error():
+    good = A.arc_head("t", 2) + A.arc_record(1, "http://a", "x", 2, 0, "t")
+    for bad in (good[:-3], good.replace(b" 200 ", b" ", 2), b"http://a 0 0 0 1\nx\n", good.replace(A.payload_digest(b"x").encode(), b"A" * 32)):
+        with pytest.raises(ValueError):
+            [A.convert(r) for r in A.read_arc(bad)]
+    rec = A.warc_record(dict(A.convert(next(A.read_arc(good))), refers_id=None, refers_page=None))
+    assert len(list(A.read_warc(rec + b"\x00\x00" + rec + b"\x00"))) == 2
+    with pytest.raises(ValueError):
+        list(A.read_warc(rec[:-9]))
+
+
+def test_archives_are_gzip_files(spark, tmp_dir):
+    import gzip
+    path = os.path.join(tmp_dir, "w")
+    A.convert_archives(A.to_arc(pages(spark, ROWS)), path).count()
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    text = b"".join(gzip.open(os.path.join(path, f)).read() for f in files)
+    assert text.count(b"WARC-Record-ID: ") == len(ROWS) and text.startswith(b"WARC/1.1\r\n")

@@ -1,0 +1,69 @@
+import random
+import zlib
+
+from cardflow.llm import shard_tree as S
+from pyspark.sql import functions as F
+from tests.llm.helpers import docs_df, odd_docs
+
+DOCS = "/root/testdata/sf0.01/documents.parquet"
+
+
+def test_layout(spark):
+    rows = odd_docs(random.Random(1))
+    got = S.layout(docs_df(spark, rows), S.tree(8)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        match = [t for i, t, *_ in rows if i == r["doc_id"] and len((t or "").encode()) + 1 == r["size"]]
+        assert match and r["text_crc32"] in {zlib.crc32((t or "").encode()) for t in match}
+        assert r["grown_shard"] in (r["shard"], 8)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], set()).add((r["shard"], r["grown_shard"]))
+        assert 0 <= r["shard"] < 8
+    assert all(len(v) == 1 for v in by_id.values())
+
+
+def test_slots_growth_and_balance(spark):
+    got = S.layout(spark.read.parquet(DOCS), S.tree(8)).collect()
+    for s in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots))) and 80 < len(slots) < 180
+    moved = [r for r in got if r["grown_shard"] != r["shard"]]
+    assert all(r["grown_shard"] == 8 for r in moved) and 60 < len(moved) < 170
+
+
+def test_weights_and_confined_movement(spark):
+    ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    even, heavy = S.tree(8), S.tree(8, weights={1: 3.0})
+    rows = S.assign(S.assign(ids, "doc_id", even, "a"), "doc_id", heavy, "b").groupBy("a", "b").count().collect()
+    share = {}
+    for r in rows:
+        share[r["b"]] = share.get(r["b"], 0) + r["count"]
+    assert abs(share[1] / 20_000 - 3 / 10) < 0.02 and abs(share[5] / 20_000 - 1 / 10) < 0.015
+    # shards 0-3 are the region whose weight rose: nothing leaves it, and
+    # nothing moves among the shards outside it
+    assert all(r["a"] == r["b"] or r["b"] in (0, 1, 2, 3) for r in rows)
+    # inside it only the rack of shard 1 gains
+    assert all(r["a"] == r["b"] or r["a"] not in (0, 1, 2, 3) or r["b"] in (0, 1) for r in rows)
+
+
+def test_every_growth_step_moves_into_the_new_shard(spark):
+    ids = spark.range(3000).withColumnRenamed("id", "doc_id")
+    t = S.tree(1)
+    for n in range(1, 6):
+        g = S.grow(t)
+        rows = S.assign(S.assign(ids, "doc_id", t, "a"), "doc_id", g, "b").where("a <> b").select("b").distinct().collect()
+        assert [r["b"] for r in rows] == [n]
+        t = g
+
+
+def test_empty(spark):
+    assert S.layout(docs_df(spark, []), S.tree(8)).count() == 0
+
+
+def test_write_shards(spark, tmp_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    S.write_shards(docs, "doc_id", S.tree(4), f"{tmp_dir}/out")
+    back = spark.read.parquet(f"{tmp_dir}/out")
+    assert back.drop("shard").select(*docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count()
+    assert back.select(F.max("shard")).first()[0] == 3
