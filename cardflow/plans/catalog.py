@@ -21,6 +21,7 @@ from cardflow.operators import authorize as A
 from cardflow.operators import feed as FD
 from cardflow.operators import lifecycle as L
 from cardflow.operators import settlement as S
+from cardflow.operators.ordering import numbered
 from cardflow.operators.scoring import severity_counts
 from cardflow.functions.pan import mask_pan, strip_spaces
 from cardflow.functions.requests import BLANKS, FORM_SPACES, parse_amount
@@ -134,6 +135,17 @@ def q_authorizations(p: Pipeline) -> DataFrame:
     return A.new_rows(p.outcomes_plan)
 
 
+@query("authorizations_encrypted", Q.with_(Q.REQ, Q.ATT, Q.LED) + """
+SELECT l.idempotencyKey, l.maskedPan, a.pan FROM led l JOIN att a ON l.request_id = a.request_id""")
+def q_encrypted(p: Pipeline) -> DataFrame:
+    """The ledger with encrypted card numbers, decrypted again."""
+    from cardflow.functions.pan import decrypt_pan
+    from cardflow.sources.fixtures import FIXTURE_PAN_KEY
+    key = F.lit(FIXTURE_PAN_KEY)
+    return A.new_rows(A.authorize(p.valid, key=key)).select(
+        "idempotencyKey", "maskedPan", decrypt_pan("encryptedPan", key).alias("pan"))
+
+
 @query("duplicates_by_merchant", Q.with_(Q.REQ, Q.ATT, Q.LED) + """
 SELECT l.merchantId, count(*) FILTER (WHERE a.rn = 1) AS approved, count(*) FILTER (WHERE a.rn > 1) AS duplicates
 FROM att a JOIN led l ON a.idempotencyKey = l.idempotencyKey GROUP BY l.merchantId""")
@@ -212,10 +224,30 @@ def q_current_status(p: Pipeline) -> DataFrame:
 
 
 @query("status_query_held", Q.BASE_EV + ", " + Q.fold(CUT) + """
-SELECT idempotencyKey, transactionId, createdAt FROM cur WHERE cur_status = 'HELD_FOR_REVIEW'""")
+SELECT idempotencyKey, transactionId, createdAt, row_number() OVER (ORDER BY createdAt, idempotencyKey) AS rank
+FROM cur WHERE cur_status = 'HELD_FOR_REVIEW'""")
 def q_status_query(p: Pipeline) -> DataFrame:
-    return L.find_by_status(p.current(CUTOFF), "HELD_FOR_REVIEW").select(
-        "idempotencyKey", "transactionId", "createdAt")
+    """The held rows, oldest first (their position as a column)."""
+    held = L.find_by_status(p.current(CUTOFF), "HELD_FOR_REVIEW")
+    return numbered(held.select("idempotencyKey", "transactionId", "createdAt"), ["createdAt", "idempotencyKey"])
+
+
+@query("status_update_keys", Q.BASE + """,
+asked AS (SELECT CASE WHEN request_id % 3 = 0 THEN 'no-' || idempotencyKey ELSE idempotencyKey END AS idempotencyKey,
+                 createdAt + INTERVAL '1' DAY AS event_ts FROM led WHERE request_id % 5 = 0)
+SELECT a.idempotencyKey, a.event_ts, l.idempotencyKey IS NOT NULL AS found,
+       CASE WHEN l.idempotencyKey IS NOT NULL THEN 'HELD_FOR_REVIEW' END AS status
+FROM asked a LEFT JOIN led l ON a.idempotencyKey = l.idempotencyKey""")
+def q_status_update(p: Pipeline) -> DataFrame:
+    """L1: an update by key; every third key asked for does not exist."""
+    asked = p.approved.where(F.col("request_id") % 5 == 0).select(
+        F.when(F.col("request_id") % 3 == 0, F.concat(F.lit("no-"), F.col("idempotencyKey")))
+        .otherwise(F.col("idempotencyKey")).alias("idempotencyKey"),
+        (F.col("arrival") + F.expr("INTERVAL 1 DAY")).alias("event_ts"))
+    ev, missing = L.status_update(p.stored, asked, "HELD_FOR_REVIEW")
+    return (ev.select("idempotencyKey", "event_ts", F.lit(True).alias("found"), "status")
+            .unionByName(missing.select("idempotencyKey", "event_ts", F.lit(False).alias("found"),
+                                        F.lit(None).cast("string").alias("status"))))
 
 
 @query("release_requests", Q.with_(Q.REQ, Q.ATT, Q.LED, Q.SCORES) + """,
@@ -235,6 +267,28 @@ def q_release(p: Pipeline) -> DataFrame:
     return f.unionByName(n)
 
 
+@query("release_unknown_and_early", Q.with_(Q.REQ, Q.ATT, Q.LED) + """,
+rel AS (SELECT CASE WHEN request_id % 4 = 0 THEN 'x' || transactionId ELSE transactionId END AS transactionId,
+               CASE WHEN request_id % 4 = 1 THEN arrival - INTERVAL '1' DAY ELSE arrival END AS released_at
+        FROM led WHERE request_id % 2 = 0 OR request_id % 4 = 1)
+SELECT r.transactionId, r.released_at, l.idempotencyKey, l.idempotencyKey IS NOT NULL AS found
+FROM rel r LEFT JOIN led l ON r.transactionId = l.transactionId AND l.createdAt <= r.released_at""")
+def q_release_missing(p: Pipeline) -> DataFrame:
+    """L4: releases of unknown transactions, before the first entry, and at
+    the very moment of it."""
+    rid = F.col("request_id")
+    asked = p.approved.where((rid % 2 == 0) | (rid % 4 == 1)).select(
+        F.when(rid % 4 == 0, F.concat(F.lit("x"), F.col("transactionId"))).otherwise(F.col("transactionId"))
+        .alias("transactionId"),
+        F.when(rid % 4 == 1, F.col("arrival") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("arrival")).alias("released_at"))
+    ev, missing = L.release(asked, p.outcomes)
+    keys = p.stored.select("idempotencyKey", "transactionId")
+    return (ev.select("idempotencyKey", F.col("event_ts").alias("released_at")).join(keys, "idempotencyKey")
+            .select("transactionId", "released_at", "idempotencyKey", F.lit(True).alias("found"))
+            .unionByName(missing.select("transactionId", "released_at", F.lit(None).cast("string").alias("idempotencyKey"),
+                                        F.lit(False).alias("found"))))
+
+
 # ---------------------------------------------------------------------------
 # settlement: L3, A1, A2, K3, K7
 # ---------------------------------------------------------------------------
@@ -257,9 +311,28 @@ def q_by_currency(p: Pipeline) -> DataFrame:
 
 
 @query("settlement_ids", _B1 + f"""
-SELECT '{BATCH_1}' AS batchId, transactionId, createdAt FROM cur WHERE cur_status = 'AUTHORIZED'""")
+SELECT '{BATCH_1}' AS batchId, transactionId, createdAt, row_number() OVER (ORDER BY createdAt, idempotencyKey) AS rank
+FROM cur WHERE cur_status = 'AUTHORIZED'""")
 def q_ids(p: Pipeline) -> DataFrame:
-    return S.settled_ids(p.batch1_current, BATCH_1).select("batchId", "transactionId", "createdAt")
+    """A2: the settled ids, oldest first (their position as a column)."""
+    return numbered(S.settled_ids(p.batch1_current, BATCH_1), ["createdAt", "idempotencyKey"]).select(
+        "batchId", "transactionId", "createdAt", "rank")
+
+
+@query("batch_ids", Q.BASE + """
+SELECT merchantId, CAST(createdAt AS DATE) AS day, count(*) AS transactions,
+       'batch-' || CAST(epoch_ms(CAST(CAST(createdAt AS DATE) AS TIMESTAMP)) AS VARCHAR) || '-'
+       || substr(sha256(merchantId), 1, 8) AS batchId,
+       'settlements/batch-' || CAST(epoch_ms(CAST(CAST(createdAt AS DATE) AS TIMESTAMP)) AS VARCHAR) || '-'
+       || substr(sha256(merchantId), 1, 8) || '.json' AS summaryKey
+FROM led GROUP BY merchantId, CAST(createdAt AS DATE)""")
+def q_batch_ids(p: Pipeline) -> DataFrame:
+    """Batch ids and summary keys computed as columns, a batch for
+    every merchant and day."""
+    from cardflow.functions.text import batch_id_col, summary_key
+    d = p.stored.groupBy("merchantId", F.col("createdAt").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("transactions"))
+    d = d.withColumn("batchId", batch_id_col(F.col("day").cast("timestamp_ntz"), F.col("merchantId")))
+    return d.withColumn("summaryKey", summary_key("batchId"))
 
 
 @query("settlement_notice", _B1 + f"""
