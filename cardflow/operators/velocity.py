@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardflow.constants import VELOCITY_GRACE, VELOCITY_THRESHOLD, VELOCITY_WINDOW
+from cardflow.session import materialize
 
 
 def _seconds(duration: str) -> int:
@@ -135,12 +136,18 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
     # records of the sub-buckets strictly between, per (key, sub-bucket):
     # a small table (one row per key and slice with data)
     per_sb = data.groupBy("key", "sb").agg(F.count(F.lit(1)).alias("n"))
-    between = Window.partitionBy("key").orderBy("sb").rangeBetween(-(m - 1), -1)
-    mids = per_sb.select(
+    # the m - 1 slices before one lie in its own span of m slices and in the
+    # span before: each count enters its own span's group and the next one's,
+    # so a group holds at most 2 m counts, however long a card is in use
+    span = _floor_div(F.col("sb"), m)
+    spans = per_sb.withColumn("span", span).withColumn("group", F.explode(F.array(F.col("span"), F.col("span") + 1)))
+    between = Window.partitionBy("key", "group").orderBy("sb").rangeBetween(-(m - 1), -1)
+    summed = spans.withColumn("before", F.sum("n").over(between)).where(F.col("group") == F.col("span"))
+    mids = summed.select(
         F.lit(None).cast("bigint").alias("id"), "key", F.lit(None).cast(ts_type).alias("ts"),
         F.lit(None).cast("bigint").alias("us"), F.lit(False).alias("_emit"), "sb",
         F.lit(0).alias("is_data"), F.lit("mid").alias("kind"),
-        F.coalesce(F.sum("n").over(between), F.lit(0)).alias("mid"))
+        F.coalesce(F.col("before"), F.lit(0)).alias("mid"))
     grp = Window.partitionBy("key", "sb")
     upto = grp.orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
     before = grp.orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
@@ -187,9 +194,10 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
     if balanced:
         n = chunks or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # contiguous ranges of (partition, arrival, tiebreak); a range's
-        # index orders it within its source partition
-        r = (r.repartitionByRange(n, F.col(partition), F.col("_arr"), F.col(tiebreak))
-             .withColumn("_chunk", F.spark_partition_id().cast("bigint")))
+        # index orders it within its source partition.  Written once: both
+        # branches below must see the same ranges
+        r = materialize(r.repartitionByRange(n, F.col(partition), F.col("_arr"), F.col(tiebreak))
+                        .withColumn("_chunk", F.spark_partition_id().cast("bigint")), "arrival-ranges")
     elif chunk is not None:
         chunk_w = _seconds(chunk) * 1_000_000 if is_ts else int(chunk)
         r = r.withColumn("_chunk", _floor_div(F.col("_arr"), chunk_w))

@@ -119,3 +119,13 @@ def test_one_partition_with_a_third_of_all_records(spark):
     out = V.drop_late(df, rows_per_chunk=50)
     whole = V.drop_late(df, rows_per_chunk=10_000)
     assert out.exceptAll(whole).count() == 0 and out.count() == 3000
+
+
+def test_no_window_holds_a_card_for_all_time(spark):
+    r = spark.createDataFrame([(i, CARD, at(i * 7.3)) for i in range(400)], "id long, key string, ts timestamp_ntz")
+    out = V.velocity_trailing(r, threshold=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x]
+    assert windows and all("group#" in x or "sb#" in x for x in windows)
+    got = {x.id: x.trailing_count for x in out.collect()}
+    assert got == {i: sum(1 for j in range(i + 1) if (i - j) * 7.3 <= 30) for i in range(400)}
