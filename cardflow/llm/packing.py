@@ -13,7 +13,8 @@ a partition is full.
 Nothing is shuffled but the vocabulary-sized counts.  A text is tokenized by
 its words (runs of bytes other than the ASCII white space, across which the
 tokenizer never merges), and a word seen before in the task is not tokenized
-again.
+again.  Plain words are merged many at a time (``bpe``), all others by the
+library.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardflow.llm.bpe import LONGEST, Merger
 from cardflow.llm.hashing import encode
 from cardflow.session import materialize
 
@@ -36,7 +38,7 @@ SHARD_TOKENS = 1 << 21
 SHARD_DOCS = 4096
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 class WordTokenizer:
@@ -45,50 +47,62 @@ class WordTokenizer:
     #: Letters whose lower case and composition are those of one character,
     #: then marks: the tokenizer makes exactly these two parts of such a word.
     SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*&%$#()\-]*)")
+    MARKS = frozenset(b".,!?;:*&%$#()-")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.merger = Merger(path)
+        self.cache: dict[bytes, bytes] = {}  # of words and of their parts, which are words too
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes()
-                for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(
+            [w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
         """Put the ids of new words into the cache."""
-        text = [w.decode("utf-8", "replace") for w in words]
-        split = [self.SIMPLE.fullmatch(t) for t in text]
-        new = {p for m in split if m for p in (m.group(1).lower(), m.group(2)) if p and p not in self.parts}
-        self._store(self.parts, list(new), list(new))
-        odd = [i for i, m in enumerate(split) if not m]
-        self._store(self.cache, [words[i] for i in odd], [text[i] for i in odd])
-        parts, cache = self.parts, self.cache
-        for w, m in zip(words, split):
-            if m:
-                letters, marks = m.groups()
-                cache[w] = parts[letters.lower()] + parts[marks] if marks else parts[letters.lower()]
-
-    def _store(self, into: dict, keys: list, texts: list[str]) -> None:
-        into.update(zip(keys, self._ids(texts)))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+        cache, match, marks = self.cache, self.SIMPLE.fullmatch, self.MARKS
+        made, merge, whole = [], set(), set()
+        for w in words:
+            if w.isalpha():  # ASCII letters
+                letters, tail = w.lower(), b""
+            elif w[-1] in marks and w[:-1].isalpha():
+                letters, tail = w[:-1].lower(), w[-1:]
+            else:
+                m = match(w.decode("utf-8", "replace"))
+                if m is None:
+                    whole.add(w)
+                    continue
+                letters, tail = m.group(1).lower().encode(), m.group(2).encode()
+            if letters != w:
+                made.append((w, letters, tail))
+            if letters not in cache:
+                merge.add(letters)
+            if tail and tail not in cache:
+                whole.add(tail)
+        if not self.merger.usable:
+            merge, whole = set(), whole | merge
+        new = [w for w in merge if len(w) <= LONGEST]
+        whole.update(w for w in merge if len(w) > LONGEST)
+        cache.update(zip(new, self.merger.encode(new)))
+        rest = list(whole)
+        cache.update(zip(rest, self._ids(rest)))
+        for w, letters, tail in made:
+            cache[w] = cache[letters] + cache[tail] if tail else cache[letters]
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
-        out = []
-        split = [t.split() for t in texts]
-        for at in range(0, len(split), 512):
-            group = split[at:at + 512]
-            if len(self.cache) + len(self.parts) > CACHE_WORDS:
+        for at in range(0, len(texts), 256):
+            group = [t.split() for t in texts[at:at + 256]]
+            if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-                self.parts.clear()
             new = set().union(*group) - self.cache.keys()
             if new:
                 self._learn(list(new))
-            out += [b"".join(map(self.cache.__getitem__, words)) for words in group]
-        return out
+            for words in group:
+                yield b"".join(map(self.cache.__getitem__, words))
 
 
 def _tokenize(path: str, end_id: int):
