@@ -154,7 +154,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     items = materialize(classes.mapInPandas(
         _hash_rows(tables, hashes, probes),
         "id long, weight long, bytes long, keys array<long>, payload binary"), "items")
-    found = materialize(link(items.drop("payload"), lambda ids: items.select("id", "payload").join(ids, "id"),
+    found = materialize(link(items.drop("payload"), lambda own: items.select("id", "weight", "payload").join(own, "id"),
                              accept_cosine(threshold)), "links")
     parts = components(found.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")))
     named = parts.join(classes.select("id", "first"), "id")

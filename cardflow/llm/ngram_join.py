@@ -203,12 +203,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rows
         .groupBy("id", "weight", "k1", "k2", "class_id")
         .agg(F.max(F.col("words") * 8).alias("bytes"), F.first("keys").alias("keys")), "items")
 
-    def payloads(ids: DataFrame) -> DataFrame:
-        wanted = items.join(ids, "id").select("id", "k1", "k2", "class_id")
+    def payloads(own: DataFrame) -> DataFrame:
+        wanted = items.select("id", "weight", "k1", "k2", "class_id").join(own, "id")
         firsts = wanted.select("class_id").distinct()
-        sets = (docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("class_id"))).select("text")
+        # a merge join at every size: what the texts cost here grows evenly
+        sets = (docs.hint("merge").join(firsts, F.col("doc_id").eqNullSafe(F.col("class_id"))).select("text")
                 .mapInPandas(_sets(n), "k1 long, k2 long, payload binary"))
-        return sets.join(wanted.select("id", "k1", "k2"), ["k1", "k2"]).groupBy("id").agg(F.first("payload").alias("payload"))
+        return (sets.groupBy("k1", "k2").agg(F.first("payload").alias("payload"))
+                .join(wanted, ["k1", "k2"]).select("id", "weight", "buckets", "payload"))
 
     found = materialize(link(items, payloads, accept_jaccard(threshold)), "links")
     parts = components(found.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")))
@@ -237,5 +239,5 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
         F.col("doc_id").isNotNull())
     out = again.where(~F.col("kept") | (F.col("n") > 1)).select("doc_id")
     one = again.where(F.col("kept") & (F.col("n") > 1)).select("doc_id")
-    rest = docs.join(out, "doc_id", "left_anti")
+    rest = docs.hint("merge").join(out, "doc_id", "left_anti")
     return rest.unionByName(docs.join(one, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)

@@ -129,8 +129,8 @@ def link(items: DataFrame, payloads: Callable[[DataFrame], DataFrame],
          accept: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """Link items.  ``items``: a written table id (unique long), weight (long),
     bytes (of the payload, about) and keys (array of longs).  ``payloads``
-    gets the ids that share a bucket with another (id) and returns id,
-    payload.  Returns id, n (weight of the items linked), low (an item of the
+    gets the items that share a bucket with another (id, buckets) and returns
+    id, weight, buckets and payload, each item once.  Returns id, n (weight of the items linked), low (an item of the
     same component): a row for every block that holds a link of the item."""
     members = items.select("id", "bytes", F.explode(F.array_distinct("keys")).alias("key"))
     buckets = members.groupBy("key").agg(
@@ -144,7 +144,7 @@ def link(items: DataFrame, payloads: Callable[[DataFrame], DataFrame],
     own = materialize(
         members.select("id", "key").join(kept, "key").groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("key", "chunks"))).alias("buckets")), "members")
-    rows = (own.join(items.select("id", "weight"), "id").join(payloads(own.select("id")), "id")
+    rows = (payloads(own)
             .select("id", "weight", "payload", F.col("buckets.key").alias("keys"), F.inline("buckets"))
             .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
