@@ -5,10 +5,12 @@ which is written once together with the document frequencies of its ids.  The
 corpus statistics of BM25, over all documents, are vocabulary-sized.  The table
 is then cut into shards of bounded size, and each shard gets an inverted index:
 a window starts with a seed, the index returns the seed's unused neighbours,
-best first, and they fill the window; the document that does not fit is cut
-and its rest is the next window's seed.  When no unused document shares a term
-with the seed, the next one in order follows.  So every window but the last of
-a partition is full.
+best first by all distinct terms of the seed, and they fill the window; the
+document that does not fit is cut and its rest is the next window's seed.  The
+end id is a term of every document, of next to no weight, so documents that
+share nothing else with the seed come last.  When a shard has no unused
+document left, the next shard goes on in the open window.  So every window but
+the last of a partition is full.
 
 Nothing is shuffled but the vocabulary-sized counts.  A text is tokenized by
 its words (runs of bytes other than the ASCII white space, across which the
@@ -36,7 +38,7 @@ WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 SHARD_DOCS = 4096
-QUERY_TERMS = 32
+DENSE = 8  # a term of more than an eighth of the documents is held as a row
 K1, B = 1.2, 0.75
 CACHE_WORDS = 800_000
 
@@ -154,23 +156,43 @@ class Index:
     """An inverted index with BM25 weights over a shard."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, average: float):
-        self.docs, self.idf = len(ids), idf
         width = len(idf)
         length = np.array([len(i) for i in ids])
-        flat = np.concatenate(ids).astype(np.int64) * self.docs + np.repeat(np.arange(self.docs), length)
+        flat = np.concatenate(ids).astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), length)
         pair, tf = np.unique(flat, return_counts=True)
-        term, self.doc = pair // self.docs, pair % self.docs
+        term, doc = pair // len(ids), pair % len(ids)
+        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))).astype(np.float32)
+        self._hold(np.arange(len(ids)), term, doc, weight, width)
+
+    def _hold(self, docs: np.ndarray, term: np.ndarray, doc: np.ndarray, weight: np.ndarray, width: int) -> None:
+        """Keep the postings of ``docs`` (the numbers the documents had at
+        first), sorted by term; the terms of many documents also as rows."""
+        self.docs, self.term, self.doc, self.weight = docs, term, doc, weight
         self.start = np.searchsorted(term, np.arange(width + 1))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / average))).astype(np.float32)
+        n = np.diff(self.start)
+        often = np.flatnonzero(n * DENSE > len(docs))
+        self.row = np.full(width, -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(docs)), dtype=np.float32)
+        held = self.row[term]
+        self.rows[held[held >= 0], doc[held >= 0]] = weight[held >= 0]
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Forget the documents that ``wanted`` (a flag for each document held) does not name."""
+        place = np.cumsum(wanted) - 1
+        at = np.flatnonzero(wanted[self.doc])
+        self._hold(self.docs[wanted], self.term[at], place[self.doc[at]], self.weight[at], len(self.row))
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        """BM25 scores of all documents for the seed's weightiest terms."""
-        term, tf = np.unique(ids, return_counts=True)
-        if len(term) > QUERY_TERMS:
-            term = term[np.argpartition(-self.idf[term] * tf, QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.start[t], self.start[t + 1]) for t in term]
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]),
-                           weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.docs)
+        """BM25 scores of all documents held, for all distinct terms of the seed."""
+        term = np.unique(ids)
+        row = self.row[term]
+        out = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float32)
+        spans = [slice(i, j) for i, j in zip(self.start[term[row < 0]], self.start[term[row < 0] + 1]) if i < j]
+        if spans:
+            out += np.bincount(np.concatenate([self.doc[s] for s in spans]),
+                               weights=np.concatenate([self.weight[s] for s in spans]), minlength=len(out))
+        return out
 
 
 class Packer:
@@ -208,8 +230,12 @@ class Packer:
                     self._place(doc_ids[seed], ids[seed])
                 if not self.offset:
                     break
-                sequence, score = self.sequence, index.scores(ids[seed])
-                score[~unused] = 0
+                left = unused[index.docs]
+                if 4 * np.count_nonzero(left) < 3 * len(left):
+                    index.keep(left)
+                    left = unused[index.docs]
+                sequence, score = self.sequence, np.zeros(len(ids), dtype=np.float32)
+                score[index.docs] = index.scores(ids[seed]) * left
                 near = np.flatnonzero(score)
                 if len(near) > 64:  # the best few are nearly always enough
                     best = near[np.argpartition(-score[near], 64)[:64]]

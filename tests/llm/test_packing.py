@@ -127,3 +127,27 @@ def test_neighbours_fill_the_seeds_window():
     out = packer.shard(list(range(9)), ids)
     for s, d in out.groupby("sequence_id")["doc_id"]:
         assert len({x % 3 for x in d}) == 1
+
+
+def test_all_terms_of_a_long_seed_count():
+    rng = np.random.default_rng(6)
+    ids = [rng.integers(0, 2000, rng.integers(1, 900)).astype("<u2") for _ in range(40)]
+    ids += [np.array([1990 + i]).astype("<u2") for i in range(9)]  # one term each
+    idf = rng.random(2000).astype(np.float32) + 0.01
+    average = np.mean([len(i) for i in ids])
+    index = P.Index(ids, idf, average)
+    seed = np.concatenate([np.arange(600), np.arange(1990, 1999)])
+
+    def brute(d):
+        out = 0.0
+        for t in set(seed.tolist()):
+            tf = (ids[d] == t).sum()
+            out += idf[t] * tf * (P.K1 + 1) / (tf + P.K1 * (1 - P.B + P.B * len(ids[d]) / average))
+        return out
+
+    want = np.array([brute(d) for d in range(len(ids))])
+    assert index.scores(seed) == pytest.approx(want, rel=1e-4) and (want[40:] > 0).all()
+    wanted = rng.random(len(ids)) < 0.4
+    index.keep(wanted)
+    assert index.docs.tolist() == np.flatnonzero(wanted).tolist()
+    assert index.scores(seed) == pytest.approx(want[wanted], rel=1e-4)
