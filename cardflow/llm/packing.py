@@ -2,8 +2,9 @@
 
 Documents become token ids (a public tokenizer, then an end id) in one pass,
 which is written once together with the document frequencies of its ids.  The
-corpus statistics of BM25, over all documents, are vocabulary-sized.  The table
-is then cut into shards of bounded size, and each shard gets an inverted index:
+corpus statistics of BM25, over all documents, are vocabulary-sized.  The
+documents are then sorted, over the whole table, by their heaviest terms and
+cut in that order into shards of bounded size; each shard gets an inverted index:
 a window starts with a seed, the index returns the seed's unused neighbours,
 best first by all distinct terms of the seed, and they fill the window; the
 document that does not fit is cut and its rest is the next window's seed.  The
@@ -12,7 +13,8 @@ share nothing else with the seed come last.  When a shard has no unused
 document left, the next shard goes on in the open window.  So every window but
 the last of a partition is full.
 
-Nothing is shuffled but the vocabulary-sized counts.  A text is tokenized by
+The ids are shuffled once, by the heaviest terms.  A seed asks its own shard
+only; the README gives the measured share of its neighbours that lie there.  A text is tokenized by
 its words (runs of bytes other than the ASCII white space, across which the
 tokenizer never merges), and a word seen before in the task is not tokenized
 again.  Plain words are merged many at a time (``bpe``), all others by the
@@ -38,6 +40,7 @@ WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 SHARD_DOCS = 4096
+ROUTE_TERMS = 3
 DENSE = 8  # a term of more than an eighth of the documents is held as a row
 K1, B = 1.2, 0.75
 CACHE_WORDS = 800_000
@@ -107,6 +110,17 @@ class WordTokenizer:
                 yield b"".join(map(self.cache.__getitem__, words))
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order and their numbers; the stable sort of two
+    bytes is by radix, which np.unique does not use."""
+    ids = np.sort(ids, kind="stable")
+    new = np.ones(len(ids) + 1, dtype=bool)
+    if len(ids):
+        np.not_equal(ids[1:], ids[:-1], out=new[1:-1])
+    at = np.flatnonzero(new)
+    return ids[at[:-1]], np.diff(at)
+
+
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = WordTokenizer(path)
@@ -119,7 +133,7 @@ def _tokenize(path: str, end_id: int):
                 ids = [i + end for i in t.encode(raw[at:at + 2048])]
                 n = np.array([len(i) // t.kind.itemsize for i in ids], dtype=np.int64)
                 for i in ids:
-                    df[np.unique(np.frombuffer(i, t.kind))] += 1
+                    df[distinct(np.frombuffer(i, t.kind))[0]] += 1
                 docs += len(ids)
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at:at + 2048].astype("Int64").array, "n": n,
                                     "ids": ids, "terms": None, "counts": None})
@@ -185,7 +199,7 @@ class Index:
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """BM25 scores of all documents held, for all distinct terms of the seed."""
-        term = np.unique(ids)
+        term = distinct(ids)[0]
         row = self.row[term]
         out = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float32)
         spans = [slice(i, j) for i, j in zip(self.start[term[row < 0]], self.start[term[row < 0] + 1]) if i < j]
@@ -257,6 +271,40 @@ class Packer:
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
 
+def heaviest(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The ``ROUTE_TERMS`` terms of most weight (number times idf) of a
+    document, heaviest first; -1 where it has fewer."""
+    term, tf = distinct(ids)
+    weight = idf[term] * tf
+    best = np.argsort(-weight, kind="stable")[:ROUTE_TERMS]
+    out = np.full(ROUTE_TERMS, -1, dtype=np.int64)
+    out[:len(best)] = term[best]
+    return out
+
+
+def _route(idf: np.ndarray, itemsize: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = np.zeros((len(b), ROUTE_TERMS), dtype=np.int64)
+            for i, raw in enumerate(b["ids"]):
+                keys[i] = heaviest(np.frombuffer(raw, f"<u{itemsize}"), idf)
+            yield b.assign(doc_id=b["doc_id"].astype("Int64"), **{f"t{j}": keys[:, j] for j in range(ROUTE_TERMS)})
+    return run
+
+
+def routed(tokens: DataFrame, idf: np.ndarray, itemsize: int) -> DataFrame:
+    """The documents of the token table in the order of their heaviest terms,
+    in ranges: documents about the same things lie together, wherever the
+    table has them, and the documents of a hot term are split by the next
+    one, at last by a hash of the row."""
+    rows = tokens.where("ids is not null").select(
+        "doc_id", "n", "ids", F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("tie"))
+    by = [f"t{j}" for j in range(ROUTE_TERMS)] + ["tie"]
+    keyed = rows.mapInPandas(_route(idf, itemsize), "doc_id long, n long, ids binary, tie long, "
+                             + ", ".join(f"{t} long" for t in by[:-1]))
+    return keyed.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "n", "ids")
+
+
 def _pack(window: int, idf: np.ndarray, average: float, itemsize: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = Packer(window, idf, average, TaskContext.get().partitionId() << 40)
@@ -290,7 +338,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     itemsize = 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
     tokens = tokenize(docs, path, end_id)
     idf, average = statistics(tokens)
-    return tokens.where("ids is not null").select("doc_id", "n", "ids").mapInPandas(
+    return routed(tokens, idf, itemsize).mapInPandas(
         _pack(window, idf, average, itemsize),
         "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 

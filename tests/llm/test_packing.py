@@ -151,3 +151,18 @@ def test_all_terms_of_a_long_seed_count():
     index.keep(wanted)
     assert index.docs.tolist() == np.flatnonzero(wanted).tolist()
     assert index.scores(seed) == pytest.approx(want[wanted], rel=1e-4)
+
+
+def test_related_documents_meet_wherever_the_table_has_them(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_DOCS", 10)
+    topics = ["apple orchard cider", "harbor vessel anchor", "violin sonata cello", "glacier summit ridge"]
+    rows = [(i, " ".join([topics[i % 4]] * 14)) for i in range(40)]  # every run of 10 rows holds all topics
+    docs = docs_df(spark, rows).repartition(4, "doc_id")
+    tokens = P.tokenize(docs, tokenizer_path())
+    order = [r["doc_id"] % 4 for r in P.routed(tokens, P.statistics(tokens)[0], 2).coalesce(1).collect()]
+    assert sum(a != b for a, b in zip(order, order[1:])) == 3
+    got = P.pack_report(docs, tokenizer_path(), window=128).collect()
+    alike = {}
+    for r in got:
+        alike.setdefault(r["sequence_id"], set()).add(r["doc_id"] % 4)
+    assert sum(len(v) > 1 for v in alike.values()) <= 3
