@@ -110,3 +110,16 @@ def test_long_lines_stay_fast():
                  "pwd " + "<a " * 40_000, "\n".join(f"key{i} = key{i - 1}" for i in range(5000))):
         S.find_spans(text)
     assert time.time() - t < 20
+
+
+@pytest.mark.parametrize("name", ["session_cookie", "client_pin", "api_access", "private_session", "signingClient",
+                                  "encryption-pin", "p_wd", "toKen"])
+@pytest.mark.parametrize("form", ['{} = "Zx9$kQ2#vL7!mP4@"', '#define {} "Zx9$kQ2#vL7!mP4@"', "<{0}>Zx9$kQ2#vL7!mP4@</{0}>"])
+def test_unrelated_words_never_change_the_spans(name, form):
+    if form.startswith("#"):
+        name = name.replace("-", "_")
+    text = form.format(name) + "\n"
+    alone = S.find_spans(text)
+    assert [k for _, _, k in alone] == ["named"] and S.redacted(text) == text.replace("Zx9$kQ2#vL7!mP4@", "[SECRET]")
+    for word in ("monkey", "passage", "tokenize", "credit", "author", "salty"):
+        assert S.find_spans(text + word) == alone
