@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from cardflow.llm.hashing import SPACE, WordHasher, buffers, encode
 
-BUCKETS = 1 << 12
+BUCKETS = 1 << 13
 DIM = 16
 NGRAMS = (3, 4, 5)
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 3000
 EPOCHS = 8
 RATE = 40.0
 BATCH = 32

@@ -76,3 +76,7 @@ def test_training_reads_a_bounded_sample(spark):
     m = Q.train(docs, labels, rows=40)
     again = Q.train(docs.repartition(4), labels.repartition(3), rows=40)
     assert np.array_equal(m.vectors, again.vectors) and np.array_equal(m.weights, again.weights)
+
+
+def test_the_sample_and_the_features_are_not_reduced():
+    assert Q.TRAIN_ROWS == 3000 and Q.BUCKETS == 8192
