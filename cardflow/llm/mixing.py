@@ -137,7 +137,8 @@ def streams(rows: DataFrame) -> DataFrame:
 
 def takes(rows: DataFrame, src: DataFrame, block: int = BLOCK) -> DataFrame:
     """What the schedule takes of each document: rid, pass, taken (words, from
-    the document's first; 0 and a null pass if nothing)."""
+    the document's first; 0 and a null pass if nothing), slot (the one that
+    takes the first of them; null if nothing) and start (in the stream)."""
     a, b = F.col("start"), F.col("start") + F.col("size")
     blocks = F.when(F.col("size") > 0, F.sequence(
         F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))
@@ -145,7 +146,10 @@ def takes(rows: DataFrame, src: DataFrame, block: int = BLOCK) -> DataFrame:
     met = pieces.join(schedule(src, block), ["sid", "block"], "left")
     # no slot took the block: least() would pass over the null
     part = F.when(F.col("hi").isNotNull(), F.greatest(F.least("b", "hi") - F.greatest("a", "lo"), F.lit(0)))
-    return met.groupBy("rid", "pass").agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"))
+    # slots of a pass go up with its blocks, so the least has the first word
+    return met.groupBy("rid", "pass").agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"),
+                                          F.min(F.when(part > 0, F.col("slot"))).alias("slot"),
+                                          F.min("a").alias("start"))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -158,20 +162,23 @@ def _with_sid(rows: DataFrame, src: DataFrame) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words, repeats counted)
-    of every row of ``docs`` (doc_id, text, source)."""
+    """doc_id, size, source_size, target, taken (words, repeats counted) and
+    slot (the first that takes a word; null if none does) of every row of
+    ``docs`` (doc_id, text, source)."""
     rows = with_row_id(_sized(docs), "rid")
     src = targets(rows, **how)
     rows = _with_sid(rows, src)
-    taken = takes(rows, src, block).groupBy("rid").agg(F.sum("taken").alias("taken"))
+    taken = takes(rows, src, block).groupBy("rid").agg(F.sum("taken").alias("taken"), F.min("slot").alias("slot"))
     return (rows.join(taken, "rid").join(src.select("sid", "source_size", "target"), "sid")
-            .select("doc_id", "size", "source_size", "target", "taken"))
+            .select("doc_id", "size", "source_size", "target", "taken", "slot"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
     """The mixed documents: every column of ``docs``, a row for each pass that
-    takes a document.  Where the mix takes only its first words, text is
-    those words joined by spaces."""
+    takes a document, sorted by the schedule's slots.  A document is not cut
+    where a block ends: it stands at the slot that takes its first word, and
+    documents of one slot in the order of their stream.  Where the mix takes
+    only its first words, text is those words joined by spaces."""
     base = with_row_id(docs, "__rid")
     rows = base.select(F.col("__rid").alias("rid"), "doc_id", "source", words(F.col("text")).alias("size"),
                        F.xxhash64("doc_id", "text").alias("order"))
@@ -179,8 +186,10 @@ def mix(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
     src = targets(rows, **how)
     plan = (takes(_with_sid(rows, src), src, block).where("taken > 0")
             .join(rows.select("rid", "size"), "rid")
-            .select(F.col("rid").alias("__rid"), F.col("size").alias("__size"), F.col("taken").alias("__taken")))
+            .select(F.col("rid").alias("__rid"), F.col("size").alias("__size"), F.col("taken").alias("__taken"),
+                    F.col("slot").alias("__slot"), F.col("start").alias("__start")))
     part = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)),
                                     F.lit(1), F.col("__taken").cast("int")))
     text = F.when(F.col("__taken") == F.col("__size"), F.col("text")).otherwise(part)
-    return base.join(plan, "__rid").withColumn("text", text).select(*docs.columns)
+    return (base.join(plan, "__rid").withColumn("text", text)
+            .orderBy("__slot", "__start", "__rid").select(*docs.columns))

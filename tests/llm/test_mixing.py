@@ -125,3 +125,15 @@ def test_no_python(spark):
     for df in (M.mix_report(spark.read.parquet(SF)), M.mix(spark.read.parquet(SF))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_the_mix_comes_in_the_order_of_its_slots(spark):
+    rng = random.Random(7)
+    rows = [(i, words(rng, rng.randint(0, 40)), f"s{i % 3}") for i in range(300)]
+    docs = docs_df(spark, rows)
+    slot = {r["doc_id"]: r["slot"] for r in M.mix_report(docs, block=16).collect() if r["taken"]}
+    assert None not in slot.values() and len(set(slot.values())) > 100
+    got = [r["doc_id"] for r in M.mix(docs, block=16).collect()]
+    first = list(dict.fromkeys(got))  # a repeat stands at a later slot
+    assert len(got) > len(first) and set(first) == set(slot)
+    assert [slot[d] for d in first] == sorted(slot.values())
