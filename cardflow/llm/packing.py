@@ -16,14 +16,13 @@ the last of a partition is full.
 The ids are shuffled once, by the heaviest terms.  A seed asks its own shard
 only; the README gives the measured share of its neighbours that lie there.  A text is tokenized by
 its words (runs of bytes other than the ASCII white space, across which the
-tokenizer never merges), and a word seen before in the task is not tokenized
-again.  Plain words are merged many at a time (``bpe``), all others by the
-library.
+tokenizer never merges): the parts of all words of many texts are looked up at
+once in a table of those seen before in the task (``wordtable``).  New plain
+words are merged many at a time (``bpe``), all others by the library.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.llm.bpe import LONGEST, Merger
-from cardflow.llm.hashing import encode
+from cardflow.llm.hashing import encode, mix
+from cardflow.llm.wordtable import SHORT, Parts, WordTable, byte_classes
 from cardflow.session import materialize
 
 WINDOW = 4096
@@ -44,15 +44,15 @@ ROUTE_TERMS = 3
 DENSE = 8  # a term of more than an eighth of the documents is held as a row
 K1, B = 1.2, 0.75
 CACHE_WORDS = 800_000
+GROUP_BYTES = 1 << 22
 
 
 class WordTokenizer:
-    """Token ids of whole texts, by their words."""
+    """Token ids of whole texts, by the parts of their words."""
 
-    #: Letters whose lower case and composition are those of one character,
-    #: then marks: the tokenizer makes exactly these two parts of such a word.
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*&%$#()\-]*)")
-    MARKS = frozenset(b".,!?;:*&%$#()-")
+    #: The tokenizer makes exactly two parts of letters whose lower case and
+    #: composition are those of one character and such marks behind them.
+    MARKS = b".,!?;:*&%$#()-"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,54 +60,58 @@ class WordTokenizer:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.merger = Merger(path)
-        self.cache: dict[bytes, bytes] = {}  # of words and of their parts, which are words too
+        self.classes = byte_classes(self.MARKS)
+        self.table = WordTable(self.kind)
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(
             [w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Put the ids of new words into the cache."""
-        cache, match, marks = self.cache, self.SIMPLE.fullmatch, self.MARKS
-        made, merge, whole = [], set(), set()
-        for w in words:
-            if w.isalpha():  # ASCII letters
-                letters, tail = w.lower(), b""
-            elif w[-1] in marks and w[:-1].isalpha():
-                letters, tail = w[:-1].lower(), w[-1:]
-            else:
-                m = match(w.decode("utf-8", "replace"))
-                if m is None:
-                    whole.add(w)
-                    continue
-                letters, tail = m.group(1).lower().encode(), m.group(2).encode()
-            if letters != w:
-                made.append((w, letters, tail))
-            if letters not in cache:
-                merge.add(letters)
-            if tail and tail not in cache:
-                whole.add(tail)
-        if not self.merger.usable:
-            merge, whole = set(), whole | merge
-        new = [w for w in merge if len(w) <= LONGEST]
-        whole.update(w for w in merge if len(w) > LONGEST)
-        cache.update(zip(new, self.merger.encode(new)))
-        rest = list(whole)
-        cache.update(zip(rest, self._ids(rest)))
-        for w, letters, tail in made:
-            cache[w] = cache[letters] + cache[tail] if tail else cache[letters]
+    def _learn(self, parts: Parts, keys: np.ndarray, new: np.ndarray) -> None:
+        """Put parts into the table: plain ones are merged, others asked of the library."""
+        words = [parts[i] for i in new.tolist()]
+        ids: list = [None] * len(words)
+        merge = parts.plain[new] & (keys[3][new] <= LONGEST) if self.merger.usable else np.zeros(len(new), dtype=bool)
+        for some, how in ((merge, self.merger.encode), (~merge, self._ids)):
+            at = np.flatnonzero(some).tolist()
+            if at:
+                for i, x in zip(at, how([words[i] for i in at])):
+                    ids[i] = x
+        self.table.add(words, keys[:, new], ids)
+
+    def _group(self, texts: list[bytes]) -> Iterator[bytes]:
+        parts = Parts(texts, self.classes)
+        keys = parts.numbers()
+        if len(self.table) > CACHE_WORDS:
+            self.table.clear()
+        number = self.table.find(parts, keys, np.arange(len(parts.start)))
+        while len(missing := np.flatnonzero(number < 0)):
+            long = np.flatnonzero(keys[3][missing] > SHORT)
+            short = np.delete(missing, long)
+            unique: dict[bytes, int] = {parts[i]: i for i in missing[long].tolist()}
+            scrambled = mix(keys[0, short] ^ mix(keys[1, short] ^ mix(keys[2, short] + keys[3, short])))
+            first = np.unique(scrambled, return_index=True)[1]
+            self._learn(parts, keys, np.concatenate((short[first], np.array(list(unique.values()), dtype=np.int64))))
+            number[missing] = self.table.find(parts, keys, missing)
+        ids, upto = self.table.ids(number)
+        ends = np.concatenate(([0], upto))[parts.upto]
+        at = 0
+        for end in ends.tolist():
+            yield ids[at:end].tobytes()
+            at = end
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
-        for at in range(0, len(texts), 256):
-            group = [t.split() for t in texts[at:at + 256]]
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            new = set().union(*group) - self.cache.keys()
-            if new:
-                self._learn(list(new))
-            for words in group:
-                yield b"".join(map(self.cache.__getitem__, words))
+        group: list[bytes] = []
+        size = 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size > GROUP_BYTES:
+                yield from self._group(group)
+                group, size = [], 0
+        if group:
+            yield from self._group(group)
 
 
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

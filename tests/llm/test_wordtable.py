@@ -1,0 +1,37 @@
+import random
+
+import numpy as np
+
+from cardflow.llm.packing import WordTokenizer
+from cardflow.llm.wordtable import Parts, WordTable, byte_classes
+
+CLASSES = byte_classes(WordTokenizer.MARKS)
+
+
+def test_parts():
+    texts = ["One, two  ÀÉß!! x9 ... a.b ×y ÷", "", " \t ", "end", "é" * 30 + ".", "\x00 A\x00"]
+    p = Parts([t.encode() for t in texts], CLASSES)
+    got, at = [], 0
+    for upto in p.upto.tolist():
+        got.append([p[i].decode() for i in range(at, upto)])
+        at = upto
+    assert got == [["one", ",", "two", "àéß", "!!", "x9", "...", "a.b", "×y", "÷"], [], [], ["end"],
+                   ["é" * 30, "."], ["\x00", "A\x00"]]
+
+
+def test_table_is_exact():
+    rng = random.Random(1)
+    words = list({bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(1, 30))) for _ in range(20_000)})
+    table = WordTable(np.dtype("<u2"))
+    ids = {w: np.array([i % 60_000, len(w)][:1 + i % 2], dtype="<u2").tobytes() for i, w in enumerate(words)}
+    half = words[::2]
+    held = Parts([b" ".join(half)], CLASSES)
+    order = [held[i] for i in range(len(half))]
+    assert order == half
+    table.add(half, held.numbers(), [ids[w] for w in half])
+    asked = Parts([b" ".join(words)], CLASSES)
+    number = table.find(asked, asked.numbers(), np.arange(len(words)))
+    assert (number[1::2] == -1).all() and (number[::2] == np.arange(len(half))).all()
+    flat, upto = table.ids(number[::2])
+    assert flat.tobytes() == b"".join(ids[w] for w in half)
+    assert upto[-1] == len(flat)
