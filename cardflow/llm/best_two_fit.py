@@ -21,13 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardflow.llm.hashing import encode
-from cardflow.llm.packing import WordTokenizer
+from cardflow.llm.packing import worker_tokenizer
 from cardflow.session import materialize
 
 WINDOW = 2048
@@ -107,15 +106,15 @@ def plan(counts: np.ndarray, window: int) -> list[tuple[int, list[tuple[int, int
 
 
 def _cut(path: str, window: int, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = WordTokenizer(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = worker_tokenizer(path)
         end = np.array([end_id], dtype=t.kind).tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, dtype=np.int64)
         step = window * t.kind.itemsize
-        for b in batches:
-            raw = encode(b["text"])
-            for at in range(0, len(raw), 2048):
-                ids = [i + end for i in t.encode(raw[at:at + 2048])]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                ids = [i + end for i in t.encode([x or b"" for x in b.column("text").to_pylist()])]
                 pieces = np.array([-(-len(i) // step) for i in ids])
                 cut = [i[j:j + step] for i in ids for j in range(0, len(i), step)]
                 n = np.array([len(c) // t.kind.itemsize for c in cut])
@@ -126,10 +125,12 @@ def _cut(path: str, window: int, end_id: int):
                 nth[order] = np.arange(len(n)) - np.flatnonzero(group)[np.cumsum(group) - 1]
                 nth += seen[n]
                 seen += np.bincount(n, minlength=window + 1)
-                yield pd.DataFrame({
-                    "doc_id": b["doc_id"].iloc[at:at + 2048].astype("Int64").repeat(pieces).array, "piece": piece,
-                    "start": piece * window, "length": n, "slice": part, "nth": nth,
-                    "ids": [np.frombuffer(c, t.kind).astype("<u4").tobytes() for c in cut]})
+                yield pa.RecordBatch.from_arrays([
+                    b.column("doc_id").take(pa.array(np.repeat(np.arange(len(ids)), pieces))),
+                    pa.array(piece.astype(np.int32)), pa.array(piece * window), pa.array(n),
+                    pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(nth),
+                    pa.array([np.frombuffer(c, t.kind).astype("<u4").tobytes() for c in cut], pa.binary())],
+                    ["doc_id", "piece", "start", "length", "slice", "nth", "ids"])
     return run
 
 
@@ -137,7 +138,7 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     """The pieces of every row of ``docs`` (doc_id, text): doc_id, piece,
     start, length and ids (little-endian, four bytes an id), and the slice
     that cut it with the number the piece has there among those of its length."""
-    return docs.select("doc_id", "text").mapInPandas(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
         _cut(path, window, end_id),
         "doc_id long, piece int, start long, length long, slice int, nth long, ids binary")
 
@@ -160,14 +161,16 @@ def _seat(lines: list[tuple[int, list[tuple[int, int]]]], window: int):
     order = np.argsort(first)
     first, n, offset, sequence = first[order], n[order], offset[order], sequence[order]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of = b["length"].to_numpy()
-            number = before[of] + b.pop("number").to_numpy()
+            of = b.column("length").to_numpy()
+            number = before[of] + b.column("number").to_numpy()
             line = np.searchsorted(first, number, side="right") - 1
             nth = number - first[line]
-            yield b.assign(doc_id=b["doc_id"].astype("Int64"), sequence_id=sequence[line] + nth // n[line],
-                           offset=offset[line] + nth % n[line] * of)
+            keep = [c for c in b.schema.names if c != "number"]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in keep), pa.array(sequence[line] + nth // n[line]),
+                 pa.array(offset[line] + nth % n[line] * of)], [*keep, "sequence_id", "offset"])
     return run
 
 
@@ -184,7 +187,7 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     keep = [c for c in pieces.columns if c not in ("slice", "nth")]
     numbered = pieces.join(starts, ["slice", "length"]).select(*keep, (F.col("from") + F.col("nth")).alias("number"))
     kinds = dict(pieces.dtypes)
-    return numbered.mapInPandas(_seat(plan(counts, window), window), ", ".join(
+    return numbered.mapInArrow(_seat(plan(counts, window), window), ", ".join(
         [f"{c} {kinds[c]}" for c in keep] + ["sequence_id long", "offset long"]))
 
 

@@ -17,12 +17,13 @@ The ids are shuffled once, by the heaviest terms.  A seed asks its own shard
 only; the README gives the measured share of its neighbours that lie there.  A text is tokenized by
 its words (runs of bytes other than the ASCII white space, across which the
 tokenizer never merges): the parts of all words of many texts are looked up at
-once in a table of those seen before in the task (``wordtable``).  New plain
+once in a table of those its worker has seen (``wordtable``).  New plain
 words are merged many at a time (``bpe``), all others by the library.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,6 +115,15 @@ class WordTokenizer:
             yield from self._group(group)
 
 
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker: Spark uses a worker for many
+    tasks, and what one has learned serves the next."""
+    held = sys.__dict__.setdefault("cardflow_tokenizers", {})
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
+
+
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids in order and their numbers; the stable sort of two
     bytes is by radix, which np.unique does not use."""
@@ -127,7 +137,7 @@ def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = WordTokenizer(path)
+        t = worker_tokenizer(path)
         end = np.array([end_id], dtype=t.kind).tobytes()
         df = np.zeros(t.vocabulary, dtype=np.int64)
         docs = 0
