@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardflow.llm import (
-    arc_warc, best_two_fit, conversation_repair, embed_dedup, mixing, ngram_join, packing, quality, secret_scan, shard_tree, topk,
-    url_rules,
+    arc_warc, best_two_fit, conversation_repair, embed_dedup, mixing, ngram_join, packing,
+    periodic_runs, quality, secret_scan, shard_tree, topk, url_rules,
 )
 from cardflow.sources.tables import table
 
@@ -85,6 +85,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                             table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
 @query("op12_conversation_repair", conversation_repair.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))

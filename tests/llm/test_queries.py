@@ -13,7 +13,7 @@ import __spark_entry__ as E
 
 def test_all_are_registered():
     names = set(E.queries())
-    for n in [*range(1, 11), 12, 13]:
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
 
@@ -26,7 +26,7 @@ def test_oracle(spark, sf, name):
 
 
 @pytest.mark.parametrize("name,table", [("op1_embed_dedup", "embeddings"), ("op2_shard_tree", "documents"),
-                                        ("op5_mix_sources", "documents"), ("op8_secret_scan", "documents"),
+                                        ("op5_mix_sources", "documents"), ("op8_secret_scan", "documents"), ("op11_periodic_runs", "documents"),
                                         ("op9_ngram_join", "documents"), ("op10_quality", "documents"),
                                         ("op4_arc_warc", "pages"), ("op7_url_filter", "pages")])
 def test_a_row_for_every_row(spark, name, table):
