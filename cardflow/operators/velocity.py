@@ -99,7 +99,8 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
                       size: str = VELOCITY_WINDOW, threshold: int = VELOCITY_THRESHOLD,
                       emit: str | None = None, splits: int | None = None) -> DataFrame:
     """Every record whose trailing count over ``[t - size, t]`` reaches
-    the threshold; output id, key, ts, trailing_count.
+    the threshold; output id, key, ts, trailing_count.  Records may share
+    id, key and time: each is a record of its own.
 
     Exact decomposition over sub-buckets of width ``size / splits`` (by
     default at most a minute, and at most 1/32 of the window): the
@@ -109,7 +110,7 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
     after t - size, found by a probe placed at t - size).  One window pass
     over groups of (key, sub-bucket) yields all three parts: the count
     table enters the same groups as extra rows, and a probe's result goes
-    back to its record by one aggregation on the (unique) id.  Every group
+    back to its record by one aggregation on id, key and time.  Every group
     is one key within one slice of time, so a hot card is spread over its
     time span; the count table has one row per key and slice with data.
 
@@ -122,7 +123,7 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
     flag = F.col(emit) if emit else F.lit(True)
     base = events.select(F.col(id_col).alias("id"), F.col(key).alias("key"),
                          F.col(ts).alias("ts"), _micros(F.col(ts)).alias("us"), flag.alias("_emit"))
-    ts_type = base.schema["ts"].dataType
+    ts_type, id_type = base.schema["ts"].dataType, base.schema["id"].dataType
     data = base.select("id", "key", "ts", "us", "_emit", _floor_div(F.col("us"), sub).alias("sb"),
                        F.lit(1).alias("is_data"), F.lit("data").alias("kind"),
                        F.lit(None).cast("bigint").alias("mid"))
@@ -144,7 +145,7 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
     between = Window.partitionBy("key", "group").orderBy("sb").rangeBetween(-(m - 1), -1)
     summed = spans.withColumn("before", F.sum("n").over(between)).where(F.col("group") == F.col("span"))
     mids = summed.select(
-        F.lit(None).cast("bigint").alias("id"), "key", F.lit(None).cast(ts_type).alias("ts"),
+        F.lit(None).cast(id_type).alias("id"), "key", F.lit(None).cast(ts_type).alias("ts"),
         F.lit(None).cast("bigint").alias("us"), F.lit(False).alias("_emit"), "sb",
         F.lit(0).alias("is_data"), F.lit("mid").alias("kind"),
         F.coalesce(F.col("before"), F.lit(0)).alias("mid"))
@@ -159,11 +160,16 @@ def velocity_trailing(events: DataFrame, ts: str = "ts", key: str = "key", id_co
         F.max("mid").over(grp).alias("c_mid"))
     is_data = F.col("kind") == "data"
     part = (ranked.where((is_data & F.col("_emit")) | (F.col("kind") == "probe"))
-            .select("id", "key", "ts",
+            .select("id", "key", "ts", is_data.cast("int").alias("row"),
                     F.when(is_data, F.col("le") + F.coalesce(F.col("c_mid"), F.lit(0)))
                     .otherwise(F.col("tot") - F.coalesce(F.col("lt"), F.lit(0))).alias("c")))
-    out = part.groupBy("id", "key", "ts").agg(F.sum("c").cast("bigint").alias("trailing_count"))
-    return out.where(F.col("trailing_count") >= threshold).select("id", "key", "ts", "trailing_count")
+    # records that share id, key and time have the same count: the sum over
+    # all of them holds it once per record, and it comes out once per record
+    out = (part.groupBy("id", "key", "ts").agg(F.sum("row").alias("rows"), F.sum("c").alias("c"))
+           .withColumn("trailing_count", F.expr("c div rows"))
+           .where(F.col("trailing_count") >= threshold))
+    return (out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "rows")))
+            .select("id", "key", "ts", "trailing_count"))
 
 
 def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,

@@ -526,6 +526,23 @@ def q_vel_trailing(p: Pipeline) -> DataFrame:
     return V.velocity_trailing(_card_events(p), size="1 day")
 
 
+@query("velocity_trailing_stream", Q.with_(Q.REQ) + f""",
+rec AS (SELECT request_id, arrival, {_CARD} AS key,
+               CAST('0x' || substr(md5({_CARD}), 1, 8) AS BIGINT) % 4 AS part FROM req)
+SELECT CAST(part AS INTEGER) AS source_partition, id, key, arrival AS ts, trailing_count FROM (
+  SELECT part, key, arrival,
+         row_number() OVER (PARTITION BY part ORDER BY arrival, key, CAST(request_id AS VARCHAR)) - 1 AS id,
+         count(*) OVER (PARTITION BY key ORDER BY arrival
+                        RANGE BETWEEN INTERVAL '1 day' PRECEDING AND CURRENT ROW) AS trailing_count
+  FROM rec) x
+WHERE trailing_count >= 3""")
+def q_vel_trailing_stream(p: Pipeline) -> DataFrame:
+    """The trailing check as a stream-stream join over a
+    topic published in three batches, the query restarted after each."""
+    from cardflow.plans.streams import trailing_stream
+    return trailing_stream(p.spark, p.requests, "1 day", "1 hour")
+
+
 def _topic(p: Pipeline) -> DataFrame:
     """Scored transactions as topic records: event time = createdAt,
     replay order = scoring time (each arrives one to five hours late,

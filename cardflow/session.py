@@ -122,6 +122,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path`` (none if it does not exist)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()]
+
+
 def path_version(spark: SparkSession, path: str) -> tuple:
     """What a file or folder holds now: its files' number, total size and
     latest modification, as its filesystem lists them."""

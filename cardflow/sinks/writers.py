@@ -20,8 +20,11 @@ def batch_folder(path: str, batch_id: str) -> str:
 
 
 def append_batch(df: DataFrame, path: str, batch_id: str, fmt: str = "parquet") -> None:
-    """Write ``df`` as the ``batch_id`` folder of the table at ``path`` (K1)."""
-    df.write.mode("overwrite").format(fmt).save(batch_folder(path, batch_id))
+    """Write ``df`` as the ``batch_id`` folder of the table at ``path`` (K1).
+    Text formats keep a time's microseconds (by default they cut it to
+    milliseconds)."""
+    (df.write.mode("overwrite").format(fmt).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+     .save(batch_folder(path, batch_id)))
 
 
 # Key buckets of the ledger: a batch reads only the buckets its keys fall in.

@@ -70,13 +70,62 @@ def start_velocity_alerts(records: DataFrame, sink_path: str, checkpoint: str |
     return w.start()
 
 
+def trailing_counts(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
+                    ts: str = "event_ts", key: str = "key") -> DataFrame:
+    """W2 as a stream-stream join: for each record the number of records of
+    its card in ``[t - size, t]``, itself included.
+
+    Both sides are the one stream; the watermark and the interval tell the
+    engine how long a record can still meet another, so it keeps and expires
+    the state by itself, under the query's checkpoint.  A record is (source
+    partition, offset), so equal offsets of two partitions and records of
+    one microsecond stay apart.  The join is on (card, span of time): a
+    record stands in its own span as what counts, and in its own and the
+    next one as what is counted, so a card that holds a third of all records
+    is spread over its spans.  Counts are final: a record's comes out
+    once, when the watermark (the newest time less ``grace``) has passed it.
+    """
+    from cardflow.operators.velocity import _seconds
+    width = _seconds(size)
+    r = records.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, grace)
+    span = F.floor(F.unix_micros(ts) / F.lit(width * 1_000_000))
+    one = r.select(F.col(key).alias("key"), F.col(ts).alias("ts"), "source_partition", F.col("arrival").alias("id"),
+                   span.alias("span"))
+    other = r.select(F.col(key).alias("other_key"), F.col(ts).alias("other_ts"),
+                     F.explode(F.array(span, span + 1)).alias("other_span"))
+    pairs = one.join(other, F.expr(
+        f"key <=> other_key AND span = other_span AND other_ts <= ts AND other_ts >= ts - INTERVAL {width} SECONDS"))
+    return (pairs.groupBy("ts", "key", "source_partition", "id")
+            .agg(F.count(F.lit(1)).alias("trailing_count"))
+            .select("source_partition", "id", "key", "ts", "trailing_count"))
+
+
+def start_trailing_counts(records: DataFrame, sink_path: str, checkpoint: str | None = None,
+                          size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
+                          threshold: int = VELOCITY_THRESHOLD, trigger: dict | None = None,
+                          ts: str = "event_ts") -> StreamingQuery:
+    """Run ``trailing_counts``: every record with ``threshold`` or more of
+    its card in the trailing ``size``, once, with its final count.  Records
+    later than ``grace`` behind the newest of earlier batches are dropped."""
+    from cardflow.functions.text import utc_as_ntz
+    counts = trailing_counts(records, size, grace, ts).where(F.col("trailing_count") >= threshold)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        append_batch(batch.withColumn("ts", utc_as_ntz("ts")), sink_path, str(epoch))
+
+    ck = checkpoint or stream_checkpoint(records.sparkSession, "trailing-counts", sink_path)
+    w = counts.writeStream.outputMode("append").option("checkpointLocation", ck).foreachBatch(write)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def trailing_batch(batch: DataFrame, state_path: str, sink_path: str, epoch: int,
                    size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
                    threshold: int = VELOCITY_THRESHOLD, ts: str = "event_ts",
-                   key: str = "key", id_col: str = "id") -> None:
-    """One micro-batch of the streaming trailing check.
+                   key: str = "key", id_col: str = "id", part_col: str = "source_partition") -> None:
+    """One micro-batch of the trailing check with early counts.
 
-    The state is a table per epoch: the records of the last ``size + grace``
+    A record is (``part_col``, ``id_col``) of its card (without a
+    ``part_col`` in the batch, one partition).  The state is a table per epoch: the records of the last ``size + grace``
     with the count each had.  A batch is counted together with them, and
     every record whose count rose is emitted if it is at the threshold, also
     a retained one whose window an out-of-order record joins; so a record's
@@ -93,7 +142,10 @@ def trailing_batch(batch: DataFrame, state_path: str, sink_path: str, epoch: int
     t = F.col(ts)
     if dict(batch.dtypes).get(ts) == "timestamp":
         t = utc_as_ntz(t)
-    cols = [F.col(id_col).alias("id"), F.col(key).alias("key"), t.cast("timestamp_ntz").alias("ts")]
+    part = F.col(part_col) if part_col in batch.columns else F.lit(0)
+    record = ["source_partition", "id", "key", "ts"]
+    cols = [part.cast("int").alias("source_partition"), F.col(id_col).alias("id"), F.col(key).alias("key"),
+            t.cast("timestamp_ntz").alias("ts")]
     state = lambda n: f"{state_path.rstrip('/')}/epoch={n}"
     new = materialize(batch.select(*cols), f"trailing-{epoch}")  # the source is read once
     old = spark.read.parquet(state(epoch - 1)) if epoch > 0 and path_exists(spark, state(epoch - 1)) else None
@@ -101,12 +153,16 @@ def trailing_batch(batch: DataFrame, state_path: str, sink_path: str, epoch: int
     late = F.lit(False) if seen is None else F.col("ts") < ntz_lit(seen) - F.expr(f"INTERVAL {_seconds(grace)} SECONDS")
     append_batch(new.where(late), f"{sink_path.rstrip('/')}_late", str(epoch))
     new = new.where(~late)
-    both = new if old is None else new.unionByName(old.select("id", "key", "ts"))
-    counted = velocity_trailing(both, size=size, threshold=1)
+    both = new if old is None else new.unionByName(old.select(*record))
+    one = both.withColumn("record", F.struct("source_partition", "id"))
+    counted = velocity_trailing(one, id_col="record", size=size, threshold=1) \
+        .select("id.source_partition", F.col("id.id").alias("id"), "key", "ts", "trailing_count")
     if old is None:
         counted = counted.withColumn("before", F.lit(0).cast("bigint"))
     else:
-        counted = counted.join(old.select("id", F.col("trailing_count").alias("before")), "id", "left")
+        was = old.select(*[F.col(c).alias(f"was_{c}") for c in record], F.col("trailing_count").alias("before"))
+        same = [F.col(c).eqNullSafe(F.col(f"was_{c}")) for c in record]
+        counted = counted.join(was, same, "left").drop(*[f"was_{c}" for c in record])
     counted = materialize(counted.withColumn("before", F.coalesce("before", F.lit(0))), f"trailing-counts-{epoch}")
     append_batch(counted.where((F.col("trailing_count") > F.col("before")) & (F.col("trailing_count") >= threshold))
                  .drop("before"), sink_path, str(epoch))
@@ -114,7 +170,7 @@ def trailing_batch(batch: DataFrame, state_path: str, sink_path: str, epoch: int
     horizon = _seconds(size) + _seconds(grace)
     kept = counted if newest is None else counted.where(
         F.col("ts") >= ntz_lit(newest) - F.expr(f"INTERVAL {horizon} SECONDS"))
-    kept.select("id", "key", "ts", F.greatest("trailing_count", "before").alias("trailing_count")) \
+    kept.select(*record, F.greatest("trailing_count", "before").alias("trailing_count")) \
         .write.mode("overwrite").parquet(state(epoch))
     if epoch > 1:
         delete_path(spark, state(epoch - 2))
@@ -125,9 +181,10 @@ def start_velocity_trailing(records: DataFrame, sink_path: str, state_path: str,
                             size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
                             threshold: int = VELOCITY_THRESHOLD, trigger: dict | None = None,
                             ts: str = "event_ts", id_col: str = "arrival") -> StreamingQuery:
-    """Run W2 as a stream: every record with ``threshold`` or more of its
-    card in the trailing ``size`` (the documented "3+ in the last 30
-    seconds" contract)."""
+    """Run W2 with early counts: every record with ``threshold`` or more of
+    its card in the trailing ``size`` so far (the documented "3+ in the last
+    30 seconds" contract), again when an out-of-order record lifts it.
+    ``start_trailing_counts`` emits each record once, with its final count."""
     def write(batch: DataFrame, epoch: int) -> None:
         trailing_batch(batch, state_path, sink_path, epoch, size, grace, threshold, ts=ts,
                        id_col=id_col)
