@@ -131,8 +131,23 @@ def encode_json(df_cols: list[str] | None = None) -> Column:
 
 
 def decode_json(body) -> Column:
-    """JSON message body to a transaction struct (createdAt as a timestamp)."""
-    parsed = F.from_json(_c(body), TRANSACTION_JSON)
+    """JSON message body to a transaction struct (createdAt as a timestamp).
+    For one field of it; ``with_decoded`` gives all of them with one parse."""
+    return _transaction(F.from_json(_c(body), TRANSACTION_JSON))
+
+
+def with_decoded(df, body: str, out: str = "t"):
+    """``df`` with the transaction struct of a JSON message body as ``out``.
+
+    The parsed value goes through a generator: read field by field, the
+    optimizer would narrow the parse to each field and parse every body once
+    per field.
+    """
+    parsed = df.withColumn("_json", F.explode(F.array(F.from_json(_c(body), TRANSACTION_JSON))))
+    return parsed.withColumn(out, _transaction(F.col("_json"))).drop("_json")
+
+
+def _transaction(parsed: Column) -> Column:
     return F.struct(*[
         epoch_to_ts(parsed.getField(f.name)).alias(f.name) if f.name == "createdAt"
         else parsed.getField(f.name).alias(f.name)

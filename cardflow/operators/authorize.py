@@ -1,15 +1,14 @@
 """Request normalization and first-writer-wins authorization (P4-P7, P13,
 D1-D3, J1, J2, K1).
 
-Plan shape (checked with ``explain``): the first attempt per idempotency key
-is the minimum of one packed number (arrival, request id), and its count, so
-the aggregation is a hash aggregation with map-side partial results, also for
-a key holding a third of all requests.  That table, one row per key, is
-written once.  The winning rows are the attempts that match it on (key,
-number), a semi-join in which a hot key's attempts spread over their own
-numbers.  The resolution per key (winner, stored row) is joined back to the
-attempts on the key; keys with very many attempts are salted over several
-tasks (``operators.skew``).  No window is partitioned by the key.
+Plan shape (checked with ``explain``): the checked requests are written
+once.  The first attempt per idempotency key, with its row, is one
+aggregation whose partial results hold a row per key and task, also for a key
+with a third of all requests; it meets the ledger (one row per key on either
+side), and the resolution per key (winner, stored row) is written once.  The
+attempts are then joined to it: both sides are scans of written tables, so
+the planner knows their sizes and AQE splits a key with very many attempts by
+itself.  No window is partitioned by the key.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from cardflow.functions.requests import (
 )
 from cardflow.functions.order import time_id
 from cardflow.functions.text import receipt_key
-from cardflow.operators.skew import HOT_KEY_ROWS, hot_keys, salted_join
 from cardflow.schemas import TRANSACTION_COLUMNS
 from cardflow.session import materialize
 
@@ -90,18 +88,27 @@ def to_transactions(valid: DataFrame, key: Column | None = None) -> DataFrame:
     )
 
 
-def first_attempt() -> Column:
-    """The first attempt by (arrival, request id), as one packed number."""
-    return F.min(time_id(*ORDER))
-
-
 def _row(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c).alias(c) for c in TRANSACTION_COLUMNS])
 
 
+def resolution(valid: DataFrame, ledger: DataFrame | None = None, key: Column | None = None,
+               batch_id: str | None = None) -> DataFrame:
+    """One row per idempotency key of ``valid``: ``rid`` (request id of its
+    first attempt by arrival and request id), ``row`` (what that attempt
+    would store) and ``stored`` (the ledger's row, NULL if there is none)."""
+    first = valid.groupBy(KEY).agg(F.min_by(F.struct(*[c for c in valid.columns if c != KEY]), time_id(*ORDER)).alias("w"))
+    won = to_transactions(first.select(KEY, "w.*"), key).select(KEY, F.col("request_id").alias("rid"), _row().alias("row"))
+    if ledger is None:
+        return won.withColumn("stored", F.lit(None).cast(won.schema["row"].dataType))
+    if batch_id is not None and "batch_id" in ledger.columns:
+        ledger = ledger.where(F.col("batch_id").isNull() | (F.col("batch_id") != F.lit(batch_id)))
+    return won.join(ledger.select(F.col(KEY), _row().alias("stored")), KEY, "left")
+
+
 def authorize(valid: DataFrame, ledger: DataFrame | None = None,
               key: Column | None = None, batch_id: str | None = None,
-              hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+              written: bool = False) -> DataFrame:
     """Outcome per attempt.
 
     The first attempt per idempotency key (by arrival, request_id) that
@@ -112,39 +119,22 @@ def authorize(valid: DataFrame, ledger: DataFrame | None = None,
     ``ledger`` rows (TRANSACTION columns, optional ``batch_id``) are the
     keys stored by earlier runs; rows written by ``batch_id`` itself are
     ignored, so replaying a batch reproduces the same outcomes.
-
-    Keys with more than ``hot_rows`` attempts are spread over several
-    tasks when the attempts meet their key's resolution (``skew``).
+    ``written`` says that ``valid`` is a table already; else it is written
+    here, so that requests are read and checked once.
 
     Output: request_id, arrival, outcome, receiptKey, is_new, and the
     TRANSACTION columns of the row the attempt resolves to.
     """
-    first = time_id(*ORDER)
-    per_key = materialize(valid.groupBy(KEY).agg(first_attempt().alias("first"),
-                                                 F.count(F.lit(1)).alias("n")), "first-attempts")
-    # the winning rows, one per key: (key, number) is no hot key
-    winners = (to_transactions(valid, key).withColumn("first", first)
-               .join(per_key.select(KEY, "first"), [KEY, "first"], "left_semi")
-               .select(F.col(KEY), F.struct(F.col("request_id").alias("rid"), _row().alias("row")).alias("w")))
-    # resolution per key: the batch winner and the stored row, if any
-    # (both sides hold one row per key, so this join has no hot key)
-    if ledger is not None:
-        led = ledger
-        if batch_id is not None and "batch_id" in ledger.columns:
-            led = led.where(F.col("batch_id").isNull() | (F.col("batch_id") != F.lit(batch_id)))
-        res = winners.join(led.select(F.col(KEY), _row().alias("stored")), KEY, "left")
-    else:
-        row_type = winners.schema["w"].dataType["row"].dataType
-        res = winners.withColumn("stored", F.lit(None).cast(row_type))
-    hot = hot_keys(per_key, KEY, hot_rows=hot_rows)
-    j = salted_join(valid.select(KEY, *ORDER), res.select(KEY, "w", "stored"), KEY, hot,
-                    F.xxhash64("request_id"))
-    is_new = F.col("stored").isNull() & (F.col("request_id") == F.col("w.rid"))
+    if not written:
+        valid = materialize(valid, "requests")
+    res = materialize(resolution(valid, ledger, key, batch_id), "resolution")
+    j = valid.select(KEY, *ORDER).join(res, KEY)
+    is_new = F.col("stored").isNull() & (F.col("request_id") == F.col("rid"))
     out = j.select(
         "request_id", "arrival",
         F.when(is_new, F.lit(OUTCOME_APPROVED)).otherwise(F.lit(OUTCOME_DUPLICATE)).alias("outcome"),
         is_new.alias("is_new"),
-        F.coalesce(F.col("stored"), F.col("w.row")).alias("t"),
+        F.coalesce(F.col("stored"), F.col("row")).alias("t"),
     )
     return out.select(
         "request_id", "arrival", "outcome", "is_new",

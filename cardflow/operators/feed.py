@@ -7,21 +7,17 @@ action happened*; a score that comes before any entry is kept and applied
 to the next entry recorded (forward fallback).  Only a score has the
 fallback; settle and release with no entry do nothing.
 
-Plan: actions are joined to entries on transactionId (an action meets
-only entries of its own transaction) and reduced per action with two
-conditional aggregates, the newest entry at or before the action and the
-oldest after it.  A transaction with very many entries is salted over
-several tasks (its few actions are copied to each, ``operators.skew``);
-the aggregation is keyed by an action id and partial aggregation keeps at
-most one row per action per task before its exchange.  Per-entry results
-are then joined back on the unique entry id.
-Pairs produced are (entries of a transaction) x (its actions); actions per
-transaction are a handful (one score, one settle per batch, releases).
+Plan: entries and actions are one ordered run per transaction
+(``operators.asof``): the running number of entries tells each action the
+entry that was newest, a score before any entry belongs to the first, and
+the state of an entry is a fold over it and its actions.  That is one
+shuffle by transaction, linear in entries and actions; a transaction with
+very many rows is cut into slices, with carries between them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardflow.constants import (
@@ -31,8 +27,9 @@ from cardflow.constants import (
 from cardflow.functions import display as D
 from cardflow.functions.order import code_of, time_id, time_seq, time_seq_time, value_of
 from cardflow.functions.text import ntz_lit
+from cardflow.operators.asof import running, union_all
 from cardflow.operators.lifecycle import KEY
-from cardflow.operators.skew import HOT_KEY_ROWS, hot_keys, salted_join
+from cardflow.operators.skew import HOT_KEY_ROWS
 
 ENTRY_COLUMNS = ["request_id", "arrival", "transactionId", KEY, "merchantId", "maskedPan",
                  "amount", "currency", "status", "stage", "riskScore", "receiptKey", "updatedAt"]
@@ -42,24 +39,29 @@ KIND_SCORE, KIND_RELEASE, KIND_SETTLE = "score", "release", "settle"
 _SEQ = {KIND_SCORE: 1, KIND_RELEASE: 2, KIND_SETTLE: 3}
 
 
-def status_as_of(attempts: DataFrame, status_events: DataFrame) -> DataFrame:
-    """Status of each attempt's key at the attempt's arrival (request_id, status_then).
+def status_as_of(attempts: DataFrame, status_events: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """``attempts`` (with ``KEY`` and arrival) plus ``status_then``: the
+    status of the attempt's key at its arrival, NULL before the first event.
 
     A duplicate attempt shows the stored row as it is at that moment
-    (possibly already held or settled).  Keys have a few events each, so
-    the join emits a handful of rows per attempt.
+    (possibly already held or settled).  Attempts and events are one run per
+    key; the last status event passes to the attempts behind it.
     """
-    ev = status_events.select(KEY, "status", "event_ts", "seq")
-    att = attempts.select("request_id", KEY, "arrival")
-    hot = hot_keys(att.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")), KEY)
-    j = salted_join(att, ev, KEY, hot, F.xxhash64("request_id")) \
-        .where(F.col("event_ts") <= F.col("arrival"))
-    folded = j.groupBy("request_id").agg(
-        F.max_by(code_of("status", STATUSES), time_seq("event_ts", "seq")).alias("_code"))
-    return folded.select("request_id", value_of("_code", STATUSES).alias("status_then"))
-
-
-def entries(outcomes: DataFrame, status_events: DataFrame | None = None) -> DataFrame:
+    ev = status_events.select(KEY, F.col("event_ts").alias("_t"), F.col("seq").cast("long").alias("_seq"),
+                              code_of("status", STATUSES).alias("_code"), F.lit(False).alias("_attempt"))
+    att = attempts.select("*", F.col("arrival").alias("_t"), F.lit(True).alias("_attempt"))
+    rows = att.unionByName(ev, allowMissingColumns=True)
+    runs = running(rows, KEY, ["_t", "_attempt", "_seq"], "_then",
+                   value=lambda w: F.last("_code", ignorenulls=True).over(w),
+                   per_slice=F.max_by("_code", F.when(~F.col("_attempt"), time_seq("_t", "_seq"))),
+                   carry=lambda w: F.last("_part", ignorenulls=True).over(w),
+                   merge=lambda before, own: F.coalesce(own, before), hot_rows=hot_rows)
+    return union_all([r.where("_attempt").select(*attempts.columns, value_of("_then", STATUSES).alias("status_then"))
+                      for r in runs])
+
+
+def entries(outcomes: DataFrame, status_events: DataFrame | None = None,
+            hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """One feed entry per attempt (T1 source).
 
     Stage: QUEUED for a new transaction, RECORDED for a duplicate; the
@@ -69,10 +71,8 @@ def entries(outcomes: DataFrame, status_events: DataFrame | None = None) -> Data
     o = outcomes
     status = F.col("status")
     if status_events is not None:
-        dup = o.where(~F.col("is_new"))
-        then = status_as_of(dup, status_events)
-        o = o.join(then, "request_id", "left")
-        status = F.coalesce(F.col("status_then"), F.col("status"))
+        o = status_as_of(o, status_events, hot_rows)
+        status = F.when(F.col("is_new"), F.col("status")).otherwise(F.coalesce(F.col("status_then"), F.col("status")))
     return o.select(
         "request_id", "arrival", "transactionId", KEY, "merchantId", "maskedPan",
         F.col("amount").cast("string").alias("amount"), "currency",
@@ -102,6 +102,27 @@ def release_actions(release_requests: DataFrame) -> DataFrame:
                                    F.lit(None).cast("boolean").alias("alerted"))
 
 
+def _segments(entries_df: DataFrame, actions: DataFrame, hot_rows: int) -> list[DataFrame]:
+    """Entries and the actions on them, each with the number of its entry
+    in its transaction (``_seg``, from 1) and that entry's arrival; actions
+    that change no entry are left out."""
+    e = entries_df.select("*", F.col("arrival").alias("_t"), F.lit(0).alias("_action"))
+    a = actions.where(F.col("transactionId").isNotNull()).select(
+        "transactionId", "kind", "action_ts", F.col("riskScore").alias("_action_score"), "alerted",
+        F.col("action_ts").alias("_t"), F.lit(1).alias("_action"))
+    n = F.lit(1) - F.col("_action")
+    # an entry of the action's very time counts as before it
+    runs = running(e.unionByName(a, allowMissingColumns=True), "transactionId", ["_t", "_action", "request_id"], "_n",
+                   value=lambda w: F.sum(n).over(w), per_slice=F.sum(n), carry=lambda w: F.sum("_part").over(w),
+                   merge=lambda before, own: own + F.coalesce(before, F.lit(0)), hot_rows=hot_rows)
+    seg = F.when(F.col("_n") > 0, F.col("_n")).when(F.col("kind") == KIND_SCORE, F.lit(1))
+    per_entry = Window.partitionBy("transactionId", "_seg")
+    return [r.withColumn("_seg", seg).where(F.col("_seg").isNotNull())
+            .withColumn("_arrival", F.max("arrival").over(per_entry))
+            .withColumn("_eff", F.when(F.col("_n") > 0, F.col("action_ts")).otherwise(F.col("_arrival")))
+            for r in runs]
+
+
 def resolve_targets(entries_df: DataFrame, actions: DataFrame,
                     hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Entry each action applies to.
@@ -111,33 +132,11 @@ def resolve_targets(entries_df: DataFrame, actions: DataFrame,
     action time, or the entry's arrival for a forward-applied score).
     Actions with no target are dropped.
     """
-    # one id per distinct action (identical actions are one action)
-    act = actions.withColumn(
-        "action_id", F.concat_ws("|", F.col("kind"), F.col("transactionId"),
-                                 F.col("action_ts").cast("string"),
-                                 F.col("riskScore").cast("string"), F.col("alerted").cast("string")))
-    e = entries_df.select("transactionId", F.col("request_id").alias("e_id"),
-                          F.col("arrival").alias("e_arrival"))
-    # a transaction with very many entries is salted over several tasks;
-    # its few actions are copied to each
-    hot = hot_keys(e.groupBy("transactionId").agg(F.count(F.lit(1)).alias("n")), "transactionId",
-                   hot_rows=hot_rows)
-    j = salted_join(e, act, "transactionId", hot, F.xxhash64("e_id"))
-    pos = time_id("e_arrival", "e_id")
-    before = F.col("e_arrival") <= F.col("action_ts")
-    # the action's own columns are grouping keys (they depend on the id), and
-    # every buffer is fixed-width: a hash aggregation
-    r = j.groupBy("action_id", "kind", "transactionId", "action_ts", "riskScore", "alerted").agg(
-        F.max_by("e_id", F.when(before, pos)).alias("back_id"),
-        F.min_by("e_id", F.when(~before, pos)).alias("fwd_id"),
-        F.min(F.when(~before, F.col("e_arrival"))).alias("fwd_t"),
-    )
-    forward_ok = F.col("kind") == KIND_SCORE
-    target = F.coalesce(F.col("back_id"), F.when(forward_ok, F.col("fwd_id")))
-    eff = F.when(F.col("back_id").isNotNull(), F.col("action_ts")).otherwise(F.col("fwd_t"))
-    return (r.select("kind", "transactionId", "action_ts", "riskScore", "alerted",
-                     target.alias("target"), eff.alias("eff_ts"))
-            .where(F.col("target").isNotNull()))
+    per_entry = Window.partitionBy("transactionId", "_seg")
+    return union_all([
+        r.withColumn("target", F.max("request_id").over(per_entry)).where("_action = 1 AND target IS NOT NULL")
+        .select("kind", "transactionId", "action_ts", F.col("_action_score").alias("riskScore"), "alerted", "target",
+                F.col("_eff").alias("eff_ts")) for r in _segments(entries_df, actions, hot_rows)])
 
 
 def apply_actions(entries_df: DataFrame, actions: DataFrame,
@@ -148,7 +147,6 @@ def apply_actions(entries_df: DataFrame, actions: DataFrame,
     SCORED with the status unchanged.  settle: SETTLED/SETTLED.  release:
     AUTHORIZED/SCORED.
     """
-    t = resolve_targets(entries_df, actions, hot_rows)
     seq = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in _SEQ.items()])
     stage = (F.when(F.col("kind") == KIND_SETTLE, F.lit(STAGE_SETTLED))
              .when(F.col("kind") == KIND_RELEASE, F.lit(STAGE_SCORED))
@@ -158,16 +156,16 @@ def apply_actions(entries_df: DataFrame, actions: DataFrame,
               .when(F.col("alerted"), F.lit(STATUS_HELD)))
     # effect order: time it took effect, action kind, then the action's own
     # time (several early scores on one entry: the last one wins), packed
-    # into one number; values as small codes: a hash aggregation
-    order = time_seq_time("eff_ts", seq, "action_ts")
-    state = t.groupBy("target").agg(
-        F.max_by(code_of(stage, STAGE_ORDER), order).alias("_stage"),
-        F.max_by(code_of(status, STATUSES), F.when(status.isNotNull(), order)).alias("_status"),
-        F.max_by("riskScore", F.when(F.col("kind") == KIND_SCORE, order)).alias("_score"),
-        F.max("eff_ts").alias("_updated"),
-    )
-    j = entries_df.join(state, entries_df["request_id"] == state["target"], "left")
-    return j.select(
+    # into one number (NULL for the entry itself); values as small codes
+    acts = F.col("_action") == 1
+    order = F.when(acts, time_seq_time("_eff", seq, "action_ts"))
+    per_entry = Window.partitionBy("transactionId", "_seg")
+    done = [(r.withColumn("_stage", F.max_by(code_of(stage, STAGE_ORDER), order).over(per_entry))
+             .withColumn("_status", F.max_by(code_of(status, STATUSES), F.when(status.isNotNull(), order)).over(per_entry))
+             .withColumn("_score", F.max_by("_action_score", F.when(F.col("kind") == KIND_SCORE, order)).over(per_entry))
+             .withColumn("_updated", F.max(F.when(acts, F.col("_eff"))).over(per_entry))
+             .where("_action = 0")) for r in _segments(entries_df, actions, hot_rows)]
+    return union_all(done).select(
         "request_id", "arrival", "transactionId", KEY, "merchantId", "maskedPan", "amount",
         "currency",
         F.coalesce(value_of("_status", STATUSES), F.col("status")).alias("status"),

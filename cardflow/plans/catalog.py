@@ -681,8 +681,8 @@ SELECT idempotencyKey, transactionId, merchantId, maskedPan, encryptedPan, amoun
 FROM led""")
 def q_msg_round_trip(p: Pipeline) -> DataFrame:
     """Encode every stored row as its message body and decode it back."""
-    from cardflow.functions.text import decode_json, encode_json
-    return p.stored.select(decode_json(encode_json()).alias("t")).select("t.*")
+    from cardflow.functions.text import encode_json, with_decoded
+    return with_decoded(p.stored.select(encode_json().alias("body")), "body").select("t.*")
 
 
 @query("pan_round_trip", Q.with_(Q.REQ) + """

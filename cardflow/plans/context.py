@@ -104,13 +104,14 @@ class Pipeline:
 
     @cached_property
     def valid(self) -> DataFrame:
-        return A.normalize_requests(self.requests)[0]
+        """The requests that pass the checks, written once."""
+        return self._cut(A.normalize_requests(self.requests)[0], "valid")
 
     # authorization ---------------------------------------------------------
     @cached_property
     def outcomes_plan(self) -> DataFrame:
         """Outcome per attempt, as a plan (for single-use queries)."""
-        return A.authorize(self.valid)
+        return A.authorize(self.valid, written=self.materialize)
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -201,10 +202,10 @@ class Pipeline:
     def feed_actions(self) -> DataFrame:
         ids = S.eligible(self.batch1_current).select("transactionId")
         ids2 = S.eligible(self.batch2_current).select("transactionId")
-        return (FD.score_actions(self.scored)
-                .unionByName(FD.release_actions(self.release_requests))
-                .unionByName(FD.settle_actions(ids, FIRST_CUTOFF))
-                .unionByName(FD.settle_actions(ids2, CUTOFF)))
+        return self._cut(FD.score_actions(self.scored)
+                         .unionByName(FD.release_actions(self.release_requests))
+                         .unionByName(FD.settle_actions(ids, FIRST_CUTOFF))
+                         .unionByName(FD.settle_actions(ids2, CUTOFF)), "feed_actions")
 
     @cached_property
     def feed(self) -> DataFrame:

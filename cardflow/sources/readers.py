@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardflow.functions.text import decode_json, ntz_as_utc
+from cardflow.functions.text import decode_json, ntz_as_utc, with_decoded
 from cardflow.schemas import REQUEST, TOPIC_RECORD, TRANSACTION_JSON
 
 # Request body as sent: five strings (arrival and request_id are added
@@ -124,14 +124,14 @@ def read_receipts(spark: SparkSession, path: str, receipt_key: str | None = None
         bucket = spark.range(1).select(receipt_bucket(F.lit(merchant))).first()[0]
         raw = raw.where((F.col("merchant_bucket") == bucket) & F.contains("value", F.lit(name.removesuffix(".json"))))
     # the batch and bucket of the path are not kept: the document holds the rest
-    rows = raw.select(decode_json(F.col("value")).alias("t"), "value").select("t.*", "value")
+    rows = with_decoded(raw.select("value"), "value").select("t.*", "value")
     return rows if receipt_key is None else rows.where(key_of("merchantId", "transactionId") == receipt_key)
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """Messages with their decoded transaction in ``t`` (Q2): written once,
     it serves every output of a micro-batch."""
-    return messages.withColumn("t", decode_json(F.col("body")))
+    return with_decoded(messages, "body")
 
 
 def decode_messages(messages: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 rows are spread over several tasks."""
 
 import datetime as dt
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -40,19 +41,37 @@ def test_salted_join_spreads_hot_key(spark):
 
 def test_authorize_with_hot_key(spark):
     valid, _ = normalize_requests(skewed_requests(spark))
-    out = authorize(valid, hot_rows=1000)
+    out = authorize(valid)
     by = {r.outcome: r["count"] for r in out.groupBy("outcome").count().collect()}
     assert by == {"APPROVED": N - N // 3 + 1, "DUPLICATE": N // 3 - 1}
     hot = out.where(F.col("idempotencyKey") == "HOT")
     assert hot.where("outcome = 'APPROVED'").first().request_id == 0
     assert hot.select("transactionId").distinct().count() == 1
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in plan
+
+
+def test_a_hot_key_is_split_by_the_engine(spark):
+    """The attempts of a key with a third of all rows spread over several
+    tasks when they meet their resolution (sizes as for a large table)."""
+    valid, _ = normalize_requests(skewed_requests(spark))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = authorize(valid.repartition(16))
+        at = out.select("idempotencyKey", "request_id", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    parts = Counter(r.p for r in at if r.idempotencyKey == "HOT")
+    assert sum(parts.values()) == N // 3 and len(parts) >= 3 and max(parts.values()) < N / 3 / 2
 
 
 def test_feed_with_hot_transaction(spark):
     valid, _ = normalize_requests(skewed_requests(spark))
-    o = authorize(valid, hot_rows=1000)
+    o = authorize(valid)
     e = FD.entries(o)
     tid = o.where("idempotencyKey = 'HOT'").first().transactionId
     at = dt.datetime(2024, 1, 1) + dt.timedelta(seconds=15000.5)
