@@ -71,16 +71,17 @@ def receipt_bucket(merchant_col, buckets: int = RECEIPT_BUCKETS):
     return F.pmod(F.xxhash64(merchant_col), F.lit(buckets)).cast("int")
 
 
-def write_receipts(stored: DataFrame, path: str, batch_id: str) -> None:
+def write_receipts(stored: DataFrame, path: str, batch_id: str, folder: str | None = None) -> None:
     """One JSON document per transaction, grouped by merchant bucket (K2).
 
     Many receipts per file, not one object per row, and a fixed number of
     folders per batch; the ``receiptKey`` stays a computed column, and
     ``readers.read_receipts`` finds a receipt by it in one bucket.
+    ``folder`` names the batch's folder where it is not the usual one.
     """
     (stored.select(encode_json().alias("value"), receipt_bucket(F.col("merchantId")).alias("merchant_bucket"))
      .hint("rebalance", "merchant_bucket")
-     .write.mode("overwrite").partitionBy("merchant_bucket").text(batch_folder(path, batch_id)))
+     .write.mode("overwrite").partitionBy("merchant_bucket").text(folder or batch_folder(path, batch_id)))
 
 
 def write_summary(current: DataFrame, path: str, batch_id: str, settled_at) -> int:

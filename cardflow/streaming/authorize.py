@@ -3,14 +3,11 @@
 Two shapes:
 
 * ``start_authorizer``: each micro-batch is authorized against the ledger
-  table written by earlier batches (only the key-bucket folders its keys
-  fall in are read), and its new rows, outcomes, rejects, receipts, queue
-  messages and topic records are written to the ``batch_id=<epoch>``
-  folders, the last two as the scorer and the velocity check read them.
-  Ledger
-  rows of the *same* epoch are ignored, so a replayed epoch reproduces
-  its outcomes instead of calling every winner a duplicate.  One writer
-  per ledger (concurrent writers are out of scope).
+  of earlier batches, and its new rows, outcomes, rejects and receipts are
+  published by one commit (``sinks.commits``); then its queue messages and
+  topic records are sent, as the scorer and the velocity check read them.
+  A replayed epoch finds its commit and writes nothing again, and a second
+  writer of an epoch gets an error.
 * ``first_per_key``: stateful streaming dedupe on the idempotency key in
   the state store, for sinks that only need the winners.  With a
   watermark the state is bounded, at the price that a key may be
@@ -23,37 +20,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cardflow.operators.authorize import authorize, new_rows, normalize_requests
-from cardflow.session import materialize, pan_key, path_exists, stream_checkpoint
-from cardflow.sinks.messages import publish_queue, publish_topic
-from cardflow.sinks.writers import append_batch, read_ledger_for, write_ledger, write_receipts
-
-
-def _ledger(spark, path: str, keys: DataFrame) -> DataFrame | None:
-    """The ledger rows in the key buckets of ``keys``, or None before the
-    first batch."""
-    if not path_exists(spark, path):
-        return None
-    return read_ledger_for(spark, path, keys)
+from cardflow.session import stream_checkpoint
+from cardflow.sinks import ledger as LG
+from cardflow.sinks.commits import CommitLog
 
 
 def authorize_batch(batch: DataFrame, ledger_path: str, out_root: str, epoch: str,
                     encrypt: bool = False) -> None:
     """One micro-batch; ``encrypt`` stores card numbers encrypted with the
     session's key."""
-    valid, rejected = normalize_requests(batch)
-    valid = materialize(valid, f"authorize-valid-{epoch}")
-    ledger = _ledger(batch.sparkSession, ledger_path, valid)
-    # materialized before any write: the ledger is read and then written
-    outcomes = materialize(authorize(
-        valid, ledger=ledger, batch_id=epoch, key=pan_key(batch.sparkSession) if encrypt else None), f"authorize-{epoch}")
-    stored, out = new_rows(outcomes), out_root.rstrip("/")
-    write_ledger(stored, ledger_path, epoch)
-    append_batch(outcomes.drop("is_new"), f"{out}/outcomes", epoch)
-    append_batch(rejected, f"{out}/rejected", epoch)
-    write_receipts(stored, f"{out}/receipts", epoch)
-    publish_queue(stored, f"{out}/fraud_queue", epoch)
-    publish_topic(stored, f"{out}/topic", epoch)
+    from cardflow.plans.jobs import publish_pending, write_attempts
+    log = CommitLog(batch.sparkSession, out_root, {LG.NEW: ledger_path, LG.RUNS: f"{ledger_path.rstrip('/')}_runs"})
+    attempt = log.begin(epoch)
+    if attempt.done is None:
+        _, _, counts = write_attempts(attempt, batch, LG.read_rows(log, attempt.base), encrypt)
+        attempt.commit(counts)
+    publish_pending(log)
+    LG.compact(log)
 
 
 def start_authorizer(requests: DataFrame, ledger_path: str, out_root: str,
