@@ -231,13 +231,17 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rows
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group stays, whole: that with the smallest
-    doc_id.  Repeated rows of a doc_id are one document; a row whose doc_id
-    is null stays."""
-    verdict = materialize(jaccard_join(docs, **how), "verdict")
-    again = verdict.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")).where(
-        F.col("doc_id").isNotNull())
-    out = again.where(~F.col("kept") | (F.col("n") > 1)).select("doc_id")
-    one = again.where(F.col("kept") & (F.col("n") > 1)).select("doc_id")
-    rest = docs.hint("merge").join(out, "doc_id", "left_anti")
-    return rest.unionByName(docs.join(one, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """One row of each group of near copies stays, whole: that with the
+    smallest doc_id (a null one comes last; of equal ones any, the same in
+    every use of the result).  Rows are judged by their texts alone: rows
+    that share a doc_id but not a text, and rows without texts or links, all
+    stay."""
+    row = "__row"
+    rows = with_row_id(docs, row)
+    verdict = materialize(jaccard_join(rows.select(F.col(row).alias("doc_id"), "text"), **how)
+                          .where("n_links > 0").select(F.col("doc_id").alias(row), "component_id"), "verdict")
+    linked = verdict.join(rows.select(row, "doc_id"), row)
+    first = linked.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))[row].alias(row))
+    out = verdict.join(first.select(row), row, "left_anti").select(row)
+    return rows.hint("merge").join(out, row, "left_anti").select(*docs.columns)

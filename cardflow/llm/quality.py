@@ -143,13 +143,19 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on labelled documents that are not held out.  ``labels``: doc_id,
     quality; several labels of a document are averaged (0.5 counts as 1),
-    null ones are passed over."""
+    null ones are passed over.  At most ``rows`` documents (texts that differ)
+    are learned from; they alone reach the driver, as feature counts."""
     known = (labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
              .join(docs.select("doc_id"), "doc_id", "left_semi")
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "text"])
-    got = picked.select("label", "doc_id", F.xxhash64("text").alias("tie"), "text").mapInPandas(
+    # the ids are bounded, their rows need not be: of these at most ``rows`` are taken, by a hash
+    tie = F.xxhash64("text").alias("tie")
+    theirs = docs.select("doc_id", tie, "text").join(F.broadcast(known), "doc_id")
+    few = (theirs.select("doc_id", "tie").distinct()
+           .orderBy(F.xxhash64("doc_id"), F.xxhash64("doc_id", "tie"), "doc_id", "tie").limit(rows))
+    picked = theirs.join(F.broadcast(few), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"])
+    got = picked.select("label", "doc_id", "tie", "text").mapInPandas(
         _count_rows, "label int, doc_id long, tie long, buckets binary, counts binary").toPandas()
     # tasks end in any order; a fixed order makes reruns agree
     got = got.sort_values(["doc_id", "tie"])

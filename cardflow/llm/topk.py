@@ -27,17 +27,22 @@ QUERIES = 4_096
 GROUP = 64
 FIRST_DEPTH = 16
 SCALE = 256
+LARGEST = 1.7976931348623157e308  # of the finite doubles
 
 
 def integers(embedding: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component, x as double."""
-    return F.transform(embedding, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
+    """floor(scale * x) of every component, x as double, as a double: from
+    2^53 up every double is an integer already."""
+    def floor(x: Column) -> Column:
+        y = F.greatest(F.least(x.cast("double") * F.lit(float(scale)), F.lit(LARGEST)), F.lit(-LARGEST))
+        return F.when(F.abs(y) < F.lit(2.0 ** 53), F.floor(y).cast("double")).otherwise(y)
+    return F.transform(embedding, floor)
 
 
 def fit(embedding: Column) -> Column:
     """Whether a vector takes part: not null, not empty, and all components
-    finite and small enough for a long."""
-    return F.coalesce(F.forall(embedding, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(2.0 ** 54), F.lit(False)))
+    finite."""
+    return F.coalesce(F.forall(embedding, lambda x: F.coalesce(F.abs(x.cast("double")) <= F.lit(LARGEST), F.lit(False)))
                       & (F.size(embedding) > 0), F.lit(False))
 
 
@@ -47,6 +52,11 @@ def _exact(x: np.ndarray, q: np.ndarray):
     return np.float32 if bound < 2**23 else np.float64 if bound < 2**52 else np.int64 if bound < 2**62 else object
 
 
+def _as(x: np.ndarray, kind) -> np.ndarray:
+    """Whole doubles in another number type; ``object``: Python's integers."""
+    return np.frompyfunc(int, 1, 1)(x) if kind is object else x.astype(kind)
+
+
 def _longs(x: np.ndarray) -> np.ndarray:
     """Scores as longs hold them: beyond the longs, the nearest one."""
     return np.clip(x, -2**63, 2**63 - 1) if x.dtype == object else x
@@ -65,7 +75,7 @@ class Lists:
         ``own``: the row that is the query itself, or -1."""
         n = len(self.x)
         kind = _exact(self.x, q)
-        x, w = self.x.astype(kind), q.astype(kind)
+        x, w = _as(self.x, kind), _as(q, kind)
         scores = np.zeros((n, len(q)), dtype=kind)
         seen = np.zeros(n, dtype=bool)
         out: list = [None] * len(q)
@@ -81,7 +91,7 @@ class Lists:
             rows = np.flatnonzero(seen)
             done = np.ones(len(left), dtype=bool)
             if len(rows) < n:
-                high, low = self.value[n - depth].astype(kind), self.value[depth - 1].astype(kind)
+                high, low = _as(self.value[n - depth], kind), _as(self.value[depth - 1], kind)
                 bound = _longs(np.where(w[left] > 0, w[left] * high, w[left] * low).sum(axis=1))
                 done = self._kth(scores, rows, left, k, own) > bound if len(rows) > k else ~done
             for i in left[done]:
@@ -128,13 +138,13 @@ def _search(k: int):
                 place = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
                 own = np.where(ids[place] == qid, place, -1)
                 for i, (best, s) in enumerate(lists.top(w, k, own)):
-                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[best], "score": [int(v) for v in s]}))
+                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[best], "score": np.array([int(v) for v in s], dtype=np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
     return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k rows of ``vectors`` (id, v: array of longs) with the highest
+    """The k rows of ``vectors`` (id, v: array of whole doubles) with the highest
     inner product for each row of ``queries`` (the same columns); ties go to
     the smaller id, and a row with the query's id is not its result.
 
@@ -159,7 +169,8 @@ def search_embeddings(embeddings: DataFrame, every: int = 50, k: int = 5) -> Dat
     """``search`` over the usable rows of ``embeddings`` (vec_id, embedding),
     in integers; the queries are the rows whose vec_id ``every`` divides.
     Rows with a null vec_id, and vectors that are null or empty or hold null
-    or non-finite components, take no part."""
+    or non-finite components, take no part; finite components count whole,
+    however large (a product beyond the doubles as the largest one)."""
     rows = materialize(
         embeddings.where(F.col("vec_id").isNotNull() & fit(F.col("embedding")))
         .select(F.col("vec_id").alias("id"), integers(F.col("embedding")).alias("v")).distinct(), "vectors")

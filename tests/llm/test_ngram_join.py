@@ -84,6 +84,13 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.columns == docs_df(spark, []).columns
 
 
+def test_rows_are_judged_by_their_texts(spark):
+    t, u, v = "a b c d e f g h i j k l m n", "another text of its own that nobody copies at all", "third x y z w q r s t u v"
+    rows = [(1, t), (2, t), (2, u), (3, v), (3, v), (None, t + " o"), (None, v), (None, "alone here with five words"), (4, None), (4, "")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in N.drop_near_duplicates(docs_df(spark, rows).repartition(3)).collect()), key=str)
+    assert kept == sorted([(1, t), (2, u), (3, v), (None, "alone here with five words"), (4, None), (4, "")], key=str)
+
+
 def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8 ** N.ROWS) ** N.bands() >= N.RECALL
     assert N.bands(0.9, 10, 0.99) < N.bands(0.8, 10, 0.99)

@@ -55,7 +55,10 @@ def test_features_by_definition():
     assert got[0].sum() == 3 + 3 * (3 + 2 + 1) and got[0, -1] == 0
     assert got[1].sum() == got[2].sum() == 0
     assert got[3, -1] == 2
-    assert np.array_equal(got[0] > 0, (got[0] > 0) & True)
+    # the two "the" of the first text share all their features
+    only_the = np.concatenate([c for _, c in Q.feature_counts(["the", "cat"], WordHasher(), 1 << 12)])
+    assert np.array_equal(got[0], 2 * only_the[0] + only_the[1])
+    assert np.array_equal(got[3][:-1], 3 * only_the[1][:-1])
 
 
 def test_features_do_not_depend_on_neighbours():
@@ -78,5 +81,13 @@ def test_training_reads_a_bounded_sample(spark):
     assert np.array_equal(m.vectors, again.vectors) and np.array_equal(m.weights, again.weights)
 
 
+def test_one_id_with_many_texts_stays_within_the_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda rows, *a, **k: seen.append(len(rows)))
+    docs = docs_df(spark, [(i, f"text {k} of {i} and more") for i in range(20) for k in range(40)])
+    Q.train(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"), rows=3)
+    assert seen == [3]
+
+
 def test_the_sample_and_the_features_are_not_reduced():
     assert Q.TRAIN_ROWS == 3000 and Q.BUCKETS == 8192
