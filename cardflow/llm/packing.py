@@ -24,6 +24,7 @@ words are merged many at a time (``bpe``), all others by the library.
 from __future__ import annotations
 
 import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.llm.bpe import LONGEST, Merger
+from cardflow.llm.common import default_partitions
 from cardflow.llm.hashing import encode, mix
 from cardflow.llm.wordtable import SHORT, Parts, WordTable, byte_classes
 from cardflow.session import materialize
@@ -42,6 +44,7 @@ END_ID = 2
 SHARD_TOKENS = 1 << 21
 SHARD_DOCS = 4096
 ROUTE_TERMS = 3
+BOUND_ROWS = 100
 DENSE = 8  # a term of more than an eighth of the documents is held as a row
 K1, B = 1.2, 0.75
 CACHE_WORDS = 800_000
@@ -296,13 +299,26 @@ def heaviest(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out
 
 
-def _route(idf: np.ndarray, itemsize: int):
+def _keys(batch: pd.DataFrame, idf: np.ndarray, itemsize: int) -> np.ndarray:
+    return np.array([heaviest(np.frombuffer(raw, f"<u{itemsize}"), idf) for raw in batch["ids"]],
+                    dtype=np.int64).reshape(-1, ROUTE_TERMS)
+
+
+def _key_rows(idf: np.ndarray, itemsize: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = _keys(b, idf, itemsize)
+            yield pd.DataFrame({f"t{j}": keys[:, j] for j in range(ROUTE_TERMS)} | {"tie": b["tie"]})
+    return run
+
+
+def _route(idf: np.ndarray, itemsize: int, bounds: list[tuple]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = np.zeros((len(b), ROUTE_TERMS), dtype=np.int64)
-            for i, raw in enumerate(b["ids"]):
-                keys[i] = heaviest(np.frombuffer(raw, f"<u{itemsize}"), idf)
-            yield b.assign(doc_id=b["doc_id"].astype("Int64"), **{f"t{j}": keys[:, j] for j in range(ROUTE_TERMS)})
+            keys = _keys(b, idf, itemsize)
+            part = [bisect_right(bounds, (*k, t)) for k, t in zip(keys.tolist(), b["tie"].tolist())]
+            yield b.assign(doc_id=b["doc_id"].astype("Int64"), part=np.array(part, dtype=np.int32),
+                           **{f"t{j}": keys[:, j] for j in range(ROUTE_TERMS)})
     return run
 
 
@@ -310,13 +326,23 @@ def routed(tokens: DataFrame, idf: np.ndarray, itemsize: int) -> DataFrame:
     """The documents of the token table in the order of their heaviest terms,
     in ranges: documents about the same things lie together, wherever the
     table has them, and the documents of a hot term are split by the next
-    one, at last by a hash of the row."""
+    one, at last by a hash of the row.  The ranges' bounds come from a sample
+    of about ``BOUND_ROWS`` documents a range; they set how even the ranges
+    are, and every document lies in one."""
     rows = tokens.where("ids is not null").select(
         "doc_id", "n", "ids", F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("tie"))
     by = [f"t{j}" for j in range(ROUTE_TERMS)] + ["tie"]
-    keyed = rows.mapInPandas(_route(idf, itemsize), "doc_id long, n long, ids binary, tie long, "
-                             + ", ".join(f"{t} long" for t in by[:-1]))
-    return keyed.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "n", "ids")
+    kinds = ", ".join(f"{t} long" for t in by)
+    docs, ids = tokens.where("terms is null").agg(F.count(F.lit(1)), F.sum("n")).first()  # two numbers
+    # a range ends with a window that may not be full: no more ranges than whole shards
+    ranges = max(1, min(default_partitions(tokens.sparkSession), (ids or 0) // SHARD_TOKENS))
+    share = BOUND_ROWS * ranges / docs if docs else 1.0
+    some = rows if share >= 1 else rows.sample(share, seed=1)
+    keys = sorted(tuple(r) for r in some.mapInPandas(_key_rows(idf, itemsize), kinds).collect())
+    bounds = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
+    placed = rows.mapInPandas(_route(idf, itemsize, bounds), f"doc_id long, n long, ids binary, tie long, part int, "
+                              + ", ".join(f"{t} long" for t in by[:-1]))
+    return placed.repartitionById(ranges, "part").sortWithinPartitions(*by).select("doc_id", "n", "ids")
 
 
 def _pack(window: int, idf: np.ndarray, average: float, itemsize: int):
