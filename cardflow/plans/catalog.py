@@ -543,6 +543,33 @@ def q_vel_trailing_stream(p: Pipeline) -> DataFrame:
     return trailing_stream(p.spark, p.requests, "1 day", "1 hour")
 
 
+@query("velocity_tumbling_stream", _tumbling_sql("1 day", _CARD))
+def q_vel_tumbling_stream(p: Pipeline) -> DataFrame:
+    """The tumbling check as a stream in update mode."""
+    from cardflow.plans.streams import tumbling_stream
+    return tumbling_stream(p.spark, p.requests, "1 day", "1 hour")
+
+
+@query("authorizer_stream", Q.with_(Q.REQ, Q.ATT, Q.LED) + """
+SELECT a.request_id, CASE WHEN a.rn = 1 THEN 'APPROVED' ELSE 'DUPLICATE' END AS outcome, l.transactionId, l.amount
+FROM att a JOIN led l ON a.idempotencyKey = l.idempotencyKey""")
+def q_authorizer_stream(p: Pipeline) -> DataFrame:
+    """Requests landed as JSON, authorized as a stream."""
+    from cardflow.plans.streams import authorizer_stream
+    return authorizer_stream(p.spark, p.requests).select("request_id", "outcome", "transactionId", "amount")
+
+
+@query("scoring_stream", Q.BASE_SC + f"""
+SELECT 'score' AS kind, transactionId AS what, riskScore, alerted, CAST(NULL AS INTEGER) AS receives FROM sc
+UNION ALL
+SELECT 'dead', substr({Q.JSON_BODY}, 1, 60), NULL, NULL, 2 FROM led WHERE transactionId LIKE '0%'""")
+def q_scoring_stream(p: Pipeline) -> DataFrame:
+    """Messages scored as a stream, half messages received
+    twice before they are dead letters."""
+    from cardflow.plans.streams import scoring_stream
+    return scoring_stream(p.spark, p.stored, 2)
+
+
 def _topic(p: Pipeline) -> DataFrame:
     """Scored transactions as topic records: event time = createdAt,
     replay order = scoring time (each arrives one to five hours late,

@@ -232,3 +232,43 @@ def test_landing_folder_to_scores_and_alerts(spark, tmp_dir):
     assert sorted(r["count"] for r in spark.read.parquet(f"{out}/velocity").collect()) == [12]
     row = spark.read.parquet(f"{out}/ledger").first()
     assert read_receipts(spark, f"{out}/receipts", f"receipts/m/1/{row.transactionId}.json").count() == 1
+
+
+def _messages(spark, rows):
+    return spark.createDataFrame(rows, "body string, amount string, sent_at timestamp")
+
+
+def test_redelivery_until_scored_or_dead(spark, tmp_dir):
+    """A message without a score twice is scored once and leaves no dead
+    letter; one that is never readable leaves after five receives; a
+    replayed epoch counts nothing twice."""
+    from cardflow.plans.context import Pipeline
+    from cardflow.sinks.messages import fraud_messages
+    from cardflow.streaming.scoring import score_epoch
+    bodies = [r.body for r in fraud_messages(Pipeline(spark, SF001, materialize=False).stored).limit(4).collect()]
+    slow = json.loads(bodies[1])["transactionId"]
+
+    def flaky(df):
+        return F.when((F.col("transactionId") == slow) & (F.col("receives") < 3), None).otherwise(0.15)
+    out, dead = os.path.join(tmp_dir, "out"), []
+    sent = [[(bodies[0], "1", None), (bodies[1], "1", None), ("{bad", "2", None)], [(bodies[2], "1", None)], [], [(bodies[3], "1", None)], [], []]
+    for n, rows in enumerate(sent):
+        for _ in range(2 if n == 2 else 1):
+            score_epoch(_messages(spark, rows), out, n, 5, flaky)
+        dead.append(spark.read.parquet(os.path.join(out, "dead_letter")).count())
+    scores = spark.read.parquet(os.path.join(out, "scores"))
+    by_batch = {r.transactionId: r.batch_id for r in scores.collect()}
+    assert scores.count() == 4 and by_batch[slow] == 2  # received in epochs 0, 1 and 2
+    assert dead == [0, 0, 0, 0, 1, 1]
+    letter = spark.read.parquet(os.path.join(out, "dead_letter")).first()
+    assert (letter.body, letter.reason, letter.receives) == ("{bad", "unparsable message body", 5)
+    assert len(os.listdir(os.path.join(out, "retry"))) == 2
+
+
+def test_redelivery_in_the_stream(spark, tmp_dir):
+    land, out = os.path.join(tmp_dir, "queue"), os.path.join(tmp_dir, "out")
+    for n in range(3):
+        write_lines(land, f"m{n}.json", [{"body": f"{{bad{n}", "amount": "1"}])
+    q = start_scoring(read_fraud_queue(spark, land, max_per_trigger=1), out, os.path.join(tmp_dir, "ck"), max_receives=2)
+    q.awaitTermination(180)
+    assert sorted(r.body for r in spark.read.parquet(os.path.join(out, "dead_letter")).collect()) == ["{bad0", "{bad1"]
