@@ -23,7 +23,8 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from datetime import datetime
+from urllib.parse import quote, unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -98,53 +99,117 @@ def to_arc(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(_arc_archives(archive_bytes), "path string, content binary")
 
 
-def read_arc(data: bytes) -> Iterator[dict]:
-    """The records of an archive.  The version block decides which header
-    lines follow; a header line that has other fields, or a record shorter
-    than it declares, is an error."""
+#: What a header line holds after the URL: address, date, media type (it may
+#: hold spaces, as the URL may), the fields of version 2, length.
+_LINE = {5: re.compile(r"(?s)(.*?) (\S*) (\d{4,17}) (.*) (\d+)"),
+         10: re.compile(r"(?s)(.*?) (\S*) (\d{4,17}) (.*?) (\d+|-) (\S+) (\S+) (\d+|-) (\S+) (\d+)")}
+_NEXT = re.compile(rb"\n(?=[^\n ]+:[^\n]* \d{14} [^\n]* \d+\n)")
+
+
+def header_fields(line: bytes, names: list[str]) -> dict:
+    """A header line's fields by name (bytes as Latin-1 characters)."""
+    m = _LINE[len(names)].fullmatch(line.removesuffix(b"\r").decode("latin-1"))
+    if m is None:
+        raise ValueError(f"an ARC header line without the {len(names)} fields expected")
+    return dict(zip(names, m.groups()))
+
+
+def read_arc(data: bytes, bad: list[dict] | None = None) -> Iterator[dict]:
+    """The records of an archive (see ``_scan``)."""
+    return (record for _, record in _scan(data, bad))
+
+
+def _scan(data: bytes, bad: list[dict] | None) -> Iterator[tuple[int, dict]]:
+    """The records of an archive and where they begin.  The version block decides which header
+    lines follow.  A header line that has other fields, or a record shorter
+    than it declares, is an error; with a list ``bad`` it is noted there
+    (offset, line, error) and reading goes on at the next header line."""
     at, fields = 0, None
     while at < len(data):
-        if data[at:at + 1] == b"\n":
+        if data[at:at + 1] in (b"\n", b"\r"):
             at += 1
             continue
-        end = data.index(b"\n", at)
-        line = data[at:end].decode("ascii").split(" ")
-        if fields is None:
-            if not line[0].startswith("filedesc://"):
-                raise ValueError("an ARC archive starts with a version block")
-            names = (V1 if len(line) == 5 else V2).split(" ")
-        else:
-            names = fields
-        if len(line) != len(names):
-            raise ValueError(f"an ARC header line of {len(line)} fields, {len(names)} expected")
-        head = dict(zip(names, line))
-        length = int(head["Archive-length"])
-        body = data[end + 1:end + 1 + length]
-        if len(body) != length:
-            raise ValueError("an ARC record is shorter than it declares")
-        at = end + 1 + length
-        if fields is None:
-            version, declared = body.split(b"\n")[:2]
-            fields = declared.decode("ascii").split(" ")
-            if fields != (V1 if version.split(b" ")[0] == b"1" else V2).split(" "):
-                raise ValueError("unknown ARC version")
+        try:
+            end = data.find(b"\n", at)
+            if end < 0:
+                raise ValueError("an ARC header line without an end")
+            line = data[at:end]
+            if fields is None:
+                if not line.startswith(b"filedesc://"):
+                    raise ValueError("an ARC archive starts with a version block")
+                names = (V1 if line.count(b" ") == 4 else V2).split(" ")
+            else:
+                names = fields
+            head = header_fields(line, names)
+            length = int(head["Archive-length"])
+            body = data[end + 1:end + 1 + length]
+            if len(body) != length:
+                raise ValueError("an ARC record is shorter than it declares")
+            if fields is None:
+                version, declared = (body.split(b"\n") + [b""])[:2]
+                fields = declared.decode("latin-1").strip("\r").split(" ")
+                if fields != (V1 if version.split(b" ")[0] == b"1" else V2).split(" "):
+                    raise ValueError("unknown ARC version")
+                at = end + 1 + length
+                continue
+        except ValueError as e:
+            if bad is None:
+                raise
+            bad.append({"offset": at, "line": data[at:at + 200].split(b"\n")[0].decode("latin-1"), "error": str(e)})
+            following = _NEXT.search(data, at)
+            if fields is None or following is None:
+                return
+            at = following.end()
             continue
-        yield head | {"body": body}
+        yield at, head | {"body": body}
+        at = end + 1 + length
+
+
+def _stamp(date: str) -> str:
+    """An ARC date (14 digits, or more with parts of a second) as WARC has it."""
+    try:
+        return datetime.strptime(date[:14], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ") if len(date) >= 14 else _no_date(date)
+    except ValueError:
+        return _no_date(date)
+
+
+def _no_date(date: str) -> str:
+    raise ValueError(f"an ARC date that is none: {date}")
+
+
+def _checksum_fits(checksum: str, payload: bytes, digest: str) -> bool:
+    """Whether a checksum of a known form (SHA-1 in base32 or hex, MD5 in
+    hex) is the payload's; one of another form says nothing."""
+    value = checksum.split(":", 1)[-1]
+    if re.fullmatch("[0-9a-f]{32}", value):
+        return hashlib.md5(payload).hexdigest() == value
+    if re.fullmatch("[0-9a-f]{40}", value):
+        return hashlib.sha1(payload).hexdigest() == value
+    return re.fullmatch("[A-Z2-7]{32}", value) is None or value == digest
+
+
+def _url(field: str) -> str:
+    if field == "-":
+        return ""
+    raw = unquote_to_bytes(field.encode("latin-1"))
+    try:
+        return raw.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
 
 
 def convert(record: dict) -> dict:
     """The WARC meaning of an ARC record: type, date, identifier, payload and
-    digests."""
-    url = "" if record["URL"] == "-" else unquote(record["URL"], errors="surrogatepass")
+    digests.  A date that is none, or a checksum that does not fit, is an
+    error."""
+    url, stamp = _url(record["URL"]), _stamp(record["Archive-date"])
     body: bytes = record["body"]
-    date = record["Archive-date"]
-    stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
     http = re.match(rb"HTTP/\d", body) is not None
     cut = body.find(b"\r\n\r\n") if http else -1
     head, payload = (body[:cut + 4], body[cut + 4:]) if cut >= 0 else (b"", body)
     page = re.search(rb"(?im)^X-Page-Id: *(-?\d+)\r?$", head)
     digest = payload_digest(payload)
-    if record.get("Checksum", "-") not in ("-", digest):
+    if not _checksum_fits(record.get("Checksum", "-"), payload, digest):
         raise ValueError("an ARC record's checksum does not fit its payload")
     kind = "response" if http else "metadata" if record["URL"].startswith(("dns:", "metadata:")) else "resource"
     page_id = int(page.group(1)) if page else None
@@ -153,6 +218,19 @@ def convert(record: dict) -> dict:
             "record_id": f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {url} {stamp} {digest}')}>"}
 
 
+def convert_all(data: bytes) -> tuple[list[dict], list[dict]]:
+    """An archive's records, converted, and what could not be (offset, line,
+    error)."""
+    bad: list[dict] = []
+    found = []
+    for at, r in _scan(data, bad):
+        try:
+            found.append(convert(r))
+        except ValueError as e:
+            bad.append({"offset": at, "line": r["URL"], "error": str(e)})
+    return found, bad
+
+
 def _records(narrow: bool):
     columns = ["page_id", "digest", "record_id"] if narrow else [
         "page_id", "url", "date", "mime", "kind", "http", "payload", "digest", "record_id"]
@@ -160,7 +238,7 @@ def _records(narrow: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for data in b["content"]:
-                found = pd.DataFrame([convert(r) for r in read_arc(data)])
+                found = pd.DataFrame(convert_all(data)[0])
                 if len(found):
                     found["page_id"] = found["page_id"].astype("Int64")
                     yield found[columns]
@@ -170,11 +248,26 @@ def _records(narrow: bool):
 
 def read_records(archives: DataFrame, narrow: bool = False) -> DataFrame:
     """The converted records of ARC archives (content); ``narrow``: only
-    page_id, digest and record_id."""
+    page_id, digest and record_id.  What cannot be read as a record is left
+    to ``read_errors``."""
     run, schema = _records(narrow)
     return archives.select("content").mapInPandas(run, schema)
 
 
+def _errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for path, data in zip(b["path"], b["content"]):
+            bad = pd.DataFrame(convert_all(data)[1])
+            if len(bad):
+                yield bad.assign(path=path)[["path", "offset", "line", "error"]]
+
+
+def read_errors(archives: DataFrame) -> DataFrame:
+    """What of ARC archives (path, content) is no record: path, offset, the
+    header line and the error."""
+    return archives.select("path", "content").mapInPandas(_errors, "path string, offset long, line string, error string")
+
+
 # -- WARC --------------------------------------------------------------------
 
 def _text(v) -> str:

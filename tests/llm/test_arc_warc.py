@@ -97,3 +97,39 @@ def test_archives_are_gzip_files(spark, tmp_dir):
     files = [f for f in os.listdir(path) if f.startswith("part-")]
     text = b"".join(gzip.open(os.path.join(path, f)).read() for f in files)
     assert text.count(b"WARC-Record-ID: ") == len(ROWS) and text.startswith(b"WARC/1.1\r\n")
+
+
+def v1_line(url, body, date="20010203040506", mime="text/html", tail=""):
+    return f"{url} 1.2.3.4 {date} {mime}{tail} {len(body)}\n".encode("latin-1") + body + b"\n"
+
+
+def test_ordinary_archives():
+    """Media types with parameters, spaces and raw bytes in URLs, and other
+    checksums are read."""
+    import hashlib
+    body = b"HTTP/1.0 200 OK\r\n\r\nhello"
+    data = A.arc_head("t", 1) + v1_line("http://a/", body, mime="text/html; charset=utf-8") + v1_line("http://a/b c d", body)
+    data += v1_line("http://a/\xe9", body) + v1_line("http://a/\xc3\xa9", body) + v1_line("http://a/%C3%A9", body)
+    got = [A.convert(r) for r in A.read_arc(data)]
+    assert [r["url"] for r in got] == ["http://a/", "http://a/b c d", "http://a/\xe9", "http://a/\xe9", "http://a/\xe9"]
+    assert got[0]["mime"] == "text/html; charset=utf-8" and all(r["payload"] == b"hello" for r in got)
+    md5, sha1 = hashlib.md5(b"hello").hexdigest(), hashlib.sha1(b"hello").hexdigest()
+    for checksum, fits in ((md5, True), ("md5:" + md5, True), (sha1, True), ("0" * 32, False), ("crc-17", True), ("-", True)):
+        two = A.arc_head("t", 2) + v1_line("http://a/", body, tail=f" 200 {checksum} - 0 t")
+        found, bad = A.convert_all(two)
+        assert (len(found), len(bad)) == ((1, 0) if fits else (0, 1)), checksum
+
+
+def test_bad_records_go_to_the_errors(spark):
+    body = b"HTTP/1.0 200 OK\r\n\r\nhello"
+    parts = [A.arc_head("t", 1), v1_line("http://a/1", body), v1_line("http://a/2", body, date="2004"),
+             b"http://no-length 1.2.3.4 20010203040506 text/html x\nabc\n", v1_line("http://a/3", body),
+             b"http://a/4 1.2.3.4 20010203040506 text/html 99\nshort\n", v1_line("http://a/5", body)[:60]]
+    data = b"".join(parts[:5])
+    found, bad = A.convert_all(data)
+    assert [r["url"] for r in found] == ["http://a/1", "http://a/3"] and [b["offset"] for b in bad] == [
+        len(b"".join(parts[:2])), len(b"".join(parts[:3]))]
+    df = spark.createDataFrame([("p", data), ("q", b"".join([*parts[:2], parts[5]])), ("r", b"no archive"), ("s", b"")], "path string, content binary")
+    assert sorted(r["url"] for r in A.read_records(df).collect()) == ["http://a/1", "http://a/1", "http://a/3"]
+    errors = sorted((r["path"], r["error"]) for r in A.read_errors(df).collect())
+    assert [p for p, _ in errors] == ["p", "p", "q", "r"] and any("shorter" in e for _, e in errors)
