@@ -712,6 +712,26 @@ def q_msg_round_trip(p: Pipeline) -> DataFrame:
     return with_decoded(p.stored.select(encode_json().alias("body")), "body").select("t.*")
 
 
+@query("receipt_round_trip", Q.BASE + """
+SELECT 'receipts/' || merchantId || '/' || transactionId || '.json' AS receiptKey, idempotencyKey, maskedPan, amount,
+       createdAt, true AS in_indexed_file
+FROM led""")
+def q_receipt_round_trip(p: Pipeline) -> DataFrame:
+    """Every receipt written, indexed and read back; its index entry
+    names the file it lies in."""
+    from cardflow.functions.text import receipt_key, with_decoded
+    from cardflow.session import scratch_path
+    from cardflow.sinks.writers import write_receipt_index, write_receipts
+    base = scratch_path(p.spark, "receipts")
+    write_receipts(p.stored, "", "", folder=f"{base}/documents")
+    write_receipt_index(p.spark, f"{base}/documents/*", f"{base}/index")
+    index = p.spark.read.parquet(f"{base}/index")
+    raw = p.spark.read.schema("value string").text(f"{base}/documents/*").select("value", F.col("_metadata.file_path").alias("at"))
+    rows = with_decoded(raw, "value").select("t.*", "at").withColumn("receiptKey", receipt_key("merchantId", "transactionId"))
+    return rows.join(index, "receiptKey").select("receiptKey", "idempotencyKey", "maskedPan", "amount", "createdAt",
+                                                 (F.col("at") == F.col("file")).alias("in_indexed_file"))
+
+
 @query("pan_round_trip", Q.with_(Q.REQ) + """
 SELECT request_id, '**** **** **** ' || right(pan, 4) AS maskedPan, true AS round_trip_ok,
        false AS context_mismatch_decrypts

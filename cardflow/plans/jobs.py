@@ -9,7 +9,8 @@ outputs, each to a folder of its own; one commit publishes all of them
     root/ledger_runs     the same, merged (``sinks.ledger``)
     root/outcomes        one row per attempt (APPROVED / DUPLICATE)
     root/rejected        requests failing validation
-    root/receipts        receipt documents by merchant bucket
+    root/receipts        receipt documents by merchant bucket, and
+    root/receipt_index   which file holds which receipt
     root/release_not_found  release requests of unknown transactions
     root/alerts          high-risk alerts
     root/status_events   authorize / hold / release / settle events
@@ -47,7 +48,8 @@ from cardflow.session import child_folders, materialize, pan_key
 from cardflow.sinks import ledger as LG
 from cardflow.sinks.commits import Batch, CommitLog
 from cardflow.sinks.messages import publish_queue, publish_topic
-from cardflow.sinks.writers import write_receipts, write_summary
+from cardflow.sinks.writers import write_receipt_index, write_receipts, write_summary
+from cardflow.sources.readers import find_receipt
 
 SNAPSHOT = "open"
 
@@ -78,12 +80,19 @@ def write_attempts(batch: Batch, requests: DataFrame, ledger: DataFrame | None,
     outcomes = outcomes.withColumn("is_new", F.col("outcome") == OUTCOME_APPROVED)
     stored = LG.add_rows(batch, new_rows(outcomes))
     bad = batch.write(rejected, "rejected")
-    write_receipts(stored, "", "", folder=batch.folder("receipts"))
+    receipts = batch.folder("receipts")
+    write_receipts(stored, "", "", folder=receipts)
+    write_receipt_index(spark, f"{receipts}/*", batch.folder("receipt_index"))
     # counted from what was written: the footers hold the numbers of rows
     n = bad.count()
     return outcomes, stored, {"requests": outcomes.count() + n, "stored": stored.count(), "rejected": n}
 
 
+def receipt(log: CommitLog, key: str) -> DataFrame | None:
+    """A committed receipt by its key (S6): one file is opened."""
+    return find_receipt(log.spark, [f.path for f in log.state().folders("receipt_index")], key)
+
+
 def _events(log: CommitLog, state, after: int = -1) -> DataFrame:
     found = log.read("status_events", state=state, after=after)
     return log.spark.createDataFrame([], STATUS_EVENT) if found is None else found.select(*STATUS_EVENT.fieldNames())

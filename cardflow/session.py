@@ -132,18 +132,17 @@ def child_folders(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()]
 
 
-def path_version(spark: SparkSession, path: str) -> tuple:
+def path_version(spark: SparkSession, path: str) -> tuple | None:
     """What a file or folder holds now: its files' number, total size and
-    latest modification, as its filesystem lists them."""
+    latest modification at its top, in two calls however many files there
+    are; None if it does not exist."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files, size, latest = 0, 0, 0
-    it = fs.listFiles(p, True)
-    while it.hasNext():
-        f = it.next()
-        files, size, latest = files + 1, size + f.getLen(), max(latest, f.getModificationTime())
-    return files, size, latest
+    if not fs.exists(p):
+        return None
+    size = fs.getContentSummary(p)
+    return size.getFileCount(), size.getLength(), fs.getFileStatus(p).getModificationTime()
 
 
 def materialize(df, name: str):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardflow.functions.text import encode_json
+from cardflow.functions.text import encode_json, receipt_key
 from cardflow.session import materialize
 
 
@@ -84,6 +84,18 @@ def write_receipts(stored: DataFrame, path: str, batch_id: str, folder: str | No
      .write.mode("overwrite").partitionBy("merchant_bucket").text(folder or batch_folder(path, batch_id)))
 
 
+def write_receipt_index(spark, receipts: str, index: str) -> None:
+    """The index of written receipts (S6): receiptKey and the file that holds
+    it, made from the files themselves (``_metadata.file_path``), sorted by
+    key with a Bloom filter on it.  ``receipts``: a batch's receipt folder."""
+    raw = spark.read.schema("value string").text(receipts)
+    field = lambda c: F.get_json_object("value", f"$.{c}")
+    (raw.select(receipt_key(field("merchantId"), field("transactionId")).alias("receiptKey"),
+                F.col("_metadata.file_path").alias("file"))
+     .repartitionByRange("receiptKey").sortWithinPartitions("receiptKey")
+     .write.mode("overwrite").option("parquet.bloom.filter.enabled#receiptKey", "true").parquet(index))
+
+
 def write_summary(current: DataFrame, path: str, batch_id: str, settled_at) -> int:
     """Settlement summary JSON plus the settled ids of one batch (K3).
 

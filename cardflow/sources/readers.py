@@ -128,6 +128,22 @@ def read_receipts(spark: SparkSession, path: str, receipt_key: str | None = None
     return rows if receipt_key is None else rows.where(key_of("merchantId", "transactionId") == receipt_key)
 
 
+def find_receipt(spark: SparkSession, index: str | list[str], key: str) -> DataFrame | None:
+    """The receipt of one key by the index of ``write_receipt_index`` (one
+    folder, or one per batch): the index is asked for the key alone, and the
+    one file it names is opened.  None if there is no such receipt."""
+    from cardflow.functions.text import receipt_key as key_of
+    folders = [index] if isinstance(index, str) else index
+    if not folders:
+        return None
+    at = (spark.read.schema("receiptKey string, file string").parquet(*folders)
+          .where(F.col("receiptKey") == F.lit(key)).select("file").first())
+    if at is None:
+        return None
+    rows = with_decoded(spark.read.schema("value string").text(at["file"]), "value").select("t.*", "value")
+    return rows.where(key_of("merchantId", "transactionId") == F.lit(key))
+
+
 def parse_messages(messages: DataFrame) -> DataFrame:
     """Messages with their decoded transaction in ``t`` (Q2): written once,
     it serves every output of a micro-batch."""

@@ -24,6 +24,26 @@ def test_receipts_round_trip(spark, tmp_dir):
     assert read_receipts(spark, path, f"receipts/{row.merchantId}/none.json").count() == 0
 
 
+def test_receipt_index_opens_one_file(spark, tmp_dir):
+    from cardflow.sinks.writers import write_receipt_index
+    from cardflow.sources.readers import find_receipt
+    p = Pipeline(spark, SF001, materialize=False)
+    folders = []
+    for n, part in enumerate([p.stored.where("crc32(transactionId) % 2 = 0"), p.stored.where("crc32(transactionId) % 2 = 1")]):
+        folder, index = os.path.join(tmp_dir, f"r{n}"), os.path.join(tmp_dir, f"i{n}")
+        write_receipts(part, "", "", folder=folder)
+        write_receipt_index(spark, f"{folder}/*", index)
+        folders.append(index)
+    every = spark.read.parquet(*folders)
+    assert every.count() == 792 and every.select("receiptKey").distinct().count() == 792
+    for row in p.stored.orderBy("transactionId").limit(3).collect():
+        key = f"receipts/{row.merchantId}/{row.transactionId}.json"
+        one = find_receipt(spark, folders, key)
+        assert [tuple(r)[:-1] for r in one.collect()] == [tuple(row)]
+        assert len(one.inputFiles()) == 1
+    assert find_receipt(spark, folders, "receipts/x/y.json") is None and find_receipt(spark, [], "k") is None
+
+
 def _document(base):
     files = [f for f in os.listdir(os.path.join(base, "summary")) if f.endswith(".json")]
     return json.loads(open(os.path.join(base, "summary", files[0])).read())
@@ -135,6 +155,11 @@ def test_replay_leaves_nothing_of_the_first_attempt(spark, tmp_dir):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
 
 
+def test_a_folder_without_orders_serves_what_needs_none(spark, tmp_dir):
+    spark.read.parquet(f"{SF001}/events.parquet").limit(20).write.parquet(f"{tmp_dir}/events.parquet")
+    assert Pipeline.shared(spark, tmp_dir).valid.count() == 20
+
+
 def test_changed_source_gives_a_new_pipeline(spark, tmp_dir):
     for t in ("events", "orders"):
         spark.read.parquet(f"{SF001}/{t}.parquet").limit(20).write.parquet(f"{tmp_dir}/{t}.parquet")
