@@ -43,7 +43,7 @@ def running(rows: DataFrame, key: str, order: list, out: str, value: Running, pe
     small = Window.partitionBy(key).orderBy(*order).rowsBetween(*upto)
     if not hot.limit(1).count():
         return [rows.withColumn(out, value(small))]
-    cold = rows.join(hot, key, "left_anti").withColumn(out, value(small))
+    cold = rows.join(hot, key, "left_anti").select(*rows.columns).withColumn(out, value(small))
     # written once: both uses below must see the same slices
     sliced = materialize(rows.join(hot, key, "left_semi").repartitionByRange(key, *order)
                          .withColumn("_slice", F.spark_partition_id()), "slices")
@@ -52,7 +52,7 @@ def running(rows: DataFrame, key: str, order: list, out: str, value: Running, pe
     before = parts.select(key, "_slice", carry(earlier).alias("_before"))
     within = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(*upto)
     large = (sliced.withColumn(out, value(within)).join(before, [key, "_slice"])
-             .withColumn(out, merge(F.col("_before"), F.col(out))).drop("_slice", "_before"))
+             .withColumn(out, merge(F.col("_before"), F.col(out))).select(*rows.columns, out))
     return [cold, large]
 
 

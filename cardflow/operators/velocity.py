@@ -12,10 +12,10 @@
   one narrow slice of time.
 * Exact lateness (W8): a record is late when its window already closed,
   i.e. window end <= (max event time seen so far in its source
-  partition, in arrival order) - grace.  The running max is computed as a
-  two-level scan (per arrival chunk, then a carry over the small
-  per-chunk table), so a source partition holding a third of all rows is
-  still spread over many tasks.
+  partition, in arrival order) - grace.  The running max of a large source
+  partition is a two-level scan (per slice of its rows, then a carry over
+  the small per-slice table), so one holding a third of all rows is still
+  spread over many tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardflow.constants import VELOCITY_GRACE, VELOCITY_THRESHOLD, VELOCITY_WINDOW
+from cardflow.operators.asof import running, union_all
 from cardflow.session import materialize
 
 
@@ -180,16 +181,13 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
     """Mark each record ``late`` by the exact per-record grace rule.
 
     ``arrival`` is the replay order (a broker offset or a timestamp) with
-    ``tiebreak`` making it total.  The running max is a two-level scan over
-    chunks of the arrival order: ``chunk`` fixes their width (a count for
-    offsets, a duration for timestamps); by default each source partition
-    gets a width that averages ``rows_per_chunk`` records per chunk, from a
-    small per-partition statistics table.  ``balanced=True`` instead
-    range-partitions the arrival order into ``chunks`` ranges (default: the
-    shuffle partition count) and uses each range as a chunk: every chunk
-    then holds about the same number of records whatever the arrival
-    pattern, at the cost of one more shuffle.  Adds window_start,
-    window_end, seen_max, late.
+    ``tiebreak`` making it total.  A source partition of at most
+    ``rows_per_chunk`` records is one run; larger ones are cut into slices by
+    rows, whatever the pattern of their arrivals, with the newest time of the
+    slices before carried in (``operators.asof``).  ``chunk`` cuts by a fixed
+    width of the order instead (a count for offsets, a duration for
+    timestamps), ``balanced`` into ``chunks`` equal ranges.  Adds
+    window_start, window_end, seen_max, late.
     """
     width = _seconds(size) * 1_000_000
     grace_us = _seconds(grace) * 1_000_000
@@ -197,25 +195,35 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
     is_ts = dict(records.dtypes)[arrival].startswith("timestamp")
     arr_num = _micros(arr) if is_ts else arr.cast("bigint")
     r = records.withColumn("_us", _micros(F.col(ts))).withColumn("_arr", arr_num)
-    if balanced:
-        n = chunks or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if balanced or chunk is not None:
+        j = _chunked(r, partition, tiebreak, is_ts, chunk if not balanced else None, chunks)
+    else:
+        order = ["_arr", F.col(tiebreak)]
+        j = union_all(running(r, partition, order, "_seen", value=lambda w: F.max("_us").over(w),
+                              per_slice=F.max("_us"), carry=lambda w: F.max("_part").over(w),
+                              merge=lambda before, own: F.greatest(own, F.coalesce(before, own)), hot_rows=rows_per_chunk))
+    start = _floor_div(F.col("_us"), width) * F.lit(width)
+    out = (j.withColumn("_start", start.cast("bigint"))
+           .withColumn("window_start", _from_micros(F.col("_start")))
+           .withColumn("window_end", _from_micros(F.col("_start") + F.lit(width)))
+           .withColumn("seen_max", _from_micros(F.col("_seen")))
+           .withColumn("late", (F.col("_start") + F.lit(width)) <= (F.col("_seen") - F.lit(grace_us))))
+    return out.drop("_us", "_arr", "_seen", "_start")
+
+
+def _chunked(r: DataFrame, partition: str, tiebreak: str, is_ts: bool, chunk: str | None, chunks: int | None) -> DataFrame:
+    """``_seen`` by chunks of the arrival order: of a fixed width, or equal
+    ranges of all records."""
+    if chunk is None:
+        n = chunks or int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # contiguous ranges of (partition, arrival, tiebreak); a range's
         # index orders it within its source partition.  Written once: both
         # branches below must see the same ranges
         r = materialize(r.repartitionByRange(n, F.col(partition), F.col("_arr"), F.col(tiebreak))
                         .withColumn("_chunk", F.spark_partition_id().cast("bigint")), "arrival-ranges")
-    elif chunk is not None:
+    else:
         chunk_w = _seconds(chunk) * 1_000_000 if is_ts else int(chunk)
         r = r.withColumn("_chunk", _floor_div(F.col("_arr"), chunk_w))
-    else:
-        stats = r.groupBy(partition).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_arr").alias("_a0"), F.max("_arr").alias("_a1"))
-        # in floating point: the product is beyond a long after a few months
-        width_of = (F.col("_a1") - F.col("_a0") + 1).cast("double") * F.lit(float(rows_per_chunk)) / F.col("_n")
-        cw = F.greatest(F.lit(1.0), F.least(F.ceil(width_of).cast("double"), F.lit(2.0 ** 62))).cast("bigint")
-        r = (r.join(stats.select(partition, "_a0", cw.alias("_cw")), partition)
-             .withColumn("_chunk", F.expr("(_arr - _a0) div _cw"))
-             .drop("_a0", "_cw"))
     # level 1: max event time per (partition, chunk) -- a small table
     per_chunk = r.groupBy(partition, "_chunk").agg(F.max("_us").alias("_cmax"))
     # level 2: carry = max over all earlier chunks of the same partition
@@ -226,16 +234,9 @@ def drop_late(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELO
     in_w = Window.partitionBy(partition, "_chunk").orderBy("_arr", F.col(tiebreak)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     run = r.withColumn("_run", F.max("_us").over(in_w))
-    j = run.join(carry, [partition, "_chunk"], "left")
     seen = F.greatest(F.col("_run"), F.coalesce(F.col("_carry"), F.col("_run")))
-    start = _floor_div(F.col("_us"), width) * F.lit(width)
-    out = (j.withColumn("_seen", seen)
-           .withColumn("_start", start.cast("bigint"))
-           .withColumn("window_start", _from_micros(F.col("_start")))
-           .withColumn("window_end", _from_micros(F.col("_start") + F.lit(width)))
-           .withColumn("seen_max", _from_micros(F.col("_seen")))
-           .withColumn("late", (F.col("_start") + F.lit(width)) <= (F.col("_seen") - F.lit(grace_us))))
-    return out.drop("_us", "_arr", "_chunk", "_run", "_carry", "_seen", "_start")
+    return (run.join(carry, [partition, "_chunk"], "left").withColumn("_seen", seen)
+            .drop("_chunk", "_run", "_carry"))
 
 
 def velocity_exact(records: DataFrame, key: str = "key", size: str = VELOCITY_WINDOW,

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import datetime as dt
 
 
@@ -129,3 +130,22 @@ def test_no_window_holds_a_card_for_all_time(spark):
     assert windows and all("group#" in x or "sb#" in x for x in windows)
     got = {x.id: x.trailing_count for x in out.collect()}
     assert got == {i: sum(1 for j in range(i + 1) if (i - j) * 7.3 <= 30) for i in range(400)}
+
+
+def test_a_burst_of_arrivals_is_cut_by_rows(spark):
+    """A third of a partition's records arrive within one second; no slice
+    holds more than its share, and nothing of the result changes."""
+    n = 6000
+    arrival = F.when(F.col("id") % 3 == 0, F.lit(5_000_000) + F.col("id")).otherwise(F.col("id") * 1_000_000)
+    df = spark.range(n).select(
+        "id", F.lit("c").alias("key"), arrival.alias("arrival"), F.lit(0).alias("source_partition"),
+        F.expr("timestampadd(SECOND, cast(id * 7919 % 900 as int), timestamp_ntz'2024-01-01')").alias("ts"))
+    one = {r.id: (r.late, r.seen_max) for r in V.drop_late(df).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = V.drop_late(df, rows_per_chunk=500)
+        assert {r.id: (r.late, r.seen_max) for r in cut.collect()} == one
+        sizes = [r["count"] for r in cut.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(one) == n and len(sizes) >= 4
