@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cardflow.constants import (
     VELOCITY_ALERT_TEMPLATE, VELOCITY_GRACE, VELOCITY_THRESHOLD, VELOCITY_WINDOW,
@@ -70,6 +70,80 @@ def start_velocity_alerts(records: DataFrame, sink_path: str, checkpoint: str |
     return w.start()
 
 
+def velocity_state(spark, checkpoint: str) -> DataFrame:
+    """The counts that a tumbling check keeps now (W5), read back from its
+    checkpoint with the ``statestore`` source: window_start, window_end,
+    key, count.  The state of the last committed micro-batch, as a restarted
+    query would load it."""
+    from cardflow.functions.text import utc_as_ntz
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(utc_as_ntz(F.col("key.window.start")).alias("window_start"),
+                        utc_as_ntz(F.col("key.window.end")).alias("window_end"),
+                        F.col("key.key").alias("key"), F.col("value.count").alias("count"))
+
+
+class _StreamTime(StatefulProcessor):
+    """Keeps the newest event time of one source partition."""
+
+    def __init__(self, width: int, grace: int):
+        self.width, self.grace = width, grace
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+        batch = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        held = self.newest.get()
+        seen = batch["us"].cummax()
+        if held is not None:
+            seen = seen.clip(lower=held[0])
+        if len(batch):
+            self.newest.update((int(seen.iloc[-1]),))
+        end = batch["us"] - batch["us"] % self.width + self.width
+        yield batch.assign(seen_us=seen, late=end <= seen - self.grace)[
+            ["source_partition", "arrival", "key", "us", "seen_us", "late"]]
+
+    def close(self) -> None:
+        pass
+
+
+def lateness(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
+             ts: str = "event_ts", key: str = "key") -> DataFrame:
+    """W3 by the rule per record, as a stream: every record with ``late``
+    (its window had closed, ``grace`` ago, by the newest time of its source
+    partition up to its offset), as ``operators.velocity.drop_late`` gives
+    it in batch: source_partition, id, key, ts, seen_max, late.
+
+    The newest time per source partition is keyed state (a long each, in the
+    RocksDB store); a micro-batch is gone through by offset, so offsets must
+    come in order over micro-batches, as a topic gives them.  A task holds
+    the records of its partitions in one micro-batch
+    (``max_per_trigger`` bounds them).
+    """
+    from cardflow.functions.text import from_epoch_micros
+    from cardflow.operators.velocity import _seconds
+    r = records.select("source_partition", "arrival", F.col(key).alias("key"),
+                       F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    marked = r.groupBy("source_partition").transformWithStateInPandas(
+        _StreamTime(_seconds(size) * 1_000_000, _seconds(grace) * 1_000_000),
+        "source_partition int, arrival long, key string, us long, seen_us long, late boolean", "Append", "none")
+    return marked.select("source_partition", F.col("arrival").alias("id"), "key", from_epoch_micros("us").alias("ts"),
+                         from_epoch_micros("seen_us").alias("seen_max"), "late")
+
+
+def start_lateness(records: DataFrame, sink_path: str, checkpoint: str | None = None,
+                   size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
+                   trigger: dict | None = None, ts: str = "event_ts") -> StreamingQuery:
+    """Run ``lateness``; a micro-batch's records go to its folder of ``sink_path``."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        append_batch(batch, sink_path, str(epoch))
+
+    ck = checkpoint or stream_checkpoint(records.sparkSession, "lateness", sink_path)
+    w = lateness(records, size, grace, ts).writeStream.outputMode("append").option("checkpointLocation", ck).foreachBatch(write)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def trailing_counts(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
                     ts: str = "event_ts", key: str = "key") -> DataFrame:
     """W2 as a stream-stream join: for each record the number of records of

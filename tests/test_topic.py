@@ -152,3 +152,52 @@ def test_by_time_keeps_every_row(spark):
     parts = [[r.ts for r in b.collect()] for b in by_time(df, "ts", 4)]
     assert sorted(x for p in parts for x in p) == [at(i * i) for i in range(30)]
     assert all(max(a) < min(b) for a, b in zip(parts, parts[1:]) if a and b)
+
+
+def landed(spark, topic, n, rows, key="c"):
+    df = spark.createDataFrame([(key, "v", at(t), p, i) for p, i, t in rows], RECORD + ", arrival long")
+    append_batch(df.withColumn("timestamp", M.ntz_as_utc("timestamp")).repartition(2), topic, str(n), "json")
+
+
+def test_lateness_as_a_stream_equals_the_batch_rule(spark, tmp_dir):
+    """The micro-batches of the blueprint and a second partition, the query
+    restarted after each."""
+    from cardflow.operators.velocity import velocity_exact
+    from cardflow.streaming.velocity import start_lateness
+    topic, sink, ck = (os.path.join(tmp_dir, x) for x in ("topic", "sink", "ck"))
+    files, offset, rng = [[1, 2, 3, 4], [34.9, 29], [28, 35], [27, 36], [26, 37]], 0, random.Random(4)
+    every = []
+    for n, secs in enumerate(files):
+        rows = []
+        for s in secs:
+            rows += [(0, offset, s), (1, offset, round(rng.uniform(0, 40), 1))]
+            offset += 1
+        every += rows
+        landed(spark, topic, n, rows)
+        start_lateness(read_topic(spark, topic), sink, ck).awaitTermination()  # a restart each
+    got = {(r.source_partition, r.id): (r.late, r.seen_max) for r in spark.read.parquet(sink).collect()}
+    df = spark.createDataFrame([("c", at(t), p, i) for p, i, t in every], "key string, ts timestamp_ntz, source_partition int, arrival long")
+    want = drop_late(df, tiebreak="arrival")
+    assert got == {(r.source_partition, r.arrival): (r.late, r.seen_max) for r in want.collect()}
+    assert {k for k, v in got.items() if v[0]} and not all(v[0] for v in got.values())
+    marks = spark.read.parquet(sink).where("not late")
+    counts = {(r.w, r.n) for r in marks.groupBy(F.window("ts", "30 seconds")["start"].alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    exact = velocity_exact(df, threshold=1, tiebreak="arrival")
+    assert counts == {(r.window_start, r["count"]) for r in exact.collect()}
+
+
+def test_state_is_the_same_after_a_restart(spark, tmp_dir):
+    from cardflow.streaming.velocity import start_velocity_alerts, velocity_state
+    topic, sink, ck = (os.path.join(tmp_dir, x) for x in ("topic", "sink", "ck"))
+
+    def run(n, rows):
+        if rows:
+            landed(spark, topic, n, rows)
+        start_velocity_alerts(read_topic(spark, topic), sink, ck, threshold=1).awaitTermination()
+        return {(r.window_start, r.key): r["count"] for r in velocity_state(spark, ck).collect()}
+    assert run(0, [(0, 0, 1), (0, 1, 2), (0, 2, 31)]) == {(at(0), "c"): 2, (at(30), "c"): 1}
+    before = run(1, [])  # a restart without new records
+    assert before == {(at(0), "c"): 2, (at(30), "c"): 1}
+    after = run(2, [(0, 3, 33), (0, 4, 3)])
+    assert after == {(at(0), "c"): 3, (at(30), "c"): 2}
+    assert run(3, [(0, 5, 70)]).keys() == {(at(60), "c")}  # windows closed by the watermark have left the state
