@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,10 +69,17 @@ def buffers(texts: list[bytes], limit: int = BUFFER) -> Iterator[tuple[np.ndarra
         yield joined()
 
 
+def kept_by_worker() -> dict:
+    """What this Python worker keeps between tasks (tokenizers with what they
+    have learned)."""
+    return sys.__dict__.setdefault("cardflow_kept", {})
+
+
 class WordHasher:
     """64-bit hashes of the words (runs of bytes other than white space)."""
 
     def __init__(self):
+        kept_by_worker().clear()  # a stage that hashes words needs the memory, and no tokenizer
         self.up = powers(BASE, 0)
         self.down = self.up
 

@@ -23,7 +23,6 @@ words are merged many at a time (``bpe``), all others by the library.
 
 from __future__ import annotations
 
-import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cardflow.llm.bpe import LONGEST, Merger
 from cardflow.llm.common import default_partitions
-from cardflow.llm.hashing import encode, mix
+from cardflow.llm.hashing import encode, kept_by_worker, mix
 from cardflow.llm.wordtable import SHORT, Parts, WordTable, byte_classes
 from cardflow.session import materialize
 
@@ -47,7 +46,7 @@ ROUTE_TERMS = 3
 BOUND_ROWS = 100
 DENSE = 8  # a term of more than an eighth of the documents is held as a row
 K1, B = 1.2, 0.75
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 GROUP_BYTES = 1 << 22
 
 
@@ -121,7 +120,7 @@ class WordTokenizer:
 def worker_tokenizer(path: str) -> WordTokenizer:
     """The tokenizer of this Python worker: Spark uses a worker for many
     tasks, and what one has learned serves the next."""
-    held = sys.__dict__.setdefault("cardflow_tokenizers", {})
+    held = kept_by_worker()
     if path not in held:
         held[path] = WordTokenizer(path)
     return held[path]
