@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 from collections.abc import Iterator
@@ -75,11 +76,21 @@ def kept_by_worker() -> dict:
     return sys.__dict__.setdefault("cardflow_kept", {})
 
 
+def trim() -> None:
+    """Give the memory that earlier tasks of this worker freed back to the
+    system (the allocator keeps it otherwise); nothing where it cannot."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 class WordHasher:
     """64-bit hashes of the words (runs of bytes other than white space)."""
 
     def __init__(self):
         kept_by_worker().clear()  # a stage that hashes words needs the memory, and no tokenizer
+        trim()
         self.up = powers(BASE, 0)
         self.down = self.up
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cardflow.llm.bpe import LONGEST, Merger
 from cardflow.llm.common import default_partitions
-from cardflow.llm.hashing import encode, kept_by_worker, mix
+from cardflow.llm.hashing import encode, kept_by_worker, mix, trim
 from cardflow.llm.wordtable import SHORT, Parts, WordTable, byte_classes
 from cardflow.session import materialize
 
@@ -121,6 +121,7 @@ def worker_tokenizer(path: str) -> WordTokenizer:
     """The tokenizer of this Python worker: Spark uses a worker for many
     tasks, and what one has learned serves the next."""
     held = kept_by_worker()
+    trim()
     if path not in held:
         held[path] = WordTokenizer(path)
     return held[path]
@@ -346,6 +347,8 @@ def routed(tokens: DataFrame, idf: np.ndarray, itemsize: int) -> DataFrame:
 
 def _pack(window: int, idf: np.ndarray, average: float, itemsize: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_by_worker().clear()
+        trim()
         packer = Packer(window, idf, average, TaskContext.get().partitionId() << 40)
         doc_ids: list = []
         ids: list[np.ndarray] = []
