@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.llm.common import components, with_row_id
@@ -120,8 +120,8 @@ def _sign(threshold: float, n: int, rows: int, recall: float):
             keys: list = [None] * len(b)
             for i, row in zip(np.flatnonzero(total > 0), band.view(np.int64)):
                 keys[i] = row
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "k1": k1, "k2": k2, "words": words,
-                                "keys": keys})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "tie": b["tie"], "k1": k1, "k2": k2,
+                                "words": words, "keys": keys})
     return run
 
 
@@ -189,10 +189,22 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rows
     class or component only where all its ids are null.  Empty tables give
     empty results.
     """
+    return _join(docs, threshold, n, rows, recall).drop("tie", "part")
+
+
+def text_key() -> Column:
+    """A 64-bit hash of a row's text: with the doc_id it tells rows apart."""
+    return F.coalesce(F.xxhash64("text"), F.lit(0))
+
+
+def _join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rows: int = ROWS,
+          recall: float = RECALL) -> DataFrame:
+    """The rows of ``jaccard_join`` with their ``text_key`` as ``tie`` and a
+    number of their component as ``part`` (null for rows without n-grams)."""
     docs = docs.select("doc_id", "text")
-    signed = materialize(docs.mapInPandas(
+    signed = materialize(docs.withColumn("tie", text_key()).mapInPandas(
         _sign(threshold, n, rows, recall),
-        "doc_id long, k1 long, k2 long, words long, keys array<long>"), "signatures")
+        "doc_id long, tie long, k1 long, k2 long, words long, keys array<long>"), "signatures")
     classes = (signed.where("keys is not null").groupBy("k1", "k2")
                .agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("class_id")))
     keyed = with_row_id(classes, "id")
@@ -217,14 +229,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rows
     named = parts.join(keyed.select("id", "class_id"), "id")
     lowest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     linked = (keyed.join(found.groupBy("id").agg(F.sum("n").alias("n")), "id", "left")
-              .join(named.select("id", "component").join(lowest, "component").drop("component"), "id", "left")
-              .select("k1", "k2", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"),
+              .join(named.select("id", "component").join(lowest, "component"), "id", "left")
+              .select("k1", "k2", "class_id", F.coalesce("component", "id").alias("part"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"),
                       F.coalesce("component_id", "class_id").alias("component_id")))
     linked = materialize(linked, "classes")
-    out = (signed.select("doc_id", F.when(F.col("keys").isNotNull(), F.col("k1")).alias("k1"), "k2")
+    out = (signed.select("doc_id", "tie", F.when(F.col("keys").isNotNull(), F.col("k1")).alias("k1"), "k2")
            .join(linked, ["k1", "k2"], "left"))
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+    return out.select("doc_id", "tie", "part", F.coalesce("class_id", "doc_id").alias("class_id"),
                       F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id"),
                       F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
@@ -232,16 +244,23 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rows
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """One row of each group of near copies stays, whole: that with the
-    smallest doc_id (a null one comes last; of equal ones any, the same in
-    every use of the result).  Rows are judged by their texts alone: rows
-    that share a doc_id but not a text, and rows without texts or links, all
-    stay."""
-    row = "__row"
-    rows = with_row_id(docs, row)
-    verdict = materialize(jaccard_join(rows.select(F.col(row).alias("doc_id"), "text"), **how)
-                          .where("n_links > 0").select(F.col("doc_id").alias(row), "component_id"), "verdict")
-    linked = verdict.join(rows.select(row, "doc_id"), row)
-    first = linked.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))[row].alias(row))
-    out = verdict.join(first.select(row), row, "left_anti").select(row)
-    return rows.hint("merge").join(out, row, "left_anti").select(*docs.columns)
+    smallest doc_id (a null one comes last).  Rows are judged by their texts
+    alone: rows that share a doc_id but not a text, and rows without texts or
+    links, all stay.  Within a doc_id texts are told apart by 64 bits."""
+    tie = "__tie"
+    verdict = materialize(_join(docs, **how).where("n_links > 0").groupBy("part", "doc_id", "tie")
+                          .agg(F.count(F.lit(1)).alias("rows")), "verdict")
+    first = verdict.groupBy("part").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("f"))
+    # met again by row and not by group: a group may hold a third of all rows
+    won = first.select(F.col("f.doc_id").alias("its"), F.col("f.tie").alias("its_tie"))
+    judged = materialize(verdict.join(won, F.col("doc_id").eqNullSafe(F.col("its")) & (F.col("tie") == F.col("its_tie")), "left")
+                         .select(F.col("doc_id").alias("__id"), F.col("tie").alias("__key"), "rows",
+                                 F.col("its_tie").isNotNull().alias("first")), "judged")
+    rows = docs.withColumn(tie, text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(tie) == F.col("__key"))
+    # what goes, and the first ones that stand there several times, of which one comes back
+    out = judged.where("NOT first OR rows > 1").select("__id", "__key")
+    again = judged.where("first AND rows > 1").select("__id", "__key")
+    rest = rows.hint("merge").join(out, same, "left_anti")
+    return rest.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", tie])).select(*docs.columns)
