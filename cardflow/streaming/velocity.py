@@ -12,6 +12,8 @@ per-record rule).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -92,7 +94,6 @@ class _StreamTime(StatefulProcessor):
         self.newest = handle.getValueState("newest", "us long")
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
         batch = pd.concat(list(rows)).sort_values("arrival", kind="stable")
         held = self.newest.get()
         seen = batch["us"].cummax()
@@ -144,34 +145,68 @@ def start_lateness(records: DataFrame, sink_path: str, checkpoint: str | None =
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _trailing_in_span(width: int):
+    """Per span of a card: the number of its records, and of those of the span
+    before, in ``[t - width, t]`` for each time t of the span.  Times are
+    distinct, in any order, with the number of records at each."""
+    @F.pandas_udf("array<bigint>")
+    def counts(own: pd.Series, own_n: pd.Series, before: pd.Series, before_n: pd.Series) -> pd.Series:
+        def one(t, n, t0, n0):
+            all_t, all_n = (np.asarray(t), np.asarray(n)) if t0 is None else (np.concatenate([t0, t]), np.concatenate([n0, n]))
+            order = np.argsort(all_t, kind="stable")
+            at, upto = all_t[order], np.concatenate([[0], np.cumsum(all_n[order])])
+            t = np.asarray(t)
+            return upto[np.searchsorted(at, t, "right")] - upto[np.searchsorted(at, t - width, "left")]
+
+        return pd.Series([one(*x) for x in zip(own, own_n, before, before_n)], dtype=object)
+
+    return counts
+
+
 def trailing_counts(records: DataFrame, size: str = VELOCITY_WINDOW, grace: str = VELOCITY_GRACE,
                     ts: str = "event_ts", key: str = "key") -> DataFrame:
     """W2 as a stream-stream join: for each record the number of records of
     its card in ``[t - size, t]``, itself included.
 
+    Records are put together by (card, time), which drops those behind the
+    watermark, and then by (card, span of ``size``).  A span is joined with
+    the one before it, and its records are counted by rank in both: linear
+    in the records up to the sort, however many a card has in a span, where a
+    join of records with records meets every pair.  A span's list is what a
+    task holds at once: a card that holds a third of all records is spread
+    over its spans.
+
     Both sides are the one stream; the watermark and the interval tell the
-    engine how long a record can still meet another, so it keeps and expires
+    engine how long a span can still meet another, so it keeps and expires
     the state by itself, under the query's checkpoint.  A record is (source
     partition, offset), so equal offsets of two partitions and records of
-    one microsecond stay apart.  The join is on (card, span of time): a
-    record stands in its own span as what counts, and in its own and the
-    next one as what is counted, so a card that holds a third of all records
-    is spread over its spans.  Counts are final: a record's comes out
-    once, when the watermark (the newest time less ``grace``) has passed it.
+    one microsecond stay apart.  Counts are final: a record's comes out
+    once, when the watermark (the newest time less ``grace``) has passed its
+    span.
     """
     from cardflow.operators.velocity import _seconds
     width = _seconds(size)
-    r = records.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, grace)
-    span = F.floor(F.unix_micros(ts) / F.lit(width * 1_000_000))
-    one = r.select(F.col(key).alias("key"), F.col(ts).alias("ts"), "source_partition", F.col("arrival").alias("id"),
-                   span.alias("span"))
-    other = r.select(F.col(key).alias("other_key"), F.col(ts).alias("other_ts"),
-                     F.explode(F.array(span, span + 1)).alias("other_span"))
+    r = records.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, grace).where(F.col(ts).isNotNull())
+
+    def spans(at_time: F.Column, name: str) -> DataFrame:
+        at = r.groupBy(F.col(ts).alias("ts"), F.col(key).alias("key")).agg(at_time.alias("what"))
+        return (at.groupBy(F.window("ts", f"{width} seconds").alias("w"), "key")
+                .agg(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), "what")).alias(name))
+                .withColumn("until", F.window_time("w")))
+
+    one = (spans(F.collect_list(F.struct("source_partition", F.col("arrival").alias("id"))), "own")
+           .select("key", "until", "own", F.unix_seconds("w.start").alias("begin")))
+    other = (spans(F.count(F.lit(1)), "before")
+             .select(F.col("key").alias("other_key"), F.col("until").alias("other_until"), "before",
+                     F.unix_seconds("w.end").alias("other_end")))
     pairs = one.join(other, F.expr(
-        f"key <=> other_key AND span = other_span AND other_ts <= ts AND other_ts >= ts - INTERVAL {width} SECONDS"))
-    return (pairs.groupBy("ts", "key", "source_partition", "id")
-            .agg(F.count(F.lit(1)).alias("trailing_count"))
-            .select("source_partition", "id", "key", "ts", "trailing_count"))
+        f"key <=> other_key AND begin = other_end AND other_until >= until - INTERVAL {width} SECONDS AND other_until <= until"),
+        "left")
+    count = _trailing_in_span(width * 1_000_000)(
+        F.col("own.us"), F.transform("own", lambda x: F.size(x["what"]).cast("long")), F.col("before.us"), F.col("before.what"))
+    times = pairs.withColumn("count", count).select("key", F.inline(F.arrays_zip(F.col("own.us").alias("us"), F.col("own.what").alias("what"), "count")))
+    return (times.select("key", "us", "count", F.inline("what"))
+            .select("source_partition", "id", "key", F.timestamp_micros("us").alias("ts"), F.col("count").alias("trailing_count")))
 
 
 def start_trailing_counts(records: DataFrame, sink_path: str, checkpoint: str | None = None,
