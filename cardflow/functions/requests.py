@@ -31,11 +31,12 @@ EXACT = "decimal(38,18)"
 def is_blank(c) -> Column:
     """NULL, empty, or whitespace only (tabs and newlines included).
 
-    ``trim`` with an explicit character set, not a regular expression:
-    it stays a cheap scan inside whole-stage codegen.
+    ``ltrim`` with an explicit character set, not a regular expression:
+    it stays inside whole-stage codegen and stops at the first character
+    that is no blank.
     """
     c = _c(c)
-    return c.isNull() | (F.trim(c, F.lit(BLANKS)) == "")
+    return c.isNull() | (F.ltrim(c, F.lit(BLANKS)) == "")
 
 
 def _checks(merchant, pan, amount, currency, strict: bool) -> list[tuple[str, Column]]:
@@ -91,7 +92,8 @@ def parse_amount(text) -> Column:
     """
     t = _c(text)
     amount = t.try_cast(AMOUNT)
-    return F.when((t == F.trim(t, F.lit(BLANKS))) & (amount == t.try_cast(EXACT)), amount)
+    bare = ~is_blank(F.substring(t, 1, 1)) & ~is_blank(F.substring(t, -1, 1))
+    return F.when(bare & (amount == t.try_cast(EXACT)), amount)
 
 
 def generated_key(request_id) -> Column:

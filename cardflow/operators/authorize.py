@@ -33,19 +33,30 @@ ORDER = ["arrival", "request_id"]
 
 def _checked(requests: DataFrame, strict: bool) -> DataFrame:
     """Requests with the card number stripped, the amount parsed, ``_ok``
-    (the cheap boolean decision) and ``error`` (built only when not ok)."""
+    (the cheap boolean decision)."""
     r = requests.withColumn("pan", strip_spaces("pan"))
     amount = parse_amount("amount")
     checked = r.select(*[c for c in r.columns if c != "amount"],
                        F.col("amount").alias("amount_text"), amount.alias("amount"))
     ok = F.coalesce(fields_ok(amount="amount_text", strict=strict) & F.col("amount").isNotNull(),
                     F.lit(False))
+    return checked.withColumn("_ok", ok)
+
+
+def _error(strict: bool) -> Column:
+    """Why a checked request fails (built only when it does)."""
     labels = validation_labels(amount="amount_text", strict=strict)
     error = F.coalesce(
         validation_message(labels),
         F.concat(F.lit("Invalid amount: "), F.coalesce(F.col("amount_text"), F.lit("null"))))
-    return (checked.withColumn("_ok", ok)
-            .withColumn("error", F.when(~F.col("_ok"), error)))
+    return F.when(~F.col("_ok"), error).alias("error")
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """``df`` through a generator: a filter on its columns is not pushed below
+    it, where the optimizer would put their whole expressions in place of
+    them and compute each many times a row."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def normalize_requests(requests: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -56,17 +67,29 @@ def normalize_requests(requests: DataFrame, strict: bool = False) -> tuple[DataF
     rejected: request_id, arrival, error (the validation message, or
     ``Invalid amount: <text>`` when the amount does not parse).
     """
-    flagged = _checked(requests, strict)
-    valid = (flagged.where(F.col("_ok"))
-             .select("request_id", "arrival", "merchantId", "pan", "amount", "currency",
-                     default_key(KEY, "request_id").alias(KEY)))
-    rejected = flagged.where(~F.col("_ok")).select("request_id", "arrival", "error")
-    return valid, rejected
+    return _split(_flagged(requests, strict))
+
+
+def normalize_once(requests: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``normalize_requests`` with the checked requests written once, so that
+    a source read for both outputs is read and parsed once."""
+    return _split(materialize(_flagged(requests, False), name))
+
+
+def _flagged(requests: DataFrame, strict: bool) -> DataFrame:
+    return computed_once(_checked(requests, strict)).select(
+        "request_id", "arrival", "merchantId", "pan", "amount", "currency",
+        default_key(KEY, "request_id").alias(KEY), "_ok", _error(strict))
+
+
+def _split(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (flagged.where(F.col("_ok")).drop("_ok", "error"),
+            flagged.where(~F.col("_ok")).select("request_id", "arrival", "error"))
 
 
 def request_errors(requests: DataFrame, strict: bool = False) -> DataFrame:
     """One pass over the requests: request_id and error (NULL when valid)."""
-    return _checked(requests, strict).select("request_id", "error")
+    return _checked(requests, strict).select("request_id", _error(strict))
 
 
 def to_transactions(valid: DataFrame, key: Column | None = None) -> DataFrame:
