@@ -38,11 +38,17 @@ def running(rows: DataFrame, key: str, order: list, out: str, value: Running, pe
     joins that with the value within the slice.
     """
     upto = (Window.unboundedPreceding, Window.currentRow)
-    hot = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(key),
-                      "hot-keys")
     small = Window.partitionBy(key).orderBy(*order).rowsBetween(*upto)
-    if not hot.limit(1).count():
+    # counted by a hash of the key first, so that a long is shuffled per key
+    # and not the key; only keys of hashes that are hot are counted themselves
+    digest = F.xxhash64(key)
+    many = F.col("_n") > hot_rows
+    digests = materialize(rows.groupBy(digest.alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).where(many).select("_hash"),
+                          "hot-hashes")
+    if not digests.limit(1).count():
         return [rows.withColumn(out, value(small))]
+    hot = materialize(rows.join(digests, digest == F.col("_hash"), "left_semi").groupBy(key)
+                      .agg(F.count(F.lit(1)).alias("_n")).where(many).select(key), "hot-keys")
     cold = rows.join(hot, key, "left_anti").select(*rows.columns).withColumn(out, value(small))
     # written once: both uses below must see the same slices
     sliced = materialize(rows.join(hot, key, "left_semi").repartitionByRange(key, *order)

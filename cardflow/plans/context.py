@@ -165,23 +165,36 @@ class Pipeline:
     def batch1_current(self) -> DataFrame:
         return self.current(FIRST_CUTOFF)
 
+    def _settled(self, current: DataFrame, name: str) -> DataFrame:
+        """The rows a batch settles, written once: its events and its feed
+        actions both come from them."""
+        return self._cut(S.eligible(current).select(L.KEY, "transactionId", "status"), name)
+
+    @cached_property
+    def batch1_settled(self) -> DataFrame:
+        return self._settled(self.batch1_current, "settled_batch1")
+
     @cached_property
     def batch1_events(self) -> DataFrame:
-        return L.settle_events(self.batch1_current, FIRST_CUTOFF)
+        return L.settle_events(self.batch1_settled, FIRST_CUTOFF)
 
     @cached_property
     def events_after_batch1(self) -> DataFrame:
-        return self._cut(self.status_events.unionByName(self.batch1_events), "events_batch1")
+        """The event log is appended to: what was written is not written again."""
+        return self.status_events.unionByName(self.batch1_events)
 
     @cached_property
     def batch2_current(self) -> DataFrame:
         return self.current(CUTOFF, self.events_after_batch1)
 
+    @cached_property
+    def batch2_settled(self) -> DataFrame:
+        return self._settled(self.batch2_current, "settled_batch2")
+
     @cached_property
     def all_events(self) -> DataFrame:
         """Every status event: authorize, hold, release and both batches."""
-        return self._cut(self.events_after_batch1.unionByName(
-            L.settle_events(self.batch2_current, CUTOFF)), "events_all")
+        return self.events_after_batch1.unionByName(L.settle_events(self.batch2_settled, CUTOFF))
 
     @cached_property
     def orders_stored(self) -> DataFrame:
@@ -200,12 +213,10 @@ class Pipeline:
     # feed -------------------------------------------------------------------
     @cached_property
     def feed_actions(self) -> DataFrame:
-        ids = S.eligible(self.batch1_current).select("transactionId")
-        ids2 = S.eligible(self.batch2_current).select("transactionId")
         return self._cut(FD.score_actions(self.scored)
                          .unionByName(FD.release_actions(self.release_requests))
-                         .unionByName(FD.settle_actions(ids, FIRST_CUTOFF))
-                         .unionByName(FD.settle_actions(ids2, CUTOFF)), "feed_actions")
+                         .unionByName(FD.settle_actions(self.batch1_settled, FIRST_CUTOFF))
+                         .unionByName(FD.settle_actions(self.batch2_settled, CUTOFF)), "feed_actions")
 
     @cached_property
     def feed(self) -> DataFrame:

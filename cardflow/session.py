@@ -148,9 +148,10 @@ def path_version(spark: SparkSession, path: str) -> tuple | None:
 def materialize(df, name: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     return a DataFrame reading it: cuts lineage in one pass, survives lost
-    executors, and reads back with pruning and pushdown."""
+    executors, and reads back with pruning and pushdown.  Zstandard: ids and
+    hashes are hexadecimal text, which the default codec leaves at full size."""
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
