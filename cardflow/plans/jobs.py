@@ -41,7 +41,7 @@ from cardflow.functions.text import batch_id as make_batch_id, ntz_lit
 from cardflow.operators import lifecycle as L
 from cardflow.operators import settlement as S
 from cardflow.operators import snapshot as P
-from cardflow.operators.authorize import authorize, new_rows, normalize_requests
+from cardflow.operators.authorize import authorize, new_rows, normalize_once
 from cardflow.operators.scoring import fraud_alerts, score
 from cardflow.schemas import STATUS_EVENT, TRANSACTION
 from cardflow.session import child_folders, materialize, pan_key
@@ -73,8 +73,7 @@ def write_attempts(batch: Batch, requests: DataFrame, ledger: DataFrame | None,
                    encrypt: bool = False) -> tuple[DataFrame, DataFrame, dict]:
     """The tables a batch of requests makes: (outcomes, stored rows, counts)."""
     spark = batch.log.spark
-    valid, rejected = normalize_requests(requests)
-    valid = materialize(valid, "job-valid")
+    valid, rejected = normalize_once(requests, "job-requests")
     outcomes = batch.write(authorize(valid, ledger=ledger, batch_id=batch.batch_id, written=True,
                                      key=pan_key(spark) if encrypt else None).drop("is_new"), "outcomes")
     outcomes = outcomes.withColumn("is_new", F.col("outcome") == OUTCOME_APPROVED)

@@ -111,7 +111,8 @@ def _batch_offsets(spark, path: str, batch_id: str, runs: DataFrame) -> DataFram
     by it before or following the batch before it; written if new."""
     schema = "source_partition int, begin long, end long, batch_id string"
     kept = sorted(child_folders(spark, path))
-    before = spark.createDataFrame([], schema + ", n string")
+    before = spark.sql("SELECT CAST(NULL AS INT) AS source_partition, CAST(NULL AS BIGINT) AS begin, "
+                       "CAST(NULL AS BIGINT) AS end, '' AS batch_id, '' AS n WHERE false")
     if kept:
         before = spark.read.schema(schema + ", n string").option("basePath", path).parquet(
             *[f"{path}/{k}" for k in kept[-KEPT_BATCHES:]])

@@ -89,9 +89,8 @@ def write_receipt_index(spark, receipts: str, index: str) -> None:
     it, made from the files themselves (``_metadata.file_path``), sorted by
     key with a Bloom filter on it.  ``receipts``: a batch's receipt folder."""
     raw = spark.read.schema("value string").text(receipts)
-    field = lambda c: F.get_json_object("value", f"$.{c}")
-    (raw.select(receipt_key(field("merchantId"), field("transactionId")).alias("receiptKey"),
-                F.col("_metadata.file_path").alias("file"))
+    (raw.select(F.col("_metadata.file_path").alias("file"), F.json_tuple("value", "merchantId", "transactionId").alias("merchant", "id"))
+     .select(receipt_key("merchant", "id").alias("receiptKey"), "file")
      .repartitionByRange("receiptKey").sortWithinPartitions("receiptKey")
      .write.mode("overwrite").option("parquet.bloom.filter.enabled#receiptKey", "true").parquet(index))
 
